@@ -121,11 +121,12 @@ def list_levels(schema: DataFrame, max_paths: int = MAX_PATHS) -> list[str]:
 
     Only distinct paths reach the driver; more than ``max_paths`` is an error.
     """
-    rows = schema.where("path like '%[]' and type = 'object'").select("path").distinct().limit(max_paths + 1).collect()
+    wanted = "(path like '%[]' and type = 'object') or type in ('list', 'text of list')"
+    rows = schema.where(wanted).select("path", "type").limit(max_paths + 1).collect()
     if len(rows) > max_paths:
-        raise ValueError(f"more than {max_paths} list levels: are keys of the documents data?")
-    found = {r["path"] for r in rows}
-    lists = {r["path"] for r in schema.where("type in ('list', 'text of list')").select("path").distinct().collect()}
+        raise ValueError(f"more than {max_paths} paths of lists: are keys of the documents data?")
+    found = {r["path"] for r in rows if r["type"] == "object"}
+    lists = {r["path"] for r in rows if r["type"] != "object"}
     is_level = lambda p: p[:-2] in lists
     levels = {p for p in found if is_level(p)}
 
