@@ -116,7 +116,7 @@ def _cascade(lang: str, capitals: bool) -> list[tuple[bool, regex.Pattern, regex
 
 def _capitals(so_far: str, after: str) -> bool:
     """Whether the sentence so far and what follows are written in capitals."""
-    near = regex.split(r"[.!?]", after[:24], maxsplit=1)[0]
+    near = regex.split(r"(?<=\w\w)[.!?]", after[:24], maxsplit=1)[0]
     return (sum(c.isupper() for c in near) >= 2 and not any(c.islower() for c in near)
             and any(c.isupper() for c in so_far) and not any(c.islower() for c in so_far))
 
