@@ -1 +1 @@
-
+"""Column functions: text, time codes, geometry, colour."""

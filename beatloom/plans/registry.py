@@ -1,6 +1,6 @@
 """All queries of the core, by name."""
 
-from . import problems
+from . import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLE_SQL = {**problems.ORACLE_SQL}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLE_SQL = {**problems.ORACLE_SQL, **reference.ORACLE_SQL}
