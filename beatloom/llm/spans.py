@@ -67,22 +67,18 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
 
 def _near(n_runs: int, positions: np.ndarray, length: int, wanted: int) -> np.ndarray:
     """Whether each run of ``wanted`` characters holds one of the windows at ``positions``."""
-    edge = np.zeros(n_runs + 1, np.int64)
-    np.add.at(edge, np.clip(positions + length - wanted, 0, n_runs), 1)
-    np.add.at(edge, np.clip(positions + 1, 0, n_runs), -1)
-    return np.cumsum(edge)[:n_runs] > 0
+    up = np.bincount(np.clip(positions + length - wanted, 0, n_runs), minlength=n_runs + 1)
+    down = np.bincount(np.clip(positions + 1, 0, n_runs), minlength=n_runs + 1)
+    return np.cumsum(up - down)[:n_runs] > 0
 
 
-def anchors(codes: np.ndarray, length: int, wanted: int, kept: np.ndarray | None, kept_length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of ``length`` in the runs that hold a surviving window."""
+def anchors(codes: np.ndarray, length: int, wanted: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the anchors of ``length``: the windows that are the least of a run that is alive."""
     hashes = window_hashes(codes, length)
-    w, n_runs = wanted - length + 1, len(codes) - wanted + 1
-    low = _sliding(hashes, w, np.minimum, np.iinfo(np.uint64).max)  # least hash of each run
-    alive = np.ones(n_runs, bool) if kept is None else _near(n_runs, kept, kept_length, wanted)
-    # a window is an anchor if it is the least of a run that is alive
-    level = np.where(alive, low, np.uint64(0))
+    w = wanted - length + 1
+    low = _sliding(hashes, w, np.minimum, np.iinfo(np.uint64).max)
     pad = np.zeros(w - 1, np.uint64)
-    high = _sliding(np.concatenate([pad, level, pad]), w, np.maximum, 0)
+    high = _sliding(np.concatenate([pad, np.where(alive, low, np.uint64(0)), pad]), w, np.maximum, 0)
     at = np.flatnonzero((high == hashes) & (high > 0))
     return at, hashes[at]
 
@@ -91,33 +87,55 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+CHUNK = 400_000  # characters that are hashed at once
+
+
 def _level(texts: DataFrame, length: int, kept_length: int, wanted: int) -> DataFrame:
-    """(cls, pos, h) of a level's anchors; at the wanted length h is the digest of the window."""
+    """(cls, pos, h) of a level's anchors; at the wanted length h is the digest of the window.
+
+    Texts are laid end to end and hashed together; runs that reach over the end
+    of a text are never alive.  All texts have ``wanted`` characters at least.
+    """
     final = length == wanted
 
+    def chunk(cls: list, ts: list, kept: list) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in ts])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        n_runs = int(starts[-1]) - wanted + 1
+        alive = np.zeros(n_runs + wanted, bool)
+        if kept_length:
+            at = np.concatenate([np.asarray(k, np.int64) + s for k, s in zip(kept, starts, strict=False)])
+            alive[:n_runs] = _near(n_runs, at, kept_length, wanted)
+        else:
+            alive[:n_runs] = True
+        for end in starts[1:]:
+            alive[max(0, end - wanted + 1):end] = False
+        alive = alive[:n_runs]
+        if final:
+            at = np.flatnonzero(alive)
+        else:
+            at, hashes = anchors(_codes("".join(ts)), length, wanted, alive)
+        which = np.searchsorted(starts, at, side="right") - 1
+        pos = (at - starts[which]).astype(np.int32)
+        if final:
+            marks = pa.array([blake2b(ts[n][p:p + wanted].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                              for n, p in zip(which.tolist(), pos.tolist(), strict=True)], pa.binary())
+        else:
+            marks = pa.array(hashes.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(cls, np.int64)[which]), pa.array(pos), marks], ["cls", "pos", "h"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, ts, kept, n = [], [], [], 0
         for b in batches:
-            kept = b.column(2).to_pylist() if kept_length else [None] * b.num_rows
-            cls, pos, h = [], [], []
-            for c, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), kept, strict=True):
-                k = None if k is None else np.asarray(k, np.int64)
-                if final:
-                    at = np.flatnonzero(np.ones(len(t) - wanted + 1, bool) if k is None else _near(len(t) - wanted + 1, k, kept_length, wanted))
-                    h.append([blake2b(t[i:i + wanted].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in at])
-                else:
-                    at, hashes = anchors(_codes(t), length, wanted, k, kept_length)
-                    h.append(hashes.view(np.int64))
-                cls.append(np.full(len(at), c, np.int64))
-                pos.append(at.astype(np.int32))
-                if sum(map(len, pos)) > 200_000:
-                    yield pack(cls, pos, h)
-                    cls, pos, h = [], [], []
-            if pos:
-                yield pack(cls, pos, h)
-
-    def pack(cls: list, pos: list, h: list) -> pa.RecordBatch:
-        marks = pa.array([x for part in h for x in part], pa.binary()) if final else pa.array(np.concatenate(h), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cls)), pa.array(np.concatenate(pos)), marks], ["cls", "pos", "h"])
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist() if kept_length else [None] * b.num_rows, strict=True)
+            for c, t, k in rows:
+                cls.append(c), ts.append(t), kept.append(k)
+                n += len(t)
+                if n >= CHUNK:
+                    yield chunk(cls, ts, kept)
+                    cls, ts, kept, n = [], [], [], 0
+        if ts:
+            yield chunk(cls, ts, kept)
 
     columns = ["cls", "text", "kept"] if kept_length else ["cls", "text"]
     return texts.select(*columns).mapInArrow(run, f"cls bigint, pos int, h {'binary' if final else 'bigint'}")
