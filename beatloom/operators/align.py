@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -68,22 +69,38 @@ def distance_within(a: str, b: str, most: int) -> int | None:
     return prev[-1] if prev[-1] <= most else None
 
 
+def least_distances(hay: str, needle: str) -> np.ndarray:
+    """For each end in the hay, the least edit distance of the needle to any stretch that ends there."""
+    letters = np.frombuffer(hay.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.arange(len(hay) + 1)
+    row = np.zeros(len(hay) + 1, np.int64)  # a match may begin anywhere
+    for i, c in enumerate(needle, 1):
+        step = np.empty_like(row)
+        step[0] = i
+        step[1:] = np.minimum(row[:-1] + (letters != ord(c)), row[1:] + 1)
+        row = np.minimum.accumulate(step - at) + at
+    return row[1:]
+
+
 def best_window(hay: str, needle: str, least: float = FUZZY_LEAST) -> tuple[int, int, float] | None:
     """(start, length, ratio) of the window of 0.5 to 1.5 times the needle most like it, at least ``least``.
 
-    The shortest, then earliest of the best.  A window whose letters alone
-    differ too much is passed over without a distance.
+    The shortest, then earliest of the best.  Only windows that end where some
+    stretch is near enough to the needle get a distance of their own.
     """
     n, best, score = len(needle), None, 0.0
     if not n or not hay:
         return None
+    near = least_distances(hay, needle)
     for size in range(max(1, n // 2), min(len(hay), int(1.5 * n)) + 1):
         longest = max(n, size)
-        if 1 - abs(n - size) / longest <= max(score, least - 1e-12):
+        bar = max(score, least)
+        most = int(longest * (1 - bar) + 1e-9)
+        if abs(n - size) > most:
             continue
-        for start in range(len(hay) - size + 1):
-            most = int(longest * (1 - max(score, least)) + 1e-9)
-            d = distance_within(hay[start:start + size], needle, most)
+        for end in np.flatnonzero(near[size - 1:] <= most) + size:
+            start = int(end) - size
+            d = distance_within(hay[start:start + size], needle, int(longest * (1 - max(score, least)) + 1e-9))
             if d is None:
                 continue
             ratio = 1 - d / longest
@@ -108,6 +125,7 @@ def phrase_matches(phrases: DataFrame, hays: DataFrame, keys: list[str], id_col:
         needles = needles.withColumn("translations", F.lit(None).cast("array<string>"))
     forms = F.array_distinct(F.filter(F.transform(F.concat(F.array("_p"), F.coalesce("translations", F.array().cast("array<string>"))), T.normalize), lambda x: x != ""))
     rows = needles.withColumn("_forms", forms).withColumn("_own", T.normalize(F.col("_p"))).join(hays, keys, "left")
+    rows = rows.repartition(int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id")  # a scene may have many phrases
     exact = F.filter(F.transform("_forms", lambda f, i: F.struct(i.alias("no"), F.position(f, "hay").alias("at"), F.length(f).alias("n"))), lambda m: m["at"] > 0)
     rows = rows.withColumn("_exact", F.when(F.col("hay").isNotNull(), exact))
     # an exact hit on the first form needs no fuzzy search
@@ -218,8 +236,7 @@ def slice_ops(ops: DataFrame, slices: DataFrame, counts: DataFrame, keys: list[s
     return j.where(single | owner | mine).select(*keys, "beat_id", "scene_id", "op_no", F.when(single | owner, F.col("bound_span")).otherwise(F.col("bound_span") - F.col("lo")).alias("bound_span"))
 
 
-def fixed_dictionary(spark, entries: dict[str, list[str]]) -> DataFrame:
+def fixed_dictionary(spark: SparkSession, entries: dict[str, list[str]]) -> DataFrame:
     """A dictionary frame from (term, translations) in their order."""
-    rows = [(k, v, i) for i, (k, v) in enumerate(entries.items())]
-    return spark.createDataFrame(rows, "term string, translations array<string>, pos int")
-
+    rows = [F.struct(F.lit(k).alias("term"), F.array(*map(F.lit, v)).alias("translations"), F.lit(i).alias("pos")) for i, (k, v) in enumerate(entries.items())]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")

@@ -9,9 +9,10 @@ Findings never raise and never change the input.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Closed sets and required members.
@@ -29,95 +30,102 @@ CONSTRAINTS = ["prerequisites", "misconceptions_to_resolve", "essential_relation
 OUTCOMES = ["recognition", "explanation", "prediction", "application"]
 
 B, W = "blocking", "warning"
+EMPTY = r"""^(?:null|\[\]|\{\}|"(?:[\s\p{Z}]|\\[nrtfb]|\\u00(?:0[0-9a-f]|1[0-9a-f]|85|a0))*")$"""
 
+# Conditions are SQL text over the relation's columns: a rule set of this size
+# is parsed in one go, where column objects would cost a call for every node.
 
-def get(v: Column, name: str) -> Column:
-    """Member of an object; null where it is absent or ``v`` is no object."""
-    return F.try_variant_get(v, F.lit("$['" + name + "']") if not name.isidentifier() else F.lit("$." + name), "variant")
 
+def get(v: str, *names: str) -> str:
+    """Member of an object, of its member, ...; null where one is absent or no object."""
+    return f"try_variant_get({v}, '$.{'.'.join(names)}', 'variant')"
 
-def text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
 
+def text(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'string')"
 
-def kind(v: Column) -> Column:
+
+def kind(v: str) -> str:
     """OBJECT, ARRAY, a scalar type, VOID for JSON null; null where absent."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return f"regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0)"
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+def is_object(v: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({v}), 'OBJECT'), false)"
 
 
-def entries(v: Column) -> Column:
+def entries(v: str) -> str:
     """The entries of a list; none for anything else."""
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return f"coalesce(try_variant_get({v}, '$', 'array<variant>'), cast(array() as array<variant>))"
+
+
+def objects(v: str) -> str:
+    return f"filter({entries(v)}, o -> {is_object('o')})"
 
 
-def texts(v: Column) -> Column:
-    return F.filter(F.transform(entries(v), text), lambda t: t.isNotNull())
+def texts(v: str) -> str:
+    return f"filter(transform({entries(v)}, t -> {text('t')}), t -> t is not null)"
 
 
-def nonempty(v: Column) -> Column:
+def nonempty(v: str) -> str:
     """Neither absent, null, blank text, nor an empty list or object; 0 and false count as given."""
-    k = kind(v)
-    blank = text(v).rlike(r"\A[\s\p{Z}]*\z")
-    full = F.when(k.isNull() | (k == "VOID"), False).when(k == "STRING", ~blank).when(k == "ARRAY", F.size(entries(v)) > 0).when(
-        k == "OBJECT", F.schema_of_variant(v) != "OBJECT<>").otherwise(True)
-    return F.coalesce(full, F.lit(False))
+    return f"coalesce(not (to_json({v}) rlike r'{EMPTY}'), false)"
+
+
+def empty(v: str) -> str:
+    return f"(not {nonempty(v)})"
 
 
-def empty(v: Column) -> Column:
-    return ~nonempty(v)
+def one_of(v: str, values: list[str]) -> str:
+    listed = ", ".join(f"'{json.dumps(x)}'" for x in values)
+    return f"coalesce(to_json({v}) in ({listed}), false)"
 
 
-def one_of(v: Column, values: list[str]) -> Column:
-    return F.coalesce(text(v).isin(values) & (kind(v) == "STRING"), F.lit(False))
+def given_but_not(v: str, values: list[str]) -> str:
+    return f"({nonempty(v)} and not {one_of(v, values)})"
 
 
-def given_but_not(v: Column, values: list[str]) -> Column:
-    return nonempty(v) & ~one_of(v, values)
+def same(a: str, b: str) -> str:
+    return f"coalesce(trim({text(a)}) = trim({text(b)}), false)"
 
 
-def same(a: Column, b: Column) -> Column:
-    return F.coalesce(F.trim(text(a)) == F.trim(text(b)), F.lit(False))
+def object_or_none(v: str) -> str:
+    return f"({is_object(v)} or {empty(v)})"
 
 
-def findings(rows: DataFrame, keys: list[str], path: Column, rules: list[tuple[str, str, Column]]) -> DataFrame:
-    """keys, ``severity``, ``code``, ``path`` of every rule that a row breaks."""
-    said = F.array(*[F.when(c, F.struct(F.lit(sev).alias("severity"), F.lit(code).alias("code"))) for code, sev, c in rules])
-    return (rows.select(*keys, path.alias("path"), F.explode(F.filter(said, lambda f: f.isNotNull())).alias("f"))
+def findings(rows: DataFrame, keys: list[str], path: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """keys, ``severity``, ``code``, ``path`` of every rule (code, severity, condition) that a row breaks."""
+    said = ", ".join(f"case when {c} then named_struct('severity', '{sev}', 'code', '{code}') end" for code, sev, c in rules)
+    return (rows.select(*keys, F.expr(path).alias("path"), F.explode(F.expr(f"filter(array({said}), f -> f is not null)")).alias("f"))
             .select(*keys, "f.severity", "f.code", "path"))
 
 
-def _each(rows: DataFrame, keys: list[str], path: Column, code: str, severity: str, values: Column) -> DataFrame:
+def _each(rows: DataFrame, keys: list[str], path: str, code: str, severity: str, values: str) -> DataFrame:
     """One finding per entry of ``values``."""
-    return rows.select(*keys, F.explode(values).alias("x"), path.alias("p")).select(
+    return rows.select(*keys, F.explode(F.expr(values)).alias("x"), F.expr(path).alias("p")).select(
         *keys, F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.concat_ws("/", "p", F.col("x").cast("string")).alias("path"))
 
 
 def _relations(docs: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
-    d = F.col("doc")
-    km, lm = get(d, "knowledge_model"), get(d, "learner_model")
-    node_ids = lambda v: F.filter(F.transform(entries(v), lambda n: text(get(n, "id"))), lambda t: t.isNotNull() & (t != ""))
-    scenes = F.filter(entries(get(d, "scenes")), is_object)
-    refs = F.flatten(F.transform(scenes, lambda s: texts(get(s, "beat_refs"))))
-    base = docs.select(*keys, d.alias("doc"), km.alias("km"), lm.alias("lm"), node_ids(get(get(km, "model"), "nodes")).alias("nodes"),
-                       node_ids(get(km, "evidence")).alias("evidence_ids"), refs.alias("refs"),
-                       F.flatten(F.transform(entries(get(get(km, "model"), "nodes")), lambda n: texts(get(n, "evidence")))).alias("bound"))
-    down = lambda df, v, no, name, *keep: df.select(*keys, *keep, F.posexplode(v).alias(no, name))
-    scene = down(base, entries(get(F.col("doc"), "scenes")), "scene_no", "scene", "evidence_ids", "refs")
-    scene = scene.where(is_object(F.col("scene"))).withColumn("sid", F.coalesce(F.nullif(text(get(F.col("scene"), "id")), F.lit("")), F.format_string("scene-%02d", F.col("scene_no") + 1)))
-    beat = down(scene, entries(get(F.col("scene"), "beats")), "beat_no", "beat", "sid", "scene_no", "evidence_ids", "refs").where(is_object(F.col("beat")))
-    beat = beat.withColumn("bid", F.coalesce(F.nullif(text(get(F.col("beat"), "id")), F.lit("")), F.concat("sid", F.lit("-b"), (F.col("beat_no") + 1).cast("string"))))
+    ids = lambda v: f"filter(transform({entries(v)}, n -> {text(get('n', 'id'))}), i -> i <> '')"
+    base = docs.selectExpr(
+        *keys, "doc", f"{get('doc', 'knowledge_model')} as km", f"{get('doc', 'learner_model')} as lm",
+        f"{ids(get('doc', 'knowledge_model', 'model', 'nodes'))} as nodes", f"{ids(get('doc', 'knowledge_model', 'evidence'))} as evidence_ids",
+        f"flatten(transform({objects(get('doc', 'scenes'))}, s -> {texts(get('s', 'beat_refs'))})) as refs",
+        f"flatten(transform({entries(get('doc', 'knowledge_model', 'model', 'nodes'))}, n -> {texts(get('n', 'evidence'))})) as bound")
+    down = lambda df, v, no, name, *keep: df.selectExpr(*keys, *keep, f"posexplode({v}) as ({no}, {name})")
+    scene = down(base, entries(get("doc", "scenes")), "scene_no", "scene", "evidence_ids", "refs").where(is_object("scene"))
+    scene = scene.withColumn("sid", F.expr(f"coalesce(nullif({text(get('scene', 'id'))}, ''), format_string('scene-%02d', scene_no + 1))"))
+    beat = down(scene, entries(get("scene", "beats")), "beat_no", "beat", "sid", "scene_no", "evidence_ids", "refs").where(is_object("beat"))
+    beat = beat.withColumn("bid", F.expr(f"coalesce(nullif({text(get('beat', 'id'))}, ''), concat(sid, '-b', beat_no + 1))"))
     return {
         "document": base, "scene": scene, "beat": beat,
-        "element": down(scene, entries(get(F.col("scene"), "elements")), "no", "v", "sid"),
-        "evidence": down(base, entries(get(F.col("km"), "evidence")), "no", "v"),
-        "relation": down(base, entries(get(get(F.col("km"), "model"), "relations")), "no", "v", "nodes"),
-        "transition": down(base, entries(get(F.col("lm"), "transitions")), "no", "v", "lm"),
-        "reveal": down(beat, entries(get(F.col("beat"), "reveal")), "no", "v", "bid", entries(get(get(F.col("beat"), "narrative"), "spans")).alias("spans")),
-        "part": down(beat, entries(get(F.col("beat"), "elements")), "no", "v", "bid"),
+        "element": down(scene, entries(get("scene", "elements")), "no", "v", "sid"),
+        "evidence": down(base, entries(get("km", "evidence")), "no", "v"),
+        "relation": down(base, entries(get("km", "model", "relations")), "no", "v", "nodes"),
+        "transition": down(base, entries(get("lm", "transitions")), "no", "v", "lm"),
+        "reveal": down(beat, entries(get("beat", "reveal")), "no", "v", "bid", f"size({entries(get('beat', 'narrative', 'spans'))}) as n_spans"),
+        "part": down(beat, entries(get("beat", "elements")), "no", "v", "bid"),
     }
 
 
@@ -129,98 +137,94 @@ def lint(docs: DataFrame, keys: list[str], body: str) -> DataFrame:
     again.
     """
     parsed = docs.select(*keys, F.col(body).alias("_t"), F.try_parse_json(F.col(body)).alias("doc"))
-    ok = is_object(F.col("doc"))
-    file_rules = findings(parsed, keys, F.lit("/"), [("IR.NO_SCRIPT", B, F.col("_t").isNull()), ("IR.BAD_JSON", B, F.col("_t").isNotNull() & ~ok)])
+    ok = is_object("doc")
     r = _relations(parsed.where(ok), keys)
-    c, v = F.col, F.col("v")
-    km, lm = c("km"), c("lm")
-    has_km, has_lm = is_object(km), is_object(lm)
-    scope, learner, outcome, model = get(km, "scope"), get(km, "learner"), get(km, "learning_outcome"), get(km, "model")
-    obj_or_none = lambda x: is_object(x) | empty(x)
-    chosen = F.coalesce(text(get(km, "task_type")), F.lit(""))
-    tokens = F.filter(F.split(F.replace(chosen, F.lit("+"), F.lit(" ")), r"\s+"), lambda t: (t != "") & ~t.isin(TASK_TYPES))
-    core = F.coalesce(F.trim(text(get(model, "core"))), F.trim(text(model)))
-    unbound = F.array_sort(F.array_distinct(F.array_except("evidence_ids", "bound")))
-    beats_of = F.flatten(F.transform(F.filter(entries(get(c("doc"), "scenes")), is_object), lambda s: F.filter(entries(get(s, "beats")), is_object)))
-    n_transitions = F.size(entries(get(lm, "transitions")))
+    km = lambda *n: get("km", *n)
+    lm = lambda *n: get("lm", *n)
+    has_km, has_lm = is_object("km"), is_object("lm")
+    core = f"coalesce(trim({text(km('model', 'core'))}), trim({text(km('model'))}))"
+    unbound = "array_except(evidence_ids, bound)"
+    n_beats = f"size(flatten(transform({objects(get('doc', 'scenes'))}, s -> {objects(get('s', 'beats'))})))"
+    n_transitions = f"size({entries(lm('transitions'))})"
+    none_given = lambda names, of: " and ".join(empty(of(n)) for n in names)
     doc = r["document"]
-    out = [file_rules, findings(doc, keys, F.lit("/"), [
-        ("KM.MISSING", B, ~has_km), ("KM.SCOPE", B, has_km & obj_or_none(scope) & empty(get(scope, "exclude"))),
-        ("KM.SCARECROW", W, has_km & nonempty(get(learner, "misconception")) & empty(get(learner, "misconception_source"))),
-        ("KM.OUTCOME", B, has_km & obj_or_none(outcome) & ~reduce(lambda a, b: a | b, [nonempty(get(outcome, k)) for k in OUTCOMES])),
-        ("KM.EVIDENCE_UNBOUND", W, has_km & (F.size(unbound) > 0)),
-        ("KM.CLAIM_IS_MODEL", B, F.coalesce((F.trim(text(get(km, "target_claim"))) == core) & (core != ""), F.lit(False))),
-        ("LM.MISSING", B, ~has_lm), ("LM.NO_TRANSITION", B, has_lm & (n_transitions == 0)),
-        ("P5.BEAT_COUNT", B, has_lm & (n_transitions > 0) & (F.size(beats_of) > 0) & (F.size(beats_of) != n_transitions)),
-    ])]
-    pick = lambda names, of, cond: F.filter(F.array(*[F.when(cond(get(of, n)), F.lit(n)) for n in names]), lambda x: x.isNotNull())
-    out.append(_each(doc.where(has_km), keys, F.lit("knowledge_model"), "KM.REQUIRED", B, pick(KM_REQUIRED, km, empty)))
-    out.append(_each(doc.where(has_km), keys, F.lit("task_type"), "KM.TASK_TYPE", B, tokens))
-    out.append(_each(doc.where(has_lm), keys, F.lit("constraints"), "LM.CONSTRAINTS", B, pick(CONSTRAINTS, get(lm, "constraints"), lambda x: x.isNull())))
-
-    sc, sid = c("scene"), c("sid")
-    no_id = get(sc, "id").isNull()
-    out.append(findings(r["scene"], keys, sid, [
-        ("SCENE.ID_FIELD_MISSING", B, no_id), ("SCENE.ID_BAD_FORMAT", B, ~no_id & ~F.coalesce(text(get(sc, "id")).rlike(r"\Ascene-\d{2}\n?\z"), F.lit(False)))]))
-    out.append(findings(r["element"], keys, F.concat_ws("/", "sid", c("no").cast("string")), [
-        ("SCENE.ELEMENT_ID_FIELD_MISSING", B, get(v, "id").isNull()),
-        ("SCENE.ELEMENT_ID_BAD_FORMAT", B, get(v, "id").isNotNull() & ~F.coalesce(text(get(v, "id")).startswith("panel-"), F.lit(False))),
-        ("SCENE.ELEMENT_PHRASE_EMPTY", W, empty(get(v, "phrase")) & empty(get(v, "text")))]))
-
-    obj = is_object(v)
-    out.append(findings(r["evidence"], keys, F.format_string("evidence/%d", "no"), [
-        ("KM.EVIDENCE", B, ~obj), ("KM.EVIDENCE_SOURCE", B, obj & empty(get(v, "source"))),
-        ("KM.EVIDENCE_CONFIDENCE", B, obj & ~one_of(get(v, "confidence"), CONFIDENCE)),
-        ("KM.SIMPLIFICATION_UNDOC", W, obj & one_of(get(v, "confidence"), CONFIDENCE[2:]) & empty(get(v, "note")))]))
-    out.append(findings(r["relation"], keys, F.format_string("relations/%d", "no"), [
-        ("KM.RELATION", B, ~obj), ("KM.RELATION_TYPE", B, obj & empty(get(v, "type"))),
-        *[("KM.RELATION_DANGLING", B, obj & nonempty(get(v, end)) & ~F.array_contains("nodes", F.coalesce(text(get(v, end)), F.lit("")))) for end in ("from", "to")]]))
-
-    integer = lambda x: F.when(kind(x) == "BIGINT", F.try_variant_get(x, "$", "bigint"))
-    budget = integer(get(get(lm, "constraints"), "load_budget"))
-    start, end = get(v, "from_state"), get(v, "to_state")
-    out.append(findings(r["transition"], keys, F.format_string("transitions/%d", "no"), [
-        ("LM.TRANSITION", B, ~obj), ("LM.STATE_EMPTY", B, obj & (empty(start) | empty(end))),
-        ("LM.STATE_NO_CHANGE", B, obj & nonempty(start) & nonempty(end) & same(start, end)),
-        ("LM.OPERATION", B, obj & ~one_of(get(v, "cognitive_operation"), COGNITIVE)), ("LM.OBSTACLE", B, obj & ~one_of(get(v, "obstacle"), OBSTACLES)),
-        ("LM.SUCCESS_CONDITION", B, obj & empty(get(v, "success_condition"))),
-        ("LM.OVERLOAD", W, obj & F.coalesce(integer(get(v, "load")) > budget, F.lit(False))),
-        ("LM.ORDER_UNJUSTIFIED", W, obj & empty(get(lm, "ordering_rationale")))]))
-    chain = r["transition"].where(obj).select(*keys, "no", F.trim(text(end)).alias("leaves"), F.trim(text(start)).alias("enters"))
+    out = [
+        findings(parsed, keys, "'/'", [("IR.NO_SCRIPT", B, "_t is null"), ("IR.BAD_JSON", B, f"_t is not null and not {ok}")]),
+        findings(doc, keys, "'/'", [
+            ("KM.MISSING", B, f"not {has_km}"), ("KM.SCOPE", B, f"{has_km} and {object_or_none(km('scope'))} and {empty(km('scope', 'exclude'))}"),
+            ("KM.SCARECROW", W, f"{has_km} and {nonempty(km('learner', 'misconception'))} and {empty(km('learner', 'misconception_source'))}"),
+            ("KM.OUTCOME", B, f"{has_km} and {object_or_none(km('learning_outcome'))} and {none_given(OUTCOMES, lambda n: km('learning_outcome', n))}"),
+            ("KM.EVIDENCE_UNBOUND", W, f"{has_km} and size({unbound}) > 0"),
+            ("KM.CLAIM_IS_MODEL", B, f"coalesce(trim({text(km('target_claim'))}) = {core} and {core} <> '', false)"),
+            ("LM.MISSING", B, f"not {has_lm}"), ("LM.NO_TRANSITION", B, f"{has_lm} and {n_transitions} = 0"),
+            ("P5.BEAT_COUNT", B, f"{has_lm} and {n_transitions} > 0 and {n_beats} > 0 and {n_beats} <> {n_transitions}")]),
+    ]
+    pick = lambda names, of, cond: "filter(array(" + ", ".join(f"case when {cond(of(n))} then '{n}' end" for n in names) + "), x -> x is not null)"
+    bad_tokens = f"filter(split(replace(coalesce({text(km('task_type'))}, ''), '+', ' '), '[ ]+'), t -> t <> '' and t not in ({', '.join(map(repr, TASK_TYPES))}))"
+    out.append(_each(doc.where(has_km), keys, "'knowledge_model'", "KM.REQUIRED", B, pick(KM_REQUIRED, km, empty)))
+    out.append(_each(doc.where(has_km), keys, "'task_type'", "KM.TASK_TYPE", B, bad_tokens))
+    out.append(_each(doc.where(has_lm), keys, "'constraints'", "LM.CONSTRAINTS", B, pick(CONSTRAINTS, lambda n: lm("constraints", n), lambda x: f"{x} is null")))
+
+    sid = get("scene", "id")
+    out.append(findings(r["scene"], keys, "sid", [
+        ("SCENE.ID_FIELD_MISSING", B, f"{sid} is null"), ("SCENE.ID_BAD_FORMAT", B, f"{sid} is not null and not coalesce({text(sid)} rlike '^scene-[0-9]{{2}}$', false)")]))
+    m = lambda *n: get("v", *n)
+    out.append(findings(r["element"], keys, "concat_ws('/', sid, no)", [
+        ("SCENE.ELEMENT_ID_FIELD_MISSING", B, f"{m('id')} is null"),
+        ("SCENE.ELEMENT_ID_BAD_FORMAT", B, f"{m('id')} is not null and not coalesce(startswith({text(m('id'))}, 'panel-'), false)"),
+        ("SCENE.ELEMENT_PHRASE_EMPTY", W, f"{empty(m('phrase'))} and {empty(m('text'))}")]))
+
+    obj = is_object("v")
+    out.append(findings(r["evidence"], keys, "format_string('evidence/%d', no)", [
+        ("KM.EVIDENCE", B, f"not {obj}"), ("KM.EVIDENCE_SOURCE", B, f"{obj} and {empty(m('source'))}"),
+        ("KM.EVIDENCE_CONFIDENCE", B, f"{obj} and not {one_of(m('confidence'), CONFIDENCE)}"),
+        ("KM.SIMPLIFICATION_UNDOC", W, f"{obj} and {one_of(m('confidence'), CONFIDENCE[2:])} and {empty(m('note'))}")]))
+    out.append(findings(r["relation"], keys, "format_string('relations/%d', no)", [
+        ("KM.RELATION", B, f"not {obj}"), ("KM.RELATION_TYPE", B, f"{obj} and {empty(m('type'))}"),
+        *[("KM.RELATION_DANGLING", B, f"{obj} and {nonempty(m(e))} and not array_contains(nodes, coalesce({text(m(e))}, ''))") for e in ("from", "to")]]))
+
+    integer = lambda x: f"case when {kind(x)} = 'BIGINT' then try_variant_get({x}, '$', 'bigint') end"
+    start, end = m("from_state"), m("to_state")
+    out.append(findings(r["transition"], keys, "format_string('transitions/%d', no)", [
+        ("LM.TRANSITION", B, f"not {obj}"), ("LM.STATE_EMPTY", B, f"{obj} and ({empty(start)} or {empty(end)})"),
+        ("LM.STATE_NO_CHANGE", B, f"{obj} and {nonempty(start)} and {nonempty(end)} and {same(start, end)}"),
+        ("LM.OPERATION", B, f"{obj} and not {one_of(m('cognitive_operation'), COGNITIVE)}"), ("LM.OBSTACLE", B, f"{obj} and not {one_of(m('obstacle'), OBSTACLES)}"),
+        ("LM.SUCCESS_CONDITION", B, f"{obj} and {empty(m('success_condition'))}"),
+        ("LM.OVERLOAD", W, f"{obj} and coalesce({integer(m('load'))} > {integer(lm('constraints', 'load_budget'))}, false)"),
+        ("LM.ORDER_UNJUSTIFIED", W, f"{obj} and {empty(lm('ordering_rationale'))}")]))
+    chain = r["transition"].where(obj).selectExpr(*keys, "no", f"trim({text(end)}) as leaves", f"trim({text(start)}) as enters")
     chain = chain.withColumn("next", F.lead("enters").over(Window.partitionBy(*keys).orderBy("no")))
-    out.append(findings(chain, keys, F.format_string("transitions/%d", "no"), [("LM.CHAIN_BROKEN", B, F.coalesce((c("leaves") != "") & (c("next") != "") & (c("leaves") != c("next")), F.lit(False)))]))
-
-    b, bid = c("beat"), c("bid")
-    goal, narrative, alloc = get(b, "expression_goal"), get(b, "narrative"), get(b, "channel_allocation")
-    before, after = get(b, "state_before"), get(b, "state_after")
-    no_spans = empty(get(narrative, "spans"))
-    members = F.map_keys(F.coalesce(F.try_variant_get(alloc, "$", "map<string,variant>"), F.expr("map()").cast("map<string,variant>")))
-    out.append(findings(r["beat"], keys, bid, [
-        ("EP.STATE_EMPTY", B, empty(before) | empty(after)), ("EP.STATE_NO_CHANGE", B, nonempty(before) & nonempty(after) & same(before, after)),
-        ("EP.OPERATION", B, given_but_not(get(b, "cognitive_operation"), COGNITIVE)), ("EP.OBSTACLE", B, given_but_not(get(b, "obstacle"), OBSTACLES)),
-        ("EP.NARRATION_GOAL", B, empty(get(b, "narration_goal"))), ("EP.VISUAL_GOAL", B, empty(get(b, "visual_goal"))),
-        ("EP.ATTENTION", B, obj_or_none(goal) & empty(get(goal, "attention_target"))),
-        ("EP.NARRATIVE_FUNCTION", B, obj_or_none(narrative) & ~one_of(get(narrative, "function"), NARRATIVE)), ("EP.NARRATIVE_SPANS", B, obj_or_none(narrative) & no_spans),
-        ("EP.VISUAL_OPERATION", B, given_but_not(get(b, "visual_operation"), VISUAL)), ("EP.NO_REVEAL", B, F.size(entries(get(b, "reveal"))) == 0),
-        ("EP.CHANNEL_EMPTY", B, obj_or_none(alloc) & ~reduce(lambda x, y: x | y, [nonempty(get(alloc, k)) for k in CHANNELS])),
-        ("EP.ORPHAN_BEAT", B, ~F.array_contains("refs", c("bid")))]))
-    out.append(_each(r["beat"].where(is_object(alloc)), keys, bid, "EP.CHANNEL", B, F.filter(members, lambda k: ~k.isin(CHANNELS))))
-    dangling = F.when(F.size("evidence_ids") > 0, F.filter(texts(get(b, "evidence_refs")), lambda x: ~F.array_contains("evidence_ids", x)))
-    out.append(_each(r["beat"], keys, bid, "EP.EVIDENCE_DANGLING", B, F.coalesce(dangling, F.array().cast("array<string>"))))
-
-    op, bound = get(v, "op"), get(v, "bound_span")
-    unbound_span = bound.isNull() | (kind(bound) == "VOID")
-    number = F.coalesce(F.when(kind(bound) == "BOOLEAN", F.try_variant_get(bound, "$", "int").cast("bigint")), F.try_variant_get(bound, "$", "double").cast("bigint"), text(bound).try_cast("bigint"))
-    n = F.size("spans")
-    out.append(findings(r["reveal"], keys, F.concat_ws("/", "bid", c("no").cast("string")), [
-        ("EP.REVEAL_SHAPE", B, ~obj), ("EP.REVEAL_OP", B, obj & ~one_of(op, REVEAL)), ("ISA.UNSUPPORTED_OP", B, obj & one_of(op, UNSUPPORTED)),
-        ("EP.REVEAL_TARGET", B, obj & empty(get(v, "target"))), ("EP.REVEAL_UNBOUND", B, obj & unbound_span),
-        ("EP.NARRATIVE_SPANS", B, obj & ~unbound_span & (n == 0)),
-        ("EP.SPAN_INDEX", B, obj & ~unbound_span & (n > 0) & (number.isNull() | (number < 0) | (number >= n))),
-        ("EP.HANDKEYED_TIME", W, obj & nonempty(get(v, "at_ms")))]))
-    out.append(findings(r["part"], keys, F.concat_ws("/", "bid", c("no").cast("string")), [
-        ("EP.ELEMENT_SHAPE", B, ~obj), ("P6.ELEMENT_NO_ROLE", B, obj & (empty(get(v, "semantic_role")) | empty(get(v, "cognitive_function")))),
-        ("P6.ORNAMENT", W, obj & empty(get(v, "used_by"))), ("EP.INTRODUCED_AT", W, obj & empty(get(v, "introduced_at")))]))
+    out.append(findings(chain, keys, "format_string('transitions/%d', no)", [("LM.CHAIN_BROKEN", B, "coalesce(leaves <> '' and next <> '' and leaves <> next, false)")]))
+
+    b = lambda *n: get("beat", *n)
+    before, after = b("state_before"), b("state_after")
+    out.append(findings(r["beat"], keys, "bid", [
+        ("EP.STATE_EMPTY", B, f"{empty(before)} or {empty(after)}"), ("EP.STATE_NO_CHANGE", B, f"{nonempty(before)} and {nonempty(after)} and {same(before, after)}"),
+        ("EP.OPERATION", B, given_but_not(b("cognitive_operation"), COGNITIVE)), ("EP.OBSTACLE", B, given_but_not(b("obstacle"), OBSTACLES)),
+        ("EP.NARRATION_GOAL", B, empty(b("narration_goal"))), ("EP.VISUAL_GOAL", B, empty(b("visual_goal"))),
+        ("EP.ATTENTION", B, f"{object_or_none(b('expression_goal'))} and {empty(b('expression_goal', 'attention_target'))}"),
+        ("EP.NARRATIVE_FUNCTION", B, f"{object_or_none(b('narrative'))} and not {one_of(b('narrative', 'function'), NARRATIVE)}"),
+        ("EP.NARRATIVE_SPANS", B, f"{object_or_none(b('narrative'))} and {empty(b('narrative', 'spans'))}"),
+        ("EP.VISUAL_OPERATION", B, given_but_not(b("visual_operation"), VISUAL)), ("EP.NO_REVEAL", B, f"size({entries(b('reveal'))}) = 0"),
+        ("EP.CHANNEL_EMPTY", B, f"{object_or_none(b('channel_allocation'))} and {none_given(CHANNELS, lambda n: b('channel_allocation', n))}"),
+        ("EP.ORPHAN_BEAT", B, "not array_contains(refs, bid)")]))
+    alloc = b("channel_allocation")
+    members = f"map_keys(coalesce(try_variant_get({alloc}, '$', 'map<string,variant>'), cast(map() as map<string,variant>)))"
+    out.append(_each(r["beat"].where(is_object(alloc)), keys, "bid", "EP.CHANNEL", B, f"filter({members}, k -> k not in ({', '.join(map(repr, CHANNELS))}))"))
+    out.append(_each(r["beat"].where("size(evidence_ids) > 0"), keys, "bid", "EP.EVIDENCE_DANGLING", B, f"filter({texts(b('evidence_refs'))}, x -> not array_contains(evidence_ids, x))"))
+
+    bound = m("bound_span")
+    unset = f"coalesce({kind(bound)} = 'VOID', true)"
+    number = f"coalesce(try_variant_get({bound}, '$', 'bigint'), cast(try_variant_get({bound}, '$', 'double') as bigint), try_cast({text(bound)} as bigint))"
+    out.append(findings(r["reveal"], keys, "concat_ws('/', bid, no)", [
+        ("EP.REVEAL_SHAPE", B, f"not {obj}"), ("EP.REVEAL_OP", B, f"{obj} and not {one_of(m('op'), REVEAL)}"), ("ISA.UNSUPPORTED_OP", B, f"{obj} and {one_of(m('op'), UNSUPPORTED)}"),
+        ("EP.REVEAL_TARGET", B, f"{obj} and {empty(m('target'))}"), ("EP.REVEAL_UNBOUND", B, f"{obj} and {unset}"),
+        ("EP.NARRATIVE_SPANS", B, f"{obj} and not {unset} and n_spans = 0"),
+        ("EP.SPAN_INDEX", B, f"{obj} and not {unset} and n_spans > 0 and not coalesce({number} between 0 and n_spans - 1, false)"),
+        ("EP.HANDKEYED_TIME", W, f"{obj} and {nonempty(m('at_ms'))}")]))
+    out.append(findings(r["part"], keys, "concat_ws('/', bid, no)", [
+        ("EP.ELEMENT_SHAPE", B, f"not {obj}"), ("P6.ELEMENT_NO_ROLE", B, f"{obj} and ({empty(m('semantic_role'))} or {empty(m('cognitive_function'))})"),
+        ("P6.ORNAMENT", W, f"{obj} and {empty(m('used_by'))}"), ("EP.INTRODUCED_AT", W, f"{obj} and {empty(m('introduced_at'))}")]))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -228,5 +232,4 @@ def panel_findings(panels: DataFrame, elements: DataFrame, keys: list[str]) -> D
     """Scenes whose layout has another number of panels than elements, or one or more than four panels."""
     p, e = panels.groupBy(*keys).agg(F.count("*").alias("n_panels")), elements.groupBy(*keys).agg(F.count("*").alias("n_elements"))
     both = p.join(e, keys, "left").fillna(0, ["n_elements"])
-    return findings(both, keys, F.lit("/"), [("BOARD.PANEL_ELEMENT_MISMATCH", B, F.col("n_panels") != F.col("n_elements")),
-                                             ("BOARD.PANEL_COUNT", W, (F.col("n_panels") > 4) | (F.col("n_panels") < 2))])
+    return findings(both, keys, "'/'", [("BOARD.PANEL_ELEMENT_MISMATCH", B, "n_panels <> n_elements"), ("BOARD.PANEL_COUNT", W, "n_panels > 4 or n_panels < 2")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, intervals, nested
+from ..shared import spread
 from ..sources import load
 
 SCRIPT_KINDS = {
@@ -26,11 +27,11 @@ def script_levels(schema: DataFrame) -> list[str]:
 
 
 def p1_schema(spark: SparkSession, d: str) -> DataFrame:
-    return nested.merged_schema(load(spark, d, "scripts", "body"), "body")
+    return nested.merged_schema(spread(load(spark, d, "scripts", "body")), "body")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    scripts = load(spark, d, "scripts", "script_id", "body")
+    scripts = spread(load(spark, d, "scripts", "script_id", "body"))
     levels = [p for p in script_levels(nested.merged_schema(scripts, "body")) if p in SCRIPT_KINDS]
     flat = nested.flatten(scripts, ["script_id"], "body", levels, BEAT_REFS, values=False)
     kind = F.create_map(*[F.lit(x) for kv in SCRIPT_KINDS.items() for x in kv])[F.col("level")]
@@ -45,7 +46,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p1_table(level: str, prefix: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        scripts = load(spark, d, "scripts", "script_id", "body")
+        scripts = spread(load(spark, d, "scripts", "script_id", "body"))
         schema = nested.merged_schema(scripts, "body")
         flat = nested.flatten(scripts, ["script_id"], "body", [p for p in SCRIPT_KINDS if level.startswith(p)], BEAT_REFS)
         return nested.child_table(flat, schema, level, prefix).drop("level")
