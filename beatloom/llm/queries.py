@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import materialise, spread
 from ..sources import load
 from . import chunks, mixing, sentences, spans, tokens, unify
 
@@ -50,26 +50,26 @@ def p3_skeletons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    scenes = load(spark, d, "scenes", "scene_key", "narration", "lang")
+    scenes = spread(load(spark, d, "scenes", "scene_key", "narration", "lang"))
     return sentences.sentence_ends(scenes, ["scene_key"], "narration", "lang").select("scene_key", "end_char")
 
 
 def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentence units themselves, in order."""
-    scenes = load(spark, d, "scenes", "scene_key", "narration", "lang")
+    scenes = spread(load(spark, d, "scenes", "scene_key", "narration", "lang"))
     cut = sentences.sentence_ends(scenes, ["scene_key", "narration"], "narration", "lang")
     piece = F.substring("narration", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
     return cut.select("scene_key", "sentence_no", "start_char", "end_char", piece.alias("sentence"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_ids(load(spark, d, "documents", "doc_id", "text"), ["doc_id"], "text")
+    return tokens.token_ids(spread(load(spark, d, "documents", "doc_id", "text")), ["doc_id"], "text")
 
 
 def _sized(spark: SparkSession, d: str, weights: bool) -> DataFrame:
     """Sizes in tokens of the documents of target sources."""
     targets = load(spark, d, "mix_targets", "source")
-    docs = load(spark, d, "documents", "doc_id", "source", "text").join(targets, "source", "left_semi")
+    docs = spread(load(spark, d, "documents", "doc_id", "source", "text")).join(targets, "source", "left_semi")
     keys = ["doc_id", "source"]
     if weights:
         docs, keys = docs.withColumn("weight", mixing.quality(F.col("text"))), [*keys, "weight"]
