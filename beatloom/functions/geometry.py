@@ -42,7 +42,7 @@ def centre(r: Column, w: Column, h: Column) -> Column:
 
 
 def hex_to_bgr(colour: Column) -> Column:
-    part = lambda i: F.conv(F.substring(F.ltrim(F.lit("#"), colour), i, 2), 16, 10).cast("int")
+    part = lambda i: F.conv(F.substring(F.ltrim(colour, F.lit("#")), i, 2), 16, 10).cast("int")
     return F.array(part(5), part(3), part(1))
 
 

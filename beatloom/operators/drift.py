@@ -83,24 +83,25 @@ def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: s
     where the raw type differs.  The first file of a group has no changes, nor
     have repeated files.  Files with a null group value form groups of their own.
     """
-    narrow = df.select(*dict.fromkeys([key, *group, *order, body]))
-    loaded = path_values(narrow, body).where("members is not null").drop(body)
-    pairs = previous_row(loaded, group, order, F.col("members"), "before").where("before is not null")
+    groups, orders = [f"_g{i}" for i in range(len(group))], [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(F.col(key).alias("_key"), F.col(body).alias("_body"), *[F.col(c).alias(a) for c, a in zip([*group, *order], [*groups, *orders], strict=True)])
+    loaded = path_values(narrow, "_body").where("members is not null").drop("_body")
+    pairs = previous_row(loaded, groups, orders, F.col("members"), "before").where("before is not null")
     top = lambda ms: F.filter(ms, lambda m: m["inner"].isNull())
     objects = lambda ms: F.transform(F.filter(top(ms), lambda m: m["type"] == "object"), lambda m: m["outer"])
     pairs = pairs.withColumn("both", F.array_intersect(objects("members"), objects("before")))
     counted = lambda ms: F.filter(ms, lambda m: m["inner"].isNull() | F.array_contains("both", m["outer"]))
-    pairs = pairs.select(key, counted("members").alias("now"), counted("before").alias("was"))
+    pairs = pairs.select("_key", counted("members").alias("now"), counted("before").alias("was"))
     # what differs in name or type, by hashing; the loops below see only that
     ident = lambda m: F.to_json(F.struct(m["outer"], m["inner"], m["type"]))
     idents = lambda ms: F.transform(ms, ident)
     pairs = (pairs.withColumn("d", F.array_except(idents("now"), idents("was")))
              .withColumn("e", F.array_except(idents("was"), idents("now")))
              .where((F.size("d") > 0) | (F.size("e") > 0))
-             .select(key, F.filter("now", lambda m: F.array_contains("d", ident(m))).alias("now"),
+             .select("_key", F.filter("now", lambda m: F.array_contains("d", ident(m))).alias("now"),
                      F.filter("was", lambda m: F.array_contains("e", ident(m))).alias("was")))
     same = lambda m, w: m["outer"].eqNullSafe(w["outer"]) & m["inner"].eqNullSafe(w["inner"])
-    pairs = pairs.select(key, F.filter("now", lambda m: F.exists("was", lambda w: same(m, w))).alias("retyped"),
+    pairs = pairs.select("_key", F.filter("now", lambda m: F.exists("was", lambda w: same(m, w))).alias("retyped"),
                          F.filter("now", lambda m: ~F.exists("was", lambda w: same(m, w))).alias("fresh"),
                          F.filter("was", lambda m: ~F.exists("now", lambda w: same(m, w))).alias("gone"))
     level = lambda m: F.when(m["inner"].isNotNull(), m["outer"])
@@ -108,7 +109,7 @@ def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: s
     nth = lambda ms: F.transform(ms, lambda m, i: F.struct(
         m["outer"].alias("outer"), m["inner"].alias("inner"), m["value"].alias("value"),
         F.size(F.filter(F.slice(ms, 1, i), lambda w: like(m, w))).alias("nth")))
-    pairs = pairs.select(key, "retyped", nth(F.col("fresh")).alias("fresh"), nth(F.col("gone")).alias("gone"))
+    pairs = pairs.select("_key", "retyped", nth(F.col("fresh")).alias("fresh"), nth(F.col("gone")).alias("gone"))
     matched = lambda m, ws: F.exists(ws, lambda w: like(m, w) & (m["nth"] == w["nth"]))
     said = lambda ms, what: F.transform(ms, lambda m: F.struct(
         _field(m).alias("field_name"), F.lit(what).alias("change_kind")))
@@ -116,7 +117,7 @@ def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: s
                      said(F.filter("fresh", lambda m: ~matched(m, F.col("gone"))), "added"),
                      said(F.filter("gone", lambda m: ~matched(m, F.col("fresh"))), "removed"),
                      said(F.col("retyped"), "retyped"))
-    return pairs.select(key, F.explode(found).alias("c")).select(key, "c.field_name", "c.change_kind")
+    return pairs.select("_key", F.explode(found).alias("c")).select(F.col("_key").alias(key), "c.field_name", "c.change_kind")
 
 
 def typed_table(loaded: DataFrame, keys: list[str], fields: dict[str, tuple[list[str], str]]) -> DataFrame:

@@ -28,9 +28,9 @@ def _pieces(df: DataFrame, keys: list[str], start: str, end: str, width: int) ->
              .otherwise(F.array(head, bridge, tail)))
     valid = df.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     valid = valid.where(s.isNotNull() & e.isNotNull() & (e > s))
-    return (valid.select(*keys, F.explode(parts).alias("p"))
-            .groupBy(*keys, F.col("p.shard").alias("_shard"), F.col("p.s").alias("_s"))
-            .agg(F.max("p.e").alias("_e")))
+    return (valid.select(*keys, F.explode(parts).alias("_p"))
+            .groupBy(*keys, F.col("_p.shard").alias("_shard"), F.col("_p.s").alias("_s"))
+            .agg(F.max("_p.e").alias("_e")))
 
 
 def _stitched(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int, width: int) -> DataFrame:
@@ -46,11 +46,11 @@ def _stitched(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int
     opened = F.when(reach.isNull() | (F.col("_s") - reach >= min_gap), 1).otherwise(0)
     islands = (_pieces(df, keys, start, end, width)
                .withColumn("_open", opened).withColumn("_island", F.sum("_open").over(upto))
-               .groupBy(*keys, "_shard", "_island").agg(F.min("_s").alias("s"), F.max("_e").alias("e"))
-               .groupBy(*keys, "_shard").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("islands")))
-    reach_of = F.array_max(F.transform("islands", lambda i: i["e"]))
+               .groupBy(*keys, "_shard", "_island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+               .groupBy(*keys, "_shard").agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")))).alias("_islands")))
+    reach_of = F.array_max(F.transform("_islands", lambda i: i["e"]))
     earlier = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    return islands.withColumn("carry", F.max(reach_of).over(earlier))
+    return islands.withColumn("_carry", F.max(reach_of).over(earlier))
 
 
 def _with_previous_end() -> Column:
@@ -59,7 +59,7 @@ def _with_previous_end() -> Column:
         F.concat(acc["out"], F.array(F.struct(acc["reach"].alias("prev"), i["s"].alias("s"), i["e"].alias("e")))).alias("out"),
         F.greatest(acc["reach"], i["e"]).alias("reach"))
     empty = F.array().cast("array<struct<prev:bigint,s:bigint,e:bigint>>")
-    return F.aggregate("islands", F.struct(empty.alias("out"), F.col("carry").alias("reach")), step, lambda acc: acc["out"])
+    return F.aggregate("_islands", F.struct(empty.alias("out"), F.col("_carry").alias("reach")), step, lambda acc: acc["out"])
 
 
 def gaps(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int = 1, width: int = 600_000) -> DataFrame:
@@ -71,10 +71,10 @@ def gaps(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int = 1,
     entity of their own; filter them before if they mean nothing.  Other
     columns are ignored, an empty frame gives an empty frame.
     """
-    i = F.explode(_with_previous_end()).alias("i")
+    i = F.explode(_with_previous_end()).alias("_i")
     return (_stitched(df, keys, start, end, min_gap, width).select(*keys, i)
-            .where(F.col("i.s") - F.col("i.prev") >= min_gap)
-            .select(*keys, F.col("i.prev").alias("gap_start"), F.col("i.s").alias("gap_end")))
+            .where(F.col("_i.s") - F.col("_i.prev") >= min_gap)
+            .select(*keys, F.col("_i.prev").alias("gap_start"), F.col("_i.s").alias("gap_end")))
 
 
 def periods(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int = 1, width: int = 600_000) -> DataFrame:
@@ -84,17 +84,17 @@ def periods(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int =
     next period's start, found in its own shard or in the first later shard
     that opens one.
     """
-    shards = _stitched(df, keys, start, end, min_gap, width).withColumn("all", _with_previous_end())
-    shards = shards.withColumn("starts", F.filter(
-        "all", lambda i: i["prev"].isNull() | (i["s"] - i["prev"] >= min_gap)))
+    shards = _stitched(df, keys, start, end, min_gap, width).withColumn("_all", _with_previous_end())
+    shards = shards.withColumn("_starts", F.filter(
+        "_all", lambda i: i["prev"].isNull() | (i["s"] - i["prev"] >= min_gap)))
     later = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy(*keys)
-    reach = F.array_max(F.transform("all", lambda i: F.greatest(i["e"], i["prev"])))
-    first_end = F.when(F.size("starts") > 0, F.col("starts")[0]["prev"])
-    shards = (shards.withColumn("next_end", F.first(first_end, ignorenulls=True).over(later))
-              .withColumn("total", F.max(reach).over(whole)))
-    ends = F.concat(F.transform(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), lambda i: i["prev"]),
-                    F.array(F.coalesce("next_end", "total")))
-    return (shards.where(F.size("starts") > 0)
-            .select(*keys, F.explode(F.arrays_zip(F.transform("starts", lambda i: i["s"]).alias("s"), ends.alias("e"))).alias("p"))
-            .select(*keys, F.col("p.s").alias("period_start"), F.col("p.e").alias("period_end")))
+    reach = F.array_max(F.transform("_all", lambda i: F.greatest(i["e"], i["prev"])))
+    first_end = F.when(F.size("_starts") > 0, F.col("_starts")[0]["prev"])
+    shards = (shards.withColumn("_next_end", F.first(first_end, ignorenulls=True).over(later))
+              .withColumn("_total", F.max(reach).over(whole)))
+    ends = F.concat(F.transform(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), lambda i: i["prev"]),
+                    F.array(F.coalesce("_next_end", "_total")))
+    return (shards.where(F.size("_starts") > 0)
+            .select(*keys, F.explode(F.arrays_zip(F.transform("_starts", lambda i: i["s"]).alias("s"), ends.alias("e"))).alias("_p"))
+            .select(*keys, F.col("_p.s").alias("period_start"), F.col("_p.e").alias("period_end")))

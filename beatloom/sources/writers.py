@@ -33,9 +33,9 @@ def ass(lines: DataFrame, key: str, order: list[str], style: str = "Default") ->
     """(key, text): karaoke events from words with ``line_no``, ``gap_cs``, ``k_cs``."""
     word = F.concat(F.when(F.col("gap_cs") > 0, F.format_string("{\\k%d}", "gap_cs")).otherwise(""), F.format_string("{\\k%d}", "k_cs"), "text")
     ws = lines.withColumn("_w", word).groupBy(key, *[o for o in order if o == "scene_index"], "line_no").agg(
-        F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[o for o in order if o != "scene_index"], "_w"))), lambda x: x["_w"]), "").alias("t"))
-    event = F.concat(F.lit("Dialogue: 0,"), T.ms_to_ass(F.col("s")), F.lit(","), T.ms_to_ass(F.col("e")), F.lit(f",{style},,0,0,0,,"), "t")
-    body = _joined(ws, key, ["s", "e", "t"], event, "\n")
+        F.min("start_ms").alias("_s"), F.max("end_ms").alias("_e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[o for o in order if o != "scene_index"], "_w"))), lambda x: x["_w"]), "").alias("_t"))
+    event = F.concat(F.lit("Dialogue: 0,"), T.ms_to_ass(F.col("_s")), F.lit(","), T.ms_to_ass(F.col("_e")), F.lit(f",{style},,0,0,0,,"), "_t")
+    body = _joined(ws, key, ["_s", "_e", "_t"], event, "\n")
     return body.select(key, F.concat(F.lit(ASS_HEADER + "\n"), "text").alias("text"))
 
 
