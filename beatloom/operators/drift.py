@@ -85,8 +85,8 @@ def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: s
     """
     groups, orders = [f"_g{i}" for i in range(len(group))], [f"_o{i}" for i in range(len(order))]
     narrow = df.select(F.col(key).alias("_key"), F.col(body).alias("_body"), *[F.col(c).alias(a) for c, a in zip([*group, *order], [*groups, *orders], strict=True)])
-    loaded = path_values(narrow, "_body").where("members is not null").drop("_body")
-    pairs = previous_row(loaded, groups, orders, F.col("members"), "before").where("before is not null")
+    load = lambda rows: path_values(rows, "_body").where("members is not null").drop("_body")
+    pairs = previous_row(narrow, groups, orders, F.col("members"), "before", load).where("before is not null")
     top = lambda ms: F.filter(ms, lambda m: m["inner"].isNull())
     objects = lambda ms: F.transform(F.filter(top(ms), lambda m: m["type"] == "object"), lambda m: m["outer"])
     pairs = pairs.withColumn("both", F.array_intersect(objects("members"), objects("before")))

@@ -8,6 +8,8 @@ carries state across the shard borders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +18,18 @@ from ..shared import materialise
 SHARD = "_shard"
 
 
-def range_shards(df: DataFrame, keys: list[str], order: list[str], name: str = "shards") -> DataFrame:
+def range_shards(df: DataFrame, keys: list[str], order: list[str], name: str = "shards",
+                 prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``df`` range-partitioned on keys and order, with the partition's number in ``_shard``.
 
     Written to the shared folder: both later passes see the same borders.
     Rows with equal (keys, order) stay in one shard, so ``order`` should end in
-    a unique column.
+    a unique column.  ``prepare`` is narrow work on the rows, done after the
+    borders are drawn (drawing them reads the rows once more) and before they
+    are written; it must keep keys, order and ``_shard``.
     """
     cols = [F.col(c) for c in [*keys, *order]]
-    return materialise(df.repartitionByRange(*cols).withColumn(SHARD, F.spark_partition_id()), name)
+    return materialise(prepare(df.repartitionByRange(*cols).withColumn(SHARD, F.spark_partition_id())), name)
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
@@ -52,12 +57,16 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out
             .withColumn(out, F.col("_local") + F.col("_carry")).select(*df.columns, out))
 
 
-def previous_row(df: DataFrame, keys: list[str], order: list[str], payload: Column, out: str) -> DataFrame:
+def previous_row(df: DataFrame, keys: list[str], order: list[str], payload: Column, out: str,
+                 prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add ``out``, ``payload`` of the row before in the key's order, null for the first.
 
     Only the last row of each (key, shard) passes through the second level.
+    ``prepare`` is applied to the rows first (see :func:`range_shards`).
     """
-    shards = range_shards(df, keys, order, "previous-row").withColumn("_payload", F.struct(payload.alias("v")))
+    shards = range_shards(df, keys, order, "previous-row", prepare)
+    kept = [c for c in shards.columns if c != SHARD]
+    shards = shards.withColumn("_payload", F.struct(payload.alias("v")))
     last = shards.groupBy(*keys, SHARD).agg(F.max_by("_payload", F.struct(*order)).alias("_last"))
     across = Window.partitionBy(*keys).orderBy(SHARD)
     carry = last.select(*[F.col(c).alias("_k_" + c) for c in [*keys, SHARD]],
@@ -65,4 +74,4 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], payload: Colu
     local = Window.partitionBy(*keys, SHARD).orderBy(*order)
     inside = shards.withColumn("_prev", F.lag("_payload").over(local))
     return (inside.join(carry, _same(inside, carry, [*keys, SHARD]), "left")
-            .withColumn(out, F.coalesce("_prev", "_carry")["v"]).select(*df.columns, out))
+            .withColumn(out, F.coalesce("_prev", "_carry")["v"]).select(*kept, out))
