@@ -96,3 +96,9 @@ def contract(required: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """Palette values (``colours``, a map) that a theme's text does not name, upper and lower case alike."""
     values = required.select(key, F.explode(F.map_values("colours")).alias("value"))
     return values.join(texts.select(key, F.upper("text").alias("_t")), key, "left").where(~F.coalesce(F.contains(F.col("_t"), F.upper("value")), F.lit(False))).select(key, "value")
+
+
+def merged(layers: DataFrame, key: str, priority: str, settings: str) -> DataFrame:
+    """(key, name, value): of each setting the value of the first layer that has one, by ``priority``; nulls and empty texts are no value."""
+    rows = layers.select(key, priority, F.explode(settings).alias("name", "value")).where("value is not null and value <> ''")
+    return rows.groupBy(key, "name").agg(F.min_by("value", priority).alias("value"))

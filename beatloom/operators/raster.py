@@ -142,3 +142,28 @@ def text_lines(parts: DataFrame, image: str, width: int, height: int) -> DataFra
     mean_h = F.aggregate(heights, F.lit(0.0), lambda s, v: s + v) / F.size("l")
     even = (mean_h <= height * TEXT_HEIGHT) & (variation(heights) <= TEXT_HEIGHT_CV) & (variation(gaps) <= TEXT_GAP_CV)
     return lines.where(even).select(image, "line_no", F.size("l").alias("n_parts"))
+
+
+def ghost(frames: DataFrame, background: DataFrame, image: str, channels: list[str], y: str, rows: tuple[int, int] = (502, 930)) -> DataFrame:
+    """(image, ``deviation``, ``is_ghost``): mean distance of a band of rows from the background after a cut."""
+    b = background.select(image, *[F.col(c).alias("_b" + c) for c in channels])
+    far = sum((F.abs(F.col(c) - F.col("_b" + c)) for c in channels), F.lit(0.0)) / len(channels)
+    band = frames.where((F.col(y) >= rows[0]) & (F.col(y) < rows[1])).join(b, image)
+    return band.groupBy(image).agg(F.avg(far).alias("deviation")).withColumn("is_ghost", F.col("deviation") >= GHOST)
+
+
+def new_ink(before: DataFrame, after: DataFrame, image: str, x: str, y: str, reach: int = 3) -> DataFrame:
+    """Inked pixels of ``after`` with no ink of ``before`` within ``reach`` pixels on both axes.
+
+    The old ink is spread to its neighbours - a fixed number - and anti-joined,
+    an equi-join on the pixel.
+    """
+    at = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    wide = before.select(image, x, y, at.alias("_dx")).select(image, x, y, "_dx", at.alias("_dy"))
+    covered = wide.select(image, (F.col(x) + F.col("_dx")).alias(x), (F.col(y) + F.col("_dy")).alias(y)).distinct()
+    return after.join(covered, [image, x, y], "left_anti")
+
+
+def keyed(r: Column, g: Column, b: Column) -> Column:
+    """Whether a pixel is the magenta of a keyed background: red and blue well above green."""
+    return (F.least(r, b) - g > 60) & (F.abs(r - b) < 80)

@@ -224,3 +224,30 @@ def arc_lengths(points: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
     return points.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn("arc", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+
+
+def frame_states(tasks: DataFrame, key: str, fps: int = 30) -> DataFrame:
+    """What is going on at each frame: key, ``frame_no``, ``kind``, ``progress`` (0 to 1 of the task).
+
+    Every task lists the frames it covers, so no range join is needed; where
+    tasks overlap, the one that began last is shown.  Frames without a task do
+    not appear; empty and reversed tasks cover none.
+    """
+    first = F.ceil(F.col("start_ms") * fps / 1000).cast("bigint")
+    last = (F.ceil(F.col("end_ms") * fps / 1000) - 1).cast("bigint")
+    rows = tasks.where(F.col("end_ms") > F.col("start_ms")).select(key, "kind", "start_ms", "end_ms", F.explode(F.when(last >= first, F.sequence(first, last))).alias("frame_no"))
+    shown = rows.groupBy(key, "frame_no").agg(F.max(F.struct("start_ms", "end_ms", "kind")).alias("_t"))
+    progress = (F.col("frame_no") * 1000 / fps - F.col("_t.start_ms")) / (F.col("_t.end_ms") - F.col("_t.start_ms"))
+    return shown.select(key, "frame_no", F.col("_t.kind").alias("kind"), progress.alias("progress"))
+
+
+def label_reveals(labels: DataFrame, tasks: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """When each label fades in: the last task's end of its element, else its window's end, else the end of all drawing.
+
+    ``labels`` and ``windows`` have keys and ``eid``; ``tasks`` also ``kind``.
+    """
+    done = tasks.groupBy(*keys, "eid").agg(F.max("end_ms").alias("_task"))
+    drawn = tasks.where("kind = 'draw'").groupBy(*keys).agg(F.max("end_ms").alias("_drawn"))
+    planned = windows.groupBy(*keys, "eid").agg(F.max("end_ms").alias("_window"))
+    rows = labels.join(done, [*keys, "eid"], "left").join(planned, [*keys, "eid"], "left").join(drawn, keys, "left")
+    return rows.withColumn("reveal_ms", F.coalesce("_task", "_window", "_drawn")).drop("_task", "_window", "_drawn")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..functions.dictionary import CROSS_LANGUAGE
 from ..operators import align, fingerprint, gates, lint, raster, schedule, spatial, timeline
 from ..sources import load, readers
 from . import adapters as A
@@ -271,29 +272,21 @@ def phrase_match_exact(spark: SparkSession, d: str) -> DataFrame:
     return align.exact_matches(p, align.haystacks(A.timeline(spark, d), SCENE, ORDER), SCENE, "phrase").select("element_key", "matched_start_ms", "matched_end_ms")
 
 
-# Words of one language and what they are called in the other.
-DICTIONARY = {
-    "gradient": ["渐变"], "prototype": ["原型", "草图"], "sketch": ["草图", "草稿"], "iteration": ["迭代", "反复"], "process": ["流程", "过程"],
-    "quality": ["质量", "品质"], "safe": ["安全", "保守"], "clean": ["简洁", "干净", "清爽"], "motion": ["动效", "动态"], "random": ["随机", "随意"],
-    "design": ["设计"], "video": ["视频"], "white space": ["留白", "空白"], "exploration": ["探索", "发散"], "seed": ["种子", "随机种子"],
-}
-
-
 @query()
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     """Exact, then fuzzy, then through the dictionary."""
     hays = align.haystacks(A.timeline(spark, d), SCENE, ORDER)
-    return align.phrase_matches(_phrases(spark, d), hays, SCENE, "element_key", "phrase", align.fixed_dictionary(spark, DICTIONARY))
+    return align.phrase_matches(_phrases(spark, d), hays, SCENE, "element_key", "phrase", align.fixed_dictionary(spark, CROSS_LANGUAGE))
 
 
-_DICT_SQL = ", ".join(f"('{k}', {i}, '{'/'.join(v)}')" for i, (k, v) in enumerate(DICTIONARY.items()))
+_DICT_SQL = ", ".join(f"('{k}', {i}, '{'/'.join(v)}')" for i, (k, v) in enumerate(CROSS_LANGUAGE.items()))
 
 
 @query(f"""WITH dict(term, pos, tr) AS (VALUES {_DICT_SQL}), k AS (SELECT element_key, lower(trim(phrase)) AS k FROM elements WHERE trim(phrase) <> '')
 SELECT element_key, arg_min(tr, CASE WHEN k = term THEN 0 ELSE 1000 END + pos) AS translations FROM k JOIN dict ON contains(k, term) GROUP BY 1""")
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     p = load(spark, d, "elements", "element_key", "phrase").select(F.col("element_key").alias("id"), "phrase")
-    t = align.translations(p, align.fixed_dictionary(spark, DICTIONARY))
+    t = align.translations(p, align.fixed_dictionary(spark, CROSS_LANGUAGE))
     return t.select(F.col("id").alias("element_key"), F.array_join("translations", "/").alias("translations"))
 
 
@@ -542,3 +535,43 @@ def media_atoms(spark: SparkSession, d: str) -> DataFrame:
     data = b"\x00\x00\x00\x08ftyp\x00\x00\x00\x0cmoov\x00\x00\x00\x00\x00\x00\x00\x08mdat\x00\x00\x00\x01stop"
     one = spark.createDataFrame([(bytearray(data),)], "content binary")
     return one.lateralJoin(readers.atoms()(F.col("content").outer())).select("no", "name", "size")
+
+
+@query(f"""WITH {A.TASKS}, t AS (SELECT * FROM tasks WHERE end_ms > start_ms), f AS (SELECT user_id, kind, start_ms, end_ms, unnest(range(CAST(ceil(start_ms * 2 / 1000.0) AS BIGINT), CAST(ceil(end_ms * 2 / 1000.0) AS BIGINT))) AS frame_no FROM t)
+SELECT user_id, frame_no, kind, round((frame_no * 500.0::DOUBLE - start_ms) / (end_ms - start_ms), 6) AS progress FROM (SELECT *, row_number() OVER (PARTITION BY user_id, frame_no ORDER BY start_ms DESC, end_ms DESC, kind DESC) AS rn FROM f) WHERE rn = 1""")
+def frame_states(spark: SparkSession, d: str) -> DataFrame:
+    """The task under way at each frame, two frames a second."""
+    return timeline.frame_states(A.tasks(spark, d), "user_id", 2).withColumn("progress", F.round("progress", 6))
+
+
+@query(f"""WITH {A.TASKS}, d AS (SELECT user_id, kind AS eid, max(end_ms) AS e FROM tasks GROUP BY 1, 2), w AS (SELECT user_id, max(end_ms) AS e FROM tasks WHERE kind = 'draw' GROUP BY 1), l AS (SELECT user_id, unnest(['draw', 'travel', 'label']) AS eid FROM (SELECT DISTINCT user_id FROM tasks))
+SELECT user_id, eid, coalesce(d.e, w.e) AS reveal_ms FROM l LEFT JOIN d USING (user_id, eid) LEFT JOIN w USING (user_id)""")
+def label_reveals(spark: SparkSession, d: str) -> DataFrame:
+    t = A.tasks(spark, d).withColumn("eid", F.col("kind"))
+    labels = t.select("user_id").distinct().select("user_id", F.explode(F.array(F.lit("draw"), F.lit("travel"), F.lit("label"))).alias("eid"))
+    return timeline.label_reveals(labels, t, t.limit(0), ["user_id"]).select("user_id", "eid", "reveal_ms")
+
+
+@query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, v, i % 8 AS x, i // 8 AS y FROM frames), b AS (SELECT vec_id, median(v) AS m FROM p WHERE x < 1 OR x >= 7 OR y < 1 OR y >= 7 GROUP BY 1)
+SELECT vec_id, round(avg(abs(v - m)), 6) AS deviation FROM p JOIN b USING (vec_id) WHERE y >= 2 AND y < 6 GROUP BY 1""")
+def ghost_deviation(spark: SparkSession, d: str) -> DataFrame:
+    p = _pixels(spark, d)
+    g = raster.ghost(p, raster.border_median(p, "vec_id", ["v"], "x", "y", 8, 8, 1), "vec_id", ["v"], "y", (2, 6))
+    return g.select("vec_id", F.round("deviation", 6).alias("deviation"))
+
+
+@query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, v, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y FROM frames) SELECT vec_id, x, y FROM p a WHERE v > 15 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.vec_id = a.vec_id AND b.v < -15 AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)""")
+def new_ink(spark: SparkSession, d: str) -> DataFrame:
+    """Bright pixels with no dark pixel beside them."""
+    p = _pixels(spark, d)
+    return raster.new_ink(p.where("v < -15").select("vec_id", "x", "y"), p.where("v > 15"), "vec_id", "x", "y", 1).select("vec_id", "x", "y")
+
+
+@query("""WITH l AS (SELECT episode_id, 1 AS pr, 'theme' AS name, theme AS value FROM episodes UNION ALL SELECT episode_id, 1, 'voice', voice FROM episodes UNION ALL SELECT episode_id, 2, 'theme', 'chalk' FROM episodes UNION ALL SELECT episode_id, 2, 'voice', 'studio-a' FROM episodes)
+SELECT episode_id, name, arg_min(value, pr) AS value FROM l WHERE value IS NOT NULL AND value <> '' GROUP BY 1, 2""")
+def merged_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Each episode's own settings over the defaults."""
+    e = load(spark, d, "episodes", "episode_id", "theme", "voice")
+    own = e.select("episode_id", F.lit(1).alias("priority"), F.create_map(F.lit("theme"), F.col("theme"), F.lit("voice"), F.col("voice")).alias("settings"))
+    default = e.select("episode_id", F.lit(2).alias("priority"), F.create_map(F.lit("theme"), F.lit("chalk"), F.lit("voice"), F.lit("studio-a")).alias("settings"))
+    return gates.merged(own.unionByName(default), "episode_id", "priority", "settings")
