@@ -7,6 +7,7 @@ offsets.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..functions import text as T
 
 FUZZY_LEAST = 0.75  # fixed value
-MAX_TERMS = 100_000
+MAX_TERMS = 5_000
 
 
 def haystacks(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -164,16 +165,19 @@ def translations(phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, translations): the entry that is the phrase, else the first entry that stands within it.
 
     Phrases compare trimmed and in lower case; those without an entry give no
-    row.  The dictionary is broadcast, at most ``MAX_TERMS`` entries.
+    row.  The dictionary, at most ``MAX_TERMS`` entries, becomes one constant
+    that every phrase is held against: no join, no shuffle.
     """
-    if dictionary.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+    entries = dictionary.select("pos", "term", "translations").limit(MAX_TERMS + 1).collect()
+    if len(entries) > MAX_TERMS:
         raise ValueError(f"a dictionary of more than {MAX_TERMS} entries")
-    p = phrases.select("id", F.lower(F.trim("phrase")).alias("_k")).where(F.col("_k") != "").distinct()
-    keys = p.select("_k").distinct()
-    hit = keys.join(F.broadcast(dictionary), F.col("_k").contains(F.col("term")))
-    rank = F.struct(F.when(F.col("_k") == F.col("term"), 0).otherwise(1), "pos")
-    best = hit.groupBy("_k").agg(F.min_by("translations", rank).alias("translations"))
-    return p.join(best, "_k").select("id", "translations")
+    listed = json.dumps([r.asDict() for r in sorted(entries, key=lambda r: r["pos"])], ensure_ascii=False)
+    known = F.from_json(F.lit(listed), "array<struct<pos:int,term:string,translations:array<string>>>")
+    p = phrases.select("id", F.lower(F.trim("phrase")).alias("_k")).where(F.col("_k") != "")
+    whole = F.filter(known, lambda e: e["term"] == F.col("_k"))
+    within = F.filter(known, lambda e: F.contains(F.col("_k"), e["term"]))
+    hit = F.coalesce(F.get(whole, F.lit(0)), F.get(within, F.lit(0)))
+    return p.select("id", hit["translations"].alias("translations")).where("translations is not null")
 
 
 def narration_spans(narrations: DataFrame, units: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:

@@ -44,9 +44,9 @@ def tasks(spark: SparkSession, d: str) -> DataFrame:
     """Events as drawing, travelling and gazing tasks of a user's timeline, a minute of time as a millisecond."""
     e = load(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = e.agg(F.min(us).alias("t0"))  # one row
+    first = e.agg(F.min(us)).scalar()
     kind = F.when(F.col("event_type").isin("click", "view"), "draw").when(F.col("event_type") == "error", "travel").otherwise("gaze")
-    rows = e.join(F.broadcast(first)).select("user_id", "event_id", kind.alias("kind"), F.floor((us - F.col("t0")) / 60_000_000).cast("bigint").alias("start_ms"), F.coalesce("value", F.lit(0.0)).alias("length"))
+    rows = e.select("user_id", "event_id", kind.alias("kind"), F.floor((us - first) / 60_000_000).cast("bigint").alias("start_ms"), F.coalesce("value", F.lit(0.0)).alias("length"))
     nxt = F.lead("start_ms").over(Window.partitionBy("user_id").orderBy("start_ms", "event_id"))
     return rows.withColumn("end_ms", F.coalesce(nxt, F.col("start_ms")))
 
