@@ -55,8 +55,8 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", weight: str =
     planned = plan(sized, targets).select("source", "epochs", "rest", "max_repeats")
     u = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
     drawn = -F.log(u) / F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-9))
-    docs = sized.where("n_tokens > 0").join(F.broadcast(planned), "source")
-    whole = docs.where("epochs > 0 or rest > 0").select(key, "source", "n_tokens", "epochs", "rest", drawn.alias("draw"))
+    docs = sized.where("n_tokens > 0").select(key, "source", "n_tokens", drawn.alias("draw")).join(F.broadcast(planned), "source")
+    whole = docs.where("epochs > 0 or rest > 0").drop("max_repeats")
     summed = prefix_sum(whole, ["source"], ["draw", key], "n_tokens", "upto")
     copies = F.col("epochs") + F.when(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)
     return summed.select(key, "source", "n_tokens", copies.alias("copies")).where("copies > 0")

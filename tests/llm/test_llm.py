@@ -228,7 +228,7 @@ def test_mix_follows_budgets(spark):
     rng = random.Random(5)
     docs = [(i, s, rng.randrange(0, 60), rng.random()) for i, s in enumerate(["big"] * 900 + ["mid"] * 200 + ["few"] * 20 + ["off"] * 50)] + [(5000, None, 9, 1.0), (5001, "big", 9, None)]
     targets = [("big", 0.4, 1), ("mid", 0.35, 3), ("few", 0.2, 4), ("none", 0.05, 2)]
-    sized = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, source string, n_tokens int, weight double, copies int")
+    sized = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, source string, n_tokens int, weight double, rest int")
     want = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     size = {s: sum(d[2] for d in docs if d[1] == s) for s, _, _ in targets}
     total = sum(size.values())
