@@ -100,6 +100,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(_raw(spark, d), "file_id", ["episode_id", "file_kind"], ["written_at", "file_id"], "payload")
 
 
+P5_FOUND_SQL = """
+WITH f AS (SELECT file_id, episode_id, file_kind, written_at, CAST(payload AS JSON) AS j FROM raw_files WHERE payload IS NOT NULL AND json_valid(payload)),
+o AS (SELECT file_id, j, lag(j) OVER (PARTITION BY episode_id, file_kind ORDER BY written_at, file_id) AS pj FROM f),
+p AS (SELECT * FROM o WHERE pj IS NOT NULL),
+n1 AS (SELECT file_id, unnest(json_keys(j)) AS k, generate_subscripts(json_keys(j), 1) AS pos, j FROM p),
+w1 AS (SELECT file_id, unnest(json_keys(pj)) AS k, generate_subscripts(json_keys(pj), 1) AS pos, pj FROM p),
+n2 AS (SELECT file_id, '' AS lvl, k, pos, json_extract(j, k) AS v FROM n1), w2 AS (SELECT file_id, '' AS lvl, k, pos, json_extract(pj, k) AS v FROM w1),
+both_ AS (SELECT n2.file_id, n2.k, n2.v AS nv, w2.v AS wv FROM n2 JOIN w2 ON n2.file_id = w2.file_id AND n2.k = w2.k WHERE json_type(n2.v) = 'OBJECT' AND json_type(w2.v) = 'OBJECT'),
+n3 AS (SELECT file_id, k AS lvl, unnest(json_keys(nv)) AS ik, generate_subscripts(json_keys(nv), 1) AS pos, nv FROM both_),
+w3 AS (SELECT file_id, k AS lvl, unnest(json_keys(wv)) AS ik, generate_subscripts(json_keys(wv), 1) AS pos, wv FROM both_),
+kind AS (SELECT * FROM (VALUES ('UBIGINT', 'integer'), ('BIGINT', 'integer'), ('HUGEINT', 'integer'), ('DOUBLE', 'decimal'), ('VARCHAR', 'string'), ('BOOLEAN', 'boolean'), ('ARRAY', 'list'), ('OBJECT', 'object')) AS t(a, b)),
+n AS (SELECT x.*, b AS t FROM (SELECT * FROM n2 UNION ALL SELECT file_id, lvl, ik, pos, json_extract(nv, ik) FROM n3) x JOIN kind ON json_type(v) = a),
+w AS (SELECT x.*, b AS t FROM (SELECT * FROM w2 UNION ALL SELECT file_id, lvl, ik, pos, json_extract(wv, ik) FROM w3) x JOIN kind ON json_type(v) = a),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY file_id, lvl, CAST(v AS VARCHAR) ORDER BY pos) AS nth FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.file_id = n.file_id AND w.lvl = n.lvl AND w.k = n.k)),
+gone AS (SELECT *, row_number() OVER (PARTITION BY file_id, lvl, CAST(v AS VARCHAR) ORDER BY pos) AS nth FROM w WHERE NOT EXISTS (SELECT 1 FROM n WHERE w.file_id = n.file_id AND w.lvl = n.lvl AND w.k = n.k)),
+name AS (SELECT f.file_id, f.lvl, f.k, CASE WHEN g.k IS NULL THEN 'added' ELSE 'renamed' END AS change_kind FROM fresh f LEFT JOIN gone g ON f.file_id = g.file_id AND f.lvl = g.lvl AND CAST(f.v AS VARCHAR) = CAST(g.v AS VARCHAR) AND f.nth = g.nth
+ UNION ALL SELECT g.file_id, g.lvl, g.k, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.file_id = g.file_id AND f.lvl = g.lvl AND CAST(f.v AS VARCHAR) = CAST(g.v AS VARCHAR) AND f.nth = g.nth)
+ UNION ALL SELECT n.file_id, n.lvl, n.k, 'retyped' FROM n JOIN w ON w.file_id = n.file_id AND w.lvl = n.lvl AND w.k = n.k WHERE n.t <> w.t)
+SELECT file_id, CASE WHEN lvl = '' THEN k ELSE lvl || '.' || k END AS field_name, change_kind FROM name"""
+
+
 def p5_types(spark: SparkSession, d: str) -> DataFrame:
     return drift.type_statistics(drift.path_values(_raw(spark, d), "payload"), ["file_kind"])
 
@@ -122,4 +143,4 @@ QUERIES = {
     "p4_found": p4_found, "p4_periods": p4_periods,
     "p5_found": p5_found, "p5_types": p5_types, "p5_words": _p5_table("words"), "p5_state": _p5_table("state"),
 }
-ORACLE_SQL = {"p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL}
+ORACLE_SQL = {"p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL, "p5_found": P5_FOUND_SQL}
