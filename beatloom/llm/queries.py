@@ -98,6 +98,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(_docs(spark, d), "doc_id", "text", SPAN)
 
 
+P9_FOUND_SQL = """
+WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_docs(spark, d), "doc_id", "text", SPAN)
 
@@ -108,4 +113,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_skeletons, p6_found, p6_sentences, p7_ids,
                                    p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_report)}
-ORACLE_SQL = {"p2_found": P2_FOUND_SQL}
+ORACLE_SQL = {"p2_found": P2_FOUND_SQL, "p9_found": P9_FOUND_SQL}
