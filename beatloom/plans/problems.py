@@ -44,6 +44,39 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
                        F.when(spatial, pos(2)).otherwise(pos(0)).cast("int").alias("item_pos"))
 
 
+def _p1_found_sql() -> str:
+    """The six levels one below the other, in SQL."""
+
+    def opened(v: str) -> str:  # text that holds JSON stands for it
+        return f"CASE WHEN json_type({v}) = 'VARCHAR' AND json_valid(json_extract_string({v}, '$')) THEN CAST(json_extract_string({v}, '$') AS JSON) ELSE {v} END"
+
+    def entries(name: str, src: str, keys: str, v: str) -> str:
+        return f"""{name}_v AS (SELECT {keys}, {opened(v)} AS v FROM {src}),
+{name}_l AS (SELECT {keys}, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN CASE WHEN len(json_keys(v)) = 0 THEN CAST([] AS JSON[])
+ WHEN len(list_filter(json_keys(v), lambda k: json_type(json_extract(v, k)) <> 'OBJECT')) = 0 THEN list_transform(json_keys(v), lambda k: json_extract(v, k)) ELSE [v] END ELSE CAST([] AS JSON[]) END AS l FROM {name}_v),
+{name} AS (SELECT {keys}, unnest(l) AS x, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM {name}_l)"""
+
+    parts = [
+      "d AS (SELECT script_id, CAST(body AS JSON) AS doc FROM scripts WHERE body IS NOT NULL AND json_valid(body))",
+      entries("sc", "d", "script_id, doc", "json_extract(doc, 'scenes')"),
+      "so AS (SELECT script_id, doc, x AS s, pos AS scene_pos FROM sc WHERE json_type(x) = 'OBJECT')",
+      entries("own", "(SELECT * FROM so WHERE list_contains(json_keys(s), 'beats'))", "script_id, scene_pos", "json_extract(s, 'beats')"),
+      entries("rf", "(SELECT * FROM so WHERE NOT list_contains(json_keys(s), 'beats') AND list_contains(json_keys(doc), 'beats'))", "script_id, scene_pos", "json_extract(s, 'beat_refs')"),
+      entries("pl", "d", "script_id", "json_extract(doc, 'beats')"),
+      "pool AS (SELECT script_id, json_extract_string(x, 'id') AS id, arg_min(x, pos) AS x FROM pl WHERE json_type(x) = 'OBJECT' AND json_type(json_extract(x, 'id')) = 'VARCHAR' GROUP BY 1, 2)",
+      "bt AS (SELECT script_id, scene_pos, pos AS beat_pos, x FROM own WHERE json_type(x) = 'OBJECT' UNION ALL SELECT rf.script_id, scene_pos, pos, pool.x FROM rf JOIN pool ON pool.script_id = rf.script_id AND json_type(rf.x) = 'VARCHAR' AND json_extract_string(rf.x, '$') = pool.id)",
+      entries("rv", "bt", "script_id, scene_pos, beat_pos", "json_extract(x, 'reveal')"),
+      f"km AS (SELECT script_id, {opened('k')} AS k FROM (SELECT script_id, json_extract(doc, 'knowledge_model') AS k FROM d))",
+      f"md AS (SELECT script_id, {opened('m')} AS m FROM (SELECT script_id, json_extract(k, 'model') AS m FROM km WHERE json_type(k) = 'OBJECT'))",
+      entries("nd", "(SELECT * FROM md WHERE json_type(m) = 'OBJECT')", "script_id", "json_extract(m, 'nodes')"),
+      entries("rl", "(SELECT * FROM md WHERE json_type(m) = 'OBJECT')", "script_id", "json_extract(m, 'relations')"),
+      entries("ev", "(SELECT * FROM km WHERE json_type(k) = 'OBJECT')", "script_id", "json_extract(k, 'evidence')")]
+    sel = """SELECT script_id, 'scene' AS item_kind, scene_pos, -1 AS beat_pos, -1 AS item_pos FROM so UNION ALL SELECT script_id, 'beat', scene_pos, beat_pos, -1 FROM bt UNION ALL
+SELECT script_id, 'reveal', scene_pos, beat_pos, pos FROM rv WHERE json_type(x) = 'OBJECT' UNION ALL SELECT script_id, 'node', -1, -1, pos FROM nd WHERE json_type(x) = 'OBJECT' UNION ALL
+SELECT script_id, 'relation', -1, -1, pos FROM rl WHERE json_type(x) = 'OBJECT' UNION ALL SELECT script_id, 'evidence', -1, -1, pos FROM ev WHERE json_type(x) = 'OBJECT'"""
+    return "WITH " + ",\n".join(parts) + "\n" + sel
+
+
 def _p1_table(level: str, prefix: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         scripts = spread(load(spark, d, "scripts", "script_id", "body"))
@@ -143,4 +176,4 @@ QUERIES = {
     "p4_found": p4_found, "p4_periods": p4_periods,
     "p5_found": p5_found, "p5_types": p5_types, "p5_words": _p5_table("words"), "p5_state": _p5_table("state"),
 }
-ORACLE_SQL = {"p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL, "p5_found": P5_FOUND_SQL}
+ORACLE_SQL = {"p1_found": _p1_found_sql(), "p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL, "p5_found": P5_FOUND_SQL}

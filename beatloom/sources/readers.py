@@ -9,7 +9,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.udtf import UserDefinedTableFunction
@@ -74,8 +76,6 @@ def srt_cues(texts: DataFrame) -> DataFrame:
     arrow = rf"{time}\s*-->\s*{time}"
     body = F.trim(T.strip_markup(F.regexp_replace(F.regexp_replace("block", rf"(?s)\A.*?{arrow}[^\n]*\n?", ""), r"\s*\n\s*", "\n")))
     cues = blocks.where(F.col("block").rlike(arrow)).select("path", "pos", body.alias("text"), T.srt_to_ms(F.regexp_extract("block", arrow, 1)).alias("start_ms"), T.srt_to_ms(F.regexp_extract("block", arrow, 2)).alias("end_ms"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path").orderBy("start_ms", "pos")
     return cues.where(T.nonempty(F.col("text"))).withColumn("cue_no", F.row_number().over(w)).drop("pos")
 
@@ -114,9 +114,6 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 def pixels(boards: DataFrame) -> DataFrame:
     """(path, x, y, b, g, r, grey) of images, split in Arrow batches."""
-    import numpy as np
-    import pyarrow as pa
-
     names = ["path", "x", "y", "b", "g", "r", "grey"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
