@@ -8,6 +8,7 @@ casts that failed, and each file is compared with the one before it.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,10 @@ from .nested import kind
 from .ordered import previous_row
 
 MEMBER = "struct<outer:string,inner:string,type:string,value:string>"
+MAX_COLUMNS = 5_000  # files of more members are refused: keys that are data need rows of their own
+JSON = ("list", "object")
+
+Member = str | tuple[str, str]  # a member of the payload, or (outer, inner)
 
 
 def path_values(df: DataFrame, body: str, out: str = "members") -> DataFrame:
@@ -120,27 +125,94 @@ def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: s
     return pairs.select("_key", F.explode(found).alias("c")).select(F.col("_key").alias(key), "c.field_name", "c.change_kind")
 
 
-def typed_table(loaded: DataFrame, keys: list[str], fields: dict[str, tuple[list[str], str]]) -> DataFrame:
+def _key(outer: Column, inner: Column | None = None) -> Column:
+    """A member's name as one text; the length keeps ``a.b`` apart from ``b`` in ``a``."""
+    own = F.concat(F.length(outer).cast("string"), F.lit(":"), outer)
+    return own if inner is None else F.when(inner.isNull(), own).otherwise(F.concat(own, F.lit("."), inner))
+
+
+def _column_type(files: Counter, fractional: int) -> str:
+    """The type most files have; integers and decimals are one, whole unless some value has a fraction."""
+    number = files.pop("integer", 0) + files.pop("decimal", 0)
+    most = max([("string", files.pop("string", 0)), ("number", number), *sorted(files.items())], key=lambda x: x[1])[0]
+    return ("double" if fractional else "bigint") if most == "number" else most
+
+
+def derived_fields(loaded: DataFrame, synonyms: dict[str, list[str]], keys: list[str], max_columns: int = MAX_COLUMNS) -> dict[str, tuple[list[Member], str]]:
+    """Fields for :func:`typed_table` from the type statistics of all files: every member and every member of one has a column.
+
+    Members named in ``synonyms`` (column to names) share its column, and so do
+    their members; one that stands beside an earlier name in some file is no
+    synonym and has its own.  The others' columns are named ``outer`` and
+    ``outer.inner``, with a number where that name is taken (upper and lower case
+    count as one).  More than ``max_columns`` names are an error.
+    """
+    earlier = {n: names[:i] for names in synonyms.values() for i, n in enumerate(names) if i}
+    top = F.transform(F.filter("members", lambda m: m["inner"].isNull()), lambda m: m["outer"])
+    outer, number = F.col("m.outer"), F.col("m.value").try_cast("double")
+    beside = F.lit(False)
+    for n, names in earlier.items():
+        beside = beside | ((outer == n) & F.arrays_overlap("top", F.array(*map(F.lit, names))))
+    whole = F.coalesce((number == F.floor(number)) & (F.abs(number) < 2.0**63), F.lit(False))
+    stats = (loaded.select(top.alias("top"), F.explode("members").alias("m")).groupBy(outer.alias("outer"), F.col("m.inner").alias("inner"), F.col("m.type").alias("type"))
+             .agg(F.count("*").alias("files"), F.count_if((F.col("m.type") == "decimal") & ~whole).alias("fractional"), F.count_if(beside).alias("beside")))
+    rows = stats.limit(6 * max_columns + 1).collect()
+    apart = {r["outer"] for r in rows if r["beside"]}
+    column = {n: c for c, names in synonyms.items() for n in names if n not in apart}
+    place = {n: i for names in synonyms.values() for i, n in enumerate(names)}
+    found: dict[tuple, list] = {(c, None): [Counter(), 0, {n for n in names if n not in apart}] for c, names in synonyms.items()}
+    for r in rows:
+        known = r["outer"] in column
+        at = (column[r["outer"]] if known else (r["outer"],), r["inner"])  # a tuple: no column of the synonyms
+        field = found.setdefault(at, [Counter(), 0, set()])
+        field[0][r["type"]] += r["files"]
+        field[1] += r["fractional"]
+        field[2].add(r["outer"])
+    if len(found) > max_columns:
+        raise ValueError(f"more than {max_columns} members: are keys of the files data?")
+    plain = lambda c: c if isinstance(c, str) else c[0]
+    fields: dict[str, tuple[list[Member], str]] = {}
+    taken = {k.lower() for k in [*keys, "failed_casts"]}
+    for (c, inner), (files, fractional, names) in sorted(found.items(), key=lambda x: (x[0][1] is not None, not isinstance(x[0][0], str), list(synonyms).index(x[0][0]) if isinstance(x[0][0], str) else 0, plain(x[0][0]), x[0][1] or "")):
+        wanted = name = (plain(c) if inner is None else f"{plain(c)}.{inner}") or "_"
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{wanted}_{n}"
+        taken.add(name.lower())
+        ordered = sorted(names, key=lambda o: (place.get(o, 0), o))
+        fields[name] = ([o if inner is None else (o, inner) for o in ordered], _column_type(files, fractional))
+    return fields
+
+
+def typed_table(loaded: DataFrame, keys: list[str], fields: dict[str, tuple[list[Member], str]]) -> DataFrame:
     """One row per file: keys, one typed column per field, and ``failed_casts``.
 
-    ``fields`` maps a column to (member names tried in order, Spark type).  A
-    value that does not cast gives null and its column's name in
-    ``failed_casts`` (comma-separated); an absent one gives null alone.  Files
-    with a malformed payload give nulls.
+    ``fields`` maps a column to (member names tried in order, type): a name is
+    that of a member or (outer, inner), a type that of Spark, or ``list`` or
+    ``object`` for canonical JSON text.  A value that does not cast gives null
+    and its column's name in ``failed_casts`` (comma-separated); an absent one
+    gives null alone.  In a column of text, or of JSON text, one of another shape
+    (list or object in text, anything else in JSON text) keeps its text and is
+    named there too.  Files with a malformed payload give nulls.
     """
-    top = F.filter("members", lambda m: m["inner"].isNull())
-    values = F.map_from_entries(F.transform(top, lambda m: F.struct(m["outer"], m["value"])))
-    rows = loaded.withColumn("_m", F.coalesce(values, F.expr("map()").cast("map<string,string>")))
-    raw = {c: F.coalesce(*[F.try_element_at("_m", F.lit(n)) for n in names]) for c, (names, _) in fields.items()}
-    text = {c: F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(v)
-            for c, v in raw.items()}
+    values = F.map_from_entries(F.transform("members", lambda m: F.struct(_key(m["outer"], m["inner"]), F.struct(m["type"].alias("type"), m["value"].alias("value")))))
+    rows = loaded.withColumn("_m", F.coalesce(values, F.expr("map()").cast("map<string,struct<type:string,value:string>>")))
+    name = lambda n: _key(F.lit(n)) if isinstance(n, str) else _key(F.lit(n[0]), F.lit(n[1]))
+    held = F.array(*[F.coalesce(*[F.try_element_at("_m", name(n)) for n in names]) for names, _ in fields.values()])
+    rows = rows.select(*keys, held.alias("_h"))
+    unquoted = lambda v: F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(v)
 
     def to(v: Column, t: str) -> Column:
         if t in ("int", "bigint"):  # 3.0 is whole, 3.5 fails
             return F.coalesce(v.try_cast(t), F.when(v.try_cast("decimal(38,9)") % 1 == 0, v.try_cast("decimal(38,9)").try_cast(t)))
         return v if t == "string" else v.try_cast(t)
 
-    cast = {c: to(text[c], t) for c, (_, t) in fields.items()}
-    failed = F.filter(F.array(*[F.when(raw[c].isNotNull() & cast[c].isNull(), F.lit(c)) for c in fields]),
-                      lambda x: x.isNotNull())
-    return rows.select(*keys, *[cast[c].alias(c) for c in fields], F.array_join(failed, ",").alias("failed_casts"))
+    cast, failed = {}, []
+    for i, (c, (_, t)) in enumerate(fields.items()):
+        raw = F.get("_h", F.lit(i))
+        cast[c] = raw["value"] if t in JSON else to(unquoted(raw["value"]), t)
+        shape = raw["type"] != t if t in JSON else raw["type"].isin(*JSON) if t == "string" else F.lit(False)
+        failed.append(F.when(raw.isNotNull() & (cast[c].isNull() | shape), F.lit(c)))
+    names = F.filter(F.array(*failed), lambda x: x.isNotNull())
+    return rows.select(*keys, *[v.alias(c) for c, v in cast.items()], F.array_join(names, ",").alias("failed_casts"))

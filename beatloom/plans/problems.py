@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, intervals, nested
-from ..shared import spread
+from ..shared import materialise, spread
 from ..sources import load
 
 SCRIPT_KINDS = {
@@ -112,16 +112,16 @@ m AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 400 THEN 1 ELSE 0 EN
         PARTITION BY episode_id, scene_index ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT episode_id, scene_index, min(s) AS period_start, max(e) AS period_end FROM m GROUP BY episode_id, scene_index, island"""
 
-RAW_FIELDS = {
-    "words": {"version": (["version", "format_version", "words_version", "v"], "bigint"),
-              "granularity": (["granularity", "unit", "level", "timing_unit"], "string"),
-              "voice": (["voice", "voice_name", "speaker"], "string"),
-              "duration_ms": (["duration_ms", "total_ms", "length_ms"], "bigint")},
-    "state": {"schema_tag": (["schema", "schema_tag"], "string"),
-              "title": (["title", "name", "episode_title"], "string"),
-              "confirmations": (["confirmations", "gates", "approvals", "quality_gates"], "string"),
-              "theme": (["theme", "theme_id", "look"], "string"),
-              "created": (["created", "created_at"], "string")},
+RAW_FIELDS = {  # names that stand for one field; columns and types come from the files
+    "words": {"version": ["version", "format_version", "words_version", "v"],
+              "granularity": ["granularity", "unit", "level", "timing_unit"],
+              "voice": ["voice", "voice_name", "speaker"],
+              "duration_ms": ["duration_ms", "total_ms", "length_ms"]},
+    "state": {"schema_tag": ["schema", "schema_tag"],
+              "title": ["title", "name", "episode_title"],
+              "confirmations": ["confirmations", "gates", "approvals", "quality_gates"],
+              "theme": ["theme", "theme_id", "look"],
+              "created": ["created", "created_at"]},
 }
 
 
@@ -160,9 +160,10 @@ def p5_types(spark: SparkSession, d: str) -> DataFrame:
 
 def _p5_table(file_kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        loaded = drift.path_values(_raw(spark, d).where(F.col("file_kind") == file_kind), "payload").where("members is not null")
-        fields = RAW_FIELDS[file_kind]
-        return drift.typed_table(loaded, ["file_id", "episode_id", "written_at"], fields)
+        keys = ["file_id", "episode_id", "written_at"]
+        files = drift.path_values(_raw(spark, d).where(F.col("file_kind") == file_kind), "payload").where("members is not null")
+        loaded = materialise(files.select(*keys, "members"), "typed-files")
+        return drift.typed_table(loaded, keys, drift.derived_fields(loaded, RAW_FIELDS[file_kind], keys))
     return query
 
 

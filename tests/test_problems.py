@@ -97,6 +97,43 @@ def test_typed_table_reports_failed_casts(spark):
     assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, 2, "a", ""), (2, None, None, "version"), (3, 3, None, ""), (4, None, None, "")]
 
 
+def test_typed_table_holds_every_member(spark):
+    files = ['{"gates": {"ok": true}, "phases": {"drawn": true}, "boards": [1], "rate": 2, "file_id": "x", "mix": 1.5}',
+             '{"confirmations": {"ok": false}, "phases": {"drawn": "later"}, "boards": {"items": [1]}, "Rate": 3, "mix": 2}',
+             '{"confirmations": "yes", "title": {"value": "t"}, "rate": "fast", "a.b": 1, "a": {"b": 2}, "phases": {"drawn": false}}', "[]", None,
+             '{"title": "t", "name": "n", "rate": 4.0, "boards": [2]}']
+    df = spark.createDataFrame(list(enumerate(files)), "file_id long, p string")
+    loaded = drift.path_values(df, "p").where("members is not null")
+    fields = drift.derived_fields(loaded, {"title": ["title", "name"], "confirmations": ["confirmations", "gates"], "look": ["look"]}, ["file_id"])
+    got = {r.file_id: r.asDict() for r in drift.typed_table(loaded, ["file_id"], fields).collect()}
+    assert {c: t for c, (_, t) in fields.items()} == {
+        "title": "string", "confirmations": "object", "look": "string", "Rate": "bigint", "a": "object", "a.b": "bigint", "boards": "list", "file_id_2": "string",
+        "mix": "double", "name": "string", "phases": "object", "rate_2": "bigint", "title.value": "string", "confirmations.ok": "boolean",
+        "a.b_2": "bigint", "boards.items": "list", "phases.drawn": "boolean"}
+    held = lambda i: {c: v for c, v in got[i].items() if v is not None and c != "file_id"}
+    assert held(0) == {"confirmations": '{"ok":true}', "confirmations.ok": True, "phases": '{"drawn":true}', "phases.drawn": True, "boards": "[1]",
+                       "rate_2": 2, "file_id_2": "x", "mix": 1.5, "failed_casts": ""}
+    assert held(1) == {"confirmations": '{"ok":false}', "confirmations.ok": False, "phases": '{"drawn":"later"}', "boards": '{"items":[1]}',
+                       "boards.items": "[1]", "Rate": 3, "mix": 2.0, "failed_casts": "boards,phases.drawn"}
+    assert held(2) == {"confirmations": '"yes"', "title": '{"value":"t"}', "title.value": "t", "a.b": 1, "a": '{"b":2}', "a.b_2": 2,
+                       "phases": '{"drawn":false}', "phases.drawn": False, "failed_casts": "title,confirmations,rate_2"}
+    assert held(3) == {"failed_casts": ""} and held(5) == {"title": "t", "name": "n", "rate_2": 4, "boards": "[2]", "failed_casts": ""}
+
+
+def test_p5_tables_hold_every_member(spark, sf):
+    files = spark.read.parquet(f"{sf}/raw_files.parquet").collect()
+    for kind, query in (("state", problems.QUERIES["p5_state"]), ("words", problems.QUERIES["p5_words"])):
+        table = {r.file_id: r.asDict() for r in query(spark, sf).collect()}
+        for f in files:
+            doc = brute._loads(f.payload) if f.file_kind == kind and f.payload is not None else None
+            if isinstance(doc, dict):
+                row = table.pop(f.file_id)
+                top = [c for c in row if "." not in c and c not in ("file_id", "episode_id", "written_at", "failed_casts")]
+                failed = [c for c in row["failed_casts"].split(",") if c in top and row[c] is None]
+                assert sum(v is not None for v in doc.values()) == sum(row[c] is not None for c in top) + len(failed)
+        assert all(r["failed_casts"] == "" for r in table.values())
+
+
 def test_two_level_order(spark):
     rng = random.Random(2)
     data = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(50), i, rng.choice([None, 1, 2, 3])) for i in range(500)]
