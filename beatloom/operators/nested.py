@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ROOT = ""  # the level of the document itself
 MAX_PATHS = 100_000  # a merged schema of more paths is refused: keys that are data need a level of their own
 
 
@@ -127,7 +128,7 @@ def list_levels(schema: DataFrame, max_paths: int = MAX_PATHS) -> list[str]:
         raise ValueError(f"more than {max_paths} paths of lists: are keys of the documents data?")
     found = {r["path"] for r in rows if r["type"] == "object"}
     lists = {r["path"] for r in rows if r["type"] != "object"}
-    is_level = lambda p: p[:-2] in lists
+    is_level = lambda p: all(p[:i] in lists for i in range(len(p)) if p.startswith("[]", i))
     levels = {p for p in found if is_level(p)}
 
     def under_key_of_level(p: str) -> bool:
@@ -159,8 +160,21 @@ def _tree(levels: list[str]) -> dict:
     return root
 
 
+def _entry(doc: Any, entry: Any, level: str, below: dict, at: list[int], refs: dict[str, Refs], out: list) -> None:
+    if isinstance(entry, dict):
+        out.append((level, at, entry))
+        _rows(doc, entry, below, at, refs, out)
+    elif level + "[]" in below:
+        _rows(doc, entry, {level + "[]": below[level + "[]"]}, at, refs, out)
+
+
 def _rows(doc: Any, record: Any, tree: dict, ordinals: list[int], refs: dict[str, Refs], out: list) -> None:
     for level, (members, below) in tree.items():
+        if members == [""]:  # lists in a list, or a document that is a list
+            inner = unwrap(record)
+            for i, entry in enumerate(inner if isinstance(inner, list) else []):
+                _entry(doc, entry, level, below, [*ordinals, i], refs, out)
+            continue
         ref, parent = refs.get(level), unwrap(_descend(record, members[:-1]))
         held = isinstance(parent, dict) and members[-1] in parent
         if not held and ref and isinstance(doc, dict) and ref.pool in doc and isinstance(parent, dict):
@@ -172,15 +186,14 @@ def _rows(doc: Any, record: Any, tree: dict, ordinals: list[int], refs: dict[str
         else:
             entries = as_list(parent[members[-1]]) if held else []
         for i, entry in enumerate(entries):
-            if isinstance(entry, dict):
-                at = [*ordinals, i]
-                out.append((level, at, entry))
-                _rows(doc, entry, below, at, refs, out)
+            _entry(doc, entry, level, below, [*ordinals, i], refs, out)
 
 
 def flatten(df: DataFrame, keys: list[str], body: str, levels: list[str], refs: dict[str, Refs] | None = None,
             values: bool = True) -> DataFrame:
-    """One row per object at any of ``levels``: keys, ``level``, ``ordinals``, ``node_key``, ``parent_key``, ``value``.
+    """One row per object at any of ``levels`` or above: keys, ``level``, ``ordinals``, ``node_key``, ``parent_key``, ``value``.
+
+    The level ``""`` is the document itself, without ordinals and ``node_key``.
 
     ``ordinals`` count from 0 in written order, outermost level first;
     ``node_key`` joins with the children's ``parent_key`` (both are unique
@@ -188,7 +201,7 @@ def flatten(df: DataFrame, keys: list[str], body: str, levels: list[str], refs:
     the object's JSON text (null with ``values=False``).  Repeated documents
     give repeated rows; null and malformed ones none.
     """
-    tree, refs = _tree(levels), refs or {}
+    tree, refs, root = _tree(levels), refs or {}, ROOT in levels
     source = df.select(*keys, F.col(body).cast("string").alias("_body"))
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     names = [*keys, "level", "ordinals", "value"]
@@ -200,6 +213,8 @@ def flatten(df: DataFrame, keys: list[str], body: str, levels: list[str], refs:
                 doc = parse(text)
                 if isinstance(doc, (dict, list)):
                     before = len(out)
+                    if root and isinstance(doc, dict):
+                        out.append((ROOT, [], doc))
                     _rows(doc, doc, tree, [], refs, out)
                     where += [n] * (len(out) - before)
             picked = pa.array(where, pa.int64())
@@ -213,13 +228,14 @@ def flatten(df: DataFrame, keys: list[str], body: str, levels: list[str], refs:
     path = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
         F.element_at(parts, i), F.lit("["), F.element_at("ordinals", i).cast("string"), F.lit("]"))), ".")
     depth = F.size("ordinals")
-    return rows.select(*keys, "level", "ordinals", path(depth).alias("node_key"),
+    return rows.select(*keys, "level", "ordinals", F.when(depth > 0, path(depth)).alias("node_key"),
                        F.when(depth > 1, path(depth - 1)).alias("parent_key"), "value")
 
 
 def columns_of(schema: DataFrame, level: str, max_paths: int = MAX_PATHS) -> str:
     """Spark DDL of the scalar members of ``level``; mixed or nested members become strings."""
-    direct = schema.where(F.col("path").startswith(level + ".")).withColumn("m", F.substring("path", len(level) + 2, 10_000))
+    start = level + "." if level else ""
+    direct = schema.where(F.col("path").startswith(start) & (F.col("path") != "")).withColumn("m", F.substring("path", len(start) + 1, 10_000))
     rows = direct.where(~F.col("m").contains(".") & ~F.col("m").contains("[]") & (F.col("type") != "null")).limit(max_paths + 1).collect()
     if len(rows) > max_paths:
         raise ValueError(f"{level} has more than {max_paths} members")

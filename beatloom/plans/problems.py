@@ -17,6 +17,22 @@ SCRIPT_KINDS = {
     "knowledge_model.model.relations[]": "relation",
     "knowledge_model.evidence[]": "evidence",
 }
+TABLES = {  # the levels of the scripts by query; p1_other has those of any other
+    "p1_documents": (nested.ROOT, "doc_"),
+    "p1_scenes": ("scenes[]", "scene_"),
+    "p1_scene_elements": ("scenes[].elements[]", "element_"),
+    "p1_beats": ("scenes[].beats[]", "beat_"),
+    "p1_beat_elements": ("scenes[].beats[].elements[]", "element_"),
+    "p1_reveal": ("scenes[].beats[].reveal[]", "reveal_"),
+    "p1_pool_beats": ("beats[]", "beat_"),
+    "p1_pool_elements": ("beats[].elements[]", "element_"),
+    "p1_pool_reveal": ("beats[].reveal[]", "reveal_"),
+    "p1_nodes": ("knowledge_model.model.nodes[]", "node_"),
+    "p1_relations": ("knowledge_model.model.relations[]", "relation_"),
+    "p1_evidence": ("knowledge_model.evidence[]", "evidence_"),
+    "p1_excluded": ("knowledge_model.scope.exclude[]", "excluded_"),
+    "p1_transitions": ("learner_model.transitions[]", "transition_"),
+}
 BEAT_REFS = {"scenes[].beats[]": nested.Refs(member="beat_refs", pool="beats")}
 PAUSE_MS = 400
 
@@ -81,11 +97,19 @@ def _p1_table(level: str, prefix: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         scripts = spread(load(spark, d, "scripts", "script_id", "body"))
         schema = nested.merged_schema(scripts, "body")
-        flat = nested.flatten(scripts, ["script_id"], "body", [p for p in SCRIPT_KINDS if level.startswith(p)], BEAT_REFS)
+        flat = nested.flatten(scripts, ["script_id"], "body", [level], BEAT_REFS)
         return nested.child_table(flat, schema, level, prefix).drop("level")
     return query
 
 
+def p1_other(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of every list level of the merged schema that has no table of its own."""
+    scripts = spread(load(spark, d, "scripts", "script_id", "body"))
+    named = [level for level, _ in TABLES.values()]
+    levels = [p for p in nested.list_levels(nested.merged_schema(scripts, "body")) if p not in named]
+    return nested.flatten(scripts, ["script_id"], "body", levels, BEAT_REFS).where(F.col("level").isin(levels))
+
+
 def _words(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "words", "episode_id", "scene_index", "start_ms", "end_ms").where("scene_index is not null")
 
@@ -169,11 +193,7 @@ def _p5_table(file_kind: str):
 
 QUERIES = {
     "p1_found": p1_found, "p1_schema": p1_schema,
-    "p1_scenes": _p1_table("scenes[]", "scene_"), "p1_beats": _p1_table("scenes[].beats[]", "beat_"),
-    "p1_reveal": _p1_table("scenes[].beats[].reveal[]", "reveal_"),
-    "p1_nodes": _p1_table("knowledge_model.model.nodes[]", "node_"),
-    "p1_relations": _p1_table("knowledge_model.model.relations[]", "relation_"),
-    "p1_evidence": _p1_table("knowledge_model.evidence[]", "evidence_"),
+    **{name: _p1_table(level, prefix) for name, (level, prefix) in TABLES.items()}, "p1_other": p1_other,
     "p4_found": p4_found, "p4_periods": p4_periods,
     "p5_found": p5_found, "p5_types": p5_types, "p5_words": _p5_table("words"), "p5_state": _p5_table("state"),
 }

@@ -45,6 +45,28 @@ def test_p1_irregular_bodies(spark):
     assert "beat_reveal" in table.columns and table.count() == flat.where("level = 'scenes[].beats[]'").count()
 
 
+def test_p1_every_level_has_a_table(spark, tmp_path):
+    bodies = [json.dumps({"theme": "t", "scenes": [{"elements": [{"id": "e", "tips": [{"n": 1}]}], "beats": [{"elements": [{"id": "f"}, 3, {}]}]}],
+                          "learner_model": {"transitions": [{"from": "a"}, {"to": "b"}]}, "grid": [[{"x": 1}], [], [2, {"x": 3}]]}),
+              json.dumps({"theme": 4, "beats": [{"id": "b1", "elements": [{}], "reveal": [{"op": "DRAW"}]}], "knowledge_model": {"scope": {"exclude": [{"topic": "z"}]}}}),
+              json.dumps([{"k": 1}]), "{", None]
+    spark.createDataFrame(list(enumerate(bodies)), "script_id long, body string").write.parquet(f"{tmp_path}/scripts.parquet")
+    got = {q: rows(problems.QUERIES[q](spark, str(tmp_path)).drop("node_key", "parent_key")) for q in [*problems.TABLES, "p1_other"]}
+    assert got["p1_scene_elements"] == [(0, [0, 0], "e", '[{"n":1}]')]
+    assert got["p1_beat_elements"] == [(0, [0, 0, 0], "f"), (0, [0, 0, 2], None)]
+    assert got["p1_transitions"] == [(0, [0], "a", None), (0, [1], None, "b")]
+    assert got["p1_excluded"] == [(1, [0], "z")] and got["p1_pool_reveal"] == [(1, [0, 0], "DRAW")] and got["p1_pool_elements"] == [(1, [0, 0])]
+    assert [(r[0], r[1], r[-1]) for r in got["p1_documents"]] == [(0, [], "t"), (1, [], "4")]
+    assert got["p1_other"] == [(0, "grid[][]", [0, 0], '{"x": 1}'), (0, "grid[][]", [2, 1], '{"x": 3}'),
+                               (0, "scenes[].elements[].tips[]", [0, 0, 0], '{"n": 1}'), (2, "[]", [0], '{"k": 1}')]
+
+
+def test_p1_levels_of_the_scripts(spark):
+    scripts = spark.read.parquet("/root/testdata/sf0.01/scripts.parquet")
+    assert set(nested.list_levels(nested.merged_schema(scripts, "body"))) == {level for level, _ in problems.TABLES.values()} - {nested.ROOT}
+    assert problems.p1_other(spark, "/root/testdata/sf0.01").count() == 0
+
+
 def test_p1_empty_table(spark):
     df = spark.createDataFrame([], "script_id long, body string")
     assert nested.merged_schema(df, "body").count() == 0
