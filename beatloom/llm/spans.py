@@ -201,17 +201,70 @@ def shared_pairs(docs: DataFrame, key: str, text: str, wanted: int = 200) -> Dat
     return across.unionByName(within)
 
 
+def _runs(windows: DataFrame) -> DataFrame:
+    """(cls, run, units): the neighbouring units of each text of which any two stand side by side in another text too.
+
+    A unit (first, last, id) is a row of windows that follow each other wherever
+    one of them stands, so it stands whole wherever a part of it does.
+    """
+    by_text = Window.partitionBy("cls").orderBy("pos")  # one text's windows
+    beside = lambda of, step: F.when(of("pos").over(by_text) == F.col("pos") + step, of("h").over(by_text))
+    linked = windows.select("cls", "pos", "h", beside(F.lag, -1).alias("prev"), beside(F.lead, 1).alias("next"))
+    alone = lambda c: F.coalesce((F.count(c) < F.count("*")) | (F.min(c) != F.max(c)), F.lit(True))
+    loose = linked.groupBy("h").agg(alone("prev").alias("left"), alone("next").alias("right")).where("left or right")
+    marked = linked.join(loose, "h", "left").fillna(False, ["left", "right"])
+    opened = F.col("prev").isNull() | F.col("left") | F.lag("right").over(by_text)
+    units = (marked.withColumn("o", F.when(opened, 1).otherwise(0)).withColumn("u", F.sum("o").over(by_text))
+             .groupBy("cls", "u").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("h", "pos").alias("id")))
+    by_unit = Window.partitionBy("cls").orderBy("first")
+    before = F.when(F.lag("last").over(by_unit) + 1 == F.col("first"), F.lag("id").over(by_unit))
+    units = materialise(units.withColumn("before", before).drop("u"), "span-units")
+    shared = units.where("before is not null").groupBy("before", "id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    joined = units.join(shared.select("before", "id", F.lit(0).alias("same")), ["before", "id"], "left")
+    runs = joined.withColumn("run", F.sum(F.coalesce("same", F.lit(1))).over(by_unit)).groupBy("cls", "run")
+    return materialise(runs.agg(F.sort_array(F.collect_list(F.struct("first", "last", "id"))).alias("units")), "span-runs")
+
+
+def _parts(runs: DataFrame) -> DataFrame:
+    """(cls, run, i, j, h): the units i to j of a run, three at least, and a digest of their ids."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, run, ids in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for i in range(len(ids) - 2):
+                    mark, marks = blake2b(ids[i] + ids[i + 1], digest_size=16), []
+                    for k in ids[i + 2:]:
+                        mark.update(k)
+                        marks.append(mark.digest())
+                    n = len(marks)
+                    yield pa.RecordBatch.from_arrays([pa.array([cls] * n, pa.int64()), pa.array([run] * n, pa.int64()), pa.array([i] * n, pa.int32()),
+                                                      pa.array(range(i + 2, i + 2 + n), pa.int32()), pa.array(marks, pa.binary())], ["cls", "run", "i", "j", "h"])
+
+    long = runs.where(F.size("units") > 2).select("cls", F.col("run").cast("bigint"), F.col("units.id").alias("ids"))
+    return long.mapInArrow(parts, "cls bigint, run bigint, i int, j int, h binary")
+
+
+def _stretches(windows: DataFrame, wanted: int) -> DataFrame:
+    """(cls, start_char, end_char): the stretches that stand whole in another text and in no longer such stretch."""
+    runs = _runs(windows)
+    parts = materialise(_parts(runs), "span-parts")
+    far = parts.join(_repeated(parts), "h", "left_semi").groupBy("cls", "run", "i").agg(F.max("j").alias("j"))
+    each = runs.select("cls", "run", F.size("units").alias("n"), "units", F.posexplode("units").alias("i", "unit"))
+    ends = (each.join(far, ["cls", "run", "i"], "left")
+            .withColumn("j", F.coalesce("j", F.least(F.col("i") + 1, F.col("n") - 1)))  # two neighbours are shared always
+            .select("cls", "run", F.col("unit.first").alias("start_char"), (F.get("units", F.col("j"))["last"] + wanted).alias("end_char")))
+    further = F.lag("end_char").over(Window.partitionBy("cls", "run").orderBy("start_char"))
+    return ends.withColumn("further", further).where("further is null or end_char > further").select("cls", "start_char", "end_char")
+
+
 def shared_spans(docs: DataFrame, key: str, text: str, wanted: int = 200) -> DataFrame:
-    """(doc_id, ``start_char``, ``end_char``): the stretches of each document of which every run of ``wanted`` stands elsewhere too.
+    """(doc_id, ``start_char``, ``end_char``): the stretches of each document that stand whole in another document.
 
-    A text with copies is shared whole.  Overlapping and touching runs are one stretch.
+    Only those within no longer one; stretches found in different documents may
+    overlap.  A text with copies is shared whole.
     """
     members, texts = _folded(docs, key, text, wanted)
-    windows = shared_windows(texts, wanted)
-    by_text = Window.partitionBy("cls").orderBy("pos")  # one text's windows
-    opened = F.when(F.col("pos") - F.lag("pos").over(by_text) <= wanted, 0).otherwise(1)
-    runs = (windows.select("cls", "pos").distinct().withColumn("o", opened).withColumn("r", F.sum("o").over(by_text))
-            .groupBy("cls", "r").agg(F.min("pos").alias("start_char"), (F.max("pos") + wanted).alias("end_char")).drop("r"))
+    runs = _stretches(shared_windows(texts, wanted), wanted)
     whole = texts.where("n_members > 1").select("cls", F.lit(0).alias("start_char"), F.length("text").alias("end_char"))
     single = runs.join(whole.select("cls"), "cls", "left_anti")
     copied = members.join(whole, "cls").select("key", "start_char", "end_char")
@@ -220,8 +273,12 @@ def shared_spans(docs: DataFrame, key: str, text: str, wanted: int = 200) -> Dat
 
 
 def shared_report(docs: DataFrame, key: str, text: str, wanted: int = 200) -> DataFrame:
-    """(doc_id, ``n_chars``, ``n_spans``, ``shared_chars``) of every document; null texts have 0 characters."""
-    spans = shared_spans(docs, key, text, wanted).groupBy("doc_id").agg(
-        F.count("*").alias("n_spans"), F.sum(F.col("end_char") - F.col("start_char")).alias("shared_chars"))
+    """(doc_id, ``n_chars``, ``n_spans``, ``shared_chars``) of every document; null texts have 0 characters.
+
+    Characters in more than one span count once.
+    """
+    passed = F.lag("end_char", 1, 0).over(Window.partitionBy("doc_id").orderBy("start_char"))  # a later start has a later end
+    spans = shared_spans(docs, key, text, wanted).withColumn("fresh", F.col("end_char") - F.greatest("start_char", passed))
+    spans = spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("fresh").alias("shared_chars"))
     every = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
     return every.join(spans, "doc_id", "left").fillna(0, ["n_spans", "shared_chars"])

@@ -298,6 +298,37 @@ def test_spans_equal_brute_force(spark, wanted, seed):
     assert report == {k: covered.get(k, 0) for k, _ in docs}
 
 
+def stretches(docs, wanted):
+    """The longest stretches of each document that stand in another, by searching every one."""
+    out = []
+    for k, t in docs:
+        others, reach, end = [u for j, u in docs if j != k and u], 0, 0
+        for i in range(len(t or "") - wanted + 1):
+            end = max(end, i + wanted - 1)
+            while end < len(t) and any(t[i:end + 1] in u for u in others):
+                end += 1
+            if end >= i + wanted and end > reach:
+                out.append((k, i, end))
+                reach = end
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("wanted,seed", [(8, 0), (3, 1), (12, 2)])
+def test_spans_stand_whole_elsewhere(spark, wanted, seed):
+    rng = random.Random(seed)
+    make = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    a, b, c = make(3 * wanted), make(2 * wanted), make(2 * wanted)
+    docs = [(1, None), (2, a + b), (3, a), (4, b), (5, a[:wanted + 3] + "#" + a[wanted + 3:]), (6, b + c + a), (7, c + a), (8, b + c), (9, "x" * 5 * wanted),
+            (10, "x" * 3 * wanted + "y" + "x" * wanted), (11, make(wanted)), (12, a + "!" + c + b), (13, a + "!" + c + b), (14, c + c + c), (15, c + c + "-" + c)]
+    docs += [(20 + k, make(rng.randrange(0, 3)) + rng.choice([a, b, c])[rng.randrange(0, wanted):] + rng.choice([a, b, c])[:rng.randrange(1, 2 * wanted)]) for k in range(25)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = stretches(docs, wanted)
+    assert rows(spans.shared_spans(df, "doc_id", "text", wanted)) == want
+    _, covered = shared(docs, wanted)
+    report = {r.doc_id: (r.n_spans, r.shared_chars) for r in spans.shared_report(df, "doc_id", "text", wanted).collect()}
+    assert report == {k: (sum(w[0] == k for w in want), covered.get(k, 0)) for k, _ in docs}
+
+
 def test_spans_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.shared_pairs(df, "doc_id", "text", 20).count() == spans.shared_report(df, "doc_id", "text", 20).count() == 0
