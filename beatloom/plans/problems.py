@@ -37,19 +37,13 @@ BEAT_REFS = {"scenes[].beats[]": nested.Refs(member="beat_refs", pool="beats")}
 PAUSE_MS = 400
 
 
-def script_levels(schema: DataFrame) -> list[str]:
-    """The list levels of the merged schema, and the six known ones even where no document writes them as lists."""
-    return sorted({*nested.list_levels(schema), *SCRIPT_KINDS})
-
-
 def p1_schema(spark: SparkSession, d: str) -> DataFrame:
     return nested.merged_schema(spread(load(spark, d, "scripts", "body")), "body")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     scripts = spread(load(spark, d, "scripts", "script_id", "body"))
-    levels = [p for p in script_levels(nested.merged_schema(scripts, "body")) if p in SCRIPT_KINDS]
-    flat = nested.flatten(scripts, ["script_id"], "body", levels, BEAT_REFS, values=False)
+    flat = nested.flatten(scripts, ["script_id"], "body", list(SCRIPT_KINDS), BEAT_REFS, values=False)
     kind = F.create_map(*[F.lit(x) for kv in SCRIPT_KINDS.items() for x in kv])[F.col("level")]
     spatial = F.col("level").startswith("scenes[]")
     pos = lambda i: F.coalesce(F.get("ordinals", F.lit(i)), F.lit(-1))
