@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 ROOT = ""  # the level of the document itself
 MAX_PATHS = 100_000  # a merged schema of more paths is refused: keys that are data need a level of their own
 
@@ -239,6 +241,25 @@ def columns_of(schema: DataFrame, level: str, max_paths: int = MAX_PATHS) -> str
     rows = direct.where(~F.col("m").contains(".") & ~F.col("m").contains("[]") & (F.col("type") != "null")).limit(max_paths + 1).collect()
     if len(rows) > max_paths:
         raise ValueError(f"{level} has more than {max_paths} members")
+    return _ddl(rows)
+
+
+def entry_members(rows: DataFrame, value: str = "value") -> DataFrame:
+    """(m, type): the members of the objects in ``value`` with their JSON types, wherever the objects come from."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for m, v in json.loads(text).items():
+                    inner = unwrap(v)
+                    seen.add((m, "text of " + kind(inner) if inner is not v else kind(v)))
+        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string())], ["m", "type"])
+
+    return rows.select(value).mapInArrow(walk, "m string, type string").where("type <> 'null'").distinct()
+
+
+def _ddl(rows: list) -> str:
     types: dict[str, set] = {}
     for r in rows:
         types.setdefault(r["m"], set()).add(r["type"])
@@ -247,13 +268,23 @@ def columns_of(schema: DataFrame, level: str, max_paths: int = MAX_PATHS) -> str
     return ", ".join(f"`{m.replace('`', '``')}` {one(t)}" for m, t in sorted(types.items()))
 
 
-def child_table(flat: DataFrame, schema: DataFrame, level: str, prefix: str = "") -> DataFrame:
+def child_table(flat: DataFrame, schema: DataFrame | None, level: str, prefix: str = "", max_paths: int = MAX_PATHS) -> DataFrame:
     """The rows of ``level`` with its scalar members as columns ``prefix + member``.
 
-    A prefix keeps members apart from keys of the same name.
+    A prefix keeps members apart from keys of the same name.  Without a
+    ``schema`` the members and types are those of the rows themselves: entries
+    named by reference and lone objects count like those of a list.
     """
-    ddl, keep = columns_of(schema, level), [c for c in flat.columns if c != "value"]
+    keep = [c for c in flat.columns if c != "value"]
     rows = flat.where(F.col("level") == level)
+    if schema is None:
+        rows = materialise(rows, "entries")
+        members = entry_members(rows).limit(max_paths + 1).collect()
+        if len(members) > max_paths:
+            raise ValueError(f"{level} has more than {max_paths} members")
+        ddl = _ddl(members)
+    else:
+        ddl = columns_of(schema, level)
     if not ddl:
         return rows.select(*keep)
     rows = rows.withColumn("_v", F.from_json("value", ddl))

@@ -90,9 +90,8 @@ SELECT script_id, 'relation', -1, -1, pos FROM rl WHERE json_type(x) = 'OBJECT'
 def _p1_table(level: str, prefix: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         scripts = spread(load(spark, d, "scripts", "script_id", "body"))
-        schema = nested.merged_schema(scripts, "body")
         flat = nested.flatten(scripts, ["script_id"], "body", [level], BEAT_REFS)
-        return nested.child_table(flat, schema, level, prefix).drop("level")
+        return nested.child_table(flat, None, level, prefix).drop("level")
     return query
 
 

@@ -67,6 +67,18 @@ def test_p1_levels_of_the_scripts(spark):
     assert problems.p1_other(spark, "/root/testdata/sf0.01").count() == 0
 
 
+def test_p1_columns_of_pool_and_lone_objects(spark, tmp_path):
+    bodies = [json.dumps({"scenes": [{"beats": [{"id": 7, "reveal": [{"op": "DRAW"}]}]}]}),
+              json.dumps({"scenes": [{"beat_refs": ["b1"]}], "beats": [{"id": "b1", "mood": "calm", "a.b": 1}]}),
+              json.dumps({"scenes": [{"beats": {"id": 8, "tempo": 1.5, "reveal": {"op": 4, "speed": 2}}}]})]
+    spark.createDataFrame(list(enumerate(bodies)), "script_id long, body string").write.parquet(f"{tmp_path}/scripts.parquet")
+    beats = {r.script_id: r.asDict() for r in problems.QUERIES["p1_beats"](spark, str(tmp_path)).collect()}
+    assert [beats[i]["beat_id"] for i in range(3)] == ["7", "b1", "8"]
+    assert beats[1]["beat_mood"] == "calm" and beats[1]["beat_a.b"] == 1 and beats[2]["beat_tempo"] == 1.5
+    reveal = {r.script_id: (r.reveal_op, r.reveal_speed) for r in problems.QUERIES["p1_reveal"](spark, str(tmp_path)).collect()}
+    assert reveal == {0: ("DRAW", None), 2: ("4", 2)}
+
+
 def test_p1_empty_table(spark):
     df = spark.createDataFrame([], "script_id long, body string")
     assert nested.merged_schema(df, "body").count() == 0
