@@ -41,66 +41,107 @@ def p1_schema(spark: SparkSession, d: str) -> DataFrame:
     return nested.merged_schema(spread(load(spark, d, "scripts", "body")), "body")
 
 
+def _levels(shredded: DataFrame) -> list[str]:
+    """The levels that the documents show; those of SCRIPT_KINDS are lists even where no document writes one as such."""
+    return [*SCRIPT_KINDS, *(p for p in nested.levels_of(shredded) if p not in SCRIPT_KINDS)]
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    scripts = spread(load(spark, d, "scripts", "script_id", "body"))
-    flat = nested.flatten(scripts, ["script_id"], "body", list(SCRIPT_KINDS), BEAT_REFS, values=False)
+    shredded = nested.shred(spread(load(spark, d, "scripts", "script_id", "body")), ["script_id"], "body", BEAT_REFS, values=False)
+    flat = nested.related(shredded, ["script_id"], _levels(shredded), BEAT_REFS, values=False)
     kind = F.create_map(*[F.lit(x) for kv in SCRIPT_KINDS.items() for x in kv])[F.col("level")]
     spatial = F.col("level").startswith("scenes[]")
     pos = lambda i: F.coalesce(F.get("ordinals", F.lit(i)), F.lit(-1))
     outside = F.lit(-1)
-    return flat.select("script_id", kind.alias("item_kind"),
+    return flat.where(kind.isNotNull()).select("script_id", kind.alias("item_kind"),
                        F.when(spatial, pos(0)).otherwise(outside).cast("int").alias("scene_pos"),
                        F.when(spatial, pos(1)).otherwise(outside).cast("int").alias("beat_pos"),
                        F.when(spatial, pos(2)).otherwise(pos(0)).cast("int").alias("item_pos"))
 
 
-def _p1_found_sql() -> str:
-    """The six levels one below the other, in SQL."""
+def _opened(v: str) -> str:  # text that holds JSON stands for it
+    return f"CASE WHEN json_type({v}) = 'VARCHAR' AND json_valid(json_extract_string({v}, '$')) THEN CAST(json_extract_string({v}, '$') AS JSON) ELSE {v} END"
 
-    def opened(v: str) -> str:  # text that holds JSON stands for it
-        return f"CASE WHEN json_type({v}) = 'VARCHAR' AND json_valid(json_extract_string({v}, '$')) THEN CAST(json_extract_string({v}, '$') AS JSON) ELSE {v} END"
 
-    def entries(name: str, src: str, keys: str, v: str) -> str:
-        return f"""{name}_v AS (SELECT {keys}, {opened(v)} AS v FROM {src}),
+def _entries(name: str, src: str, keys: str, v: str) -> str:
+    return f"""{name}_v AS (SELECT {keys}, {_opened(v)} AS v FROM {src}),
 {name}_l AS (SELECT {keys}, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN CASE WHEN len(json_keys(v)) = 0 THEN CAST([] AS JSON[])
  WHEN len(list_filter(json_keys(v), lambda k: json_type(json_extract(v, k)) <> 'OBJECT')) = 0 THEN list_transform(json_keys(v), lambda k: json_extract(v, k)) ELSE [v] END ELSE CAST([] AS JSON[]) END AS l FROM {name}_v),
 {name} AS (SELECT {keys}, unnest(l) AS x, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM {name}_l)"""
 
-    parts = [
-      "d AS (SELECT script_id, CAST(body AS JSON) AS doc FROM scripts WHERE body IS NOT NULL AND json_valid(body))",
-      entries("sc", "d", "script_id, doc", "json_extract(doc, 'scenes')"),
-      "so AS (SELECT script_id, doc, x AS s, pos AS scene_pos FROM sc WHERE json_type(x) = 'OBJECT')",
-      entries("own", "(SELECT * FROM so WHERE list_contains(json_keys(s), 'beats'))", "script_id, scene_pos", "json_extract(s, 'beats')"),
-      entries("rf", "(SELECT * FROM so WHERE NOT list_contains(json_keys(s), 'beats') AND list_contains(json_keys(doc), 'beats'))", "script_id, scene_pos", "json_extract(s, 'beat_refs')"),
-      entries("pl", "d", "script_id", "json_extract(doc, 'beats')"),
-      "pool AS (SELECT script_id, json_extract_string(x, 'id') AS id, arg_min(x, pos) AS x FROM pl WHERE json_type(x) = 'OBJECT' AND json_type(json_extract(x, 'id')) = 'VARCHAR' GROUP BY 1, 2)",
-      "bt AS (SELECT script_id, scene_pos, pos AS beat_pos, x FROM own WHERE json_type(x) = 'OBJECT' UNION ALL SELECT rf.script_id, scene_pos, pos, pool.x FROM rf JOIN pool ON pool.script_id = rf.script_id AND json_type(rf.x) = 'VARCHAR' AND json_extract_string(rf.x, '$') = pool.id)",
-      entries("rv", "bt", "script_id, scene_pos, beat_pos", "json_extract(x, 'reveal')"),
-      f"km AS (SELECT script_id, {opened('k')} AS k FROM (SELECT script_id, json_extract(doc, 'knowledge_model') AS k FROM d))",
-      f"md AS (SELECT script_id, {opened('m')} AS m FROM (SELECT script_id, json_extract(k, 'model') AS m FROM km WHERE json_type(k) = 'OBJECT'))",
-      entries("nd", "(SELECT * FROM md WHERE json_type(m) = 'OBJECT')", "script_id", "json_extract(m, 'nodes')"),
-      entries("rl", "(SELECT * FROM md WHERE json_type(m) = 'OBJECT')", "script_id", "json_extract(m, 'relations')"),
-      entries("ev", "(SELECT * FROM km WHERE json_type(k) = 'OBJECT')", "script_id", "json_extract(k, 'evidence')")]
-    sel = """SELECT script_id, 'scene' AS item_kind, scene_pos, -1 AS beat_pos, -1 AS item_pos FROM so UNION ALL SELECT script_id, 'beat', scene_pos, beat_pos, -1 FROM bt UNION ALL
+
+_P1_LEVELS = "WITH " + ",\n".join([  # the levels one below the other
+    "d AS (SELECT script_id, CAST(body AS JSON) AS doc FROM scripts WHERE body IS NOT NULL AND json_valid(body))",
+    _entries("sc", "d", "script_id, doc", "json_extract(doc, 'scenes')"),
+    "so AS (SELECT script_id, doc, x AS s, pos AS scene_pos FROM sc WHERE json_type(x) = 'OBJECT')",
+    _entries("own", "(SELECT * FROM so WHERE list_contains(json_keys(s), 'beats'))", "script_id, scene_pos", "json_extract(s, 'beats')"),
+    _entries("rf", "(SELECT * FROM so WHERE NOT list_contains(json_keys(s), 'beats') AND list_contains(json_keys(doc), 'beats'))", "script_id, scene_pos", "json_extract(s, 'beat_refs')"),
+    _entries("pl", "d", "script_id", "json_extract(doc, 'beats')"),
+    "pool AS (SELECT script_id, json_extract_string(x, 'id') AS id, arg_min(x, pos) AS x FROM pl WHERE json_type(x) = 'OBJECT' AND json_type(json_extract(x, 'id')) = 'VARCHAR' GROUP BY 1, 2)",
+    "bt AS (SELECT script_id, scene_pos, pos AS beat_pos, x FROM own WHERE json_type(x) = 'OBJECT' UNION ALL SELECT rf.script_id, scene_pos, pos, pool.x FROM rf JOIN pool ON pool.script_id = rf.script_id AND json_type(rf.x) = 'VARCHAR' AND json_extract_string(rf.x, '$') = pool.id)",
+    _entries("rv", "bt", "script_id, scene_pos, beat_pos", "json_extract(x, 'reveal')"),
+    f"km AS (SELECT script_id, {_opened('k')} AS k FROM (SELECT script_id, json_extract(doc, 'knowledge_model') AS k FROM d))",
+    f"md AS (SELECT script_id, {_opened('m')} AS m FROM (SELECT script_id, json_extract(k, 'model') AS m FROM km WHERE json_type(k) = 'OBJECT'))",
+    _entries("nd", "(SELECT * FROM md WHERE json_type(m) = 'OBJECT')", "script_id", "json_extract(m, 'nodes')"),
+    _entries("rl", "(SELECT * FROM md WHERE json_type(m) = 'OBJECT')", "script_id", "json_extract(m, 'relations')"),
+    _entries("ev", "(SELECT * FROM km WHERE json_type(k) = 'OBJECT')", "script_id", "json_extract(k, 'evidence')")]) + "\n"
+
+P1_FOUND_SQL = _P1_LEVELS + """SELECT script_id, 'scene' AS item_kind, scene_pos, -1 AS beat_pos, -1 AS item_pos FROM so UNION ALL SELECT script_id, 'beat', scene_pos, beat_pos, -1 FROM bt UNION ALL
 SELECT script_id, 'reveal', scene_pos, beat_pos, pos FROM rv WHERE json_type(x) = 'OBJECT' UNION ALL SELECT script_id, 'node', -1, -1, pos FROM nd WHERE json_type(x) = 'OBJECT' UNION ALL
 SELECT script_id, 'relation', -1, -1, pos FROM rl WHERE json_type(x) = 'OBJECT' UNION ALL SELECT script_id, 'evidence', -1, -1, pos FROM ev WHERE json_type(x) = 'OBJECT'"""
-    return "WITH " + ",\n".join(parts) + "\n" + sel
+
+
+def _p1_table_sql(src: str, node: str, parent: str, pos: str, prefix: str, members: str) -> str:
+    """``members`` are those that the level has in the supplied scripts; ``!`` marks whole numbers."""
+    cast = lambda m: f"TRY_CAST(json_extract_string(x, '{m[1:]}') AS BIGINT) AS {prefix}{m[1:]}" if m[0] == "!" else f"json_extract_string(x, '{m}') AS {prefix}{m}"
+    return f"{_P1_LEVELS}SELECT script_id, {node} AS node_key, {parent} AS parent_key, {pos} AS ordinal, {', '.join(map(cast, members.split()))} FROM {src} WHERE json_type(x) = 'OBJECT'"
+
+
+_BEAT = "'scenes[' || scene_pos || '].beats[' || beat_pos || ']'"
+P1_TABLE_SQL = {
+    "p1_scenes": _p1_table_sql("(SELECT script_id, scene_pos, s AS x FROM so)", "'scenes[' || scene_pos || ']'", "CAST(NULL AS VARCHAR)", "scene_pos", "scene_",
+                               "beat_refs beats board_subject elements id narration"),
+    "p1_beats": _p1_table_sql("bt", _BEAT, "'scenes[' || scene_pos || ']'", "beat_pos", "beat_",
+                              "channel_allocation cognitive_operation elements evidence_refs id narrative obstacle reveal scene_slice state_after state_before visual_operation"),
+    "p1_reveal": _p1_table_sql("rv", _BEAT + " || '.reveal[' || pos || ']'", _BEAT, "pos", "reveal_", "!bound_span op target"),
+    "p1_nodes": _p1_table_sql("nd", "'knowledge_model.model.nodes[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "node_", "evidence id"),
+    "p1_relations": _p1_table_sql("rl", "'knowledge_model.model.relations[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "relation_", "from to type"),
+    "p1_evidence": _p1_table_sql("ev", "'knowledge_model.evidence[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "evidence_", "claim confidence id note source"),
+}
+P1_SCHEMA_SQL = f"""WITH RECURSIVE w AS (SELECT '' AS path, CAST(body AS JSON) AS raw FROM scripts WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) <> 'NULL'
+UNION ALL SELECT CASE WHEN c.k IS NULL THEN path || '[]' WHEN path = '' THEN c.k ELSE path || '.' || c.k END, c.x FROM (SELECT path, {_opened('raw')} AS v FROM w) w, LATERAL (
+ SELECT NULL AS k, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN CAST(v AS JSON[]) WHEN json_type(v) = 'OBJECT' AND len(list_filter(json_keys(v), lambda n: json_type(json_extract(v, n)) <> 'OBJECT')) = 0
+  THEN list_transform(json_keys(v), lambda n: json_extract(v, n)) ELSE CAST([] AS JSON[]) END) AS x
+ UNION ALL SELECT n, json_extract(v, n) FROM (SELECT unnest(CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) ELSE [] END) AS n)) c),
+t AS (SELECT path, json_type(raw) AS rt, json_type({_opened('raw')}) AS it FROM w)
+SELECT path, type, count(*) AS n FROM (SELECT path, CASE WHEN rt = 'VARCHAR' AND it <> 'VARCHAR' THEN 'text of ' ELSE '' END || CASE coalesce(it, 'NULL') WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'decimal' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'integer' END AS type FROM t)
+GROUP BY path, type"""
 
 
 def _p1_table(level: str, prefix: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         scripts = spread(load(spark, d, "scripts", "script_id", "body"))
         flat = nested.flatten(scripts, ["script_id"], "body", [level], BEAT_REFS)
-        return nested.child_table(flat, None, level, prefix).drop("level")
+        return nested.child_table(flat, ["script_id"], level, prefix)
     return query
 
 
+def _all_levels(spark: SparkSession, d: str) -> DataFrame:
+    shredded = nested.shred(spread(load(spark, d, "scripts", "script_id", "body")), ["script_id"], "body", BEAT_REFS)
+    return nested.related(shredded, ["script_id"], _levels(shredded), BEAT_REFS)
+
+
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of every list that are no objects: values, and lists as the parents of their own entries."""
+    rows = _all_levels(spark, d).where("type <> 'object'")
+    return rows.select("script_id", "level", "node_key", "parent_key", F.element_at("ordinals", -1).alias("ordinal"), "type", "value")
+
+
 def p1_other(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of every list level of the merged schema that has no table of its own."""
-    scripts = spread(load(spark, d, "scripts", "script_id", "body"))
+    """The objects of every list level that has no table of its own."""
     named = [level for level, _ in TABLES.values()]
-    levels = [p for p in nested.list_levels(nested.merged_schema(scripts, "body")) if p not in named]
-    return nested.flatten(scripts, ["script_id"], "body", levels, BEAT_REFS).where(F.col("level").isin(levels))
+    rows = _all_levels(spark, d).where((F.col("type") == "object") & ~F.col("level").isin(named))
+    return rows.select("script_id", "level", "node_key", "parent_key", F.element_at("ordinals", -1).alias("ordinal"), "value")
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -186,8 +227,8 @@ def _p5_table(file_kind: str):
 
 QUERIES = {
     "p1_found": p1_found, "p1_schema": p1_schema,
-    **{name: _p1_table(level, prefix) for name, (level, prefix) in TABLES.items()}, "p1_other": p1_other,
+    **{name: _p1_table(level, prefix) for name, (level, prefix) in TABLES.items()}, "p1_values": p1_values, "p1_other": p1_other,
     "p4_found": p4_found, "p4_periods": p4_periods,
     "p5_found": p5_found, "p5_types": p5_types, "p5_words": _p5_table("words"), "p5_state": _p5_table("state"),
 }
-ORACLE_SQL = {"p1_found": _p1_found_sql(), "p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL, "p5_found": P5_FOUND_SQL}
+ORACLE_SQL = {"p1_found": P1_FOUND_SQL, "p1_schema": P1_SCHEMA_SQL, **P1_TABLE_SQL, "p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL, "p5_found": P5_FOUND_SQL}

@@ -32,17 +32,42 @@ def test_p1_irregular_bodies(spark):
     bodies += bodies[-2:]
     df = spark.createDataFrame([(i, b, "x") for i, b in enumerate(bodies)], "script_id long, body string, level string")
     levels = list(problems.SCRIPT_KINDS)
-    flat = nested.flatten(df, ["script_id"], "body", levels, problems.BEAT_REFS)
-    got = sorted((r.script_id, problems.SCRIPT_KINDS[r.level], *r.ordinals) for r in flat.collect())
     want = sorted((s, k, *[p for p in pos if p >= 0]) for i, b in enumerate(bodies) for s, k, *pos in brute.script_items(i, b))
-    assert got == want
-    assert flat.where("parent_key is null").select("level").distinct().count() == 3
-    parents = flat.select("script_id", F.col("node_key").alias("parent_key"))
-    assert flat.where("parent_key is not null").join(parents, ["script_id", "parent_key"], "left_anti").count() == 0
-    schema = nested.merged_schema(df, "body").cache()
-    assert {"scenes[]", "scenes[].beats[]"} <= set(nested.list_levels(schema))
-    table = nested.child_table(flat, schema, "scenes[].beats[]", "beat_")
-    assert "beat_reveal" in table.columns and table.count() == flat.where("level = 'scenes[].beats[]'").count()
+    shredded = nested.shred(df, ["script_id"], "body", problems.BEAT_REFS)
+    every = [*levels, *(p for p in nested.levels_of(shredded) if p not in levels)]
+    for flat in (nested.flatten(df, ["script_id"], "body", levels, problems.BEAT_REFS), nested.related(shredded, ["script_id"], every, problems.BEAT_REFS).where(F.col("level").isin(levels))):
+        got = sorted((r.script_id, problems.SCRIPT_KINDS[r.level], *r.ordinals) for r in flat.where("type = 'object'").collect())
+        assert got == want
+        assert flat.where("parent_key is null").select("level").distinct().count() == 3
+        parents = flat.select("script_id", F.col("node_key").alias("parent_key"))
+        assert flat.where("parent_key is not null").join(parents, ["script_id", "parent_key"], "left_anti").count() == 0
+    schema = {(r.path, r.type) for r in nested.merged_schema(df, "body").collect()}
+    assert {("scenes", "list"), ("scenes", "object"), ("scenes[].beats[].reveal", "text of list")} <= schema
+    table = nested.child_table(flat, ["script_id"], "scenes[].beats[]", "beat_")
+    assert "beat_reveal" in table.columns and table.count() == flat.where("level = 'scenes[].beats[]' and type = 'object'").count()
+
+
+def test_p1_levels_follow_the_documents(spark):
+    """A seventh level, lists of values and of lists, names with dots, and objects where other documents have the list."""
+    bodies = [json.dumps({"scenes": [{"shots": [{"a": 1, "tags": ["x", None, 2]}, 7]}, {"shots": [[{"b": 1}], []]}], "x.y": [{"q": [1]}], "x": {"y": [3]}}),
+              json.dumps({"scenes": {"s": {"shots": {"u": {"a": 2}, "v": {"a": 3, "tags": "[4]"}}}}}),
+              json.dumps({"scenes": [{"shots": {"a": 5, "tags": {"k": 1}}}]}), '{"scenes": [NaN]}']
+    df = spark.createDataFrame([(i, b, "z") for i, b in enumerate(bodies)], "script_id long, body string, entries string")
+    shredded = nested.shred(df, ["script_id"], "body")
+    levels = nested.levels_of(shredded)
+    assert set(levels) == {"scenes[]", "scenes[].shots[]", "scenes[].shots[].tags[]", "scenes[].shots[][]", "x%2Ey[]", "x%2Ey[].q[]", "x.y[]"}
+    flat = nested.related(shredded, ["script_id"], levels)
+    got = {(r.script_id, r.level, *r.ordinals): (r.type, r.value) for r in flat.where("not level = 'scenes[]'").collect()}
+    assert got == {
+        (0, "scenes[].shots[]", 0, 0): ("object", '{"a": 1, "tags": ["x", null, 2]}'), (0, "scenes[].shots[]", 0, 1): ("integer", "7"),
+        (0, "scenes[].shots[].tags[]", 0, 0, 0): ("string", "x"), (0, "scenes[].shots[].tags[]", 0, 0, 1): ("null", None), (0, "scenes[].shots[].tags[]", 0, 0, 2): ("integer", "2"),
+        (0, "scenes[].shots[]", 1, 0): ("list", None), (0, "scenes[].shots[]", 1, 1): ("list", None), (0, "scenes[].shots[][]", 1, 0, 0): ("object", '{"b": 1}'),
+        (0, "x%2Ey[]", 0): ("object", '{"q": [1]}'), (0, "x%2Ey[].q[]", 0, 0): ("integer", "1"), (0, "x.y[]", 0): ("integer", "3"),
+        (1, "scenes[].shots[]", 0, 0): ("object", '{"a": 2}'), (1, "scenes[].shots[]", 0, 1): ("object", '{"a": 3, "tags": "[4]"}'), (1, "scenes[].shots[].tags[]", 0, 1, 0): ("integer", "4"),
+        (2, "scenes[].shots[]", 0, 0): ("object", '{"a": 5, "tags": {"k": 1}}'), (2, "scenes[].shots[].tags[]", 0, 0, 0): ("object", '{"k": 1}')}
+    children, parents = flat.where("parent_key is not null"), flat.select("script_id", F.col("node_key").alias("parent_key")).distinct()
+    assert children.join(parents, ["script_id", "parent_key"], "left_anti").count() == 0
+    assert flat.select("script_id", "node_key").distinct().count() == flat.count()
 
 
 def test_p1_every_level_has_a_table(spark, tmp_path):
@@ -51,20 +76,23 @@ def test_p1_every_level_has_a_table(spark, tmp_path):
               json.dumps({"theme": 4, "beats": [{"id": "b1", "elements": [{}], "reveal": [{"op": "DRAW"}]}], "knowledge_model": {"scope": {"exclude": [{"topic": "z"}]}}}),
               json.dumps([{"k": 1}]), "{", None]
     spark.createDataFrame(list(enumerate(bodies)), "script_id long, body string").write.parquet(f"{tmp_path}/scripts.parquet")
-    got = {q: rows(problems.QUERIES[q](spark, str(tmp_path)).drop("node_key", "parent_key")) for q in [*problems.TABLES, "p1_other"]}
-    assert got["p1_scene_elements"] == [(0, [0, 0], "e", '[{"n":1}]')]
-    assert got["p1_beat_elements"] == [(0, [0, 0, 0], "f"), (0, [0, 0, 2], None)]
-    assert got["p1_transitions"] == [(0, [0], "a", None), (0, [1], None, "b")]
-    assert got["p1_excluded"] == [(1, [0], "z")] and got["p1_pool_reveal"] == [(1, [0, 0], "DRAW")] and got["p1_pool_elements"] == [(1, [0, 0])]
-    assert [(r[0], r[1], r[-1]) for r in got["p1_documents"]] == [(0, [], "t"), (1, [], "4")]
-    assert got["p1_other"] == [(0, "grid[][]", [0, 0], '{"x": 1}'), (0, "grid[][]", [2, 1], '{"x": 3}'),
-                               (0, "scenes[].elements[].tips[]", [0, 0, 0], '{"n": 1}'), (2, "[]", [0], '{"k": 1}')]
+    got = {q: rows(problems.QUERIES[q](spark, str(tmp_path)).drop("ordinal", "parent_key")) for q in [*problems.TABLES, "p1_other", "p1_values"]}
+    assert got["p1_scene_elements"] == [(0, "scenes[0].elements[0]", "e", '[{"n":1}]')]
+    assert got["p1_beat_elements"] == [(0, "scenes[0].beats[0].elements[0]", "f"), (0, "scenes[0].beats[0].elements[2]", None)]
+    assert got["p1_transitions"] == [(0, "learner_model.transitions[0]", "a", None), (0, "learner_model.transitions[1]", None, "b")]
+    assert got["p1_excluded"] == [(1, "knowledge_model.scope.exclude[0]", "z")] and got["p1_pool_reveal"] == [(1, "beats[0].reveal[0]", "DRAW")] and got["p1_pool_elements"] == [(1, "beats[0].elements[0]")]
+    assert [(r[0], r[1], r[-1]) for r in got["p1_documents"]] == [(0, None, "t"), (1, None, "4")]
+    assert got["p1_other"] == [(0, "grid[][]", "grid[0].[0]", '{"x": 1}'), (0, "grid[][]", "grid[2].[1]", '{"x": 3}'),
+                               (0, "scenes[].elements[].tips[]", "scenes[0].elements[0].tips[0]", '{"n": 1}'), (2, "[]", "[0]", '{"k": 1}')]
+    assert got["p1_values"] == [(0, "grid[]", "grid[0]", "list", None), (0, "grid[]", "grid[1]", "list", None), (0, "grid[]", "grid[2]", "list", None),
+                                (0, "grid[][]", "grid[2].[0]", "integer", "2"), (0, "scenes[].beats[].elements[]", "scenes[0].beats[0].elements[1]", "integer", "3")]
 
 
 def test_p1_levels_of_the_scripts(spark):
-    scripts = spark.read.parquet("/root/testdata/sf0.01/scripts.parquet")
-    assert set(nested.list_levels(nested.merged_schema(scripts, "body"))) == {level for level, _ in problems.TABLES.values()} - {nested.ROOT}
-    assert problems.p1_other(spark, "/root/testdata/sf0.01").count() == 0
+    sf = "/root/testdata/sf0.01"
+    shredded = nested.shred(spark.read.parquet(f"{sf}/scripts.parquet"), ["script_id"], "body", problems.BEAT_REFS)
+    assert {level for level, _ in problems.TABLES.values()} - {nested.ROOT} <= set(nested.levels_of(shredded))
+    assert problems.p1_other(spark, sf).count() == 0
 
 
 def test_p1_columns_of_pool_and_lone_objects(spark, tmp_path):
@@ -82,6 +110,8 @@ def test_p1_columns_of_pool_and_lone_objects(spark, tmp_path):
 def test_p1_empty_table(spark):
     df = spark.createDataFrame([], "script_id long, body string")
     assert nested.merged_schema(df, "body").count() == 0
+    shredded = nested.shred(df, ["script_id"], "body")
+    assert nested.levels_of(shredded) == [] and nested.related(shredded, ["script_id"], []).count() == 0
     assert nested.flatten(df, ["script_id"], "body", list(problems.SCRIPT_KINDS), problems.BEAT_REFS).count() == 0
 
 
