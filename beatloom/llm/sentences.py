@@ -7,6 +7,9 @@ language comes first, then the shared rules, then the other languages', since
 texts mix languages.  Line breaks and the end of the text always end a
 sentence; inside balanced quotation marks and brackets of one line nothing does.
 
+The rules of a cascade are compiled into one expression that is matched at the
+candidate, looking back and ahead as far as the line goes.
+
 Rules see the text in the consistent form of :mod:`.unify` (without characters
 of no width, look-alike letters folded), so disguised abbreviations are
 abbreviations still; positions are those of the original.
@@ -25,14 +28,15 @@ from pyspark.sql import functions as F
 
 from .unify import folded, skeleton
 
-REACH = 48  # characters of context that a rule may see on either side
-LED, HELD = "\ue000", "\ue001"  # the position closes a quotation that opened the sentence, or one further inside
+PLAIN, LED, HELD = "plain", "led", "held"  # no quotation closes here; one that opened the sentence; one further inside
+QUOTED = (LED, HELD)
 
 
 class Rule(NamedTuple):
     breaks: bool
-    before: str
+    before: str  # in front of the closing marks
     after: str
+    at: tuple[str, ...] = (PLAIN,)
 
 
 # Abbreviations that never end a sentence, by language.
@@ -48,8 +52,8 @@ ABBREVIATIONS = {
     "th": "ดร ศ รศ ผศ นพ พญ พ.ศ ค.ศ น ม ร ต จ อ ถ",
     "ko": "Dr Prof Mr Ms",
 }
-# Abbreviations of several parts, as expressions.
-SEVERAL_PARTS = [r"p\.\s*ex", r"p\.\s*ej", r"d\.\s*h", r"z\.\s*B", r"u\.\s*a", r"i\.\s*e", r"e\.\s*g", r"т\.\s*е"]
+# Abbreviations of several parts, with or without the space.
+SEVERAL_PARTS = ["p. ex", "p. ej", "d. h", "z. B", "u. a", "i. e", "e. g", "т. е"]
 # Abbreviations that stand before a number.
 BEFORE_NUMBER = "no No nos Nos Nr nr n nº № p pp S s Abb fig Fig Tab vol Vol ch Ch sec Sec art Art núm Núm pág рис Рис стр гл табл hình Hình Bd Kap"
 # Months and other words that follow a German ordinal.
@@ -57,68 +61,83 @@ AFTER_ORDINAL = ("Januar Februar März April Mai Juni Juli August September Okto
                  "Jan Feb Mär Apr Jun Jul Aug Sep Okt Nov Dez Jahrhundert Mal Platz Kapitel Klasse Stock Teil")
 
 
-def _any(words: str) -> str:
-    """Alternatives for words, longest first, in the consistent form."""
-    return "|".join(regex.escape(skeleton(w)) for w in sorted(words.split(), key=len, reverse=True))
+def _shown(words: list[str], capitals: bool) -> frozenset[str]:
+    """A rule's words as a text shows them, with accents in their letters or as marks of their own.
+
+    Capitals are folded apart: not all of them are the capitals of the folded small letters.
+    """
+    written = [*words, *(w.upper() for w in words)] if capitals else words
+    return frozenset(form for w in written for form in (folded(w)[0], skeleton(w)))
 
 
+_SPLIT = {**{lang: words.split() for lang, words in ABBREVIATIONS.items()}, "number": BEFORE_NUMBER.split(), "ordinal": AFTER_ORDINAL.split(),
+          "parts": [form for x in SEVERAL_PARTS for form in (x, x.replace(" ", ""))]}
+WORDS = {capitals: {k: _shown(words, capitals) for k, words in _SPLIT.items()} for capitals in (False, True)}
+
 WORD_START = r"(?<![\p{L}\p{M}\p{N}])"
-# the rule sees a space; a text may have any kind of white space there
-LANGUAGE_RULES = {lang: [Rule(False, rf"{WORD_START}(?:{_any(words)})\.", r"\s+\S")] for lang, words in ABBREVIATIONS.items()}
-LANGUAGE_RULES["de"].append(Rule(False, rf"{WORD_START}\d{{1,2}}\.", rf"\s+(?:{_any(AFTER_ORDINAL)})\b"))
-LANGUAGE_RULES["ar"].append(Rule(False, rf"{WORD_START}\p{{Arabic}}\.", r"\s+\S"))
-LANGUAGE_RULES["hi"].append(Rule(False, rf"{WORD_START}\p{{Devanagari}}\p{{M}}?\.", r"\s+\S"))
-LANGUAGE_RULES["ja"] = [Rule(False, rf"[{LED}{HELD}]", r"(?:と|って|という|が|を|は|も|の|に|で|へ|や|な)")]
-LANGUAGE_RULES["ko"].append(Rule(False, rf"[{LED}{HELD}]", r"\p{Hangul}"))
-LANGUAGE_RULES["th"] += [Rule(False, r"[,،、，:;]", r"\s+\S"), Rule(False, r"\S", r"\s+[ๆฯ]")]
+GAP = r"[^\S\n]"  # white space within a line
+LANGUAGE_RULES = {lang: [Rule(False, rf"{WORD_START}\L<{lang}>\.", rf"{GAP}+\S")] for lang in ABBREVIATIONS}
+LANGUAGE_RULES["de"].append(Rule(False, rf"{WORD_START}\d{{1,2}}\.", rf"{GAP}+\L<ordinal>\b"))
+LANGUAGE_RULES["ar"].append(Rule(False, rf"{WORD_START}\p{{Arabic}}\.", rf"{GAP}+\S"))
+LANGUAGE_RULES["hi"].append(Rule(False, rf"{WORD_START}\p{{Devanagari}}\p{{M}}?\.", rf"{GAP}+\S"))
+LANGUAGE_RULES["ja"] = [Rule(False, "", r"(?:と|って|という|が|を|は|も|の|に|で|へ|や|な)", QUOTED)]
+LANGUAGE_RULES["ko"].append(Rule(False, "", r"\p{Hangul}", QUOTED))
+LANGUAGE_RULES["th"] += [Rule(False, r"[,،、，:;]", rf"{GAP}+\S"), Rule(False, r"\S", rf"{GAP}+[ๆฯ]", (PLAIN, *QUOTED))]
 
 QUOTATION_RULES = [
-    Rule(False, rf"[{LED}{HELD}]", r"\s*[,،、，;:：—–-]"),  # the words that tell who says it follow
-    Rule(False, rf"[{LED}{HELD}]", r"\s*\p{Ll}"),
-    Rule(False, rf"{LED}", r"\s*\p{Lo}"),  # in a script without case
+    Rule(False, "", rf"{GAP}*[,،、，;:：—–-]", QUOTED),  # the words that tell who says it follow
+    Rule(False, "", rf"{GAP}*\p{{Ll}}", QUOTED),
+    Rule(False, "", rf"{GAP}*\p{{Lo}}", (LED,)),  # in a script without case
 ]
 SHARED_RULES = [
     Rule(False, r"[.!?…。！？｡।॥؟۔]", r"[.!?…。！？｡।॥؟۔,;:،؛、，；：]"),  # the run of marks goes on
-    Rule(False, r"(?:\.\.|…)", r"\s*[\p{Ll}\p{N},;:،、，；：]"),  # a pause
+    Rule(False, r"(?:\.\.|…)", rf"{GAP}*[\p{{Ll}}\p{{N}},;:،、，；：]"),  # a pause
     Rule(False, r"…", r"\p{Lo}"),
-    Rule(False, rf"(?:{WORD_START}|[’'.])\p{{Lu}}\.", r"\s+\S"),  # an initial
-    Rule(False, rf"{WORD_START}(?:{'|'.join(skeleton(x) for x in SEVERAL_PARTS)})\.", r"\s+\S"),
-    Rule(False, rf"{WORD_START}(?:{_any(BEFORE_NUMBER)})\.", r"\s*\p{N}"),
-    Rule(False, r"\n\s*\p{N}{1,3}\.", r"\s+\S"),  # the number of a list's item
+    Rule(False, rf"(?:{WORD_START}|[’'.])\p{{Lu}}\.", rf"{GAP}+\S"),  # an initial
+    Rule(False, rf"{WORD_START}\L<parts>\.", rf"{GAP}+\S"),
+    Rule(False, rf"{WORD_START}\L<number>\.", rf"{GAP}*\p{{N}}"),
+    Rule(False, rf"(?:\A|\n){GAP}*\p{{N}}{{1,3}}\.", rf"{GAP}+\S"),  # the number of a list's item
     Rule(False, r"\.", r"[\p{Ll}\p{Lu}\p{N}_/\\@#%&*+=~$€£-]"),  # decimals, versions, codes, file names
-    Rule(False, r"\.", r"\s+\p{Ll}"),  # an abbreviation that no table knows
+    Rule(False, r"\.", rf"{GAP}+\p{{Ll}}"),  # an abbreviation that no table knows
 ]
 CAPITAL_RULES = [  # in a sentence written in capitals, where case tells nothing
-    Rule(False, LED, r"\s*\p{Lu}"),
-    Rule(False, r"\s(?:\.\.\.|…)", r"\s+\S"),
-    Rule(False, rf"{WORD_START}[AP]\.\s?M\.", r"\s+\S"),
+    Rule(False, "", rf"{GAP}*\p{{Lu}}", (LED,)),
+    Rule(False, r"(?:\A|\s)(?:\.\.\.|…)", rf"{GAP}+\S"),
+    Rule(False, rf"{WORD_START}[AP]\.{GAP}?M\.", rf"{GAP}+\S"),
 ]
 LAST_RULES = [
-    Rule(True, rf"[。！？｡।॥؟۔][{LED}{HELD}]?", r""),
-    Rule(True, rf"[.!?…][{LED}{HELD}]?", r"(?:\s|$|[¿¡«“„「『\"(（])"),
-    Rule(True, r"(?:\p{Thai}|\S*\p{Thai}\S*)", r"\s+\S"),  # white space beside a Thai word
-    Rule(True, r"\S", r"\s+\S*\p{Thai}"),
+    Rule(True, r"[。！？｡।॥؟۔]", "", (PLAIN, *QUOTED)),
+    Rule(True, r"[.!?…]", rf"(?:{GAP}|[¿¡«“„「『\"(（])", (PLAIN, *QUOTED)),
+    Rule(True, r"\p{Thai}\S*", rf"{GAP}+\S", (PLAIN, *QUOTED)),  # white space beside a Thai word
+    Rule(True, r"\S", rf"{GAP}+\S*\p{{Thai}}", (PLAIN, *QUOTED)),
 ]
+LATE = ("ja", "ko", "th")  # rules that touch only the letters of their own script come after all others
+
+
+def _rules(lang: str, capitals: bool, state: str) -> list[Rule]:
+    others = [r for k in sorted(LANGUAGE_RULES, key=lambda k: k in LATE) if k != lang for r in LANGUAGE_RULES[k]]
+    rules = [*(CAPITAL_RULES if capitals else []), *LANGUAGE_RULES.get(lang, []), *QUOTATION_RULES, *SHARED_RULES, *others, *LAST_RULES]
+    return [r for r in rules if state in r.at]
+
+
+def _side(expression: str, capitals: bool) -> str:
+    cased = r"\p{Ll}" in expression or r"\p{Lu}" in expression
+    return f"(?i:{expression})" if capitals and not cased else f"(?:{expression})"
 
 
 @lru_cache(maxsize=64)
-def _cascade(lang: str, capitals: bool) -> list[tuple[bool, regex.Pattern, regex.Pattern]]:
-    own = LANGUAGE_RULES.get(lang, [])
-    # rules of the scripts without case touch only their own letters, so they come after all others
-    late = ("ja", "ko", "th")
-    others = [r for k in sorted(LANGUAGE_RULES, key=lambda k: k in late) if k != lang for r in LANGUAGE_RULES[k]]
-    rules = [*(CAPITAL_RULES if capitals else []), *own, *QUOTATION_RULES, *SHARED_RULES, *others, *LAST_RULES]
-    flags = regex.IGNORECASE if capitals else 0
-    cased = (r"\p{Ll}", r"\p{Lu}")
-    flag = lambda x: 0 if any(c in x for c in cased) else flags
-    return [(r.breaks, regex.compile(rf"(?:{r.before})$", flag(r.before)), regex.compile(r.after, flag(r.after))) for r in rules]
+def _cascade(lang: str, capitals: bool, full_stop: bool) -> tuple[regex.Pattern, list[bool]]:
+    """The rules without a quotation as one expression; its last group tells the first rule that matches, and so the decision."""
+    rules = [r for r in _rules(lang, capitals, PLAIN) if full_stop or not r.before.endswith(r"\.")]
+    parts = [rf"(?={_side(r.after, capitals)})(?<={_side(r.before, capitals)})()" for r in rules]
+    text = "|".join(parts)
+    return regex.compile(text, **{k: v for k, v in WORDS[capitals].items() if rf"\L<{k}>" in text}), [r.breaks for r in rules]
 
 
-def _capitals(so_far: str, after: str) -> bool:
-    """Whether the sentence so far and what follows are written in capitals."""
-    near = regex.split(r"(?<=\w\w)[.!?]", after[:24], maxsplit=1)[0]
-    return (sum(c.isupper() for c in near) >= 2 and not any(c.islower() for c in near)
-            and any(c.isupper() for c in so_far) and not any(c.islower() for c in so_far))
+@lru_cache(maxsize=64)
+def _quoted_cascade(lang: str, capitals: bool, state: str) -> list[tuple[bool, regex.Pattern, regex.Pattern]]:
+    """The rules where a quotation closes: closing marks stand between what is before and what is after."""
+    return [(r.breaks, regex.compile(rf"(?<={_side(r.before, capitals)})"), regex.compile(_side(r.after, capitals))) for r in _rules(lang, capitals, state)]
 
 
 # Closing marks and what each may close.
@@ -126,93 +145,130 @@ CLOSES = {"”": "“„", "“": "„", "»": "«", "«": "»", "」": "「", "
 OPENS = set("“„«»「『(（[【《〈\"")
 _PAIRED = regex.compile(r"[“”„«»「」『』()（）\[\]【】《》〈〉\"\n]")
 _MARKS = regex.compile(r"[.!?…。！？｡।॥؟۔]+")
-_BREAK = regex.compile("[\n\r\v\f\x85\u2028\u2029]")
+_BREAK = regex.compile("[\n\r\v\f\x85  ]")
+_THAI = regex.compile(r"\p{Thai}")
 _THAI_GAP = regex.compile(r"(?<=\S)[^\S\n]+(?=\S)")
+_SPACES = regex.compile(r"[^\S\n]*+")
+_INK = regex.compile(r"\S")
+_LINE_ENDS = regex.compile(r"[^\S\n]*+(?:\n|\Z)")
+_LOWER, _UPPER = regex.compile(r"\p{Lowercase}"), regex.compile(r"\p{Uppercase}")
+_SAID = regex.compile(r"(?<=\w\w)[.!?]|\n")
+
+
+class _Next:
+    """First match of an expression from a position on; asked for rising positions, it reads the text once."""
+
+    def __init__(self, expression: regex.Pattern, text: str) -> None:
+        self.search, self.text, self.at = expression.search, text, -1
+
+    def __call__(self, start: int) -> int:
+        if self.at < start:
+            m = self.search(self.text, start)
+            self.at = m.start() if m else len(self.text)
+        return self.at
 
 
 def _spans(text: str) -> dict[int, int]:
     """Closing position -> opening position of the quotations and brackets that are balanced on one line."""
     pairs: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    opened = dict.fromkeys(OPENS, 0)  # how many of each stand on the stack
     for m in _PAIRED.finditer(text):
         c, i = m.group(), m.start()
         if c == "\n":
             stack.clear()
+            opened = dict.fromkeys(OPENS, 0)
             continue
-        match = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] in CLOSES.get(c, "")), None)
-        if match is not None:
-            pairs[i] = stack[match][1]
-            del stack[match:]
+        closes = CLOSES.get(c, "")
+        if any(opened[o] for o in closes):
+            while True:
+                top, at = stack.pop()
+                opened[top] -= 1
+                if top in closes:
+                    break
+            pairs[i] = at
         elif c in OPENS:
             stack.append((c, i))
+            opened[c] += 1
     return pairs
 
 
-def ends(text: str, lang: str | None = None) -> list[int]:
-    """End of each sentence as characters from the start, white space after it left out.
-
-    A blank text has none.
-    """
-    broken = _BREAK.sub("\n", text)
-    shown, at = folded(broken)
-    pairs = _spans(shown)
-    inside = sorted((o, c) for c, o in pairs.items())
+def _outermost(pairs: dict[int, int]) -> list[tuple[int, int]]:
+    """The spans that stand in no other, in order."""
     outer: list[tuple[int, int]] = []
-    for o, c in inside:
+    for o, c in sorted((o, c) for c, o in pairs.items()):
         if not outer or o > outer[-1][1]:
             outer.append((o, c))
-    lang = (lang or "").strip().lower()[:2]
+    return outer
 
-    found: list[tuple[int, int | None]] = []  # (position after the candidate, opening of a quotation that it closes)
+
+def _candidates(shown: str, pairs: dict[int, int]) -> list[tuple[int, int, int | None]]:
+    """(position, end of the mark, opening of a quotation that closes between the two, -1 at a line break), in order."""
+    found: list[tuple[int, int, int | None]] = []
     for m in _MARKS.finditer(shown):
         e, opened = m.end(), None
-        while True:
-            n = e
-            while n < len(shown) and n - e < 2 and shown[n] == " ":
-                n += 1
-            if n < len(shown) and n in pairs and pairs[n] < m.start() and shown[n] != "\n":
-                e, opened = n + 1, pairs[n]
-            else:
+        while pairs:
+            n = _SPACES.match(shown, e).end()
+            if pairs.get(n, len(shown)) >= m.start():
                 break
-        found.append((e, opened))
-    if regex.search(r"\p{Thai}", shown):
-        found += [(m.start(), None) for m in _THAI_GAP.finditer(shown)]
-    found += [(m.start(), -1) for m in regex.finditer("\n", shown)]
+            e, opened = n + 1, pairs[n]
+        found.append((e, m.end(), opened))
+    if _THAI.search(shown):
+        found += [(m.start(), m.start(), None) for m in _THAI_GAP.finditer(shown)]
+    found += [(m.start(), m.start(), -1) for m in regex.finditer("\n", shown)]
     found.sort(key=lambda f: f[0])
+    return found
+
 
+def _cuts(shown: str, lang: str) -> list[int]:
+    """Positions in ``shown`` after which a sentence ends, that of the text left out."""
+    pairs = _spans(shown)
+    outer = _outermost(pairs)
+    lower, lower_after, said = _Next(_LOWER, shown), _Next(_LOWER, shown), _Next(_SAID, shown)
+    ink = _Next(_INK, shown)
     cuts: list[int] = []
-    span, sentence = 0, 0
-    while sentence < len(shown) and shown[sentence].isspace():
-        sentence += 1
-    for e, opened in found:
+    span, sentence = 0, ink(0)
+    for e, mark, opened in _candidates(shown, pairs):
         if opened != -1:
             while span < len(outer) and outer[span][1] < e - 1:
                 span += 1
             if span < len(outer) and outer[span][0] < e - 1 < outer[span][1]:
                 continue
-            line = shown.rfind("\n", max(0, e - REACH), e) + 1
-            start = max(line, e - REACH, 0)
-            before = ("\n" if start == line else "") + shown[start:e]
-            if opened is not None:
-                marks = before.rstrip("”“»«」』)）]】》〉\" ")
-                before = marks + (LED if opened <= sentence else HELD)
-            after = shown[e:e + REACH].split("\n", 1)[0]
-            cascade = _cascade(lang, _capitals(shown[sentence:e], after))
-            if after.strip() and not next((b for b, p, q in cascade if p.search(before) and q.match(after)), False):
-                continue
+            if not _LINE_ENDS.match(shown, e):
+                capitals = False  # the sentence so far and what follows are written in capitals
+                if lower(sentence) >= e and _UPPER.search(shown, sentence, e) and lower_after(e) >= (near := said(e)):
+                    first = _UPPER.search(shown, e, near)
+                    capitals = bool(first and _UPPER.search(shown, first.end(), near))
+                if opened is None:
+                    cascade, breaks = _cascade(lang, capitals, shown[e - 1] == ".")
+                    m = cascade.match(shown, e)
+                    if not m or not breaks[m.lastindex - 1]:
+                        continue
+                else:
+                    rules = _quoted_cascade(lang, capitals, LED if opened <= sentence else HELD)
+                    if not next((b for b, p, q in rules if q.match(shown, e) and p.match(shown, mark)), False):
+                        continue
         if not cuts or e > cuts[-1]:
             cuts.append(e)
-            sentence = e
-            while sentence < len(shown) and shown[sentence].isspace():
-                sentence += 1
+            sentence = ink(e)
+    return cuts
+
+
+def ends(text: str, lang: str | None = None) -> list[int]:
+    """End of each sentence as characters from the start, white space after it left out.
+
+    A blank text has none.
+    """
+    shown, at = folded(_BREAK.sub("\n", text))
+    lang = (lang or "").strip().lower()[:2]
     out: list[int] = []
     last = 0
-    for cut in [*(at[c] if c < len(at) else len(text) for c in cuts), len(text)]:
+    for cut in [*(at[c] if c < len(at) else len(text) for c in _cuts(shown, lang if lang in LANGUAGE_RULES else "")), len(text)]:
         piece = text[last:cut].rstrip()
-        if piece.strip() and any(not ch.isspace() and (ch.isascii() or folded(ch)[0]) for ch in piece):
-            out.append(last + len(piece))
-        elif not piece.strip():
+        if not piece or piece.isspace():
             continue
+        if any(not ch.isspace() and (ch.isascii() or folded(ch)[0]) for ch in piece):
+            out.append(last + len(piece))
         last = cut
     return out
 

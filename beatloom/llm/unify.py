@@ -13,6 +13,7 @@ other punctuation, line breaks.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -80,19 +81,31 @@ def skeleton(text: str | None) -> str | None:
     return unicodedata.normalize("NFD", shown)
 
 
-def folded(text: str) -> tuple[str, list[int]]:
+class _Kept(dict):
+    """Character code -> the one character that :func:`folded` shows for it, None for none."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        one = c if c < "\x80" or (c not in HYPHENS and unicodedata.category(c)[0] in "PS") else _one(c)
+        self[code] = None if not one else one if len(one) == 1 else c
+        return self[code]
+
+
+_KEPT = _Kept()
+
+
+def folded(text: str) -> tuple[str, Sequence[int]]:
     """``text`` in the consistent form, one character per kept one, and where each stood.
 
     For readers of positions: unlike :func:`skeleton` it never grows, so a
     character that folds into several is kept as it is; so is punctuation.
     """
-    kept, at = [], []
-    for i, c in enumerate(text):
-        one = c if c < "\x80" or (c not in HYPHENS and unicodedata.category(c)[0] in "PS") else _one(c)
-        if one:
-            kept.append(one if len(one) == 1 else c)
-            at.append(i)
-    return "".join(kept), at
+    if text.isascii():
+        return text, range(len(text))
+    shown = text.translate(_KEPT)
+    if len(shown) == len(text):
+        return shown, range(len(text))
+    return shown, [i for i, c in enumerate(text) if _KEPT[ord(c)] is not None]
 
 
 @F.pandas_udf(StringType())

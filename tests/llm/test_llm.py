@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 import unicodedata
 from collections import defaultdict
 
@@ -152,6 +153,52 @@ def test_sentences(lang, marked):
     assert got == want, [text[a:b] for a, b in zip([0, *got], got, strict=False)]
 
 
+# texts of other kinds than the supplied narrations
+FOREIGN = [
+    ("en", "Prof. Ada Byrne vs. Mr. T. Hale: who wins?| The vote, approx. 51 percent, was close (see vol. 3).| Version 2.0.1 of a.out runs.| (Ask why. Then stop.)| Yes..."),
+    ("en", "It rained.| \"Come in.\" said he, shaking off the rain.| J. R. R. Tolkien wrote it.| Was it U.S. policy?| \"No!\" they cried.| \"Fine.\"| Nobody moved."),
+    ("de", "Am 12. Januar kam Frau Dr. Weiß an.| Sie kaufte u. a. Brot, z. B. Roggen.| „Wirklich?“, fragte er.| Ja!"),
+    ("fr", "Mme Roy arrive à midi.| « Tu viens ? » dit-elle.| M. Petit répond, cf. p. 4 du livre."),
+    ("es", "La Sra. Gil vive en la pág. 7 del cuento.| ¿Vienes?| ¡Claro que sí!"),
+    ("ru", "В 1812 г. началась война.| Проф. Иванов сказал: «Да. Это так».| Почему?"),
+    ("ru", "СМ. РИС. 688: ВОЛНА И Т. Д., КАК ТУТ.| ПРОФ. ЛО, Т. Е. ОН, ПИШЕТ В Т. Ч. НАМ.| ВСЕ.| Это всё."),
+    ("de", "NR. 5, Z. B. VGL. TAB. 4.| U. A. BROT.| ENDE."),
+    ("zh", "今天下雨。|他说：“走吧。我们晚了！”|真的吗？|好……那就走。"),
+    ("ja", "雨が降った。|「行こう。遅い。」と彼は言った。|本当？"),
+    ("hi", "डॉ. राव आए।| क्या वे रुकेंगे?| हाँ।"),
+    ("vi", "TS. Minh đến.| Ông nói: \"Đi thôi. Muộn rồi.\"| Thật không?"),
+    ("ko", "비가 왔다.| 김 씨는 3.5초 기다렸다.| 정말요?"),
+]
+
+
+@pytest.mark.parametrize("lang,marked", FOREIGN)
+def test_sentences_of_other_texts(lang, marked):
+    test_sentences(lang, marked)
+
+
+def test_sentences_without_reach():
+    for gap in (1, 10, 60, 5000):
+        text = "Dr." + " " * gap + "Smith left. He ran."
+        assert sentences.ends(text, "en") == [gap + 14, len(text)]
+        text = "“Stop. It is open." + " " * gap + "” She left."
+        assert sentences.ends(text, "en") == [gap + 19, len(text)]
+        assert sentences.ends("A" * gap + "p. ex. deux. Fin.", "fr")[-2] == gap + 12
+    loud = "IT IS P.M. " + "VERY " * 40 + "LATE. GO NOW."
+    assert sentences.ends(loud, "en") == [loud.index("LATE") + 5, len(loud)]
+
+
+def test_sentences_in_linear_time():
+    def took(text):
+        began = time.process_time()
+        sentences.ends(text, "en")
+        return time.process_time() - began
+
+    sentences.ends("A b. C.", "en")
+    n = 16_000
+    for text in ("(»" * n, "(]" * n, "“a. " * n, "A. " * n, ". " * n, "x. \t" * n, "”. " * n, "Ж. " * n + "y", "好。" * n, "(" * n + ")" * n, "! ” " * n, "กข " * n):
+        assert took(text) < 1.5, text[:9]
+
+
 def test_sentences_edges(spark):
     assert sentences.ends("") == sentences.ends(" \n\t ") == []
     assert sentences.ends("no mark") == [7] and sentences.ends("a\r\nb c") == [1, 4, 6]
