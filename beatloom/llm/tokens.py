@@ -12,14 +12,17 @@ table, and an edit recomputes it from there until it runs in step again.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from copy import copy
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REMEMBERED = 400_000  # pieces whose ids a worker keeps
@@ -109,13 +112,14 @@ class Prefixes:
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
+        self.made = 0  # entries that were worked out
         self.append(data)
 
     def _extend(self, start: int, stop_in_step: list[int] | None = None, shift: int = 0, after: int = 0) -> None:
         """Fill the table from prefix ``start`` on; with an old table, until it runs in step with it."""
         v, last = self.vocabulary, self.last
         fits = v.fits
-        origin = max(0, start - v.longest + 1)
+        origin, held = max(0, start - v.longest + 1), len(last)
         done, agree = start - 1, 0
         for end, (t, n) in v.automaton.iter(self.data[origin:].decode("latin-1")):
             end += origin
@@ -129,8 +133,10 @@ class Prefixes:
             if stop_in_step is not None and end >= after:
                 agree = agree + 1 if stop_in_step[end - shift] == t else 0
                 if agree >= v.longest:
+                    self.made += len(last) - held
                     last += stop_in_step[end - shift + 1:]
                     return
+        self.made += len(last) - held
 
     def append(self, more: bytes) -> None:
         """Continue the table over ``more``: the ids are those of the whole."""
@@ -184,14 +190,22 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _encoded(df: DataFrame, keys: list[str], text: str, path: str | None, pattern: str | None, count: bool) -> DataFrame:
+def worker_encoder(spark: SparkSession, path: str | None, pattern: str | None) -> Callable[[], Encoder]:
+    """What gives a worker its encoder: the vocabulary is sent to the executors, which need no copy of their own."""
     path, pattern = path or default_path(), pattern or default_pattern()
+    spark.sparkContext.addFile(path)
+    name = Path(path).name
+    return lambda: encoder(SparkFiles.get(name), pattern)
+
+
+def _encoded(df: DataFrame, keys: list[str], text: str, path: str | None, pattern: str | None, count: bool) -> DataFrame:
+    load = worker_encoder(df.sparkSession, path, pattern)
     source = df.select(*keys, F.col(text).cast("string").alias("_text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     out, typ = ("n_tokens", "int") if count else ("ids", "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode
+        encode = load().encode
         for b in batches:
             lists = [encode(t) if t else [] for t in b.column(len(keys)).to_pylist()]
             sizes = np.fromiter((len(x) for x in lists), np.int32, len(lists))
@@ -219,3 +233,75 @@ def token_ids(df: DataFrame, keys: list[str], text: str, path: str | None = None
 def token_counts(df: DataFrame, keys: list[str], text: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Keys and ``n_tokens``, the number of ids that :func:`token_ids` gives."""
     return _encoded(df, keys, text, path, pattern, count=True)
+
+
+class Edited:
+    """The encoding of a text that goes on being edited: its pieces with their tables, made again only where they change."""
+
+    def __init__(self, encoder: Encoder, text: str) -> None:
+        self.encoder = encoder
+        self.pieces = [(p, self._table(p)) for p in encoder.pattern.findall(text)]
+
+    def _table(self, piece: str) -> Prefixes:
+        return Prefixes(self.encoder.vocabulary, piece.encode("utf-8"))
+
+    def become(self, text: str) -> int:
+        """Follow an edit; how many entries it took.
+
+        Pieces that were there before keep their tables; where one piece became
+        another, its table is edited between its first and last changed byte.
+        """
+        old, new = self.pieces, self.encoder.pattern.findall(text)
+        head = _in_common([p for p, _ in old], new)
+        tail = _in_common([p for p, _ in old[head:]][::-1], new[head:][::-1])
+        was, now = old[head:len(old) - tail], new[head:len(new) - tail]
+        if len(was) == len(now) == 1:
+            table, data = copy(was[0][1]), now[0].encode("utf-8")  # pieces alike share a table
+            a = _in_common(table.data, data)
+            z = _in_common(table.data[a:][::-1], data[a:][::-1])
+            known = table.made
+            table.replace(a, len(table.data) - z, data[a:len(data) - z])
+            made, middle = table.made - known, [(now[0], table)]
+        else:
+            known, made, middle = dict(was), 0, []
+            for p in now:
+                if p not in known:
+                    known[p] = self._table(p)
+                    made += known[p].made
+                middle.append((p, known[p]))
+        self.pieces = [*old[:head], *middle, *old[len(old) - tail:]]
+        return made
+
+    def ids(self) -> list[int]:
+        return [t for _, table in self.pieces for t in table.ids()]
+
+
+def _in_common(a: Sequence, b: Sequence) -> int:
+    """How many first items are the same."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def edited_ids(df: DataFrame, keys: list[str], old: str, new: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Keys, ``ids`` of the text ``new``, ``n_bytes`` of it and ``n_made``, the table entries that the edit from ``old`` took.
+
+    A null text counts as empty, before and after; the ids are those of
+    :func:`token_ids`.  ``old`` is encoded for the comparison; a caller who
+    keeps :class:`Edited` pays the edit alone.
+    """
+    load = worker_encoder(df.sparkSession, path, pattern)
+    source = df.select(*keys, F.coalesce(F.col(old).cast("string"), F.lit("")).alias("_old"), F.coalesce(F.col(new).cast("string"), F.lit("")).alias("_new"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = load()
+        for b in batches:
+            ids, made, size = [], [], []
+            for was, now in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True):
+                edited = Edited(encoder, was)
+                made.append(edited.become(now))
+                ids.append(edited.ids())
+                size.append(len(now.encode("utf-8")))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(ids, pa.list_(pa.int32())), pa.array(size, pa.int32()), pa.array(made, pa.int32())],
+                                             [*keys, "ids", "n_bytes", "n_made"])
+
+    return source.mapInArrow(run, f"{ddl + ', ' if ddl else ''}ids array<int>, n_bytes int, n_made int")
