@@ -13,11 +13,12 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .sentences import ends
+from .tokens import Encoder, worker_encoder
 
 # after white space or a hyphen, and around every letter of a script without spaces
 _WORD_END = regex.compile(r"(?<=\S)(?=\s)|(?<=[\p{L}\p{N}][-‐–—/])(?=\S)|(?<=[\p{Han}\p{Hiragana}\p{Katakana}，。、！？；：」』）])(?=\S)")
@@ -65,14 +66,44 @@ def cut_points(size: np.ndarray, sentence: list[int], word: list[int], limit: in
         start = min(max(back, start + 1), end)
 
 
-def split(text: str, limit: int, overlap: int, lang: str | None = None) -> list[tuple[int, int]]:
-    """(start, end) character ranges of the pieces of ``text``."""
-    if len(text) <= limit:
+def token_offsets(text: str, encoder: Encoder) -> np.ndarray:
+    """Prefix sums of token sizes at the characters: how many tokens end at or before each."""
+    encoded = text.encode("utf-8")
+    ends_at = np.cumsum([encoder.vocabulary.size[t] for t in encoder.encode(text)], dtype=np.int64)
+    first = np.flatnonzero((np.frombuffer(encoded, np.uint8) & 0xC0) != 0x80)  # bytes that begin a character
+    return np.searchsorted(ends_at, np.append(first, len(encoded)), side="right")
+
+
+def split(text: str, limit: int, overlap: int, lang: str | None = None, encoder: Encoder | None = None) -> list[tuple[int, int]]:
+    """(start, end) character ranges of the pieces of ``text``, whose size is that in characters, or in tokens of ``encoder``."""
+    if len(text) <= limit and encoder is None:
+        return [(0, len(text))]
+    size = np.arange(len(text) + 1) if encoder is None else token_offsets(text, encoder)
+    if size[-1] <= limit:
         return [(0, len(text))]
     sentence = ends(text, lang)
     word = [m.start() for m in _WORD_END.finditer(text)]
     del word[:bisect_left(word, 1)]
-    return cut_points(np.arange(len(text) + 1), sentence, word, limit, overlap, text)
+    return cut_points(size, sentence, word, limit, overlap, text)
+
+
+PIECES = ArrayType(StructType([StructField(n, IntegerType()) for n in ("no", "n", "s", "e")]))
+
+
+def _exploded(source: DataFrame, keys: list[str], pieces: Column) -> DataFrame:
+    """The splitter is asked for once, below the explode."""
+    rows = source.select(*keys, "_text", F.explode(pieces).alias("_p"))
+    return rows.select(*keys, F.col("_p.no").alias("piece_no"), F.col("_p.n").alias("n_pieces"), F.col("_p.s").alias("start_char"), F.col("_p.e").alias("end_char"),
+                       F.substring("_text", F.col("_p.s") + 1, F.col("_p.e") - F.col("_p.s")).alias("piece"))
+
+
+def _numbered(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"no": i, "n": len(ranges), "s": s, "e": e} for i, (s, e) in enumerate(ranges)]
+
+
+def _source(df: DataFrame, keys: list[str], text: str, lang: str | None) -> DataFrame:
+    lang_col = F.lower(F.trim(F.col(lang))) if lang else F.lit(None).cast("string")
+    return df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), lang_col.alias("_lang"))
 
 
 def split_items(df: DataFrame, keys: list[str], text: str, limit: int = 600, overlap: int = 60, lang: str | None = None) -> DataFrame:
@@ -82,16 +113,31 @@ def split_items(df: DataFrame, keys: list[str], text: str, limit: int = 600, ove
     never leaves the JVM; an empty text is one empty piece; a null one gives no
     rows.  Repeated rows are split alike.
     """
-    @F.pandas_udf(ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())])))
+    @F.pandas_udf(PIECES)
     def ranges(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"s": s, "e": e} for s, e in split(t, limit, overlap, g)]
-                          for t, g in zip(texts, langs, strict=True)], dtype=object)
+        return pd.Series([None if t is None else _numbered(split(t, limit, overlap, g)) for t, g in zip(texts, langs, strict=True)], dtype=object)
 
-    lang_col = F.lower(F.trim(F.col(lang))) if lang else F.lit(None).cast("string")
-    source = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), lang_col.alias("_lang"))
     long = F.length("_text") > limit
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.length("_text").alias("e")))
+    whole = F.array(F.struct(F.lit(0).alias("no"), F.lit(1).alias("n"), F.lit(0).alias("s"), F.length("_text").alias("e")))
     pieces = F.when(long, ranges(F.when(long, F.col("_text")), F.when(long, F.col("_lang")))).otherwise(whole)
-    rows = source.withColumn("_r", pieces).select(*keys, "_text", F.size("_r").alias("n_pieces"), F.posexplode("_r").alias("piece_no", "_p"))
-    return rows.select(*keys, "piece_no", "n_pieces", F.col("_p.s").alias("start_char"), F.col("_p.e").alias("end_char"),
-                       F.substring("_text", F.col("_p.s") + 1, F.col("_p.e") - F.col("_p.s")).alias("piece"))
+    return _exploded(_source(df, keys, text, lang), keys, pieces)
+
+
+def split_items_by_tokens(df: DataFrame, keys: list[str], text: str, limit: int = 256, overlap: int = 32, lang: str | None = None,
+                          path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The columns of :func:`split_items` for limits in tokens of a public tokenizer.
+
+    Sizes are those of the whole text's encoding: its token offsets, of which a
+    piece holds at most ``limit`` (a single character of more stands alone) and
+    takes up at most the last ``overlap`` of the one before, less only where a
+    character of several tokens would pass it.  The same rules for null, empty
+    and repeated texts.
+    """
+    load = worker_encoder(df.sparkSession, path, pattern)
+
+    @F.pandas_udf(PIECES)
+    def ranges(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        encoder = load()
+        return pd.Series([None if t is None else _numbered(split(t, limit, overlap, g, encoder)) for t, g in zip(texts, langs, strict=True)], dtype=object)
+
+    return _exploded(_source(df, keys, text, lang), keys, ranges("_text", "_lang"))
