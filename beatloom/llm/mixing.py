@@ -14,12 +14,32 @@ from pyspark.sql import functions as F
 from ..operators.ordered import prefix_sum
 
 MAX_SOURCES = 10_000  # targets up to this many are broadcast
+SALTS = 64  # beyond that, a source's documents meet their target in so many parts
+LEAST, FULL = 0.05, 80  # the least weight; a text of fewer characters weighs less
+
+
+def _variety(parts: Column) -> Column:
+    return F.size(F.array_distinct(parts)) / F.size(parts)
 
 
 def quality(text: Column) -> Column:
-    """A document's weight: the share of letters, marks and digits in it, 0.05 at least."""
-    shown = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", ""))
-    return F.coalesce(F.greatest(shown / F.nullif(F.length(text), F.lit(0)), F.lit(0.05)), F.lit(0.05))
+    """A document's weight, from 0.05 to 1, that of a null or empty text the least.
+
+    The product of the share of letters, marks and figures in it, of how many
+    of its lines and (by the square root) of its words are not repetitions, of
+    what is left of it without mark-up, and of its length up to 80 characters.
+    """
+    size = F.nullif(F.length(text).cast("double"), F.lit(0.0))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", "")) / size
+    bare = F.length(F.regexp_replace(text, r"<[^<>]*>|[{}|\\]", "")) / size
+    lines, words = _variety(F.split(text, r"\n")), F.sqrt(_variety(F.split(text, r"[ \t\r\n]+")))
+    weight = letters * bare * lines * words * F.least(F.lit(1.0), size / FULL)
+    return F.coalesce(F.greatest(weight, F.lit(LEAST)), F.lit(LEAST))
+
+
+QUALITY_SQL = r"""coalesce(greatest(0.05::DOUBLE, length(regexp_replace(text, '[^\p{L}\p{M}\p{N}]+', '', 'g')) / nullif(length(text), 0)::DOUBLE * length(regexp_replace(text, '<[^<>]*>|[{}|\\]', '', 'g')) / nullif(length(text), 0)::DOUBLE
+ * len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10)))::DOUBLE
+ * sqrt(len(list_distinct(string_split_regex(text, '[ \t\r\n]+'))) / len(string_split_regex(text, '[ \t\r\n]+'))::DOUBLE) * least(1.0::DOUBLE, length(text) / 80.0::DOUBLE)), 0.05)"""
 
 
 def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -41,7 +61,7 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
             .withColumn("short", F.col("size") * F.col("max_repeats") < F.col("budget")))
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", weight: str = "weight", seed: int = 17) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", weight: str = "weight", seed: int = 17, max_sources: int = MAX_SOURCES) -> DataFrame:
     """(key, ``source``, ``n_tokens``, ``copies``) of every document in the mix.
 
     ``copies`` is the source's whole epochs, plus one if the document is drawn
@@ -49,13 +69,17 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", weight: str =
     pass the budget by at most half its size.  The draw depends on key and seed
     alone, so lost tasks repeat it; a null or non-positive weight counts as the
     least positive one.  Documents without tokens add nothing and are left out.
+    Up to ``max_sources`` targets are broadcast, more are joined by a salted key.
     """
-    if targets.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
     planned = plan(sized, targets).select("source", "epochs", "rest", "max_repeats")
     u = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
     drawn = -F.log(u) / F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-9))
-    docs = sized.where("n_tokens > 0").select(key, "source", "n_tokens", drawn.alias("draw")).join(F.broadcast(planned), "source")
+    docs = sized.where("n_tokens > 0").select(key, "source", "n_tokens", drawn.alias("draw"))
+    if targets.limit(max_sources + 1).count() <= max_sources:
+        docs = docs.join(F.broadcast(planned), "source")
+    else:
+        salted = planned.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
     whole = docs.where("epochs > 0 or rest > 0").drop("max_repeats")
     summed = prefix_sum(whole, ["source"], ["draw", key], "n_tokens", "upto")
     copies = F.col("epochs") + F.when(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)

@@ -9,7 +9,7 @@ from ..shared import materialise, spread
 from ..sources import load
 from . import chunks, mixing, sentences, spans, tokens, unify
 
-LIMIT, OVERLAP, SPAN = 600, 60, 200
+LIMIT, OVERLAP, TOKENS, SPAN = 600, 60, 128, 200
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("n_pieces > 1 and piece_no = 0").select("item_kind", "item_id")
 
 
+def p2_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every narration by size in tokens."""
+    scenes = spread(load(spark, d, "scenes", "scene_key", "narration", "lang"))
+    return chunks.split_items_by_tokens(scenes, ["scene_key"], "narration", TOKENS, TOKENS // 8, "lang")
+
+
 P2_FOUND_SQL = """
 SELECT 'narration' AS item_kind, scene_key AS item_id FROM scenes WHERE length(narration) > 600
 UNION ALL SELECT 'word', word_id FROM words WHERE length(text) > 600"""
@@ -66,6 +72,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spread(load(spark, d, "documents", "doc_id", "text")), ["doc_id"], "text")
 
 
+def p7_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a remark put into its middle and one after its end, encoded as an edit of what it was."""
+    docs = spread(load(spark, d, "documents", "doc_id", "text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit("[sic]"), F.substring(F.col("text"), half + 1, F.length("text")), F.lit(" (seen)"))
+    return tokens.edited_ids(docs.withColumn("edited", text), ["doc_id"], "text", "edited")
+
+
 def _sized(spark: SparkSession, d: str, weights: bool) -> DataFrame:
     """Sizes in tokens of the documents of target sources."""
     targets = load(spark, d, "mix_targets", "source")
@@ -76,6 +90,15 @@ def _sized(spark: SparkSession, d: str, weights: bool) -> DataFrame:
     return tokens.token_counts(docs, keys, "text")
 
 
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The weight of every document in the draw."""
+    docs = load(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", F.round(mixing.quality(F.col("text")), 9).alias("weight"))
+
+
+P8_QUALITY_SQL = f"SELECT doc_id, round({mixing.QUALITY_SQL}, 9) AS weight FROM documents"
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.plan(_sized(spark, d, False), load(spark, d, "mix_targets")).where("short").select("source")
 
@@ -111,6 +134,6 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_report(_docs(spark, d), "doc_id", "text", SPAN)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_skeletons, p6_found, p6_sentences, p7_ids,
-                                   p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_report)}
-ORACLE_SQL = {"p2_found": P2_FOUND_SQL, "p9_found": P9_FOUND_SQL}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_tokens, p3_found, p3_skeletons, p6_found, p6_sentences, p7_ids, p7_edits,
+                                   p8_found, p8_quality, p8_mix, p8_report, p9_found, p9_spans, p9_report)}
+ORACLE_SQL = {"p2_found": P2_FOUND_SQL, "p8_quality": P8_QUALITY_SQL, "p9_found": P9_FOUND_SQL}

@@ -62,6 +62,25 @@ def test_pieces_by_token_sizes():
         chunks.cut_points(size, [], [], 10, 10)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_by_tokens(spark, seed):
+    encoder = tokens.encoder(tokens.default_path(), tokens.default_pattern())
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(["board ", "线图。", "x" * 30, "👩‍🏫", ". The ", "é\n"]) for _ in range(rng.randrange(0, 300))) for _ in range(20)]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string")
+    by = defaultdict(list)
+    for r in chunks.split_items_by_tokens(df, ["id"], "text", 50, 6).orderBy("id", "piece_no").collect():
+        by[r.id].append(r)
+    assert sorted(by) == list(range(20))
+    for k, text in enumerate(texts):
+        size = chunks.token_offsets(text, encoder)
+        assert size[0] == 0 and size[-1] == len(encoder.encode(text)) and (np.diff(size) >= 0).all()
+        got = by[k]
+        assert got[0].start_char == 0 and got[-1].end_char == len(text) and {r.n_pieces for r in got} == {len(got)}
+        assert all(size[r.end_char] - size[r.start_char] <= 50 and r.piece == text[r.start_char:r.end_char] for r in got)
+        assert all(size[a.end_char] - size[b.start_char] <= 6 < size[a.end_char] - size[b.start_char - 1] and b.end_char > a.end_char for a, b in zip(got, got[1:], strict=False))
+
+
 def test_p2_rows(spark, sf):
     want = [("narration", k) for k, t in table(spark, sf, "scenes", "scene_key", "narration") if t and len(t) > 600]
     want += [("word", k) for k, t in table(spark, sf, "words", "word_id", "text") if t and len(t) > 600]
@@ -95,6 +114,35 @@ def test_other_look(a, b):
     assert unify.skeleton(a) != unify.skeleton(b)
 
 
+def test_look_alikes_of_many_scripts():
+    seen = [("A", "АΑᎪꓮ"), ("E", "ꓰᎬ"), ("T", "ꓔⲦ"), ("S", "ᏚꓢՏ"), ("W", "Ꮃꓪ"), ("o", "ⲟσ०օ"), ("B", "Ⲃꓐ"), ("3", "З"), ("b", "Ь"), ("g", "ց"), (":", "∶꞉"), ("l", "ǀӏ")]
+    assert all(unify.skeleton(x) == a for a, xs in seen for x in xs)
+    assert len(unify.LOOK_ALIKE) < 200 and all(unify.skeleton(v) == v for v in unify.LOOK_ALIKE.values())
+    assert unify.folded("З०σ‐b")[0] == "З०o-b"  # figures and letters stay what they are for the rules of sentences
+
+
+def test_prototypes_from_a_file(spark, tmp_path):
+    path = tmp_path / "prototypes.txt"
+    path.write_text("\ufeff# note\n0251 ;\t0061 ;\tMA\t# a\n10402 ; 0043 ; MA\nA4F2 ; 006C ; MA\n0661 ; 006C ; MA\n0030 ; 004F ; MA\n0132 ; 0049 004A ; MA\n0301 ; 0020 ; MA\n\n", encoding="utf-8")
+    table = unify.read_prototypes(str(path))
+    assert table == {"ɑ": "a", "\U00010402": "C", "Ĳ": "IJ", "\ua4f2": "l"}
+    df = spark.createDataFrame([(1, "Cat"), (2, "\U00010402at"), (3, "cat")], "id long, text string")
+    assert unify.look_alike_pairs(df).count() == 0
+    assert rows(unify.look_alike_pairs(df, table)) == [(1, 2)] == rows(unify.look_alikes(df.where("id = 1"), df, table=table))
+
+
+def test_look_alike_pairs_of_many_copies(spark):
+    """One odd spelling beside many copies: a row for each copy, and no pair of copies is ever formed."""
+    copies = spark.range(1, 40_001).select("id", F.lit("panel").alias("text"))
+    odd = spark.createDataFrame([(50_000, "раnel"), (50_001, "pаnel"), (0, "pаnel")], "id long, text string")
+    got = unify.look_alike_pairs(copies.unionByName(odd))
+    assert got.count() == got.distinct().count() == 3 * 40_000 + 2 and got.where("id_a >= id_b").count() == 0
+    few = copies.limit(9).unionByName(odd)
+    ids = [(r.id, r.text) for r in few.collect()]
+    want = [(min(a, b), max(a, b)) for n, (a, s) in enumerate(ids) for b, t in ids[n + 1:] if s != t]
+    assert rows(unify.look_alike_pairs(few, cells=2)) == sorted(want, key=str)
+
+
 def test_skeleton_is_stable():
     for ch in map(chr, [*range(0x20, 0x3000), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]):
         if unicodedata.category(ch) not in ("Cs", "Cn"):
@@ -268,6 +316,35 @@ def test_prefix_table_appends_and_edits(encoder):
         assert p.last == tokens.Prefixes(v, data[:i] + new + data[j:]).last
 
 
+def test_edits_follow_the_whole(spark, encoder):
+    rng = random.Random(9)
+    made = []
+    for _ in range(60):
+        old = "".join(rng.choice(["the ", "board ", "线", "é", "xx", " 12", "!", "\n", "unbelievably"]) for _ in range(rng.randrange(0, 60)))
+        i = rng.randrange(0, len(old) + 1)
+        new = old[:i] + rng.choice(["", "z", " new words ", "线线"]) + old[rng.choice([i, min(len(old), i + 3)]):]
+        e = tokens.Edited(encoder, old)
+        assert e.ids() == encoder.encode(old)
+        made.append(e.become(new))
+        assert e.ids() == encoder.encode(new)
+        e.become(old)
+        assert e.ids() == encoder.encode(old)
+    long = tokens.Edited(encoder, "w" * 20_000)
+    assert long.become("w" * 9000 + "i" + "w" * 11_000) < 1000 and long.ids() == encoder.encode("w" * 9000 + "i" + "w" * 11_000)
+    df = spark.createDataFrame([(1, None, "a b"), (2, "a b", None), (3, "", ""), (4, "a b", "a cb"), (4, "a b", "a cb")], "k long, o string, n string").withColumn("ids", F.lit(7)).withColumn("n_made", F.lit(7))
+    got = tokens.edited_ids(df, ["k"], "o", "n")
+    assert tokens.edited_ids(df.limit(0), ["k"], "o", "n").count() == 0
+    assert rows(got.select("k", "ids")) == sorted([(1, encoder.encode("a b")), (2, []), (3, [])] + 2 * [(4, encoder.encode("a cb"))], key=str)
+
+
+def test_p7_edits(spark, sf, encoder):
+    texts = dict(table(spark, sf, "documents", "doc_id", "text"))
+    for r in queries.p7_edits(spark, sf).collect():
+        t = texts[r.doc_id]
+        want = None if t is None else t[:len(t) // 2] + "[sic]" + t[len(t) // 2:] + " (seen)"
+        assert r.ids == (encoder.encode(want) if want else []) and r.n_made <= 50 + 3 * max((len(p.encode()) for p in encoder.pattern.findall(want or "")), default=0)
+
+
 # 8. mixing
 
 
@@ -288,7 +365,7 @@ def test_mix_follows_budgets(spark):
     for r in mixing.report(mixed, mixing.plan(sized, want)).collect():
         reach = min(r.target_share * total, size[r.source] * r.max_repeats)
         assert abs(r.mix_tokens - reach) <= 31 and r.mix_tokens == sum(x.n_tokens * x.copies for x in got if x.source == r.source)
-    assert rows(mixing.mix(sized.repartition(7), want)) == rows(mixed)
+    assert rows(mixing.mix(sized.repartition(7), want)) == rows(mixed) == rows(mixing.mix(sized, want, max_sources=2))
     assert mixing.mix(sized.limit(0), want).count() == 0
 
 
@@ -299,6 +376,14 @@ def test_draw_prefers_weight(spark):
     assert 700 < even < 860  # of 1000 drawn
 
 
+def test_quality_orders_texts(spark):
+    good = "The relay opens when the current falls, and the arm swings back to its place on the board, where it waits."
+    texts = [good, "A <b>short</b> note", good + "\n" + good + "\n" + good, "ha " * 60, "<i></i>" * 20 + "x", "...", "", None, "线路图显示电流怎样流过面板，然后回到起点。" * 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    w = [r.w for r in df.select("i", mixing.quality(F.col("t")).alias("w")).orderBy("i").collect()]
+    assert w[0] > 0.7 and all(0.05 <= x <= 1 for x in w) and w[0] > max(w[1:8]) and w[4] == w[5] == w[6] == w[7] == 0.05 and w[3] < 0.15 and w[8] > 0.2
+
+
 def test_p8_found(spark, sf):
     n = {r.doc_id: len(r.ids) for r in queries.p7_ids(spark, sf).collect()}
     targets = table(spark, sf, "mix_targets", "source", "target_share", "max_repeats")
