@@ -1,15 +1,20 @@
 """Schemas that drift between files.
 
-Files are loaded as path-value maps with raw JSON types, statistics of the
-types are aggregated by path, typed columns are projected with a report of the
-casts that failed, and each file is compared with the one before it.
+1. :func:`path_values` loads each file as a path-value map with raw JSON types.
+2. :func:`file_statistics` has the types at each path of each file,
+   :func:`type_statistics` aggregates them over files.
+3. :func:`compared` holds the statistics of each file against those of the one
+   before it; :func:`changes` reports what differs, and :func:`found_synonyms`
+   takes the fields that were renamed into one another for one field.
+4. :func:`derived_fields` makes columns and types of the statistics and the
+   synonyms, :func:`typed_table` projects them and reports failed casts.
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -71,26 +76,31 @@ def _field(m: Column) -> Column:
     return F.concat_ws(".", m["outer"], m["inner"])
 
 
+def file_statistics(loaded: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ``path``, ``outer``, ``inner``, ``type``, ``value``): each path of each file with its raw type."""
+    m = F.col("m")
+    return (loaded.select(*keys, F.explode("members").alias("m"))
+            .select(*keys, _field(m).alias("path"), m["outer"].alias("outer"), m["inner"].alias("inner"), m["type"].alias("type"), m["value"].alias("value")))
+
+
 def type_statistics(loaded: DataFrame, by: list[str]) -> DataFrame:
     """(by, path, type, files): in how many files each path has each raw type."""
-    return (loaded.select(*by, F.explode("members").alias("m"))
-            .groupBy(*by, _field(F.col("m")).alias("path"), F.col("m.type").alias("type")).agg(F.count("*").alias("files")))
+    return file_statistics(loaded, by).groupBy(*by, "path", "type").agg(F.count("*").alias("files"))
 
 
-def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: str) -> DataFrame:
-    """(key, ``field_name``, ``change_kind``): what each file changes against the one before it in its group.
+CHANGE = "array<struct<outer:string,was:string,now:string,change_kind:string>>"
 
-    Files with a null or malformed payload are passed over.  Fields are the
-    members and, as ``outer.inner``, those of a member that is an object under
-    the same name in both files; null members count as absent.  A gone and a
-    new field of one level with the same JSON value are one ``renamed`` (in
-    written order, each used once); else ``added``, ``removed``; ``retyped``
-    where the raw type differs.  The first file of a group has no changes, nor
-    have repeated files.  Files with a null group value form groups of their own.
+
+def compared(df: DataFrame, key: str, group: list[str], order: list[str], load: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(key, ``outer``, ``was``, ``now``, ``change_kind``): how the statistics of each file differ from those of the one before it.
+
+    ``df`` has ``members``, or gets it by ``load``.  ``outer`` is the member whose
+    members are compared, null for those of the payload itself; ``was`` is null
+    for an added field, ``now`` for one removed.
     """
     groups, orders = [f"_g{i}" for i in range(len(group))], [f"_o{i}" for i in range(len(order))]
-    narrow = df.select(F.col(key).alias("_key"), F.col(body).alias("_body"), *[F.col(c).alias(a) for c, a in zip([*group, *order], [*groups, *orders], strict=True)])
-    load = lambda rows: path_values(rows, "_body").where("members is not null").drop("_body")
+    rest = [c for c in ("_body", "members") if c in df.columns]
+    narrow = df.select(F.col(key).alias("_key"), *rest, *[F.col(c).alias(a) for c, a in zip([*group, *order], [*groups, *orders], strict=True)])
     pairs = previous_row(narrow, groups, orders, F.col("members"), "before", load).where("before is not null")
     top = lambda ms: F.filter(ms, lambda m: m["inner"].isNull())
     objects = lambda ms: F.transform(F.filter(top(ms), lambda m: m["type"] == "object"), lambda m: m["outer"])
@@ -115,14 +125,59 @@ def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: s
         m["outer"].alias("outer"), m["inner"].alias("inner"), m["value"].alias("value"),
         F.size(F.filter(F.slice(ms, 1, i), lambda w: like(m, w))).alias("nth")))
     pairs = pairs.select("_key", "retyped", nth(F.col("fresh")).alias("fresh"), nth(F.col("gone")).alias("gone"))
-    matched = lambda m, ws: F.exists(ws, lambda w: like(m, w) & (m["nth"] == w["nth"]))
-    said = lambda ms, what: F.transform(ms, lambda m: F.struct(
-        _field(m).alias("field_name"), F.lit(what).alias("change_kind")))
-    found = F.concat(said(F.filter("fresh", lambda m: matched(m, F.col("gone"))), "renamed"),
-                     said(F.filter("fresh", lambda m: ~matched(m, F.col("gone"))), "added"),
-                     said(F.filter("gone", lambda m: ~matched(m, F.col("fresh"))), "removed"),
-                     said(F.col("retyped"), "retyped"))
-    return pairs.select("_key", F.explode(found).alias("c")).select(F.col("_key").alias(key), "c.field_name", "c.change_kind")
+    match = lambda m, ws: F.get(F.filter(ws, lambda w: like(m, w) & (m["nth"] == w["nth"])), F.lit(0))
+    name, none = lambda m: F.coalesce(m["inner"], m["outer"]), F.lit(None).cast("string")
+    said = lambda m, was, now, what: F.struct(level(m).alias("outer"), was.alias("was"), now.alias("now"), what.alias("change_kind"))
+    fresh = lambda m: said(m, name(match(m, F.col("gone"))), name(m), F.when(match(m, F.col("gone")).isNull(), "added").otherwise("renamed"))
+    gone = F.filter("gone", lambda m: match(m, F.col("fresh")).isNull())
+    found = F.concat(F.transform("fresh", fresh).cast(CHANGE), F.transform(gone, lambda m: said(m, name(m), none, F.lit("removed"))).cast(CHANGE),
+                     F.transform("retyped", lambda m: said(m, name(m), name(m), F.lit("retyped"))).cast(CHANGE))
+    return pairs.select("_key", F.explode(found).alias("c")).select(F.col("_key").alias(key), "c.*")
+
+
+def changes(df: DataFrame, key: str, group: list[str], order: list[str], body: str) -> DataFrame:
+    """(key, ``field_name``, ``change_kind``): what each file changes against the one before it in its group.
+
+    Files with a null or malformed payload are passed over.  Fields are the
+    members and, as ``outer.inner``, those of a member that is an object under
+    the same name in both files; null members count as absent.  A gone and a
+    new field of one level with the same JSON value are one ``renamed`` (in
+    written order, each used once); else ``added``, ``removed``; ``retyped``
+    where the raw type differs.  The first file of a group has no changes, nor
+    have repeated files.  Files with a null group value form groups of their own.
+    """
+    load = lambda rows: path_values(rows, "_body").where("members is not null").drop("_body")
+    c = compared(df.drop("members").withColumn("_body", F.col(body)), key, group, order, load)
+    return c.select(key, F.concat_ws(".", "outer", F.coalesce("now", "was")).alias("field_name"), "change_kind")
+
+
+def found_synonyms(loaded: DataFrame, differences: DataFrame, max_columns: int = MAX_COLUMNS) -> dict[str, list[str]]:
+    """Members of the payload that were renamed into one another: the commonest name -> all its names, commonest first.
+
+    Two names that stand beside each other in some file are two fields, whatever
+    value they once had in common.  ``differences`` is what :func:`compared`
+    gives; only distinct pairs of names reach the driver, more than
+    ``max_columns`` of them are an error.
+    """
+    edges = differences.where("change_kind = 'renamed' and outer is null").select("was", "now").distinct().limit(max_columns + 1).collect()
+    if len(edges) > max_columns:
+        raise ValueError(f"more than {max_columns} renames: are keys of the files data?")
+    if not edges:
+        return {}
+    top = F.transform(F.filter("members", lambda m: m["inner"].isNull()), lambda m: m["outer"])
+    pairs = F.array(*[F.struct(F.lit(e["was"]).alias("a"), F.lit(e["now"]).alias("b")) for e in edges])
+    own = loaded.select(top.alias("top"))
+    beside = own.select(F.explode(F.filter(pairs, lambda p: F.array_contains("top", p["a"]) & F.array_contains("top", p["b"]))).alias("p")).distinct().collect()
+    apart = {frozenset(r["p"]) for r in beside}
+    files = {r["n"]: r["files"] for r in own.select(F.explode(F.array_intersect("top", F.array(*map(F.lit, {n for e in edges for n in e})))).alias("n")).groupBy("n").agg(F.count("*").alias("files")).collect()}
+    one: dict[str, set[str]] = {n: {n} for e in edges for n in e}
+    for e in sorted(edges):
+        a, b = one[e["was"]], one[e["now"]]
+        if a is not b and not any(frozenset((x, y)) in apart for x in a for y in b):
+            a |= b
+            one.update(dict.fromkeys(a, a))
+    classes = {min(c, key=lambda n: (-files.get(n, 0), n)): c for c in one.values() if len(c) > 1}
+    return {name: sorted(c, key=lambda n: (-files.get(n, 0), n)) for name, c in sorted(classes.items())}
 
 
 def _key(outer: Column, inner: Column | None = None) -> Column:
@@ -149,13 +204,13 @@ def derived_fields(loaded: DataFrame, synonyms: dict[str, list[str]], keys: list
     """
     earlier = {n: names[:i] for names in synonyms.values() for i, n in enumerate(names) if i}
     top = F.transform(F.filter("members", lambda m: m["inner"].isNull()), lambda m: m["outer"])
-    outer, number = F.col("m.outer"), F.col("m.value").try_cast("double")
+    rows_of = file_statistics(loaded.withColumn("_top", top), ["_top"])
+    outer, number = F.col("outer"), F.col("value").try_cast("double")
     beside = F.lit(False)
     for n, names in earlier.items():
-        beside = beside | ((outer == n) & F.arrays_overlap("top", F.array(*map(F.lit, names))))
+        beside = beside | ((outer == n) & F.arrays_overlap("_top", F.array(*map(F.lit, names))))
     whole = F.coalesce((number == F.floor(number)) & (F.abs(number) < 2.0**63), F.lit(False))
-    stats = (loaded.select(top.alias("top"), F.explode("members").alias("m")).groupBy(outer.alias("outer"), F.col("m.inner").alias("inner"), F.col("m.type").alias("type"))
-             .agg(F.count("*").alias("files"), F.count_if((F.col("m.type") == "decimal") & ~whole).alias("fractional"), F.count_if(beside).alias("beside")))
+    stats = rows_of.groupBy("outer", "inner", "type").agg(F.count("*").alias("files"), F.count_if((F.col("type") == "decimal") & ~whole).alias("fractional"), F.count_if(beside).alias("beside"))
     rows = stats.limit(6 * max_columns + 1).collect()
     apart = {r["outer"] for r in rows if r["beside"]}
     column = {n: c for c, names in synonyms.items() for n in names if n not in apart}

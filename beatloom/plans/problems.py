@@ -170,19 +170,6 @@ m AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 400 THEN 1 ELSE 0 EN
         PARTITION BY episode_id, scene_index ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT episode_id, scene_index, min(s) AS period_start, max(e) AS period_end FROM m GROUP BY episode_id, scene_index, island"""
 
-RAW_FIELDS = {  # names that stand for one field; columns and types come from the files
-    "words": {"version": ["version", "format_version", "words_version", "v"],
-              "granularity": ["granularity", "unit", "level", "timing_unit"],
-              "voice": ["voice", "voice_name", "speaker"],
-              "duration_ms": ["duration_ms", "total_ms", "length_ms"]},
-    "state": {"schema_tag": ["schema", "schema_tag"],
-              "title": ["title", "name", "episode_title"],
-              "confirmations": ["confirmations", "gates", "approvals", "quality_gates"],
-              "theme": ["theme", "theme_id", "look"],
-              "created": ["created", "created_at"]},
-}
-
-
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "raw_files", "file_id", "episode_id", "file_kind", "written_at", "payload")
 
@@ -216,19 +203,89 @@ def p5_types(spark: SparkSession, d: str) -> DataFrame:
     return drift.type_statistics(drift.path_values(_raw(spark, d), "payload"), ["file_kind"])
 
 
+_P5_MEMBERS = """f AS (SELECT file_id, file_kind, CAST(payload AS JSON) AS j FROM raw_files WHERE payload IS NOT NULL AND json_valid(payload)),
+t AS (SELECT file_id, file_kind, k AS path, k AS outer_, NULL AS inner_, json_extract(j, k) AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM f WHERE json_type(j) = 'OBJECT')),
+m AS (SELECT * FROM t UNION ALL SELECT file_id, file_kind, path || '.' || i, outer_, i, json_extract(v, i) FROM (SELECT *, unnest(json_keys(v)) AS i FROM t WHERE json_type(v) = 'OBJECT')),
+s AS (SELECT *, CASE json_type(v) WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'decimal' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'integer' END AS type FROM m WHERE json_type(v) <> 'NULL')"""
+P5_TYPES_SQL = f"WITH {_P5_MEMBERS} SELECT file_kind, path, type, count(*) AS files FROM s GROUP BY ALL"
+
+
+def p5_file_types(spark: SparkSession, d: str) -> DataFrame:
+    """The raw type at each path of each file."""
+    return drift.file_statistics(drift.path_values(_raw(spark, d), "payload"), ["file_id"]).select("file_id", "path", "type")
+
+
+P5_FILE_TYPES_SQL = f"WITH {_P5_MEMBERS} SELECT file_id, path, type FROM s"
+
+
+def p5_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """The names that the renames between files show to be one field."""
+    rows = [(kind, field, place, name) for kind in ("state", "words") for field, names in _p5_loaded(spark, d, kind)[1].items() for place, name in enumerate(names)]
+    return spark.createDataFrame(rows, "file_kind string, field string, place int, name string")
+
+
+def _p5_loaded(spark: SparkSession, d: str, file_kind: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    files = drift.path_values(_raw(spark, d).where(F.col("file_kind") == file_kind), "payload").where("members is not null")
+    loaded = materialise(files.drop("payload", "file_kind"), "typed-files")
+    return loaded, drift.found_synonyms(loaded, drift.compared(loaded, "file_id", ["episode_id"], ["written_at", "file_id"]))
+
+
 def _p5_table(file_kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         keys = ["file_id", "episode_id", "written_at"]
-        files = drift.path_values(_raw(spark, d).where(F.col("file_kind") == file_kind), "payload").where("members is not null")
-        loaded = materialise(files.select(*keys, "members"), "typed-files")
-        return drift.typed_table(loaded, keys, drift.derived_fields(loaded, RAW_FIELDS[file_kind], keys))
+        loaded, synonyms = _p5_loaded(spark, d, file_kind)
+        return drift.typed_table(loaded, keys, drift.derived_fields(loaded, synonyms, keys))
     return query
 
 
+# what the supplied files show at scale 0.01: columns and types in order, and the names of those that were renamed
+P5_SHOWN = {
+    "words": ("duration_ms:bigint granularity:string version:bigint voice:string checksum:string hook_ms:bigint rate:string retries:bigint reviewed_by:string sample_rate:bigint scenes:list tags:list "
+              "words:list duration_ms.major:bigint duration_ms.major_ok:bigint granularity.value:string version.major:bigint version.value:string voice.value:string voice.value_ok:string",
+              {"duration_ms": "duration_ms total_ms length_ms", "granularity": "granularity level timing_unit unit", "version": "version format_version v words_version", "voice": "voice speaker"}),
+    "state": ("confirmations:object created:string schema:string theme:string title:string boards:list checksum:string hook_ms:bigint mix_gain:double phases:object rate:string retries:bigint "
+              "reviewed_by:string sample_rate:bigint tags:list confirmations.0:string confirmations.1:string confirmations.2:string confirmations.audio_confirmed:string "
+              "confirmations.content_confirmed:boolean confirmations.final_confirmed:boolean confirmations.items:list confirmations.visual_confirmed:boolean confirmations.visual_confirmed_ok:boolean "
+              "created.value:string theme.value:string theme.value_ok:string boards.items:list boards.layout_checked:string phases.annotated:boolean phases.annotated_ok:boolean "
+              "phases.boards_generated:boolean phases.boards_generated_ok:boolean phases.legal_checked:string phases.note:string phases.rendered:boolean",
+              {"confirmations": "confirmations approvals gates", "created": "created created_at", "schema": "schema schema_tag", "theme": "theme look theme_id", "title": "title episode_title name"}),
+}
+
+
+def _canonical(v: str, depth: int) -> str:
+    """JSON text with sorted members, down to ``depth`` levels."""
+    if not depth:
+        return f"CAST({v} AS VARCHAR)"
+    e = f"e{depth}"
+    return (f"CASE json_type({v}) WHEN 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(json_keys({v})), lambda {e}: CAST(to_json({e}) AS VARCHAR) || ':' || {_canonical(f'json_extract({v}, {e})', depth - 1)}), ',') || '}}' "
+            f"WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(CAST({v} AS JSON[]), lambda {e}: {_canonical(f'coalesce({e}, CAST(chr(110) || chr(117) || chr(108) || chr(108) AS JSON))', depth - 1)}), ',') || ']' ELSE CAST({v} AS VARCHAR) END")
+
+
+def _p5_sql(file_kind: str) -> str:
+    """Each column from the first of its names that a file has, with the casts that failed."""
+    columns, synonyms = P5_SHOWN[file_kind]
+    raw, text, cast, failed = [], [], [], []
+    for n, (column, t) in enumerate(c.split(":") for c in columns.split()):
+        outer, _, inner = column.partition(".")
+        paths = [f'$."{name}"' + (f'."{inner}"' if inner else "") for name in synonyms.get(outer, outer).split()]
+        held = [f"CASE WHEN json_type(json_extract(j, '{p}')) <> 'NULL' THEN json_extract(j, '{p}') END" for p in paths]
+        raw.append(f"coalesce({', '.join(held)}) AS v{n}")
+        text.append(f"CASE WHEN json_type(v{n}) = 'VARCHAR' AND '{t}' NOT IN ('list', 'object') THEN json_extract_string(v{n}, '$') ELSE {_canonical(f'v{n}', 2)} END AS t{n}")
+        number = f"TRY_CAST(t{n} AS DECIMAL(38, 9))"
+        cast.append({"bigint": f"CASE WHEN {number} % 1 = 0 THEN TRY_CAST({number} AS BIGINT) END", "double": f"TRY_CAST(t{n} AS DOUBLE)",
+                     "boolean": f"CASE WHEN lower(t{n}) IN ('t', 'true', 'y', 'yes', '1') THEN true WHEN lower(t{n}) IN ('f', 'false', 'n', 'no', '0') THEN false END"}.get(t, f"t{n}") + f' AS "{column}"')
+        shape = {"list": f"json_type(v{n}) <> 'ARRAY'", "object": f"json_type(v{n}) <> 'OBJECT'", "string": f"json_type(v{n}) IN ('ARRAY', 'OBJECT')"}.get(t, f'"{column}" IS NULL')
+        failed.append(f"CASE WHEN v{n} IS NOT NULL AND {shape} THEN '{column}' END")
+    return (f"WITH j AS (SELECT file_id, episode_id, written_at, CAST(payload AS JSON) AS j FROM raw_files WHERE file_kind = '{file_kind}' AND payload IS NOT NULL AND json_valid(payload)), "
+            f"r AS (SELECT *, {', '.join(raw)} FROM j), t AS (SELECT *, {', '.join(text)} FROM r), c AS (SELECT *, {', '.join(cast)} FROM t) "
+            f"SELECT file_id, episode_id, written_at, {', '.join(chr(34) + c.split(':')[0] + chr(34) for c in columns.split())}, array_to_string(list_filter([{', '.join(failed)}], lambda x: x IS NOT NULL), ',') AS failed_casts FROM c")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_schema": p1_schema,
     **{name: _p1_table(level, prefix) for name, (level, prefix) in TABLES.items()}, "p1_values": p1_values, "p1_other": p1_other,
     "p4_found": p4_found, "p4_periods": p4_periods,
-    "p5_found": p5_found, "p5_types": p5_types, "p5_words": _p5_table("words"), "p5_state": _p5_table("state"),
+    "p5_found": p5_found, "p5_types": p5_types, "p5_file_types": p5_file_types, "p5_synonyms": p5_synonyms, "p5_words": _p5_table("words"), "p5_state": _p5_table("state"),
 }
-ORACLE_SQL = {"p1_found": P1_FOUND_SQL, "p1_schema": P1_SCHEMA_SQL, **P1_TABLE_SQL, "p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL, "p5_found": P5_FOUND_SQL}
+ORACLE_SQL = {"p1_found": P1_FOUND_SQL, "p1_schema": P1_SCHEMA_SQL, **P1_TABLE_SQL, "p4_found": P4_FOUND_SQL, "p4_periods": P4_PERIODS_SQL, "p5_found": P5_FOUND_SQL, "p5_types": P5_TYPES_SQL, "p5_file_types": P5_FILE_TYPES_SQL,
+              "p5_words": _p5_sql("words"), "p5_state": _p5_sql("state")}

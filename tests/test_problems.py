@@ -184,6 +184,22 @@ def test_typed_table_holds_every_member(spark):
     assert held(3) == {"failed_casts": ""} and held(5) == {"title": "t", "name": "n", "rate_2": 4, "boards": "[2]", "failed_casts": ""}
 
 
+def test_synonyms_come_from_renames(spark):
+    """a -> b -> c are one field; d and e had one value once but stand beside each other; f was retyped, g dropped."""
+    files = ['{"a": "x1", "d": 1, "f": 1}', '{"b": "x1", "d": 1, "f": "1"}', '{"b": "x2", "e": 1}', '{"c": "x2", "e": 2, "d": 3}', '{"c": {"a": 1}, "e": 2, "g": 5}', '{"c": {"q": 1}, "e": 2}']
+    df = spark.createDataFrame([(i, "g", i, p) for i, p in enumerate(files)], "id long, g string, t long, p string")
+    loaded = drift.path_values(df, "p").drop("p")
+    differences = drift.compared(loaded, "id", ["g"], ["t", "id"])
+    assert rows(differences.where("change_kind <> 'renamed'").select("id", "outer", "was", "now")) == sorted(
+        [(1, None, "f", "f"), (2, None, "f", None), (3, None, None, "d"), (4, None, "c", "c"), (4, None, "d", None), (4, None, None, "g"), (5, None, "g", None)], key=str)
+    assert rows(differences.where("change_kind = 'renamed'").select("id", "outer", "was", "now")) == [(1, None, "a", "b"), (2, None, "d", "e"), (3, None, "b", "c"), (5, "c", "a", "q")]
+    synonyms = drift.found_synonyms(loaded, differences)
+    assert synonyms == {"c": ["c", "b", "a"]}
+    table = drift.typed_table(loaded, ["id"], drift.derived_fields(loaded, synonyms, ["id"]))
+    assert [(r.c, r.e, r.failed_casts) for r in table.orderBy("id").collect()][:4] == [("x1", None, ""), ("x1", None, ""), ("x2", 1, ""), ("x2", 2, "")]
+    assert drift.found_synonyms(loaded.limit(0), differences.limit(0)) == {}
+
+
 def test_p5_tables_hold_every_member(spark, sf):
     files = spark.read.parquet(f"{sf}/raw_files.parquet").collect()
     for kind, query in (("state", problems.QUERIES["p5_state"]), ("words", problems.QUERIES["p5_words"])):
