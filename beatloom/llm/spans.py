@@ -142,7 +142,8 @@ def _level(texts: DataFrame, length: int, kept_length: int, wanted: int) -> Data
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    return found.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("h")
+    """(h, lo, hi): the marks of more than one text, with the first and the last of them."""
+    return found.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
 
 
 def _folded(docs: DataFrame, key: str, text: str, wanted: int) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +161,7 @@ def shared_windows(texts: DataFrame, wanted: int) -> DataFrame:
     level, kept_length, current = max(wanted // 4, 1), 0, texts.select("cls", "text")
     while True:
         found = materialise(_level(current, level, kept_length, wanted), f"span-level-{level}")
-        survivors = found.join(_repeated(found), "h", "left_semi")
+        survivors = found.join(_repeated(found).select("h"), "h", "left_semi")
         if level == wanted:
             return materialise(survivors, "span-windows")
         kept = survivors.groupBy("cls").agg(F.collect_list("pos").alias("kept"))
@@ -168,6 +169,29 @@ def shared_windows(texts: DataFrame, wanted: int) -> DataFrame:
         kept_length, level = level, min(2 * level, wanted)
 
 
+CELL = 1_000  # members of a key that meet as one
+
+
+def _met(rows: DataFrame, key: str, member: str, n: str, hot: bool) -> DataFrame:
+    """(a, b), a < b, of the members of each key; ``n`` is how many it has, ``hot`` whether any has more than a cell.
+
+    Members of such a key are cut into cells, and any two cells meet in a task
+    of their own: no task makes more than a million pairs of one key.
+    """
+    few = rows.where(F.col(n) <= CELL)
+    pairs = few.select(key, F.col(member).alias("a")).join(few.select(key, F.col(member).alias("b")), key).where("a < b").select("a", "b")
+    if not hot:
+        return pairs
+    celled = rows.where(F.col(n) > CELL).select(key, member, F.pmod(F.xxhash64(member), F.ceil(F.col(n) / CELL)).cast("int").alias("cell"))
+    cells = celled.select(key, "cell").distinct()
+    blocks = cells.select(key, F.col("cell").alias("ca")).join(cells.select(key, F.col("cell").alias("cb")), key).where("ca <= cb")
+    blocks = materialise(blocks, "span-blocks")
+    left = celled.select(key, F.col(member).alias("a"), F.col("cell").alias("ca")).join(blocks, [key, "ca"])
+    right = celled.select(key, F.col(member).alias("b"), F.col("cell").alias("cb")).join(blocks, [key, "cb"])
+    met = left.join(right, [key, "ca", "cb"]).where("ca < cb or a < b")
+    return pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def _pairs(windows: DataFrame) -> DataFrame:
     """Pairs of classes that share a window.
 
@@ -177,10 +201,9 @@ def _pairs(windows: DataFrame) -> DataFrame:
     each = windows.select("h", "cls").distinct()
     part = lambda s: F.xxhash64(F.col("cls"), F.lit(s)).cast("decimal(20,0)")
     sets = each.groupBy("h").agg(F.count("*").alias("n"), F.sum(part(1)).alias("a"), F.sum(part(2)).alias("b"))
-    chosen = sets.groupBy("n", "a", "b").agg(F.min("h").alias("h")).select("h")
-    few = materialise(each.join(chosen, "h", "left_semi"), "span-sets")
-    a, b = few.select("h", F.col("cls").alias("cls_a")), few.select("h", F.col("cls").alias("cls_b"))
-    return a.join(b, "h").where("cls_a < cls_b").select("cls_a", "cls_b").distinct()
+    chosen = sets.groupBy("n", "a", "b").agg(F.min("h").alias("h")).select("h", "n")
+    few = materialise(each.join(chosen, "h"), "span-sets")
+    return _met(few, "h", "cls", "n", not few.where(F.col("n") > CELL).isEmpty()).distinct().toDF("cls_a", "cls_b")
 
 
 def shared_pairs(docs: DataFrame, key: str, text: str, wanted: int = 200) -> DataFrame:
@@ -193,14 +216,38 @@ def shared_pairs(docs: DataFrame, key: str, text: str, wanted: int = 200) -> Dat
     pairs = _pairs(shared_windows(texts, wanted))
     own = texts.select("cls", F.col("cls").alias("key"))
     everyone = members.unionByName(own)  # class and document, the class's own included
-    copies = members.groupBy("cls").agg(F.lit(1).alias("x")).join(everyone, "cls").select("cls", "key")
-    within = copies.alias("p").join(copies.alias("q"), "cls").select(F.col("p.key").alias("doc_a"), F.col("q.key").alias("doc_b")).where("doc_a < doc_b")
+    sizes = texts.where("n_members > 1").select("cls", "n_members")
+    hot = not sizes.where(F.col("n_members") > CELL).isEmpty()
+    within = _met(everyone.join(sizes, "cls"), "cls", "key", "n_members", hot).toDF("doc_a", "doc_b")
     left = pairs.join(everyone.select(F.col("cls").alias("cls_a"), F.col("key").alias("ka")), "cls_a")
     both = left.join(everyone.select(F.col("cls").alias("cls_b"), F.col("key").alias("kb")), "cls_b")
     across = both.select(F.least("ka", "kb").alias("doc_a"), F.greatest("ka", "kb").alias("doc_b"))
     return across.unionByName(within)
 
 
+def shared_classes(docs: DataFrame, key: str, text: str, wanted: int = 200) -> tuple[DataFrame, DataFrame]:
+    """What :func:`shared_pairs` says without its pairs of copies: membership and the pairs of representatives.
+
+    The first is one row for each document: (doc_id, ``class_id``, ``n_copies``,
+    ``n_links``), its class the least key among equal texts, ``n_copies`` how
+    many the class has, ``n_links`` with how many other documents it shares a
+    run.  Documents too short to share are classes of their own without links.
+    The second is (class_a, class_b) of classes that share a run.
+    """
+    members, texts = _folded(docs, key, text, wanted)
+    pairs = materialise(_pairs(shared_windows(texts, wanted)), "span-pairs")
+    sizes = texts.select("cls", "n_members")
+    ends = pairs.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(pairs.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other")))
+    links = ends.join(sizes.select(F.col("cls").alias("other"), F.col("n_members").alias("n")), "other").groupBy("cls").agg(F.sum("n").alias("across"))
+    classes = sizes.join(links, "cls", "left").select("cls", "n_members", (F.col("n_members") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"))
+    copies = members.join(classes, "cls").select("key", "cls", "n_members", "n_links")
+    known = copies.unionByName(classes.select(F.col("cls").alias("key"), "cls", "n_members", "n_links"))
+    every = docs.select(F.col(key).alias("key")).join(known, "key", "left")
+    membership = every.select(F.col("key").alias("doc_id"), F.coalesce("cls", "key").alias("class_id"), F.coalesce("n_members", F.lit(1)).cast("bigint").alias("n_copies"),
+                              F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return membership, pairs.toDF("class_a", "class_b")
+
+
 def _runs(windows: DataFrame) -> DataFrame:
     """(cls, run, units): the neighbouring units of each text of which any two stand side by side in another text too.
 
@@ -226,50 +273,58 @@ def _runs(windows: DataFrame) -> DataFrame:
 
 
 def _parts(runs: DataFrame) -> DataFrame:
-    """(cls, run, i, j, h): the units i to j of a run, three at least, and a digest of their ids."""
+    """(cls, run, i, j, h): the units i to j of a run and a digest of their ids."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cls, run, ids in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for i in range(len(ids) - 2):
-                    mark, marks = blake2b(ids[i] + ids[i + 1], digest_size=16), []
-                    for k in ids[i + 2:]:
+                for i in range(len(ids)):
+                    mark, marks = blake2b(digest_size=16), []
+                    for k in ids[i:]:
                         mark.update(k)
                         marks.append(mark.digest())
                     n = len(marks)
                     yield pa.RecordBatch.from_arrays([pa.array([cls] * n, pa.int64()), pa.array([run] * n, pa.int64()), pa.array([i] * n, pa.int32()),
-                                                      pa.array(range(i + 2, i + 2 + n), pa.int32()), pa.array(marks, pa.binary())], ["cls", "run", "i", "j", "h"])
+                                                      pa.array(range(i, i + n), pa.int32()), pa.array(marks, pa.binary())], ["cls", "run", "i", "j", "h"])
 
-    long = runs.where(F.size("units") > 2).select("cls", F.col("run").cast("bigint"), F.col("units.id").alias("ids"))
-    return long.mapInArrow(parts, "cls bigint, run bigint, i int, j int, h binary")
+    ids = runs.select("cls", F.col("run").cast("bigint"), F.col("units.id").alias("ids"))
+    return ids.mapInArrow(parts, "cls bigint, run bigint, i int, j int, h binary")
 
 
 def _stretches(windows: DataFrame, wanted: int) -> DataFrame:
-    """(cls, start_char, end_char): the stretches that stand whole in another text and in no longer such stretch."""
+    """(cls, start_char, end_char, span_id, lo, hi): the stretches that stand whole in another text and in no longer such stretch."""
     runs = _runs(windows)
     parts = materialise(_parts(runs), "span-parts")
-    far = parts.join(_repeated(parts), "h", "left_semi").groupBy("cls", "run", "i").agg(F.max("j").alias("j"))
-    each = runs.select("cls", "run", F.size("units").alias("n"), "units", F.posexplode("units").alias("i", "unit"))
-    ends = (each.join(far, ["cls", "run", "i"], "left")
-            .withColumn("j", F.coalesce("j", F.least(F.col("i") + 1, F.col("n") - 1)))  # two neighbours are shared always
-            .select("cls", "run", F.col("unit.first").alias("start_char"), (F.get("units", F.col("j"))["last"] + wanted).alias("end_char")))
+    held = F.max_by(F.struct("j", "h", "lo", "hi"), "j")
+    far = parts.join(_repeated(parts), "h").groupBy("cls", "run", "i").agg(held.alias("far"))
+    each = runs.select("cls", "run", "units", F.posexplode("units").alias("i", "unit"))
+    ends = each.join(far, ["cls", "run", "i"]).select("cls", "run", F.col("unit.first").alias("start_char"),
+                                                      (F.get("units", F.col("far.j"))["last"] + wanted).alias("end_char"), "far")
     further = F.lag("end_char").over(Window.partitionBy("cls", "run").orderBy("start_char"))
-    return ends.withColumn("further", further).where("further is null or end_char > further").select("cls", "start_char", "end_char")
+    ends = ends.withColumn("further", further).where("further is null or end_char > further")
+    return ends.select("cls", "start_char", "end_char", F.lower(F.hex("far.h")).alias("span_id"), "far.lo", "far.hi")
 
 
 def shared_spans(docs: DataFrame, key: str, text: str, wanted: int = 200) -> DataFrame:
-    """(doc_id, ``start_char``, ``end_char``): the stretches of each document that stand whole in another document.
+    """(doc_id, ``start_char``, ``end_char``, ``span_id``, ``other_doc``): the stretches of each document that stand whole in another.
 
     Only those within no longer one; stretches found in different documents may
-    overlap.  A text with copies is shared whole.
+    overlap.  Equal stretches have one ``span_id``.  ``other_doc`` is a document
+    that has the stretch: the least of the classes of equal texts that have it,
+    the greatest of them where the document's own is the least.  A text with
+    copies is shared whole, with the least copy or, if it is that, the greatest.
     """
     members, texts = _folded(docs, key, text, wanted)
     runs = _stretches(shared_windows(texts, wanted), wanted)
-    whole = texts.where("n_members > 1").select("cls", F.lit(0).alias("start_char"), F.length("text").alias("end_char"))
-    single = runs.join(whole.select("cls"), "cls", "left_anti")
-    copied = members.join(whole, "cls").select("key", "start_char", "end_char")
-    return (single.unionByName(whole).select(F.col("cls").alias("key"), "start_char", "end_char").unionByName(copied)
-            .withColumnRenamed("key", "doc_id"))
+    many = texts.where("n_members > 1")
+    single = runs.join(many.select("cls"), "cls", "left_anti")
+    other = F.when(F.col("lo") == F.col("cls"), F.col("hi")).otherwise(F.col("lo"))
+    whole = many.select("cls", F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.md5("text").alias("span_id"))
+    last = members.groupBy("cls").agg(F.max("key").alias("other_doc"))
+    columns = ["start_char", "end_char", "span_id", "other_doc"]
+    return (single.withColumn("other_doc", other).select(F.col("cls").alias("doc_id"), *columns)
+            .unionByName(whole.join(last, "cls").select(F.col("cls").alias("doc_id"), *columns))
+            .unionByName(members.join(whole, "cls").withColumn("other_doc", F.col("cls")).select(F.col("key").alias("doc_id"), *columns)))
 
 
 def shared_report(docs: DataFrame, key: str, text: str, wanted: int = 200) -> DataFrame:

@@ -428,6 +428,16 @@ def test_spans_equal_brute_force(spark, wanted, seed):
     assert rows(spans.shared_pairs(df, "doc_id", "text", wanted)) == sorted(pairs, key=str)
     report = {r.doc_id: r.shared_chars for r in spans.shared_report(df, "doc_id", "text", wanted).collect()}
     assert report == {k: covered.get(k, 0) for k, _ in docs}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(spans, "CELL", 3)
+        assert rows(spans.shared_pairs(df, "doc_id", "text", wanted)) == sorted(pairs, key=str)
+    membership, linked = spans.shared_classes(df, "doc_id", "text", wanted)
+    of, seen = {}, {}
+    for k, t in docs:
+        of[k] = seen.setdefault(t, k) if t and len(t) >= wanted else k
+    links = lambda k: sum(k in p for p in pairs)
+    assert rows(membership) == sorted(((k, of[k], sum(c == of[k] for c in of.values()), links(k)) for k, _ in docs), key=str)
+    assert rows(linked) == sorted({tuple(sorted((of[a], of[b]))) for a, b in pairs if of[a] != of[b]}, key=str)
 
 
 def stretches(docs, wanted):
@@ -455,7 +465,14 @@ def test_spans_stand_whole_elsewhere(spark, wanted, seed):
     docs += [(20 + k, make(rng.randrange(0, 3)) + rng.choice([a, b, c])[rng.randrange(0, wanted):] + rng.choice([a, b, c])[:rng.randrange(1, 2 * wanted)]) for k in range(25)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = stretches(docs, wanted)
-    assert rows(spans.shared_spans(df, "doc_id", "text", wanted)) == want
+    found = spans.shared_spans(df, "doc_id", "text", wanted).collect()
+    assert sorted(((r.doc_id, r.start_char, r.end_char) for r in found), key=str) == want
+    of, said = dict(docs), defaultdict(set)
+    for r in found:
+        part = of[r.doc_id][r.start_char:r.end_char]
+        said[r.span_id].add(part)
+        assert r.other_doc != r.doc_id and part in of[r.other_doc]
+    assert all(len(parts) == 1 for parts in said.values())
     _, covered = shared(docs, wanted)
     report = {r.doc_id: (r.n_spans, r.shared_chars) for r in spans.shared_report(df, "doc_id", "text", wanted).collect()}
     assert report == {k: (sum(w[0] == k for w in want), covered.get(k, 0)) for k, _ in docs}
@@ -464,6 +481,7 @@ def test_spans_stand_whole_elsewhere(spark, wanted, seed):
 def test_spans_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.shared_pairs(df, "doc_id", "text", 20).count() == spans.shared_report(df, "doc_id", "text", 20).count() == 0
+    assert [d.count() for d in spans.shared_classes(df, "doc_id", "text", 20)] == [0, 0]
 
 
 def test_p9_equals_brute_force(spark):
