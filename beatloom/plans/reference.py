@@ -322,18 +322,50 @@ def legacy_schedule(spark: SparkSession, d: str) -> DataFrame:
     return schedule.legacy_schedule(A.slots(spark, d), ["l_orderkey"], ["l_linenumber"], "dur").select("l_orderkey", "l_linenumber", "duration_ms", "start_ms")
 
 
+def _anchored(found: DataFrame, units: DataFrame, start: str, end: str) -> DataFrame:
+    """Matched panels with their scene's duration and their span in the scene's own time."""
+    windows = timeline.scene_windows(units, SCENE).select(*SCENE, F.col("start_ms").alias("_w"), (F.col("end_ms") - F.col("start_ms")).alias("duration"))
+    local = lambda c: F.greatest(F.lit(0), F.col(c) - F.col("_w"))
+    when = lambda c: F.when(F.col(c).isNotNull(), local(c))
+    return found.join(windows, SCENE).withColumn("span_start", when(start)).withColumn("span_end", when(end))
+
+
 def _panels(spark: SparkSession, d: str) -> DataFrame:
     units = A.timeline(spark, d)
-    windows = timeline.scene_windows(units, SCENE).select(*SCENE, F.col("start_ms").alias("_w"), (F.col("end_ms") - F.col("start_ms")).alias("duration"))
     found = align.exact_matches(_phrases(spark, d), align.haystacks(units, SCENE, ORDER), SCENE, "phrase")
-    local = lambda c: F.greatest(F.lit(0), F.col(c) - F.col("_w"))
-    return found.join(windows, SCENE).withColumn("span_start", local("matched_start_ms")).withColumn("span_end", local("matched_end_ms"))
+    return _anchored(found, units, "matched_start_ms", "matched_end_ms")
+
+
+_PLANNED = rf"""{A.TL}, {_HAY}, n AS (SELECT element_key, episode_id, scene_index, regexp_replace(phrase, '[^\p{{L}}\p{{N}}]+', '', 'g') AS needle FROM elements JOIN scenes USING (scene_key) WHERE scene_index IS NOT NULL), {_HIT},
+r AS (SELECT element_key, arg_min(start_ms, b) AS s, arg_max(end_ms, b) AS e FROM hit h JOIN off o ON o.episode_id = h.episode_id AND o.scene_index = h.scene_index AND o.b > h.at AND o.b - length(o.t) < h.at + length(h.needle) GROUP BY 1),
+win AS (SELECT episode_id, scene_index, min(start_ms) AS w, max(end_ms) - min(start_ms) AS d FROM tl GROUP BY 1, 2),
+pan AS (SELECT n.episode_id, n.scene_index, n.element_key, greatest(1500, d - 600) AS hi, greatest(0, s - w) AS ss, greatest(0, e - w) AS se, s IS NOT NULL AS own, CAST(row_number() OVER (PARTITION BY n.episode_id, n.scene_index ORDER BY n.element_key) AS INTEGER) - 1 AS i,
+ CAST(count(*) OVER (PARTITION BY n.episode_id, n.scene_index) AS INTEGER) AS c FROM n LEFT JOIN r USING (element_key) JOIN win ON win.episode_id = n.episode_id AND win.scene_index = n.scene_index),
+fold AS (SELECT episode_id, scene_index, i, hi, c, own, CASE WHEN own THEN least(greatest(ss, 1050), hi - 450) END AS s, CASE WHEN own THEN greatest(least(se, hi), least(greatest(ss, 1050), hi - 450) + 450) END AS e,
+  CASE WHEN own THEN greatest(least(se, hi), least(greatest(ss, 1050), hi - 450) + 450) + 150 ELSE 1050 END AS free FROM pan WHERE i = 0 UNION ALL
+ SELECT p.episode_id, p.scene_index, p.i, p.hi, p.c, p.own, CASE WHEN p.own THEN least(greatest(ss, f.free), p.hi - 450) END, CASE WHEN p.own THEN greatest(least(se, p.hi), least(greatest(ss, f.free), p.hi - 450) + 450) END,
+  CASE WHEN p.own THEN greatest(least(se, p.hi), least(greatest(ss, f.free), p.hi - 450) + 450) + 150 ELSE f.free END FROM fold f JOIN pan p ON p.episode_id = f.episode_id AND p.scene_index = f.scene_index AND p.i = f.i + 1),
+side AS (SELECT *, coalesce(max(CASE WHEN own THEN i END) OVER b, -1) AS li, last_value(e IGNORE NULLS) OVER b AS le, coalesce(min(CASE WHEN own THEN i END) OVER a, c) AS ri, first_value(s IGNORE NULLS) OVER a AS rs FROM fold
+ WINDOW b AS (PARTITION BY episode_id, scene_index ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY episode_id, scene_index ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+run AS (SELECT *, i - li - 1 AS k, ri - li - 1 AS n, coalesce(rs - 150, hi) AS stop, least(coalesce(le + 150, 1050), coalesce(rs - 150, hi)) AS lo FROM side),
+each AS (SELECT *, floor((stop - lo - 150 * (n - 1)) / n::DOUBLE) AS share FROM run),
+timed AS (SELECT *, lo + k * (CASE WHEN share < 300 THEN greatest(120, share) ELSE share END + 150) AS t, CASE WHEN share < 300 THEN greatest(120, share) ELSE share END AS per FROM each),
+placed AS (SELECT *, own OR k = 0 OR t < stop AS fits, CASE WHEN own THEN s WHEN k = 0 OR t < stop THEN t ELSE hi - 300 END AS ps, CASE WHEN own THEN e WHEN k = 0 OR t < stop THEN greatest(least(t + per, stop), t + 120) ELSE hi END AS pe FROM timed),
+planned AS (SELECT episode_id, scene_index, i + 1 AS panel_no, CAST(CASE WHEN i = 0 AND ps > 1200 THEN 1050 ELSE ps END AS BIGINT) AS start_ms, CAST(pe AS BIGINT) AS end_ms, own AS anchored FROM placed)"""
+
+
+@query(f"WITH RECURSIVE {_PLANNED} SELECT episode_id, scene_index, panel_no, start_ms, end_ms - start_ms AS duration_ms, anchored FROM planned")
+def schedule_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Reveal windows of each scene's elements, anchored where their phrases stand exactly."""
+    return schedule.schedule_windows(_panels(spark, d), SCENE, "element_key", "duration").drop("warnings")
 
 
 @query()
-def schedule_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Reveal windows of each scene's elements, anchored at their phrases."""
-    return schedule.schedule_windows(_panels(spark, d), SCENE, "element_key", "duration")
+def schedule_windows_matched(spark: SparkSession, d: str) -> DataFrame:
+    """The same, anchored by the whole precedence: exact, fuzzy, through the dictionary."""
+    units = A.timeline(spark, d)
+    found = align.phrase_matches(_phrases(spark, d), align.haystacks(units, SCENE, ORDER), SCENE, "element_key", "phrase", align.fixed_dictionary(spark, CROSS_LANGUAGE))
+    return schedule.schedule_windows(_anchored(found, units, "start_ms", "end_ms"), SCENE, "element_key", "duration")
 
 
 @query()

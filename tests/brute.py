@@ -125,3 +125,29 @@ def changes(files):
             out += [(fid, *f) for f in found]
         before[g] = doc
     return sorted(out)
+
+
+def reveal_windows(duration, spans):
+    """The windows of a scene's panels, one after the other; spans hold (start, end) or None."""
+    first, last = 1050, max(1500, duration - 600)
+    out, free = [], first
+    for span in spans:
+        if span is None:
+            out.append(None)
+            continue
+        start = min(max(span[0], free, first), last - 450)
+        out.append((start, max(min(max(span[1], start + 450), last), start + 450)))
+        free = out[-1][1] + 150
+    known = [-1, *(i for i, w in enumerate(out) if w), len(out)]
+    for left, right in zip(known, known[1:], strict=False):
+        stop = out[right][0] - 150 if right < len(out) else last
+        t, n = min(out[left][1] + 150 if left >= 0 else first, stop), right - left - 1
+        if n:
+            each = (stop - t - 150 * (n - 1)) // n
+            each = max(120, each) if each < 300 else each
+            for k in range(n):
+                at = t + k * (each + 150)
+                out[left + 1 + k] = (at, max(min(at + each, stop), at + 120)) if k == 0 or at < stop else (last - 300, last)
+    if out and out[0][0] > 1200:
+        out[0] = (first, out[0][1])
+    return out

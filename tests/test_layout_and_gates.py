@@ -55,6 +55,14 @@ def test_strokes(spark):
     assert spatial.drop_covered([beside, long, far]) == [1, 2]
     merged = spatial.merge_fragments([long, np.array([[110, 0], [150, 0]]), np.array([[105, 5], [105, 60]])])
     assert sorted(len(m) for m in merged) == [2, 4]
+    joined = lambda *ps: [m.tolist() for m in spatial.merge_fragments([np.array(p) for p in ps])]
+    assert joined([[0, 0], [50, 0]], [[60, 0], [99, 0]]) == [[[99, 0], [60, 0], [50, 0], [0, 0]]]
+    assert joined([[0, 0], [50, 0]], [[79, 0], [99, 0]]) == [[[0, 0], [50, 0]], [[79, 0], [99, 0]]]  # 29 px
+    assert joined([[0, 0], [50, 0]], [[50, 0], [50, 40]]) == [[[50, 40], [50, 0], [50, 0], [0, 0]]]  # ends that meet need no direction
+    assert joined([[10, 0], [90, 0]], [[5, 0]]) == [[[5, 0], [10, 0], [90, 0]]] and len(joined([[0, 5], [0, 90]], [[0, 0]])) == 2  # a point lies level
+    bent = [[0, 0], [40, 0], [40, 0], [40, 0], [44, 4], [45, 9]]  # the last step alone gives the direction
+    assert len(joined(bent, [[45, 20], [45, 60]])) == 1 and len(joined(bent, [[55, 9], [95, 9]])) == 2
+    assert [len(m) for m in joined([[0, 0], [90, 0]], [[110, 0], [160, 0]], [[95, 2], [99, 2]])] == [4, 2]  # joined ends are free no more
     assert spatial.group_strokes([far, long, np.array([[100, 10], [100, 17]])]) == [1, 0, 0]
     df = spark.createDataFrame([("a", 1, [(0, 0), (100, 0)]), ("a", 2, [(10, 4), (30, 4)]), ("a", 3, []), ("b", 1, [(5, 5)])], "k string, s int, pts array<struct<x:int,y:int>>")
     assert sorted((r.k, r.n_points) for r in spatial.simplify_strokes(df, ["k"], "s").collect()) == [("a", 2), ("b", 1)]

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from beatloom.functions import geometry as G
 from beatloom.functions import text as T
 from beatloom.operators import align, schedule, timeline
@@ -161,14 +162,24 @@ def test_op_slices(spark):
     assert got == [("b", "s1", 0, 0), ("b", "s2", 1, 0), ("b", "s2", 2, 1), ("c", "s1", 0, 9)]
 
 
-def test_window_plans():
-    placed, notes = schedule.plan_windows(10_000, [(2000, 3000), None, (6000, 6100)])
-    assert placed == [(1050, 3000), (3150, 5850), (6000, 6450)] and "hook" in notes
-    placed, notes = schedule.plan_windows(2000, [None] * 6)
-    assert len(placed) == 6 and schedule.TOO_SHORT in notes and schedule.NO_ROOM in notes
-    assert schedule.plan_windows(5000, []) == ([], [])
-    for a, b in zip(*(lambda p: (p, p[1:]))(schedule.plan_windows(20_000, [None, (5000, 6000), (5500, 5600), None, None])[0]), strict=False):
-        assert b[0] >= a[1]
+def test_window_plans(spark):
+    rng = random.Random(5)
+    scenes = {0: (10_000, [(2000, 3000), None, (6000, 6100)]), 1: (2000, [None] * 6), 2: (20_000, [None, (5000, 6000), (5500, 5600), None, None]), 3: (None, [(0, 10)])}
+    for k in range(4, 150):
+        d = rng.choice([0, 900, 3000, 6000, 15_000])
+        starts = [rng.randrange(0, d + 500) if rng.random() < 0.5 else None for _ in range(rng.randrange(1, 9))]
+        scenes[k] = (d, [s if s is None else (s, s + rng.randrange(0, 3000)) for s in starts])
+    rows = [(k, i, d, *(span or (None, None))) for k, (d, spans) in scenes.items() for i, span in enumerate(spans)]
+    df = spark.createDataFrame(rows, "k int, o int, dur int, span_start int, span_end int").withColumn("panel_no", F.lit(9))
+    got, notes = {}, {}
+    for r in schedule.schedule_windows(df, ["k"], "o", "dur").orderBy("k", "panel_no").collect():
+        got.setdefault(r.k, []).append((r.start_ms, r.start_ms + r.duration_ms))
+        notes[r.k] = r.warnings
+    assert got == {k: brute.reveal_windows(d or 0, spans) for k, (d, spans) in scenes.items()}
+    assert got[0] == [(1050, 3000), (3150, 5850), (6000, 6450)] and notes[0] == f"{schedule.EVEN} 1;hook"
+    assert notes[1] == f"{schedule.EVEN} 6;{schedule.TOO_SHORT};{schedule.NO_ROOM};{schedule.OUT_OF_RESERVE}"
+    assert all(b[0] >= a[1] for a, b in zip(got[2], got[2][1:], strict=False)) and notes[2] == f"{schedule.EVEN} 1;{schedule.EVEN} 2"
+    assert schedule.schedule_windows(df.limit(0), ["k"], "o", "dur").count() == 0
 
 
 def test_slots_fit_their_window(spark):
