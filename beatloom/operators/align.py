@@ -14,12 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 
 FUZZY_LEAST = 0.75  # fixed value
-MAX_TERMS = 5_000
+CONSTANT_TERMS = 256  # entries of a dictionary that is held as a constant
 
 
 def haystacks(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -52,141 +51,209 @@ def exact_matches(needles: DataFrame, hays: DataFrame, keys: list[str], needle:
     return rows.withColumn("_hit", hit).withColumn("matched_start_ms", F.col("_hit.start_ms")).withColumn("matched_end_ms", F.col("_hit.end_ms")).drop("_n", "_at", "_hit", "units", "hay")
 
 
-def distance_within(a: str, b: str, most: int) -> int | None:
-    """Edit distance of two texts, None beyond ``most``; only the band around the diagonal is filled."""
-    if abs(len(a) - len(b)) > most:
-        return None
-    far = most + 1
-    prev = [j if j <= most else far for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        cur = [far] * (len(b) + 1)
-        cur[0] = i if i <= most else far
-        for j in range(lo, hi + 1):
-            cur[j] = min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != b[j - 1]))
-        if min(cur[lo - 1:hi + 1]) > most:
-            return None
-        prev = cur
-    return prev[-1] if prev[-1] <= most else None
-
-
-def least_distances(hay: str, needle: str) -> np.ndarray:
+def least_distances(hay: np.ndarray, needle: np.ndarray) -> np.ndarray:
     """For each end in the hay, the least edit distance of the needle to any stretch that ends there."""
-    letters = np.frombuffer(hay.encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.arange(len(hay) + 1)
     row = np.zeros(len(hay) + 1, np.int64)  # a match may begin anywhere
     for i, c in enumerate(needle, 1):
         step = np.empty_like(row)
         step[0] = i
-        step[1:] = np.minimum(row[:-1] + (letters != ord(c)), row[1:] + 1)
+        step[1:] = np.minimum(row[:-1] + (hay != c), row[1:] + 1)
         row = np.minimum.accumulate(step - at) + at
     return row[1:]
 
 
+def window_distances(hay: np.ndarray, needle: np.ndarray, starts: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, edit distances of the needle to the windows of that size at ``starts``), size by size.
+
+    One column of the table for all starts at once.  Windows that would reach
+    over the end of the hay come out as far as they are long.
+    """
+    n = len(needle)
+    column = np.repeat(np.arange(n + 1)[:, None], len(starts), axis=1)
+    padded = np.concatenate([hay, np.full(longest, -1, hay.dtype)])
+    down = np.arange(n + 1)[:, None]
+    for size in range(1, longest + 1):
+        step = np.empty_like(column)
+        step[0] = size
+        step[1:] = np.minimum(column[:-1] + (padded[starts + size - 1][None] != needle[:, None]), column[1:] + 1)
+        column = np.minimum.accumulate(step - down, axis=0) + down
+        yield size, column[-1]
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
 def best_window(hay: str, needle: str, least: float = FUZZY_LEAST) -> tuple[int, int, float] | None:
     """(start, length, ratio) of the window of 0.5 to 1.5 times the needle most like it, at least ``least``.
 
     The shortest, then earliest of the best.  Only windows that end where some
-    stretch is near enough to the needle get a distance of their own.
+    stretch is near enough to the needle are held against it.
     """
     n, best, score = len(needle), None, 0.0
     if not n or not hay:
         return None
-    near = least_distances(hay, needle)
-    for size in range(max(1, n // 2), min(len(hay), int(1.5 * n)) + 1):
-        longest = max(n, size)
-        bar = max(score, least)
-        most = int(longest * (1 - bar) + 1e-9)
-        if abs(n - size) > most:
+    h, x = codes(hay), codes(needle)
+    low, high = max(1, n // 2), min(len(hay), int(1.5 * n))
+    near = np.flatnonzero(least_distances(h, x) <= max(n, high) * (1 - least) + 1e-9) + 1
+    if not len(near):
+        return None
+    reach = np.zeros(len(hay) + 1, np.int64)  # starts from which some near end is within a window's size
+    np.add.at(reach, np.maximum(near - high, 0), 1)
+    np.add.at(reach, np.maximum(near - low + 1, 0), -1)
+    starts = np.flatnonzero(np.cumsum(reach)[:len(hay)] > 0)
+    if not len(starts):
+        return None
+    for size, distance in window_distances(h, x, starts, high):
+        if size < low:
             continue
-        for end in np.flatnonzero(near[size - 1:] <= most) + size:
-            start = int(end) - size
-            d = distance_within(hay[start:start + size], needle, int(longest * (1 - max(score, least)) + 1e-9))
-            if d is None:
-                continue
-            ratio = 1 - d / longest
-            if ratio > score and ratio >= least:
-                best, score = (start, size, ratio), ratio
-                if d == 0:
-                    return best
+        ratio = np.where(starts + size <= len(hay), 1 - distance / max(n, size), -1.0)
+        k = int(ratio.argmax())
+        if ratio[k] > score and ratio[k] >= least:
+            best, score = (int(starts[k]), size, float(ratio[k])), ratio[k]
     return best
 
 
+FOUND = "array<struct<id:{0},start_ms:bigint,end_ms:bigint,method:string>>"
+CROWD = 64  # phrases that a scene's row carries; a scene of more has several rows
+
+
+def _first_match(hay: str, forms: list[str]) -> tuple[int, int, str] | None:
+    """(first character, last character, method): each form exactly, then fuzzily, before the next form."""
+    for no, form in enumerate(forms):
+        own = "_translation" if no else ""
+        at = hay.find(form)
+        if at >= 0:
+            return at, at + len(form) - 1, "exact" + own
+        if (window := best_window(hay, form)) is not None:  # as far as the longest window may reach
+            return window[0], min(window[0] + max(1, int(1.5 * len(form))) - 1, len(hay) - 1), "fuzzy" + own
+    return None
+
+
 def phrase_matches(phrases: DataFrame, hays: DataFrame, keys: list[str], id_col: str, phrase: str, dictionary: DataFrame | None = None) -> DataFrame:
-    """(id, start_ms, end_ms, method): the phrase, then its translations, each exactly and then fuzzily; the first that fits.
+    """(id, keys, start_ms, end_ms, method): the phrase, then its translations, each exactly and then fuzzily; the first that fits.
 
     ``method`` is ``exact``, ``fuzzy``, ``exact_translation``,
-    ``fuzzy_translation`` or null without a match, a phrase or a hay.
+    ``fuzzy_translation`` or null without a match, a phrase or a hay.  A fuzzy
+    match lasts to the end of 1.5 times the phrase from its start on.
     ``dictionary`` has ``term``, ``translations`` and ``pos``.
+
+    A scene's phrases go to the scene, up to 64 to a row, so that its hay is not
+    copied for each.  Ids need be unique within a scene alone; repeated rows are
+    matched alike.
     """
     needles = phrases.select(*keys, F.col(id_col).alias("_id"), F.col(phrase).alias("_p"))
     if dictionary is not None:
-        needles = needles.join(translations(needles.select(F.col("_id").alias("id"), F.col("_p").alias("phrase")), dictionary).withColumnRenamed("id", "_id"), "_id", "left")
+        needles = with_translations(needles, "_p", dictionary)
     else:
         needles = needles.withColumn("translations", F.lit(None).cast("array<string>"))
-    forms = F.array_distinct(F.filter(F.transform(F.concat(F.array("_p"), F.coalesce("translations", F.array().cast("array<string>"))), T.normalize), lambda x: x != ""))
-    rows = needles.withColumn("_forms", forms).withColumn("_own", T.normalize(F.col("_p"))).join(hays, keys, "left")
-    rows = rows.repartition(int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id")  # a scene may have many phrases
-    exact = F.filter(F.transform("_forms", lambda f, i: F.struct(i.alias("no"), F.position(f, "hay").alias("at"), F.length(f).alias("n"))), lambda m: m["at"] > 0)
-    rows = rows.withColumn("_exact", F.when(F.col("hay").isNotNull(), exact))
-    # an exact hit on the first form needs no fuzzy search
-    settled = F.coalesce((F.size("_exact") > 0) & (F.get("_exact", F.lit(0))["no"] == 0), F.lit(False))
-    fuzzy = _fuzzy(F.when(~settled, F.col("hay")), F.when(~settled, F.col("_forms")))
-    rows = rows.withColumn("_settled", settled).withColumn("_fuzzy", fuzzy)
-    e, f = F.get("_exact", F.lit(0)), F.col("_fuzzy")
-    use_exact = e.isNotNull() & (f.isNull() | (e["no"] <= f["no"]))
-    rows = rows.withColumn("_m", F.when(use_exact, F.struct(e["no"].cast("int").alias("no"), (e["at"] - 1).cast("int").alias("at"), e["n"].cast("int").alias("n")))
-                           .when(f.isNotNull(), F.struct(f["no"].alias("no"), f["at"].alias("at"), f["n"].alias("n"))))
-    rows = rows.withColumn("_own_form", F.get("_forms", F.lit(0)) == F.col("_own"))
-    translated = (F.col("_m.no") > 0) | ~F.col("_own_form")
-    method = F.when(F.col("_m").isNotNull(), F.concat(F.when(use_exact, "exact").otherwise("fuzzy"), F.when(translated, "_translation").otherwise("")))
-    hit = F.when(F.col("_m").isNotNull(), _bounds(F.col("units"), F.col("_m.at"), F.col("_m.n")))
-    return rows.select(F.col("_id").alias(id_col), *keys, hit["start_ms"].alias("start_ms"), hit["end_ms"].alias("end_ms"), method.alias("method"))
-
-
-def _fuzzy(hay: Column, forms: Column) -> Column:
-    @F.pandas_udf(StructType([StructField(n, IntegerType()) for n in ("no", "at", "n")]))
-    def search(hays: pd.Series, needles: pd.Series) -> pd.DataFrame:
+    own = T.normalize(F.coalesce(F.col("_p"), F.lit("")))
+    forms = F.array_distinct(F.filter(F.concat(F.array(own), F.transform(F.coalesce("translations", F.array().cast("array<string>")), T.normalize)), lambda x: x != ""))
+    forms = F.when(own != "", forms).otherwise(F.array().cast("array<string>"))
+    needles = needles.select(*keys, "_id", forms.alias("_f"))
+    crowd = F.ceil(F.count("*").over(Window.partitionBy(*keys)) / CROWD)
+    packed = needles.withColumn("_c", F.pmod(F.xxhash64("_id"), crowd)).groupBy(*keys, "_c").agg(F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_f").alias("f"))).alias("_needles"))
+    rows = packed.join(hays.select(*keys, "hay", "units"), keys, "left")
+    rows = rows.repartition(int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number: searching a few rows may take long
+    id_type = needles.schema["_id"].dataType.simpleString()
+
+    @F.pandas_udf(FOUND.format(id_type))
+    def search(hay: pd.Series, units: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
-        for h, fs in zip(hays, needles, strict=True):
-            hit = (None, None, None)
-            for no, f in enumerate(fs if fs is not None and h is not None else ()):
-                if (m := best_window(h, f)) is not None:
-                    hit = (no, m[0], m[1])
-                    break
-            out.append(hit)
-        return pd.DataFrame(out, columns=["no", "at", "n"], dtype="object").astype("Int32")
-
-    found = search(hay, forms)
-    return F.when(found["no"].isNotNull(), found)
-
-
-def translations(phrases: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(id, translations): the entry that is the phrase, else the first entry that stands within it.
-
-    Phrases compare trimmed and in lower case; those without an entry give no
-    row.  The dictionary, at most ``MAX_TERMS`` entries, becomes one constant
-    that every phrase is held against: no join, no shuffle.
+        for h, us, ns in zip(hay, units, wanted, strict=True):
+            to = np.array([u["to"] for u in us] if us is not None else [], np.int64)
+            row = []
+            for n in ns:
+                m = _first_match(h, list(n["f"])) if h else None
+                if m is None:
+                    row.append({"id": n["id"], "start_ms": None, "end_ms": None, "method": None})
+                else:
+                    first, last = us[int(np.searchsorted(to, m[0], side="right"))], us[int(np.searchsorted(to, m[1], side="right"))]
+                    row.append({"id": n["id"], "start_ms": int(first["start_ms"]), "end_ms": int(last["end_ms"]), "method": m[2]})
+            out.append(row)
+        return pd.Series(out, dtype=object)
+
+    found = rows.select(*keys, F.explode(search("hay", "units", "_needles")).alias("_m"))
+    return found.select(F.col("_m.id").alias(id_col), *keys, "_m.start_ms", "_m.end_ms", "_m.method")
+
+
+def with_translations(phrases: DataFrame, phrase: str, dictionary: DataFrame, most: int = CONSTANT_TERMS) -> DataFrame:
+    """Add ``translations``: those of the entry that is the phrase, else of the first entry that stands within it, else null.
+
+    Phrases compare trimmed and in lower case; null and blank ones have none.  A
+    dictionary of at most ``most`` entries becomes a constant of the expression.
+    A larger one is joined: a phrase offers its stretches of the lengths that
+    terms have, distinct phrases only, and the terms among them are ranked.
     """
-    entries = dictionary.select("pos", "term", "translations").limit(MAX_TERMS + 1).collect()
-    if len(entries) > MAX_TERMS:
-        raise ValueError(f"a dictionary of more than {MAX_TERMS} entries")
-    listed = json.dumps([r.asDict() for r in sorted(entries, key=lambda r: r["pos"])], ensure_ascii=False)
-    known = F.from_json(F.lit(listed), "array<struct<pos:int,term:string,translations:array<string>>>")
-    p = phrases.select("id", F.lower(F.trim("phrase")).alias("_k")).where(F.col("_k") != "")
-    whole = F.filter(known, lambda e: e["term"] == F.col("_k"))
-    within = F.filter(known, lambda e: F.contains(F.col("_k"), e["term"]))
-    hit = F.coalesce(F.get(whole, F.lit(0)), F.get(within, F.lit(0)))
-    return p.select("id", hit["translations"].alias("translations")).where("translations is not null")
+    key = F.lower(F.trim(F.col(phrase)))
+    entries = dictionary.select("pos", "term", "translations")
+    few = entries.limit(most + 1).collect()
+    if len(few) <= most:
+        listed = json.dumps([r.asDict() for r in sorted(few, key=lambda r: r["pos"])], ensure_ascii=False)
+        known = F.from_json(F.lit(listed), "array<struct<pos:int,term:string,translations:array<string>>>")
+        rows = phrases.withColumn("_k", key)
+        whole, within = F.filter(known, lambda e: e["term"] == F.col("_k")), F.filter(known, lambda e: F.contains(F.col("_k"), e["term"]))
+        hit = F.coalesce(F.get(whole, F.lit(0)), F.get(within, F.lit(0)))
+        return rows.withColumn("translations", F.when(F.col("_k") != "", hit["translations"])).drop("_k")
+    sizes = [r[0] for r in entries.where("term <> ''").select(F.length("term")).distinct().collect()]
+    part = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_k") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_k"), i, F.lit(n)))
+    cuts = F.flatten(F.array(*map(part, sizes)))
+    keyed = phrases.select(key.alias("_k")).where("_k <> ''").distinct()
+    hits = keyed.select("_k", F.explode(F.array_distinct(cuts)).alias("term")).join(entries, "term")
+    best = hits.groupBy("_k").agg(F.min_by("translations", F.struct((F.col("term") != F.col("_k")).alias("part"), "pos")).alias("translations"))
+    return phrases.withColumn("_k", key).join(best, "_k", "left").drop("_k")
+
+
+def translations(phrases: DataFrame, dictionary: DataFrame, most: int = CONSTANT_TERMS) -> DataFrame:
+    """(id, translations) of the phrases that have an entry; see :func:`with_translations`."""
+    return with_translations(phrases.select("id", "phrase"), "phrase", dictionary, most).select("id", "translations").where("translations is not null")
 
 
 def narration_spans(narrations: DataFrame, units: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
-    """keys, ``sentence_no`` from 0, ``sentence``, ``start_ms``, ``end_ms`` of each sentence found in its scene's units."""
+    """keys, ``sentence_no`` from 0, ``sentence``, ``start_ms``, ``end_ms`` of each sentence that stands exactly in its scene's units."""
     sentences = narrations.select(*keys, F.posexplode(T.split_sentences(F.col(text))).alias("sentence_no", "sentence"))
     found = exact_matches(sentences, haystacks(units, keys, order), keys, "sentence").where("matched_start_ms is not null")
     return found.select(*keys, "sentence_no", "sentence", F.col("matched_start_ms").alias("start_ms"), F.col("matched_end_ms").alias("end_ms"))
 
 
+def matched_spans(narrations: DataFrame, units: DataFrame, keys: list[str], order: list[str], text: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """The same by the whole precedence of :func:`phrase_matches`, with its ``method`` and ``disorder``.
+
+    ``disorder`` tells a span that begins before the one before it ends, which
+    points to a wrong match.  Sentences without a match are left out.
+    """
+    sentences = narrations.select(*keys, F.posexplode(T.split_sentences(F.col(text))).alias("sentence_no", "sentence"))
+    found = phrase_matches(sentences, haystacks(units, keys, order), keys, "sentence_no", "sentence", dictionary).where("method is not null")
+    before = F.lag("end_ms").over(Window.partitionBy(*keys).orderBy("sentence_no"))
+    return found.select(*keys, "sentence_no", "start_ms", "end_ms", "method", F.coalesce(F.col("start_ms") < before, F.lit(False)).alias("disorder"))
+
+
+def sentence_unions(ops: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, panel_no, start_ms, end_ms): from the first start to the last end of the sentences that a panel's ops are bound to.
+
+    ``ops`` has keys, ``panel_no`` and ``bound_span``, the place of a sentence
+    among the scene's ``spans`` (keys, ``sentence_no``, bounds), from 0; bounds
+    out of their range are passed over.  Panels without a valid one have no row.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("sentence_no")) - 1
+    placed = spans.select(*keys, place.alias("bound_span"), "start_ms", "end_ms")
+    return ops.select(*keys, "panel_no", "bound_span").join(placed, [*keys, "bound_span"]).groupBy(*keys, "panel_no").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+
+
+def panel_spans(panels: DataFrame, ops: DataFrame, spans: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Panels with ``start_ms``, ``end_ms`` and ``method``: the union of their ops' sentences, else their phrase's match, else nulls.
+
+    ``panels`` has keys and ``panel_no``; ``matches`` keys, ``panel_no``,
+    bounds and ``method``.
+    """
+    unions = sentence_unions(ops, spans, keys).select(*keys, "panel_no", F.struct("start_ms", "end_ms", F.lit("sentences").alias("method")).alias("_u"))
+    found = matches.where("method is not null").select(*keys, "panel_no", F.struct("start_ms", "end_ms", "method").alias("_m"))
+    rows = panels.join(unions, [*keys, "panel_no"], "left").join(found, [*keys, "panel_no"], "left").withColumn("_s", F.coalesce("_u", "_m"))
+    return rows.select(*panels.columns, "_s.start_ms", "_s.end_ms", "_s.method")
+
+
 def assign_cues(cues: DataFrame, scenes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, cue order, ``scene_index``) by a cursor that only moves forward.
 

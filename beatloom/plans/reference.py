@@ -336,8 +336,13 @@ def _panels(spark: SparkSession, d: str) -> DataFrame:
     return _anchored(found, units, "matched_start_ms", "matched_end_ms")
 
 
-_PLANNED = rf"""{A.TL}, {_HAY}, n AS (SELECT element_key, episode_id, scene_index, regexp_replace(phrase, '[^\p{{L}}\p{{N}}]+', '', 'g') AS needle FROM elements JOIN scenes USING (scene_key) WHERE scene_index IS NOT NULL), {_HIT},
-r AS (SELECT element_key, arg_min(start_ms, b) AS s, arg_max(end_ms, b) AS e FROM hit h JOIN off o ON o.episode_id = h.episode_id AND o.scene_index = h.scene_index AND o.b > h.at AND o.b - length(o.t) < h.at + length(h.needle) GROUP BY 1),
+_EXACT = rf"""{A.TL}, {_HAY}, n AS (SELECT element_key, episode_id, scene_index, regexp_replace(phrase, '[^\p{{L}}\p{{N}}]+', '', 'g') AS needle FROM elements JOIN scenes USING (scene_key) WHERE scene_index IS NOT NULL), {_HIT},
+r AS (SELECT element_key, arg_min(start_ms, b) AS s, arg_max(end_ms, b) AS e FROM hit h JOIN off o ON o.episode_id = h.episode_id AND o.scene_index = h.scene_index AND o.b > h.at AND o.b - length(o.t) < h.at + length(h.needle) GROUP BY 1)"""
+
+
+def _planned(matches: str) -> str:
+    """``planned``: the windows of the panels ``n`` whose matches are ``r``."""
+    return f"""{matches},
 win AS (SELECT episode_id, scene_index, min(start_ms) AS w, max(end_ms) - min(start_ms) AS d FROM tl GROUP BY 1, 2),
 pan AS (SELECT n.episode_id, n.scene_index, n.element_key, greatest(1500, d - 600) AS hi, greatest(0, s - w) AS ss, greatest(0, e - w) AS se, s IS NOT NULL AS own, CAST(row_number() OVER (PARTITION BY n.episode_id, n.scene_index ORDER BY n.element_key) AS INTEGER) - 1 AS i,
  CAST(count(*) OVER (PARTITION BY n.episode_id, n.scene_index) AS INTEGER) AS c FROM n LEFT JOIN r USING (element_key) JOIN win ON win.episode_id = n.episode_id AND win.scene_index = n.scene_index),
@@ -351,10 +356,10 @@ run AS (SELECT *, i - li - 1 AS k, ri - li - 1 AS n, coalesce(rs - 150, hi) AS s
 each AS (SELECT *, floor((stop - lo - 150 * (n - 1)) / n::DOUBLE) AS share FROM run),
 timed AS (SELECT *, lo + k * (CASE WHEN share < 300 THEN greatest(120, share) ELSE share END + 150) AS t, CASE WHEN share < 300 THEN greatest(120, share) ELSE share END AS per FROM each),
 placed AS (SELECT *, own OR k = 0 OR t < stop AS fits, CASE WHEN own THEN s WHEN k = 0 OR t < stop THEN t ELSE hi - 300 END AS ps, CASE WHEN own THEN e WHEN k = 0 OR t < stop THEN greatest(least(t + per, stop), t + 120) ELSE hi END AS pe FROM timed),
-planned AS (SELECT episode_id, scene_index, i + 1 AS panel_no, CAST(CASE WHEN i = 0 AND ps > 1200 THEN 1050 ELSE ps END AS BIGINT) AS start_ms, CAST(pe AS BIGINT) AS end_ms, own AS anchored FROM placed)"""
+planned AS (SELECT episode_id, scene_index, i + 1 AS panel_no, CAST(CASE WHEN i = 0 AND ps > 1200 THEN 1050 ELSE ps END AS BIGINT) AS start_ms, CAST(pe AS BIGINT) AS end_ms, own AS anchored, share < 300 AS short_, NOT own AND k = 0 AS opens, n, NOT fits AS homeless, lag(fits) OVER (PARTITION BY episode_id, scene_index ORDER BY i) AS fitted, k FROM placed)"""
 
 
-@query(f"WITH RECURSIVE {_PLANNED} SELECT episode_id, scene_index, panel_no, start_ms, end_ms - start_ms AS duration_ms, anchored FROM planned")
+@query(f"WITH RECURSIVE {_planned(_EXACT)} SELECT episode_id, scene_index, panel_no, start_ms, end_ms - start_ms AS duration_ms, anchored FROM planned")
 def schedule_windows(spark: SparkSession, d: str) -> DataFrame:
     """Reveal windows of each scene's elements, anchored where their phrases stand exactly."""
     return schedule.schedule_windows(_panels(spark, d), SCENE, "element_key", "duration").drop("warnings")
@@ -368,15 +373,86 @@ def schedule_windows_matched(spark: SparkSession, d: str) -> DataFrame:
     return schedule.schedule_windows(_anchored(found, units, "start_ms", "end_ms"), SCENE, "element_key", "duration")
 
 
-@query()
+def _ops(panels: DataFrame) -> DataFrame:
+    """Every second element as a reveal of its panel, bound to one of the scene's first three sentences."""
+    k = F.col("element_key")
+    return panels.where(k % 2 == 1).select(*SCENE, "panel_no", k.alias("op_no"), F.lit("DRAW").alias("op"), F.format_string("el-%d", k).alias("target"), (k % 3).cast("int").alias("bound_span"))
+
+
+def _numbered(spark: SparkSession, d: str, units: DataFrame) -> DataFrame:
+    """The elements of each scene that has a timeline, as numbered panels."""
+    with_units = _phrases(spark, d).join(units.select(*SCENE).distinct(), SCENE)
+    return with_units.withColumn("panel_no", F.row_number().over(Window.partitionBy(*SCENE).orderBy("element_key")))
+
+
+def _documents(panels: DataFrame, spans: DataFrame, matches: DataFrame, units: DataFrame) -> DataFrame:
+    ops = _ops(panels)
+    found = _anchored(align.panel_spans(panels, ops, spans, matches, SCENE), units, "start_ms", "end_ms")
+    planned = schedule.schedule_windows(found, SCENE, "panel_no", "duration")
+    cells = found.withColumn("n", F.count("*").over(Window.partitionBy(*SCENE))).withColumn("cell", F.element_at(G.grid(F.col("n")), F.col("panel_no")))
+    return schedule.annotations(cells, planned, SCENE, F.col("cell"), ops)
+
+
+_SPANS = rf"""{A.NAR}, {_SENT}, sn AS (SELECT *, regexp_replace(sentence, '[^\p{{L}}\p{{N}}]+', '', 'g') AS needle FROM sent),
+sh AS (SELECT s.*, instr(hay, needle) - 1 AS at FROM sn s JOIN hay h ON h.episode_id = s.episode_id AND h.scene_index = s.scene_index WHERE needle <> '' AND instr(hay, needle) > 0),
+spans AS (SELECT h.episode_id, h.scene_index, sentence_no, arg_min(start_ms, b) AS s, arg_max(end_ms, b) AS e FROM sh h JOIN off o ON o.episode_id = h.episode_id AND o.scene_index = h.scene_index AND o.b > h.at AND o.b - length(o.t) < h.at + length(h.needle) GROUP BY 1, 2, 3),
+places AS (SELECT *, row_number() OVER (PARTITION BY episode_id, scene_index ORDER BY sentence_no) - 1 AS place FROM spans),
+panels AS (SELECT n.*, CAST(row_number() OVER (PARTITION BY n.episode_id, n.scene_index ORDER BY element_key) AS INTEGER) AS panel_no FROM n JOIN (SELECT DISTINCT episode_id, scene_index FROM tl) t ON t.episode_id = n.episode_id AND t.scene_index = n.scene_index),
+unions AS (SELECT p.episode_id, p.scene_index, p.panel_no, p.element_key, min(s) AS s, max(e) AS e FROM panels p JOIN places q ON q.episode_id = p.episode_id AND q.scene_index = p.scene_index AND q.place = p.element_key % 3 WHERE p.element_key % 2 = 1 GROUP BY ALL)"""
+
+
+@query(f"WITH {_EXACT}, {_SPANS} SELECT episode_id, scene_index, panel_no, s AS start_ms, e AS end_ms FROM unions")
+def sentence_unions(spark: SparkSession, d: str) -> DataFrame:
+    """The time of the sentences that each panel's reveals are bound to."""
+    units = A.timeline(spark, d)
+    spans = align.narration_spans(A.narrations(spark, d), units, SCENE, ORDER, "narration")
+    return align.sentence_unions(_ops(_numbered(spark, d, units)), spans, SCENE)
+
+
+_BOUND = f"{_EXACT.replace('r AS (SELECT element_key', 'x AS (SELECT element_key')}, {_SPANS}, r AS (SELECT element_key, coalesce(u.s, x.s) AS s, coalesce(u.e, x.e) AS e FROM x FULL JOIN unions u USING (element_key))"
+_NOTES = f"""notes AS (SELECT episode_id, scene_index, string_agg(note, chr(1) ORDER BY i, o) AS notes FROM (
+ SELECT episode_id, scene_index, panel_no AS i, 1 AS o, '{schedule.EVEN} ' || n AS note FROM planned WHERE opens UNION ALL SELECT episode_id, scene_index, panel_no, 2, '{schedule.TOO_SHORT}' FROM planned WHERE opens AND short_
+ UNION ALL SELECT episode_id, scene_index, panel_no, 3, '{schedule.NO_ROOM}' FROM planned WHERE homeless AND (fitted OR k = 1) UNION ALL SELECT DISTINCT episode_id, scene_index, 1000, 4, 'hook' FROM placed WHERE i = 0 AND ps > 1200
+ UNION ALL SELECT DISTINCT episode_id, scene_index, 1000, 5, '{schedule.OUT_OF_RESERVE}' FROM (SELECT *, lag(end_ms) OVER (PARTITION BY episode_id, scene_index ORDER BY panel_no) > start_ms AS over_ FROM planned) WHERE over_) GROUP BY 1, 2)"""
+_GRID = """cells AS (SELECT n, i, CASE WHEN n = 3 AND i = 1 THEN 60 WHEN n = 3 THEN 60 + (i - 2) * 920 ELSE 60 + ((i - 1) % 2) * 920 END AS x, CASE WHEN n <= 2 THEN 60 WHEN n = 3 THEN CASE WHEN i = 1 THEN 60 ELSE 560 END ELSE 60 + ((i - 1) // 2) * (h + 40) END AS y,
+ CASE WHEN n = 1 OR n = 3 AND i = 1 THEN 1800 ELSE 880 END AS w, CASE WHEN n <= 2 THEN 960 WHEN n = 3 THEN 460 ELSE h END AS h
+ FROM (SELECT n, unnest(range(1, n + 1)) AS i, CAST((960 - ((n + 1) // 2 - 1) * 40) // ((n + 1) // 2) AS BIGINT) AS h FROM (SELECT DISTINCT CAST(c AS BIGINT) AS n FROM pan)))"""
+_REGION = "{'x': CAST(c.x + 14 AS INTEGER), 'y': CAST(c.y + 14 AS INTEGER), 'width': CAST(c.w - 28 AS INTEGER), 'height': CAST(c.h - 28 AS INTEGER)}"
+_DOCS_SQL = f"""WITH RECURSIVE {_planned(_BOUND)}, {_NOTES}, {_GRID}, laid AS (SELECT p.*, q.element_key, q.c AS total, w.d, c.x, c.y, c.w AS cw, c.h AS ch, {_REGION} AS region FROM planned p JOIN pan q ON q.episode_id = p.episode_id AND q.scene_index = p.scene_index AND q.i = p.panel_no - 1
+ JOIN cells c ON c.n = q.c AND c.i = p.panel_no JOIN win w ON w.episode_id = p.episode_id AND w.scene_index = p.scene_index),
+kept AS (SELECT *, coalesce(list(region) OVER (PARTITION BY episode_id, scene_index ORDER BY panel_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS protected FROM laid),
+el AS (SELECT episode_id, scene_index, panel_no, anchored, total, d, '{{"id":"panel-' || panel_no || '","sequence":' || panel_no || ',"region":' || CAST(to_json(region) AS VARCHAR) || ',"reveal":' || CAST(to_json({{'startMs': start_ms, 'durationMs': end_ms - start_ms, 'protectedRegions': protected}}) AS VARCHAR)
+ || ',"handPath":' || CAST(to_json({{'start': [x + cw // 2, greatest(0, y - 60)], 'end': [x + cw // 2, y + ch + 40]}}) AS VARCHAR) || ',"kind":"panel"' || CASE WHEN element_key % 2 = 1 THEN ',"ops":[{{"op":"DRAW","target":"el-' || element_key || '","bound_span":' || element_key % 3 || '}}]' ELSE '' END || '}}' AS j FROM kept),
+doc AS (SELECT episode_id, scene_index, max(total) AS total, max(d) AS d, count(*) FILTER (anchored) AS k, string_agg(j, ',' ORDER BY panel_no) AS js FROM el GROUP BY 1, 2)
+SELECT doc.episode_id, doc.scene_index, CAST(total AS BIGINT) AS n_panels, k || '/' || total AS matched, '{{"canvas":{{"width":1920,"height":1080}},"sceneDurationMs":' || d || ',"elements":[{{"id":"layout","sequence":0,"region":{{"x":0,"y":0,"width":1920,"height":1080}},"reveal":{{"startMs":300,"durationMs":600,"protectedRegions":[]}},"handPath":{{"start":[960,40],"end":[960,1040]}},"kind":"layout"}},'
+ || js || '],"meta":{{"schedule":"words","granularity":"word","matched":"' || k || '/' || total || '","warnings":' || CASE WHEN notes IS NULL THEN '[]' ELSE CAST(to_json(string_split(notes, chr(1))) AS VARCHAR) END || '}}}}' AS document FROM doc LEFT JOIN notes USING (episode_id, scene_index)"""
+
+
+@query(_DOCS_SQL)
 def annotation_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Schedule, layout grid and protected regions as one document per scene."""
-    p = _panels(spark, d)
-    planned = schedule.schedule_windows(p, SCENE, "element_key", "duration")
-    w = Window.partitionBy(*SCENE)
-    p = p.withColumn("panel_no", F.row_number().over(w.orderBy("element_key"))).withColumn("n", F.count("*").over(w))
-    p = p.withColumn("cell", F.element_at(G.grid(F.col("n")), F.col("panel_no")))
-    return schedule.annotations(p, planned, SCENE, G.inset(F.col("cell")))
+    """Schedule, layout grid, reveals and protected regions as one document per scene, by sentences and exact phrases."""
+    units = A.timeline(spark, d)
+    hays, panels = align.haystacks(units, SCENE, ORDER), _numbered(spark, d, units)
+    spans = align.narration_spans(A.narrations(spark, d), units, SCENE, ORDER, "narration")
+    exact = align.exact_matches(panels, hays, SCENE, "phrase").select(
+        *SCENE, "panel_no", F.col("matched_start_ms").alias("start_ms"), F.col("matched_end_ms").alias("end_ms"), F.when(F.col("matched_start_ms").isNotNull(), "exact").alias("method"))
+    return _documents(panels, spans, exact, units)
+
+
+@query()
+def annotation_documents_matched(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the whole precedence, for sentences and phrases."""
+    units, dictionary = A.timeline(spark, d), align.fixed_dictionary(spark, CROSS_LANGUAGE)
+    panels = _numbered(spark, d, units)
+    spans = align.matched_spans(A.narrations(spark, d), units, SCENE, ORDER, "narration", dictionary)
+    matches = align.phrase_matches(panels, align.haystacks(units, SCENE, ORDER), SCENE, "panel_no", "phrase", dictionary)
+    return _documents(panels, spans, matches, units)
+
+
+@query()
+def narration_spans_matched(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences in the word timelines: exact, fuzzy, through the dictionary."""
+    return align.matched_spans(A.narrations(spark, d), A.timeline(spark, d), SCENE, ORDER, "narration", align.fixed_dictionary(spark, CROSS_LANGUAGE))
 
 
 @query()

@@ -120,10 +120,40 @@ def test_phrase_matching(spark):
     phrases = spark.createDataFrame([(1, "s", "hello"), (2, "s", "o, wör"), (3, "s", "gradient"), (4, "s", "nothing"), (5, "s", None), (6, "s", "渐变 x"), (7, "zz", "Hello"), (8, "s", "--")], "id int, k string, p string")
     dictionary = align.fixed_dictionary(spark, {"渐": ["gradiant"], "渐变": ["zzzz"]})
     got = {r.id: (r.start_ms, r.end_ms, r.method) for r in align.phrase_matches(phrases, hays, ["k"], "id", "p", dictionary).collect()}
-    assert got[1] == (0, 10, "fuzzy") and got[2] == (0, 30, "exact") and got[3] == (50, 60, "fuzzy") and got[6] == (50, 60, "exact_translation")
+    assert got[1] == (0, 30, "fuzzy") and got[2] == (0, 30, "exact") and got[3] == (50, 60, "fuzzy") and got[6] == (50, 60, "exact_translation")
     assert got[4][2] is None and got[5][2] is None and got[7][2] is None and got[8][2] is None
 
 
+def test_large_dictionaries_are_joined(spark):
+    entries = {"渐": ["g"], "渐变": ["zz"], "ab": ["1"], "b": ["2"], "abc": ["3", "4"], "": ["none"]}
+    phrases = spark.createDataFrame([(1, "渐变"), (2, "x渐变y"), (3, " ABC "), (4, "xb"), (5, "q"), (6, None), (7, " "), (8, "x渐变y")], "id int, phrase string")
+    dictionary = align.fixed_dictionary(spark, entries).where("term <> ''")
+    want = [(1, ["zz"]), (2, ["g"]), (3, ["3", "4"]), (4, ["2"]), (8, ["g"])]
+    for most in (100, 2):
+        assert sorted(tuple(r) for r in align.translations(phrases, dictionary, most).collect()) == want
+
+
+def test_crowded_scenes_and_matched_spans(spark):
+    units = words(spark, [("one", 0, 10), ("two", 10, 20), ("three", 20, 30), ("four", 30, 40)])
+    hays = align.haystacks(units, ["k"], ["start_ms", "i"])
+    phrases = spark.range(200).select(F.col("id").cast("int").alias("id"), F.lit("s").alias("k"), F.when(F.col("id") % 2 == 0, "two three").otherwise("zzzz").alias("p"))
+    got = align.phrase_matches(phrases, hays, ["k"], "id", "p")
+    assert got.count() == 200 and got.where("method = 'exact' and start_ms = 10 and end_ms = 30").count() == 100 == got.where("method is null").count()
+    told = spark.createDataFrame([("s", "Three four! One two! Zzzz? "), ("q", "One.")], "k string, n string")
+    spans = align.matched_spans(told, units, ["k"], ["start_ms", "i"], "n")
+    assert [tuple(r) for r in spans.orderBy("sentence_no").collect()] == [("s", 0, 20, 40, "fuzzy", False), ("s", 1, 0, 30, "fuzzy", True)]
+
+
+def test_panels_follow_sentences_then_phrases(spark):
+    spans = spark.createDataFrame([("s", 0, 0, 10), ("s", 2, 10, 25), ("s", 3, 30, 50)], "k string, sentence_no int, start_ms int, end_ms int")
+    ops = spark.createDataFrame([("s", 1, 0), ("s", 1, 2), ("s", 2, 9), ("s", 2, -1), ("s", 3, None), ("t", 1, 0)], "k string, panel_no int, bound_span int")
+    assert [tuple(r) for r in align.sentence_unions(ops, spans, ["k"]).collect()] == [("s", 1, 0, 50)]
+    panels = spark.createDataFrame([("s", i) for i in (1, 2, 3)], "k string, panel_no int")
+    matches = spark.createDataFrame([("s", 1, 3, 4, "exact"), ("s", 2, 5, 6, "fuzzy"), ("s", 3, None, None, None)], "k string, panel_no int, start_ms int, end_ms int, method string")
+    got = align.panel_spans(panels, ops, spans, matches, ["k"]).orderBy("panel_no")
+    assert [tuple(r) for r in got.collect()] == [("s", 1, 0, 50, "sentences"), ("s", 2, 5, 6, "fuzzy"), ("s", 3, None, None, None)]
+
+
 def test_fuzzy_equals_brute_force():
     def lev(a, b):
         row = list(range(len(b) + 1))
