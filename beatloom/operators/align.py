@@ -8,6 +8,7 @@ offsets.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,9 +71,9 @@ def window_distances(hay: np.ndarray, needle: np.ndarray, starts: np.ndarray, lo
     over the end of the hay come out as far as they are long.
     """
     n = len(needle)
-    column = np.repeat(np.arange(n + 1)[:, None], len(starts), axis=1)
+    column = np.repeat(np.arange(n + 1, dtype=np.int32)[:, None], len(starts), axis=1)
     padded = np.concatenate([hay, np.full(longest, -1, hay.dtype)])
-    down = np.arange(n + 1)[:, None]
+    down = np.arange(n + 1, dtype=np.int32)[:, None]
     for size in range(1, longest + 1):
         step = np.empty_like(column)
         step[0] = size
@@ -85,34 +86,40 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
+def _best_of(h: np.ndarray, x: np.ndarray, starts: np.ndarray, low: int, high: int, least: float) -> tuple[int, int, float] | None:
+    best, score = None, 0.0
+    for size, distance in window_distances(h, x, starts, high):
+        if size >= low:
+            ratio = np.where(starts + size <= len(h), 1 - distance / max(len(x), size), -1.0)
+            k = int(ratio.argmax())
+            if ratio[k] > score and ratio[k] >= least:
+                best, score = (int(starts[k]), size, float(ratio[k])), ratio[k]
+    return best
+
+
 def best_window(hay: str, needle: str, least: float = FUZZY_LEAST) -> tuple[int, int, float] | None:
     """(start, length, ratio) of the window of 0.5 to 1.5 times the needle most like it, at least ``least``.
 
-    The shortest, then earliest of the best.  Only windows that end where some
-    stretch is near enough to the needle are held against it.
+    The shortest, then earliest of the best.  The least distance of any stretch
+    that begins at a place bounds what its windows can reach: the most promising
+    places are tried first, then those that could do as well.
     """
-    n, best, score = len(needle), None, 0.0
+    n = len(needle)
     if not n or not hay:
         return None
     h, x = codes(hay), codes(needle)
-    low, high = max(1, n // 2), min(len(hay), int(1.5 * n))
-    near = np.flatnonzero(least_distances(h, x) <= max(n, high) * (1 - least) + 1e-9) + 1
-    if not len(near):
+    # a window differs by what it is longer or shorter at least
+    low, high = max(1, n // 2, math.ceil(n * least - 1e-9)), min(len(hay), int(1.5 * n), math.floor(n / least + 1e-9) if least else len(hay))
+    if low > high:
         return None
-    reach = np.zeros(len(hay) + 1, np.int64)  # starts from which some near end is within a window's size
-    np.add.at(reach, np.maximum(near - high, 0), 1)
-    np.add.at(reach, np.maximum(near - low + 1, 0), -1)
-    starts = np.flatnonzero(np.cumsum(reach)[:len(hay)] > 0)
-    if not len(starts):
+    bound = least_distances(h[::-1], x[::-1])[::-1]
+    reach = 1 - bound / max(n, high) + 1e-12
+    first = np.flatnonzero(bound == bound.min())
+    if reach[first[0]] < least:
         return None
-    for size, distance in window_distances(h, x, starts, high):
-        if size < low:
-            continue
-        ratio = np.where(starts + size <= len(hay), 1 - distance / max(n, size), -1.0)
-        k = int(ratio.argmax())
-        if ratio[k] > score and ratio[k] >= least:
-            best, score = (int(starts[k]), size, float(ratio[k])), ratio[k]
-    return best
+    best = _best_of(h, x, first, low, high, least)
+    hope = np.flatnonzero(reach >= (best[2] if best else least))
+    return _best_of(h, x, hope, low, high, least) if len(hope) > len(first) else best
 
 
 FOUND = "array<struct<id:{0},start_ms:bigint,end_ms:bigint,method:string>>"
