@@ -39,22 +39,39 @@ def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out``, the running sum of ``value`` in each key up to and with the row.
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add a column for each of ``sums``: its running sum in each key up to and with the row.
 
     Null values count as 0.  Null keys form one group.  An empty frame gives an
     empty frame.
     """
-    shards = range_shards(df, keys, order, "prefix-sum")
-    v = F.coalesce(F.col(value), F.lit(0))
-    sums = shards.groupBy(*keys, SHARD).agg(F.sum(v).alias("_sum"))
+    values = {f"_v{i}": F.coalesce(c, F.lit(0)) for i, c in enumerate(sums.values())}
+    shards = range_shards(df.withColumns(values), keys, order, "prefix-sum")
+    totals = shards.groupBy(*keys, SHARD).agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*keys).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*[F.col(c).alias("_k_" + c) for c in [*keys, SHARD]],
-                        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    carry = totals.select(*[F.col(c).alias("_k_" + c) for c in [*keys, SHARD]], *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias("_carry" + v) for v in values])
     local = Window.partitionBy(*keys, SHARD).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = shards.withColumn("_local", F.sum(v).over(local))
+    inside = shards.withColumns({"_local" + v: F.sum(v).over(local) for v in values})
+    rows = inside.join(carry, _same(inside, carry, [*keys, SHARD]), "left")
+    kept = [c for c in df.columns if c not in sums]
+    return rows.select(*kept, *[(F.col("_local" + v) + F.col("_carry" + v)).alias(out) for out, v in zip(sums, values, strict=True)])
+
+
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``, the running sum of ``value``; see :func:`prefix_sums`."""
+    return prefix_sums(df, keys, order, {out: F.col(value)})
+
+
+def _beside(df: DataFrame, keys: list[str], order: list[str], payload: Column, out: str, prepare: Callable[[DataFrame], DataFrame], ahead: bool) -> DataFrame:
+    shards = range_shards(df, keys, order, "rows-beside", prepare)
+    kept = [c for c in shards.columns if c not in (SHARD, out)]
+    shards = shards.withColumn("_payload", F.struct(payload.alias("v")))
+    ends = shards.groupBy(*keys, SHARD).agg((F.min_by if ahead else F.max_by)("_payload", F.struct(*order)).alias("_end"))
+    step = F.lead if ahead else F.lag
+    carry = ends.select(*[F.col(c).alias("_k_" + c) for c in [*keys, SHARD]], step("_end").over(Window.partitionBy(*keys).orderBy(SHARD)).alias("_carry"))
+    inside = shards.withColumn("_next", step("_payload").over(Window.partitionBy(*keys, SHARD).orderBy(*order)))
     return (inside.join(carry, _same(inside, carry, [*keys, SHARD]), "left")
-            .withColumn(out, F.col("_local") + F.col("_carry")).select(*df.columns, out))
+            .select(*kept, F.coalesce("_next", "_carry")["v"].alias(out)))
 
 
 def previous_row(df: DataFrame, keys: list[str], order: list[str], payload: Column, out: str,
@@ -64,14 +81,9 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], payload: Colu
     Only the last row of each (key, shard) passes through the second level.
     ``prepare`` is applied to the rows first (see :func:`range_shards`).
     """
-    shards = range_shards(df, keys, order, "previous-row", prepare)
-    kept = [c for c in shards.columns if c != SHARD]
-    shards = shards.withColumn("_payload", F.struct(payload.alias("v")))
-    last = shards.groupBy(*keys, SHARD).agg(F.max_by("_payload", F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy(SHARD)
-    carry = last.select(*[F.col(c).alias("_k_" + c) for c in [*keys, SHARD]],
-                        F.lag("_last").over(across).alias("_carry"))
-    local = Window.partitionBy(*keys, SHARD).orderBy(*order)
-    inside = shards.withColumn("_prev", F.lag("_payload").over(local))
-    return (inside.join(carry, _same(inside, carry, [*keys, SHARD]), "left")
-            .withColumn(out, F.coalesce("_prev", "_carry")["v"]).select(*kept, out))
+    return _beside(df, keys, order, payload, out, prepare, ahead=False)
+
+
+def next_row(df: DataFrame, keys: list[str], order: list[str], payload: Column, out: str) -> DataFrame:
+    """Add ``out``, ``payload`` of the row after in the key's order, null for the last."""
+    return _beside(df, keys, order, payload, out, lambda rows: rows, ahead=True)

@@ -1,15 +1,21 @@
 """Statistics over images and frames as pixel relations.
 
-Pixels are rows (image, x, y, channels) or, for whole boards, arrays: a frame
-is one row with its grey values in order, compared element by element in the
-JVM.
+Pixels are rows (image, x, y, channels) or, for whole boards and frames, arrays:
+one row with its grey values in order.  Frames are compared element by element
+in the JVM, boards are measured in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import previous_row
+
 # Fixed values.
 INK, TRUE_INK, MISSING_INK = 180, 160, 0.01
 WIPE_STEP, WIPE_TOTAL, GHOST = 12.0, 8.0, 24.0
@@ -27,9 +33,8 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
 
 def frame_changes(frames: DataFrame, clip: str, order: str, values: str) -> DataFrame:
     """Per clip: the largest mean change from frame to frame, and that from the first to the last; one frame gives 0."""
-    w = Window.partitionBy(clip).orderBy(order)
-    steps = frames.withColumn("_step", mean_abs_diff(F.col(values), F.lag(values).over(w)))
-    ends = steps.groupBy(clip).agg(F.coalesce(F.max("_step"), F.lit(0.0)).alias("max_step"), F.count("*").alias("n_frames"),
+    steps = previous_row(frames.select(clip, order, values), [clip], [order], F.col(values), "_before")
+    ends = steps.groupBy(clip).agg(F.coalesce(F.max(mean_abs_diff(F.col(values), F.col("_before"))), F.lit(0.0)).alias("max_step"), F.count("*").alias("n_frames"),
                                    F.min_by(values, order).alias("_first"), F.max_by(values, order).alias("_last"))
     return ends.select(clip, "n_frames", "max_step", mean_abs_diff(F.col("_last"), F.col("_first")).alias("total_change"))
 
@@ -40,27 +45,49 @@ def wipe_findings(changes: DataFrame) -> DataFrame:
     return changes.withColumn("finding", code).where("finding is not null")
 
 
-def board_stats(pixels: DataFrame, image: str, value: str, x: str, y: str, width: int, height: int, patch: int) -> DataFrame:
-    """Per image: mean, population deviation and median of the grey values, four corner means, bottom fifth and top three fifths, edge share.
+STATS = ("mean", "std", "median", "corner_tl", "corner_tr", "corner_bl", "corner_br", "bottom", "top", "edge_ratio", "background", "ghost")
+
+
+def _stats(v: np.ndarray, patch: int, edge: int, band: tuple[int, int]) -> dict[str, float]:
+    height, width = v.shape
+    framed = np.pad(v, 1, mode="reflect") if min(height, width) > 1 else np.pad(v, 1, mode="edge")
+    lap = framed[:-2, 1:-1] + framed[2:, 1:-1] + framed[1:-1, :-2] + framed[1:-1, 2:] - 4 * v
+    border = np.ones(v.shape, bool)
+    border[edge:height - edge, edge:width - edge] = False
+    ground = float(np.median(v[border]))
+    rows = v[band[0]:band[1]]
+    return {"mean": v.mean(), "std": v.std(), "median": np.median(v), "corner_tl": v[:patch, :patch].mean(), "corner_tr": v[:patch, -patch:].mean(),
+            "corner_bl": v[-patch:, :patch].mean(), "corner_br": v[-patch:, -patch:].mean(), "bottom": v[int(height * 0.8):].mean(), "top": v[:int(height * 0.6)].mean(),
+            "edge_ratio": (np.abs(lap) > EDGE).mean(), "background": ground, "ghost": np.abs(rows - ground).mean() if rows.size else 0.0}
+
 
-    The edge share counts pixels whose Laplacian is above 30; the border
-    mirrors itself.
+def board_stats(boards: DataFrame, image: str, values: str, width: int, height: int, patch: int, edge: int = 10, ink: int = INK, band: tuple[int, int] = (502, 930)) -> DataFrame:
+    """Per image: the statistics of its grey values, one array row by row.
+
+    Mean, population deviation and median, four corner means, bottom fifth and
+    top three fifths, the share of pixels whose Laplacian is above 30 (the border
+    mirrors itself), the border's median as background, ``ghost``, the mean
+    distance of a band of rows from it, and ``n_ink``, the pixels further from it
+    than ``ink``.  A board is one row, worked out whole in Arrow batches; arrays
+    of another length or with nulls give nulls.
     """
-    v = F.col(value).cast("double")
-    mean_where = lambda c: F.avg(F.when(c, v))
-    left, right = F.col(x) < patch, F.col(x) >= width - patch
-    up, down = F.col(y) < patch, F.col(y) >= height - patch
-    row, col = Window.partitionBy(image, y).orderBy(x), Window.partitionBy(image, x).orderBy(y)
-    side = lambda w: (F.coalesce(F.lag(v).over(w), F.lead(v).over(w)), F.coalesce(F.lead(v).over(w), F.lag(v).over(w)))
-    a, b = side(row)
-    c, d = side(col)
-    around = pixels.withColumn("_lr", a + b).withColumn("_ud", c + d)
-    lap = F.abs(F.col("_lr") + F.col("_ud") - 4 * v)
-    return around.groupBy(image).agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"),
-        mean_where(left & up).alias("corner_tl"), mean_where(right & up).alias("corner_tr"), mean_where(left & down).alias("corner_bl"), mean_where(right & down).alias("corner_br"),
-        mean_where(F.col(y) >= F.lit(int(height * 0.8))).alias("bottom"), mean_where(F.col(y) < F.lit(int(height * 0.6))).alias("top"),
-        F.avg(F.when(lap > EDGE, 1.0).otherwise(0.0)).alias("edge_ratio"))
+    source = boards.select(image, F.col(values).cast("array<double>").alias("_v"))
+    typ = source.schema[image].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row in b.column(1):
+                v = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.empty(0)
+                if len(v) != width * height or np.isnan(v).any():
+                    out.append(dict.fromkeys([*STATS, "n_ink"]))
+                    continue
+                v = v.reshape(height, width)
+                found = _stats(v, patch, edge, band)
+                out.append({**found, "n_ink": int((np.abs(v - found["background"]) > ink).sum())})
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], pa.float64()) for k in STATS), pa.array([r["n_ink"] for r in out], pa.int64())], [image, *STATS, "n_ink"])
+
+    return source.mapInArrow(run, f"`{image}` {typ}, {', '.join(f'{k} double' for k in STATS)}, n_ink bigint")
 
 
 def board_findings(stats: DataFrame, image: str, mode: str = "paper") -> DataFrame:
@@ -88,9 +115,13 @@ def ink(pixels: DataFrame, background: DataFrame, image: str, channels: list[str
 
 
 def missing_ratio(pairs: DataFrame, key: str, wanted: str, got: str) -> DataFrame:
-    """Share of the wanted pixels that are not there; 0 where none is wanted."""
-    n = F.count_if(F.col(wanted))
-    return pairs.groupBy(key).agg(n.alias("n_wanted"), (F.count_if(F.col(wanted) & ~F.col(got)) / F.greatest(n, F.lit(1))).alias("missing_ratio"))
+    """Share of the wanted pixels that are not there; 0 where none is wanted.
+
+    ``wanted`` and ``got`` are arrays of flags, one for each pixel of a frame.
+    """
+    n = F.sum(F.size(F.filter(wanted, lambda x: x)))
+    lost = F.sum(F.size(F.filter(F.zip_with(wanted, got, lambda w, g: w & ~g), lambda x: x)))
+    return pairs.groupBy(key).agg(n.alias("n_wanted"), (lost / F.greatest(n, F.lit(1))).alias("missing_ratio"))
 
 
 def fill_runs(pixels: DataFrame, image: str, x: str, y: str, is_ink: str, step: int = ROW_STEP, least: int = FILL_RUN) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import next_row, prefix_sums
 
 # Fixed values, milliseconds, characters, pixels.
 CAPTION_CHARS, CAPTION_PAUSE = 22, 400
@@ -53,8 +54,7 @@ def outside_windows(units: DataFrame, windows: DataFrame, keys: list[str], toler
 
 def chain_breaks(steps: DataFrame, keys: list[str], order: list[str], leaves: str, enters: str) -> DataFrame:
     """Neighbours of which the first's ``leaves`` is not the second's ``enters``; blank ones are not judged."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    nxt = steps.withColumn("next_state", F.lead(enters).over(w))
+    nxt = next_row(steps, keys, order, F.col(enters), "next_state")
     a, b = F.trim(leaves), F.trim("next_state")
     return nxt.where(T.nonempty(F.col(leaves)) & T.nonempty(F.col("next_state")) & (a != b))
 
@@ -125,12 +125,12 @@ def karaoke(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], flag: Column, least: int = 2) -> DataFrame:
     """Runs of at least ``least`` neighbours for which ``flag`` holds: keys, ``run_no``, first and last position, length."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("_pos", F.row_number().over(w)).withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    own = Window.partitionBy(*keys, "_flag").orderBy(*order)
-    islands = marked.withColumn("_island", F.col("_pos") - F.row_number().over(own)).where("_flag")
-    found = islands.groupBy(*keys, "_island").agg(F.min("_pos").alias("first_pos"), F.max("_pos").alias("last_pos"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return found.withColumn("run_no", F.row_number().over(Window.partitionBy(*keys).orderBy("first_pos"))).drop("_island")
+    marked = rows.select(*keys, *order, F.coalesce(flag, F.lit(False)).alias("_flag"))
+    placed = prefix_sums(marked, keys, order, {"_pos": F.lit(1), "_set": F.col("_flag").cast("int")}).where("_flag")
+    islands = placed.withColumn("_island", F.col("_pos") - F.col("_set")).groupBy(*keys, "_island")
+    found = islands.agg(F.min("_pos").cast("int").alias("first_pos"), F.max("_pos").cast("int").alias("last_pos"), F.count("*").alias("n")).where(F.col("n") >= least)
+    numbered = prefix_sums(found, keys, ["first_pos"], {"run_no": F.lit(1)})
+    return numbered.select(*keys, "first_pos", "last_pos", "n", F.col("run_no").cast("int").alias("run_no"))
 
 
 def sweep_audit(tasks: DataFrame, key: str, window: int = SWEEP_WINDOW, hop: int = SWEEP_HOP, travel: int = SWEEP_TRAVEL, arc: float = SWEEP_ARC) -> DataFrame:
@@ -166,9 +166,21 @@ def even_split(ops: DataFrame, keys: list[str], order: list[str], n_panels: str)
 
 
 def protected_regions(panels: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add ``protected``: the rectangles of all panels before, in order."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return panels.withColumn("protected", F.collect_list(F.struct("x", "y", "w", "h")).over(before))
+    """Add ``n_protected`` and ``protected_area``: how many panels come before, in order, and their area.
+
+    The rectangles themselves are one ordered list per scene, of which a panel's
+    are the first ``n_protected`` (:func:`ordered_regions`): none is copied to
+    the panels after it.
+    """
+    area = F.col("w").cast("bigint") * F.col("h")
+    return (prefix_sums(panels.withColumn("_a", area), keys, order, {"_n": F.lit(1), "_sum": F.col("_a")})
+            .withColumn("n_protected", F.col("_n") - 1).withColumn("protected_area", F.col("_sum") - F.col("_a")).drop("_n", "_sum", "_a"))
+
+
+def ordered_regions(panels: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, ``regions``: the rectangles of a scene's panels in order; a scene's panels fit on one board."""
+    item = F.struct(*order, F.struct("x", "y", "w", "h").alias("r"))
+    return panels.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda p: p["r"]).alias("regions"))
 
 
 def serialise(regions: DataFrame, keys: list[str], order: list[str], gap: int = REGION_GAP) -> DataFrame:

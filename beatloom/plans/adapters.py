@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import next_row
 from ..sources import load
 
 SCENE = ["episode_id", "scene_index"]
@@ -47,8 +48,8 @@ def tasks(spark: SparkSession, d: str) -> DataFrame:
     first = e.agg(F.min(us)).scalar()
     kind = F.when(F.col("event_type").isin("click", "view"), "draw").when(F.col("event_type") == "error", "travel").otherwise("gaze")
     rows = e.select("user_id", "event_id", kind.alias("kind"), F.floor((us - first) / 60_000_000).cast("bigint").alias("start_ms"), F.coalesce("value", F.lit(0.0)).alias("length"))
-    nxt = F.lead("start_ms").over(Window.partitionBy("user_id").orderBy("start_ms", "event_id"))
-    return rows.withColumn("end_ms", F.coalesce(nxt, F.col("start_ms")))
+    nxt = next_row(rows, ["user_id"], ["start_ms", "event_id"], F.col("start_ms"), "_next")
+    return nxt.withColumn("end_ms", F.coalesce("_next", "start_ms")).drop("_next")
 
 
 def rects(spark: SparkSession, d: str) -> DataFrame:

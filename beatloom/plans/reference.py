@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..functions.dictionary import CROSS_LANGUAGE
 from ..operators import align, fingerprint, gates, lint, raster, schedule, spatial, timeline
+from ..operators.ordered import next_row
 from ..sources import load, readers
 from . import adapters as A
 
@@ -204,9 +205,7 @@ def op_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A.RECTS} SELECT p_partkey, coalesce(count(*) OVER w, 0) AS n_protected, CAST(coalesce(sum(w * h) OVER w, 0) AS BIGINT) AS protected_area FROM rects WINDOW w AS (PARTITION BY scene ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def protected_regions(spark: SparkSession, d: str) -> DataFrame:
-    p = timeline.protected_regions(A.rects(spark, d), ["scene"], ["p_partkey"])
-    area = F.aggregate("protected", F.lit(0).cast("bigint"), lambda s, r: s + r["w"] * r["h"])
-    return p.select("p_partkey", F.size("protected").cast("bigint").alias("n_protected"), area.alias("protected_area"))
+    return timeline.protected_regions(A.rects(spark, d), ["scene"], ["p_partkey"]).select("p_partkey", "n_protected", "protected_area")
 
 
 _REGIONS = "reg AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_suppkey % 4000 AS BIGINT) AS start_ms, CAST(300 + l_partkey % 900 AS BIGINT) AS duration_ms FROM lineitem)"
@@ -496,11 +495,11 @@ def nested_outlines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {A.RECTS}, n AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY p_partkey) AS no FROM rects), b AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY w * h DESC, no) AS rk FROM n),
-s AS (SELECT scene, no, lead(scene) OVER (ORDER BY scene) AS nxt FROM b WHERE rk = 1)
+s AS (SELECT scene, no, lead(scene) OVER (PARTITION BY scene // 10 ORDER BY scene) AS nxt FROM b WHERE rk = 1)
 SELECT s.scene AS source_scene, s.nxt AS target_scene, CAST(s.no AS INTEGER) AS source_panel, coalesce(t.x, f.x) AS target_x, coalesce(t.y, f.y) AS target_y, CASE WHEN t.x IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence
 FROM s LEFT JOIN n t ON t.scene = s.nxt AND t.no = s.no LEFT JOIN n f ON f.scene = s.nxt AND f.no = 1 WHERE s.nxt IS NOT NULL""")
 def transition_recommendations(spark: SparkSession, d: str) -> DataFrame:
-    r = A.rects(spark, d).withColumn("episode", F.lit(1))
+    r = A.rects(spark, d).withColumn("episode", F.floor(F.col("scene") / 10))
     return spatial.transitions(r, "episode", "scene", "p_partkey").select("source_scene", "target_scene", "source_panel", "target_x", "target_y", "confidence")
 
 
@@ -541,31 +540,44 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
     return p.select("vec_id", "v", (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"))
 
 
-@query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, v, i % 8 AS x, i // 8 AS y FROM frames) SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(median(v), 6) AS median, round(avg(v) FILTER (x < 2 AND y < 2), 6) AS corner_tl, round(avg(v) FILTER (x >= 6 AND y >= 6), 6) AS corner_br,
-round(avg(v) FILTER (y >= 6), 6) AS bottom, round(avg(v) FILTER (y < 4), 6) AS top FROM p GROUP BY 1""")
+def _boards(spark: SparkSession, d: str) -> DataFrame:
+    return raster.board_stats(A.frames(spark, d), "vec_id", "v", 8, 8, 2, edge=1, ink=8, band=(2, 6))
+
+
+_LAP = """n AS (SELECT vec_id, y, x, v, coalesce(lag(v) OVER r, lead(v) OVER r) AS a, coalesce(lead(v) OVER r, lag(v) OVER r) AS b, coalesce(lag(v) OVER c, lead(v) OVER c) AS e, coalesce(lead(v) OVER c, lag(v) OVER c) AS g FROM p
+ WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)), l AS (SELECT vec_id, avg(CASE WHEN abs(a + b + e + g - 4 * v) > 30 THEN 1.0 ELSE 0.0 END) AS edge_ratio FROM n GROUP BY 1)"""
+_MEASURED = f"""{A.FRAMES}, p AS (SELECT vec_id, v, i % 8 AS x, i // 8 AS y FROM frames), {_LAP}, m AS (SELECT vec_id, avg(v) AS mean, stddev_pop(v) AS std, median(v) AS median, avg(v) FILTER (x < 2 AND y < 2) AS corner_tl, avg(v) FILTER (x >= 6 AND y < 2) AS corner_tr,
+avg(v) FILTER (x < 2 AND y >= 6) AS corner_bl, avg(v) FILTER (x >= 6 AND y >= 6) AS corner_br, avg(v) FILTER (y >= 6) AS bottom, avg(v) FILTER (y < 4) AS top FROM p GROUP BY 1)"""
+
+
+@query(f"WITH {_MEASURED} SELECT vec_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean', 'std', 'median', 'corner_tl', 'corner_tr', 'corner_bl', 'corner_br', 'bottom', 'top', 'edge_ratio'))} FROM m JOIN l USING (vec_id)")
 def board_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = raster.board_stats(_pixels(spark, d), "vec_id", "v", "x", "y", 8, 8, 2)
-    return s.select("vec_id", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median", "corner_tl", "corner_br", "bottom", "top")])
+    names = ("mean", "std", "median", "corner_tl", "corner_tr", "corner_bl", "corner_br", "bottom", "top", "edge_ratio")
+    return _boards(spark, d).select("vec_id", *[F.round(c, 6).alias(c) for c in names])
 
 
-@query()
+@query(f"""WITH {_MEASURED} SELECT vec_id, unnest(list_filter([CASE WHEN std < 15 THEN 'blank' END, CASE WHEN std >= 15 AND edge_ratio < 0.005 THEN 'low_information' END, CASE WHEN corner_tl < 185 THEN 'corner_tl' END, CASE WHEN corner_tr < 185 THEN 'corner_tr' END,
+CASE WHEN corner_bl < 185 THEN 'corner_bl' END, CASE WHEN corner_br < 185 THEN 'corner_br' END, CASE WHEN bottom > top * 0.75::DOUBLE THEN 'bottom_band' END], lambda x: x IS NOT NULL)) AS code FROM m JOIN l USING (vec_id)""")
 def board_findings(spark: SparkSession, d: str) -> DataFrame:
-    return raster.board_findings(raster.board_stats(_pixels(spark, d), "vec_id", "v", "x", "y", 8, 8, 2), "vec_id")
+    return raster.board_findings(_boards(spark, d), "vec_id").select("vec_id", "code")
 
 
 @query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, v, i % 8 AS x, i // 8 AS y FROM frames), b AS (SELECT vec_id, median(v) AS m FROM p WHERE x < 1 OR x >= 7 OR y < 1 OR y >= 7 GROUP BY 1) SELECT vec_id, count(*) FILTER (abs(v - m) > 8) AS n_ink FROM p JOIN b USING (vec_id) GROUP BY 1""")
 def ink_pixels(spark: SparkSession, d: str) -> DataFrame:
-    p = _pixels(spark, d)
-    inked = raster.ink(p, raster.border_median(p, "vec_id", ["v"], "x", "y", 8, 8, 1), "vec_id", ["v"], 8)
-    return inked.groupBy("vec_id").agg(F.count_if("is_ink").alias("n_ink"))
+    return _boards(spark, d).select("vec_id", "n_ink")
 
 
 @query(f"""WITH {A.FRAMES}, p AS (SELECT label, vec_id, i, v > 10 AS ink, lead(v > 10) OVER (PARTITION BY label, i ORDER BY vec_id) AS nxt FROM frames) SELECT label, count(*) FILTER (ink) AS n_wanted, round(count(*) FILTER (ink AND NOT nxt) / greatest(count(*) FILTER (ink), 1)::DOUBLE, 6) AS missing_ratio FROM p WHERE nxt IS NOT NULL GROUP BY 1""")
 def ink_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Inked pixels that the clip's next frame has lost."""
-    p = A.frames(spark, d).select("label", "vec_id", F.posexplode("v").alias("i", "v")).withColumn("ink", F.col("v") > 10)
-    p = p.withColumn("nxt", F.lead("ink").over(Window.partitionBy("label", "i").orderBy("vec_id"))).where("nxt is not null")
-    return raster.missing_ratio(p, "label", "ink", "nxt").withColumn("missing_ratio", F.round("missing_ratio", 6))
+    pairs = next_row(A.frames(spark, d), ["label"], ["vec_id"], F.col("v"), "nxt").where("nxt is not null")
+    inked = lambda c: F.transform(c, lambda v: v > 10)
+    return raster.missing_ratio(pairs.select("label", inked("v").alias("ink"), inked("nxt").alias("nxt")), "label", "ink", "nxt").withColumn("missing_ratio", F.round("missing_ratio", 6))
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    p = A.frames(spark, d).select("vec_id", F.posexplode("v").alias("i", "v"))
+    return p.select("vec_id", "v", (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"))
 
 
 @query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y FROM frames WHERE v > 0), g AS (SELECT *, x - row_number() OVER (PARTITION BY vec_id, y ORDER BY x) AS k FROM p WHERE y % 6 = 3)
@@ -663,9 +675,7 @@ def label_reveals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, v, i % 8 AS x, i // 8 AS y FROM frames), b AS (SELECT vec_id, median(v) AS m FROM p WHERE x < 1 OR x >= 7 OR y < 1 OR y >= 7 GROUP BY 1)
 SELECT vec_id, round(avg(abs(v - m)), 6) AS deviation FROM p JOIN b USING (vec_id) WHERE y >= 2 AND y < 6 GROUP BY 1""")
 def ghost_deviation(spark: SparkSession, d: str) -> DataFrame:
-    p = _pixels(spark, d)
-    g = raster.ghost(p, raster.border_median(p, "vec_id", ["v"], "x", "y", 8, 8, 1), "vec_id", ["v"], "y", (2, 6))
-    return g.select("vec_id", F.round("deviation", 6).alias("deviation"))
+    return _boards(spark, d).select("vec_id", F.round("ghost", 6).alias("deviation"))
 
 
 @query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, v, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y FROM frames) SELECT vec_id, x, y FROM p a WHERE v > 15 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.vec_id = a.vec_id AND b.v < -15 AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)""")

@@ -73,11 +73,14 @@ def test_raster(spark):
     got = {r.clip: (r.max_step, r.total_change) for r in raster.frame_changes(steps, "clip", "n", "v").collect()}
     assert got == {"slow": (4.0, 80.0), "cut": (180.0, 180.0), "one": (0.0, 0.0)}
     assert {r.clip: r.finding for r in raster.wipe_findings(raster.frame_changes(steps, "clip", "n", "v")).collect()} == {"cut": "hard_cut", "one": "no_change"}
-    pairs = spark.createDataFrame([("m", i, True, i > 0) for i in range(36)] + [("n", 0, False, False)], "k string, i int, w boolean, g boolean")
+    pairs = spark.createDataFrame([("m", [True] * 18, [i > 0 for i in range(18)]), ("m", [True] * 18, [True] * 18), ("n", [False], [False])], "k string, w array<boolean>, g array<boolean>")
     assert {r.k: r.missing_ratio for r in raster.missing_ratio(pairs, "k", "w", "g").collect()} == {"m": pytest.approx(1 / 36), "n": 0.0}
-    flat = spark.createDataFrame([("p", x, y, 250) for x in range(10) for y in range(10)], "img string, x int, y int, v int")
-    stats = raster.board_stats(flat, "img", "v", "x", "y", 10, 10, 2)
-    assert {r.code for r in raster.board_findings(stats, "img").collect()} == {"blank", "bottom_band"}
+    flat = spark.createDataFrame([("p", [250] * 100), ("short", [1]), ("holed", [None] * 100), ("none", None), ("inked", [250] * 40 + [10] * 20 + [250] * 40)], "img string, v array<int>")
+    stats = raster.board_stats(flat, "img", "v", 10, 10, 2, edge=1, band=(4, 6))
+    assert {(r.img, r.code) for r in raster.board_findings(stats, "img").collect()} == {("p", "blank"), ("p", "bottom_band"), ("inked", "bottom_band")}
+    got = {r.img: (r.n_ink, r.ghost, r.background, r.edge_ratio) for r in stats.collect()}
+    assert got["p"] == (0, 0.0, 250.0, 0.0) and got["inked"] == (20, 240.0, 250.0, 0.4) and got["short"] == got["holed"] == got["none"] == (None,) * 4
+    assert raster.board_stats(flat.limit(0), "img", "v", 10, 10, 2).count() == 0
     parts = spark.createDataFrame([("p", 100 + 30 * i, 300, 20, 20, 300, 110.0 + 30 * i, 310.0) for i in range(5)] + [("p", 500, 700, 20, 20, 300, 510.0, 710.0)], "img string, x int, y int, w int, h int, area int, cx double, cy double")
     assert [(r.line_no, r.n_parts) for r in raster.text_lines(parts, "img", 1920, 1080).collect()] == [(1, 5)]
 
