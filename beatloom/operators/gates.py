@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
-DRIFT_MS, SCENE_AUDIO_MS, TAIL_MS, CONCAT_MS, TRACK_MS = 2000, 200, 500, 150, 500
+DRIFT_MS = 2000
 COVERAGE_BLOCK, COVERAGE_WARN = 0.70, 0.90
 LOUDNESS, PEAK = (-16.5, -15.5), (-2.0, -1.0)
 DEGRADED = "均分|模糊匹配|无处安放|不足以|超出预留区"
@@ -67,7 +67,8 @@ def word_table(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def media(info: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings over one row per deliverable with durations (``final_ms``, ``narration_ms``), streams, codecs, loudness and peak."""
+    """Findings over one row per deliverable with durations (``final_ms``, ``narration_ms``), streams, codecs, atoms, loudness, peak and silences."""
+    moov, mdat = F.array_position("atoms", "moov"), F.array_position("atoms", "mdat")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     return judge(info, keys, [
         ("no_duration", "blocking", F.col("final_ms").isNull() | (F.col("final_ms") <= 0)),
@@ -75,6 +76,7 @@ def media(info: DataFrame, keys: list[str]) -> DataFrame:
         ("duration_drift", "warning", F.abs(F.col("final_ms") - F.col("narration_ms")) > DRIFT_MS),
         ("codec", "blocking", ~F.col("codecs").contains("h264")), ("pixel_format", "blocking", ~F.col("codecs").contains("yuv420p")),
         ("sample_rate", "blocking", ~F.col("codecs").contains("44100")),
+        ("faststart", "blocking", ~F.coalesce((moov > 0) & (mdat > 0) & (moov < mdat), F.lit(False))), ("silence", "blocking", F.col("n_silences") > 0),
         ("loudness", "blocking", ~F.col("lufs").between(*LOUDNESS)), ("peak", "blocking", ~F.col("peak_db").between(*PEAK)),
     ])
 

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 # Closed sets and required members.
 TASK_TYPES = ["A", "B", "C", "D"]
 CONFIDENCE = ["source-backed fact", "model inference", "teaching simplification"]
@@ -136,8 +138,8 @@ def lint(docs: DataFrame, keys: list[str], body: str) -> DataFrame:
     ``IR.BAD_JSON``, and nothing else.  Repeated documents give their findings
     again.
     """
-    parsed = docs.select(*keys, F.col(body).alias("_t"), F.try_parse_json(F.col(body)).alias("doc"))
-    ok = is_object("doc")
+    held = docs.select(*keys, F.col(body).isNull().alias("_none"), F.try_parse_json(F.col(body)).alias("doc"))
+    parsed, ok = materialise(held, "parsed"), is_object("doc")  # parsed once, read by every relation
     r = _relations(parsed.where(ok), keys)
     km = lambda *n: get("km", *n)
     lm = lambda *n: get("lm", *n)
@@ -149,7 +151,7 @@ def lint(docs: DataFrame, keys: list[str], body: str) -> DataFrame:
     none_given = lambda names, of: " and ".join(empty(of(n)) for n in names)
     doc = r["document"]
     out = [
-        findings(parsed, keys, "'/'", [("IR.NO_SCRIPT", B, "_t is null"), ("IR.BAD_JSON", B, f"_t is not null and not {ok}")]),
+        findings(parsed, keys, "'/'", [("IR.NO_SCRIPT", B, "_none"), ("IR.BAD_JSON", B, f"not _none and not {ok}")]),
         findings(doc, keys, "'/'", [
             ("KM.MISSING", B, f"not {has_km}"), ("KM.SCOPE", B, f"{has_km} and {object_or_none(km('scope'))} and {empty(km('scope', 'exclude'))}"),
             ("KM.SCARECROW", W, f"{has_km} and {nonempty(km('learner', 'misconception'))} and {empty(km('learner', 'misconception_source'))}"),

@@ -20,9 +20,9 @@ from .ordered import previous_row
 INK, TRUE_INK, MISSING_INK = 180, 160, 0.01
 WIPE_STEP, WIPE_TOTAL, GHOST = 12.0, 8.0, 24.0
 BLANK_STD, LOW_EDGE, EDGE = 15.0, 0.005, 30
-CHALK_LUMA, CORNER_TOLERANCE, PAPER_LUMA = 130.0, 60.0, 185.0
+CHALK_LUMA, PAPER_LUMA = 130.0, 185.0
 ROW_STEP, FILL_RUN = 6, 3
-TEXT_BAND, TEXT_HEIGHT_CV, TEXT_GAP_CV, TEXT_HEIGHT, TEXT_LEAST, BAND_PX = 0.025, 0.2, 0.5, 0.05, 8, 15.0
+TEXT_BAND, TEXT_HEIGHT_CV, TEXT_GAP_CV, TEXT_HEIGHT, BAND_PX = 0.025, 0.2, 0.5, 0.05, 15.0
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:

@@ -664,12 +664,14 @@ def frame_states(spark: SparkSession, d: str) -> DataFrame:
     return timeline.frame_states(A.tasks(spark, d), "user_id", 2).withColumn("progress", F.round("progress", 6))
 
 
-@query(f"""WITH {A.TASKS}, d AS (SELECT user_id, kind AS eid, max(end_ms) AS e FROM tasks GROUP BY 1, 2), w AS (SELECT user_id, max(end_ms) AS e FROM tasks WHERE kind = 'draw' GROUP BY 1), l AS (SELECT user_id, unnest(['draw', 'travel', 'label']) AS eid FROM (SELECT DISTINCT user_id FROM tasks))
-SELECT user_id, eid, coalesce(d.e, w.e) AS reveal_ms FROM l LEFT JOIN d USING (user_id, eid) LEFT JOIN w USING (user_id)""")
+@query(f"""WITH {A.TASKS}, d AS (SELECT user_id, kind AS eid, max(end_ms) AS e FROM tasks GROUP BY 1, 2), w AS (SELECT user_id, max(end_ms) AS e FROM tasks WHERE kind = 'draw' GROUP BY 1), l AS (SELECT user_id, unnest(['draw', 'travel', 'label', 'note']) AS eid FROM (SELECT DISTINCT user_id FROM tasks)), a AS (SELECT user_id, 'label' AS eid, max(end_ms) AS e FROM tasks WHERE kind = 'gaze' GROUP BY 1)
+SELECT user_id, eid, coalesce(d.e, a.e, w.e) AS reveal_ms FROM l LEFT JOIN d USING (user_id, eid) LEFT JOIN a USING (user_id, eid) LEFT JOIN w USING (user_id)""")
 def label_reveals(spark: SparkSession, d: str) -> DataFrame:
+    """Labels by their own task, else their annotation's window, else the end of drawing."""
     t = A.tasks(spark, d).withColumn("eid", F.col("kind"))
-    labels = t.select("user_id").distinct().select("user_id", F.explode(F.array(F.lit("draw"), F.lit("travel"), F.lit("label"))).alias("eid"))
-    return timeline.label_reveals(labels, t, t.limit(0), ["user_id"]).select("user_id", "eid", "reveal_ms")
+    labels = t.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, ("draw", "travel", "label", "note")))).alias("eid"))
+    windows = t.where("kind = 'gaze'").select("user_id", F.lit("label").alias("eid"), "end_ms")
+    return timeline.label_reveals(labels, t, windows, ["user_id"]).select("user_id", "eid", "reveal_ms")
 
 
 @query(f"""WITH {A.FRAMES}, p AS (SELECT vec_id, v, i % 8 AS x, i // 8 AS y FROM frames), b AS (SELECT vec_id, median(v) AS m FROM p WHERE x < 1 OR x >= 7 OR y < 1 OR y >= 7 GROUP BY 1)

@@ -154,12 +154,13 @@ def test_panel_findings(spark):
 
 
 def test_gates(spark):
-    info = spark.createDataFrame([("ok", 10_000, 10_500, True, True, "h264 yuv420p 44100", -16.0, -1.5), ("bad", 10_000, 13_000, False, False, "vp9", -10.0, 0.0), ("none", None, None, None, None, None, None, None)],
-                                 "e string, final_ms long, narration_ms long, has_video boolean, has_audio boolean, codecs string, lufs double, peak_db double")
+    info = spark.createDataFrame([("ok", 10_000, 10_500, True, True, "h264 yuv420p 44100", -16.0, -1.5, 0, ["ftyp", "moov", "mdat"]), ("bad", 10_000, 13_000, False, False, "vp9", -10.0, 0.0, 2, ["mdat", "moov"]),
+                                  ("none", None, None, None, None, None, None, None, None, None)],
+                                 "e string, final_ms long, narration_ms long, has_video boolean, has_audio boolean, codecs string, lufs double, peak_db double, n_silences int, atoms array<string>")
     codes = {}
     for r in gates.media(info, ["e"]).collect():
         codes.setdefault(r.e, set()).add(r.code)
-    assert codes == {"bad": {"no_video", "no_audio", "duration_drift", "codec", "pixel_format", "sample_rate", "loudness", "peak"}, "none": {"no_duration", "no_video"}}
+    assert codes == {"bad": {"no_video", "no_audio", "duration_drift", "codec", "pixel_format", "sample_rate", "loudness", "peak", "faststart", "silence"}, "none": {"no_duration", "no_video", "faststart"}}
     notes = spark.createDataFrame([("a", "words", "3/3", ["均分 2"]), ("b", None, "2/3", [])], "e string, schedule string, matched string, warnings array<string>")
     assert sorted((r.e, r.code) for r in gates.degraded(notes, ["e"]).collect()) == [("a", "degraded"), ("b", "schedule_not_words"), ("b", "unmatched")]
     themes = spark.createDataFrame([("t", {"ink": "#a0B", "bg": "#fff"})], "id string, colours map<string,string>")
