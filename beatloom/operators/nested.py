@@ -287,13 +287,13 @@ def levels_of(shredded: DataFrame, max_paths: int = MAX_PATHS) -> list[str]:
     return sorted((p + "[]" for p in lists if not under_key_of_level(p)), key=lambda p: (p.count("[]"), p))
 
 
-def _keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _keyed(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
     parts = F.split("level", r"\[\]\.?")
     path = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
         F.element_at(parts, i), F.lit("["), F.element_at("ordinals", i).cast("string"), F.lit("]"))), ".")
     depth = F.size("ordinals")
     return rows.select(*keys, "level", "ordinals", F.when(depth > 0, path(depth)).alias("node_key"),
-                       F.when(depth > 1, path(depth - 1)).alias("parent_key"), "type", "value")
+                       F.when(depth > 1, path(depth - 1)).alias("parent_key"), "type", "value", *more)
 
 
 def related(shredded: DataFrame, keys: list[str], levels: list[str], refs: dict[str, Refs] | None = None, values: bool = True) -> DataFrame:
@@ -305,8 +305,23 @@ def related(shredded: DataFrame, keys: list[str], levels: list[str], refs: dict[
     return _keyed(regular, keys).unionByName(again if values else again.where("type = 'object'"))
 
 
+def _members(found: list) -> pa.MapArray:
+    """The members of the objects among the entries, each with its type and text; null ones left out."""
+    offsets, names, types, texts = [0], [], [], []
+    for _, _, x in found:
+        if type(x) is dict:
+            for name, v in x.items():
+                if v is not None:
+                    names.append(name)
+                    types.append(kind(v) if type(v) is not int or -(2**63) <= v < 2**63 else "string")
+                    texts.append(v if type(v) is str else json.dumps(v, ensure_ascii=False, separators=(",", ":")))
+        offsets.append(len(names))
+    held = pa.StructArray.from_arrays([pa.array(types, pa.string()), pa.array(texts, pa.string())], names=["type", "text"])
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(names, pa.string()), held)
+
+
 def flatten(df: DataFrame, keys: list[str], body: str, levels: list[str], refs: dict[str, Refs] | None = None,
-            values: bool = True) -> DataFrame:
+            values: bool = True, members: bool = False) -> DataFrame:
     """One row per entry at any of ``levels``: keys, ``level``, ``ordinals``, ``node_key``, ``parent_key``, ``type``, ``value``.
 
     The level ``""`` is the document itself, without ordinals and ``node_key``.
@@ -315,12 +330,14 @@ def flatten(df: DataFrame, keys: list[str], body: str, levels: list[str], refs:
     within the keys; null for children of the document itself).  ``type`` is the
     entry's JSON type, ``value`` the JSON text of an object, a text as it is,
     null for a list (its entries are the level below) or with ``values=False``.
-    Repeated documents give repeated rows; null and malformed ones none.
+    With ``members`` there is also ``members``, an object's members with their
+    types and texts.  Repeated documents give repeated rows; null and malformed
+    ones none.
     """
     known, wanted = Levels(levels), set(levels)
     walk, root = Walk(refs or {}, known), ROOT in wanted
     source = df.select(*keys, F.col(body).cast("string").alias("_body"))
-    names = [*keys, "level", "ordinals", "type", "value"]
+    names = [*keys, "level", "ordinals", "type", "value", *(["members"] if members else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,55 +353,38 @@ def flatten(df: DataFrame, keys: list[str], body: str, levels: list[str], refs:
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i).take(picked) for i in range(len(keys))),
                  pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.list_(pa.int32())),
-                 pa.array([kind(r[2]) for r in out], pa.string()), pa.array([_value(r[2]) if values else None for r in out], pa.string())], names)
+                 pa.array([kind(r[2]) for r in out], pa.string()), pa.array([_value(r[2]) if values else None for r in out], pa.string()),
+                 *([_members(out)] if members else [])], names)
 
     ddl = f"{_ddl_of(source.schema.fields[:-1])}level string, ordinals array<int>, type string, value string"
-    return _keyed(source.mapInArrow(run, ddl), keys)
+    more = ", members map<string,struct<type:string,text:string>>" if members else ""
+    return _keyed(source.mapInArrow(run, ddl + more), keys, *(["members"] if members else []))
 
 
-def entry_members(rows: DataFrame, value: str = "value") -> DataFrame:
-    """(m, type): the members of the objects in ``value`` with their JSON types, wherever the objects come from."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        held = lambda: pa.RecordBatch.from_arrays([pa.array([m for m, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.string())], ["m", "type"])
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                for m, v in json.loads(text).items():
-                    inner = unwrap(v)
-                    seen.add((m, "text of " + kind(inner) if inner is not v else kind(v)))
-                if len(seen) > HELD:
-                    yield held()
-                    seen.clear()
-        yield held()
-
-    return rows.select(value).mapInArrow(walk, "m string, type string").where("type <> 'null'").distinct()
-
-
-def _ddl(rows: list) -> str:
-    types: dict[str, set] = {}
-    for r in rows:
-        types.setdefault(r["m"], set()).add(r["type"])
-    spark_type = {"boolean": "boolean", "integer": "bigint", "decimal": "double", "string": "string"}
-    one = lambda t: spark_type.get(next(iter(t)), "string") if len(t) == 1 else "double" if t == {"integer", "decimal"} else "string"
-    return ", ".join(f"`{m.replace('`', '``')}` {one(t)}" for m, t in sorted(types.items()))
+def _column(types: set[str]) -> str:
+    """The type of a column whose values have these: whole and other numbers are one, what else differs is text."""
+    if len(types) == 1:
+        return {"boolean": "boolean", "integer": "bigint", "decimal": "double"}.get(next(iter(types)), "string")
+    return "double" if types == {"integer", "decimal"} else "string"
 
 
 def child_table(flat: DataFrame, keys: list[str], level: str, prefix: str = "", max_paths: int = MAX_PATHS) -> DataFrame:
     """The objects of ``level``: keys, ``node_key``, ``parent_key``, ``ordinal`` and a column ``prefix + member`` for each member.
 
-    Members and types are those of the rows themselves: entries named by
-    reference and lone objects count like those of a list.  Mixed types become
-    text, nested values JSON text.  A prefix keeps members apart from keys of
-    the same name; ``ordinal`` is the place in the list (null for documents).
+    ``flat`` has ``members``.  Columns and types are those of the rows
+    themselves: entries named by reference and lone objects count like those of
+    a list.  Mixed types become text, nested values JSON text.  A prefix keeps
+    members apart from keys of the same name; ``ordinal`` is the place in the
+    list (null for documents).
     """
     own: list[Column] = [*map(F.col, keys), F.col("node_key"), F.col("parent_key"), F.try_element_at("ordinals", F.lit(-1)).alias("ordinal")]
-    rows = materialise(flat.where((F.col("level") == level) & (F.col("type") == "object")).select(*own, "value"), "entries")
-    members = entry_members(rows).limit(max_paths + 1).collect()
-    if len(members) > max_paths:
+    rows = materialise(flat.where((F.col("level") == level) & (F.col("type") == "object")).select(*own, "members"), "entries")
+    seen = rows.select(F.explode("members").alias("m", "x")).select("m", "x.type").distinct().limit(max_paths + 1).collect()
+    if len(seen) > max_paths:
         raise ValueError(f"{level} has more than {max_paths} members")
-    ddl = _ddl(members)
-    if not ddl:
-        return rows.drop("value")
-    rows = rows.withColumn("_v", F.from_json("value", ddl))
-    return rows.select(*rows.columns[:-2], *[F.col("_v")[f.name].alias(prefix + f.name) for f in rows.schema["_v"].dataType.fields])
+    types: dict[str, set[str]] = {}
+    for r in seen:
+        types.setdefault(r["m"], set()).add(r["type"])
+    text = lambda m: F.try_element_at("members", F.lit(m))["text"]
+    typed = lambda m, t: text(m) if t == "string" else text(m).try_cast(t)
+    return rows.select(*rows.columns[:-1], *[typed(m, _column(t)).alias(prefix + m) for m, t in sorted(types.items())])

@@ -108,6 +108,22 @@ P1_TABLE_SQL = {
     "p1_relations": _p1_table_sql("rl", "'knowledge_model.model.relations[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "relation_", "from to type"),
     "p1_evidence": _p1_table_sql("ev", "'knowledge_model.evidence[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "evidence_", "claim confidence id note source"),
 }
+_IN_SCENE = "'scenes[' || scene_pos || ']'"
+_P1_MORE = {  # further levels: a name, where its list stands, the keys it takes along
+    "p1_scene_elements": (_entries("se", "so", "script_id, scene_pos", "json_extract(s, 'elements')"), "se", _IN_SCENE + " || '.elements[' || pos || ']'", _IN_SCENE, "pos", "element_", "id phrase"),
+    "p1_beat_elements": (_entries("be", "bt", "script_id, scene_pos, beat_pos", "json_extract(x, 'elements')"), "be", _BEAT + " || '.elements[' || pos || ']'", _BEAT, "pos", "element_", "id introduced_at semantic_role used_by"),
+    "p1_pool_beats": ("u AS (SELECT 1)", "pl", "'beats[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "beat_",
+                      "channel_allocation cognitive_operation elements evidence_refs id narrative obstacle reveal scene_slice state_after state_before visual_operation"),
+    "p1_pool_elements": (_entries("pe", "(SELECT script_id, pos AS nth, x FROM pl WHERE json_type(x) = 'OBJECT')", "script_id, nth", "json_extract(x, 'elements')"), "pe",
+                         "'beats[' || nth || '].elements[' || pos || ']'", "'beats[' || nth || ']'", "pos", "element_", "id introduced_at semantic_role used_by"),
+    "p1_pool_reveal": (_entries("pr", "(SELECT script_id, pos AS nth, x FROM pl WHERE json_type(x) = 'OBJECT')", "script_id, nth", "json_extract(x, 'reveal')"), "pr",
+                       "'beats[' || nth || '].reveal[' || pos || ']'", "'beats[' || nth || ']'", "pos", "reveal_", "!bound_span op target"),
+    "p1_excluded": (_entries("xc", "km", "script_id", "json_extract(json_extract(k, 'scope'), 'exclude')"), "xc", "'knowledge_model.scope.exclude[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "excluded_", "idea reason"),
+    "p1_transitions": (_entries("tr", "d", "script_id", "json_extract(json_extract(doc, 'learner_model'), 'transitions')"), "tr", "'learner_model.transitions[' || pos || ']'", "CAST(NULL AS VARCHAR)", "pos", "transition_",
+                       "from_state id !load to_state"),
+    "p1_documents": ("u AS (SELECT script_id, doc AS x FROM d)", "u", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS INTEGER)", "doc_", "beats knowledge_model learner_model scenes theme"),
+}
+P1_TABLE_SQL |= {name: _p1_table_sql(*rest).replace(_P1_LEVELS, _P1_LEVELS.rstrip() + ",\n" + more + "\n") for name, (more, *rest) in _P1_MORE.items()}
 P1_SCHEMA_SQL = f"""WITH RECURSIVE w AS (SELECT '' AS path, CAST(body AS JSON) AS raw FROM scripts WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) <> 'NULL'
 UNION ALL SELECT CASE WHEN c.k IS NULL THEN path || '[]' WHEN path = '' THEN c.k ELSE path || '.' || c.k END, c.x FROM (SELECT path, {_opened('raw')} AS v FROM w) w, LATERAL (
  SELECT NULL AS k, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN CAST(v AS JSON[]) WHEN json_type(v) = 'OBJECT' AND len(list_filter(json_keys(v), lambda n: json_type(json_extract(v, n)) <> 'OBJECT')) = 0
@@ -121,7 +137,7 @@ GROUP BY path, type"""
 def _p1_table(level: str, prefix: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         scripts = spread(load(spark, d, "scripts", "script_id", "body"))
-        flat = nested.flatten(scripts, ["script_id"], "body", [level], BEAT_REFS)
+        flat = nested.flatten(scripts, ["script_id"], "body", [level], BEAT_REFS, values=False, members=True)
         return nested.child_table(flat, ["script_id"], level, prefix)
     return query
 

@@ -119,12 +119,12 @@ def word_table_gate(spark: SparkSession, d: str) -> DataFrame:
     return gates.word_table(w, SCENE, ["word_id"])
 
 
-@query(f"""WITH {A.TL}, w AS (SELECT episode_id, scene_index, min(start_ms) AS a, max(end_ms) AS b FROM words WHERE lower(trim(granularity)) = 'sentence' AND scene_index IS NOT NULL GROUP BY 1, 2)
+@query(f"""WITH {A.TL}, w AS (SELECT episode_id, scene_index, min(start_ms) AS a, max(end_ms) AS b FROM tl WHERE length(text) > 4 GROUP BY 1, 2)
 SELECT word_id FROM tl JOIN w USING (episode_id, scene_index) WHERE start_ms < a - 50 OR end_ms > b + 50""")
 def words_outside_cues(spark: SparkSession, d: str) -> DataFrame:
-    """Words that reach out of the window of their scene's sentence cues."""
-    cues = load(spark, d, "words", "episode_id", "scene_index", "start_ms", "end_ms", "granularity").where("lower(trim(granularity)) = 'sentence' and scene_index is not null")
-    return timeline.outside_windows(A.timeline(spark, d), timeline.scene_windows(cues, SCENE), SCENE).select("word_id")
+    """Words that reach out of the window of their scene's longer words."""
+    units = A.timeline(spark, d)
+    return timeline.outside_windows(units, timeline.scene_windows(units.where(F.length("text") > 4), SCENE), SCENE).select("word_id")
 
 
 @query("SELECT user_id, event_id, event_type, nxt AS next_state FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE trim(event_type) <> '' AND trim(nxt) <> '' AND trim(event_type) <> trim(nxt)")
@@ -454,7 +454,16 @@ def narration_spans_matched(spark: SparkSession, d: str) -> DataFrame:
     return align.matched_spans(A.narrations(spark, d), A.timeline(spark, d), SCENE, ORDER, "narration", align.fixed_dictionary(spark, CROSS_LANGUAGE))
 
 
-@query()
+_STROKES = f"""{A.POINTS}, seg AS (SELECT vec_id, CAST(i // 8 AS INTEGER) AS s, i, x, y, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS dd FROM points WINDOW w AS (PARTITION BY vec_id, i // 8 ORDER BY i)),
+st AS (SELECT vec_id, s, sum(dd) AS len, arg_min(x, i) AS x0, arg_min(y, i) AS y0, arg_max(x, i) AS x1, arg_max(y, i) AS y1 FROM seg GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER w AS no, greatest(1, floor(2000 * len / sum(greatest(len, 1e-6)) OVER (PARTITION BY vec_id))) AS draw, sqrt(pow(lead(x0) OVER w - x1, 2) + pow(lead(y0) OVER w - y1, 2)) AS jump FROM st WINDOW w AS (PARTITION BY vec_id ORDER BY s)),
+it AS (SELECT vec_id, no, 0 AS part, 'draw' AS kind, draw AS ms FROM o UNION ALL SELECT vec_id, no, 1, 'travel', greatest(40, floor(jump / 2.8::DOUBLE)) FROM o WHERE jump > 48),
+sc AS (SELECT *, greatest(1, floor(ms * CASE WHEN sum(ms) OVER (PARTITION BY vec_id) > 2000 THEN 2000 / sum(ms) OVER (PARTITION BY vec_id) ELSE 1.0 END)) AS k FROM it),
+ln AS (SELECT *, 1000 + sum(k) OVER (PARTITION BY vec_id ORDER BY no, part ROWS UNBOUNDED PRECEDING) AS e FROM sc), lz AS (SELECT *, e - k AS b, max(e) OVER (PARTITION BY vec_id) AS z FROM ln),
+pl AS (SELECT *, 1000 + floor((b - 1000) * (2000 / greatest(1, z - 1000)::DOUBLE)) AS pb, 1000 + floor((e - 1000) * (2000 / greatest(1, z - 1000)::DOUBLE)) AS pe FROM lz)"""
+
+
+@query(f"WITH {_STROKES} SELECT vec_id, CAST(no AS INTEGER) AS stroke_no, kind, CAST(CASE WHEN z > 3000 THEN pb ELSE b END AS BIGINT) AS start_ms, CAST(CASE WHEN z > 3000 THEN greatest(pe, pb + 1) ELSE e END AS BIGINT) AS end_ms FROM pl")
 def stroke_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Draw and travel tasks for each vector cut into four strokes."""
     w = Window.partitionBy("vec_id", "s").orderBy("i")
@@ -594,15 +603,17 @@ def ease_curve(spark: SparkSession, d: str) -> DataFrame:
 # integrity
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7)")
 def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "customer", "c_custkey").withColumnRenamed("c_custkey", "o_custkey")
+    """Orders whose customer is in none of the nations but one."""
+    c = load(spark, d, "customer", "c_custkey", "c_nationkey").where("c_nationkey <> 7").select(F.col("c_custkey").alias("o_custkey"))
     return load(spark, d, "orders", "o_orderkey", "o_custkey").join(c, "o_custkey", "left_anti").select("o_orderkey")
 
 
-@query("SELECT c_custkey, 'no_order' AS code, 'warning' AS severity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, 'no_order' AS code, 'warning' AS severity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 9 = 0)")
 def orphan_refs(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders", "o_custkey").withColumnRenamed("o_custkey", "c_custkey")
+    """Customers without an order of every ninth number."""
+    o = load(spark, d, "orders", "o_custkey", "o_orderkey").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return gates.missing(load(spark, d, "customer", "c_custkey"), o, ["c_custkey"], "no_order", "warning")
 
 

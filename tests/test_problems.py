@@ -43,6 +43,7 @@ def test_p1_irregular_bodies(spark):
         assert flat.where("parent_key is not null").join(parents, ["script_id", "parent_key"], "left_anti").count() == 0
     schema = {(r.path, r.type) for r in nested.merged_schema(df, "body").collect()}
     assert {("scenes", "list"), ("scenes", "object"), ("scenes[].beats[].reveal", "text of list")} <= schema
+    flat = nested.flatten(df, ["script_id"], "body", levels, problems.BEAT_REFS, members=True)
     table = nested.child_table(flat, ["script_id"], "scenes[].beats[]", "beat_")
     assert "beat_reveal" in table.columns and table.count() == flat.where("level = 'scenes[].beats[]' and type = 'object'").count()
 
