@@ -26,3 +26,9 @@ def drift(recorded: DataFrame, actual: DataFrame, keys: list[str], digest: str)
     both = r.join(a, keys, "full_outer")
     status = F.when(F.col("_r").isNull(), "added").when(F.col("_a").isNull(), "missing").when(~F.col("recorded").eqNullSafe(F.col("actual")), "changed")
     return both.withColumn("status", status).where("status is not null").select(*keys, "recorded", "actual", "status")
+
+
+def unrecorded(manifests: DataFrame, recorded: DataFrame, keys: list[str], least_files: int) -> DataFrame:
+    """What has all its files but no fingerprint on record; ``manifests`` has ``n_files``."""
+    whole = manifests.where(F.col("n_files") >= least_files)
+    return whole.join(recorded.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit("fingerprint_unrecorded").alias("code"), F.lit("warning").alias("severity"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, delivery, gates, raster, schedule, timeline
+from ..operators import align, delivery, fingerprint, gates, raster, schedule, timeline
 from ..operators.ordered import next_row
-from ..sources import load, readers
+from ..sources import load, readers, writers
 from . import adapters as A
 from .reference import _EXACT, _HAY, SCENE, _panels, _phrases, _planned
 
@@ -290,3 +290,55 @@ def scene_lengths(spark: SparkSession, d: str) -> DataFrame:
 def haystacks(spark: SparkSession, d: str) -> DataFrame:
     """Each scene's spoken letters and digits."""
     return align.haystacks(A.timeline(spark, d), SCENE, A.ORDER).select(*SCENE, F.length("hay").alias("n_chars"), F.sha2("hay", 256).alias("digest"))
+
+
+# readers and writers
+
+
+@query("""WITH s AS (SELECT file_id, CAST(payload AS JSON) AS j FROM raw_files WHERE file_kind = 'state' AND payload IS NOT NULL AND json_valid(payload)), c AS (SELECT file_id, json_extract(j, '$.confirmations') AS c, json_extract(j, '$.confirmation_log') AS l FROM s)
+SELECT file_id, CASE WHEN json_type(c) = 'OBJECT' THEN len(json_keys(c)) ELSE 0 END AS n_flags, CASE WHEN json_type(c) = 'ARRAY' THEN json_array_length(c) WHEN json_type(l) = 'ARRAY' THEN json_array_length(l) ELSE 0 END AS n_log FROM c""")
+def migrated_states(spark: SparkSession, d: str) -> DataFrame:
+    texts = _files(spark, d, "state").withColumnRenamed("payload", "text")
+    return readers.migrated_states(texts, "file_id").select("file_id", F.size("confirmations").alias("n_flags"), F.size("confirmation_log").alias("n_log"))
+
+
+@query("""WITH s AS (SELECT script_id, CAST(body AS JSON) AS j FROM scripts WHERE body IS NOT NULL AND json_valid(body)), t AS (SELECT script_id, CASE WHEN json_type(json_extract(j, '$.scenes')) = 'ARRAY' THEN CAST(json_extract(j, '$.scenes') AS JSON[]) ELSE [] END AS l FROM s),
+b AS (SELECT script_id, len(l) AS n, len(list_filter(l, lambda x: regexp_full_match(coalesce(json_extract_string(x, '$.narration'), ''), '[\\s\\p{Z}]*'))) > 0 AS blank FROM t)
+SELECT script_id, 'scenes_missing' AS code, 'blocking' AS severity FROM b WHERE n = 0 UNION ALL SELECT script_id, 'narration_blank', 'blocking' FROM b WHERE blank""")
+def script_refusals(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "scripts", "script_id", "body").select("script_id", F.try_parse_json("body").alias("doc"))
+    return readers.script_refusals(docs, "script_id")
+
+
+_ASS = "printf('%d:%02d:%02d.%02d', {0} // 360000, {0} // 6000 % 60, {0} // 100 % 60, {0} % 100)"
+_HEADER = "'" + writers.ASS_HEADER.replace("\n", "' || chr(10) || '") + "' || chr(10) || "
+
+
+@query(f"""WITH c AS (SELECT episode_id, start_ms, end_ms, text, CAST(round_even(greatest(start_ms, 0) / 10.0, 0) AS BIGINT) AS a, CAST(round_even(greatest(greatest(start_ms + 400, end_ms), 0) / 10.0, 0) AS BIGINT) AS z FROM words WHERE lower(trim(granularity)) = 'sentence' AND start_ms IS NOT NULL AND end_ms IS NOT NULL)
+SELECT episode_id, {_HEADER}string_agg('Dialogue: 0,' || {_ASS.format('a')} || ',' || {_ASS.format('z')} || ',Default,,0,0,0,,' || replace(coalesce(text, ''), chr(10), '\\N'), chr(10) ORDER BY start_ms, end_ms, text NULLS FIRST) AS text FROM c GROUP BY 1""")
+def plain_subtitles(spark: SparkSession, d: str) -> DataFrame:
+    w = load(spark, d, "words", "episode_id", "text", "start_ms", "end_ms", "granularity").where("lower(trim(granularity)) = 'sentence' and start_ms is not null and end_ms is not null")
+    return writers.plain_ass(w, "episode_id")
+
+
+@query(f"""WITH {A.TL}, c AS (SELECT episode_id, text, start_ms, end_ms, row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, end_ms, text) AS n FROM tl WHERE scene_index = 0)
+SELECT episode_id, string_agg(n || chr(10) || printf('%02d:%02d:%02d,%03d', greatest(start_ms, 0) // 3600000, greatest(start_ms, 0) // 60000 % 60, greatest(start_ms, 0) // 1000 % 60, greatest(start_ms, 0) % 1000) || ' --> '
+ || printf('%02d:%02d:%02d,%03d', greatest(end_ms, 0) // 3600000, greatest(end_ms, 0) // 60000 % 60, greatest(end_ms, 0) // 1000 % 60, greatest(end_ms, 0) % 1000) || chr(10) || text || chr(10), chr(10) ORDER BY n) AS text FROM c GROUP BY 1""")
+def srt_documents(spark: SparkSession, d: str) -> DataFrame:
+    return writers.srt(A.timeline(spark, d).where("scene_index = 0"), "episode_id")
+
+
+@query(f"""WITH {A.TL}, w AS (SELECT episode_id, string_agg(CAST(to_json({{'start_ms': start_ms, 'end_ms': end_ms, 'scene_index': scene_index, 'text': text}}) AS VARCHAR), ',' ORDER BY start_ms, end_ms, scene_index, text) AS ws FROM tl GROUP BY 1),
+s AS (SELECT episode_id, scene_index, min(start_ms) AS a, max(end_ms) AS z FROM tl GROUP BY 1, 2), t AS (SELECT episode_id, string_agg(CAST(to_json({{'scene_index': scene_index, 'start_ms': a, 'end_ms': z}}) AS VARCHAR), ',' ORDER BY scene_index) AS ss, max(z) AS dur FROM s GROUP BY 1)
+SELECT episode_id, sha256('{{"version":1,"granularity":"word","duration_ms":' || dur || ',"scenes":[' || ss || '],"words":[' || ws || ']}}') AS digest FROM w JOIN t USING (episode_id)""")
+def word_documents(spark: SparkSession, d: str) -> DataFrame:
+    units = A.timeline(spark, d)
+    return writers.words_document(units, timeline.scene_windows(units, SCENE), "episode_id").select("episode_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("""SELECT episode_id, 'fingerprint_unrecorded' AS code, 'warning' AS severity FROM raw_files GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (file_id % 3 = 0) = 0""")
+def unrecorded_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes of two files or more of which none has a number that three divides."""
+    f = load(spark, d, "raw_files", "file_id", "episode_id", "file_kind", "payload")
+    whole = fingerprint.manifest(f, ["episode_id"], "file_id", "payload")
+    return fingerprint.unrecorded(whole, f.where("file_id % 3 = 0"), ["episode_id"], 2)

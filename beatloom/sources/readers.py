@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..functions import text as T
+from ..operators.gates import judge
 
 RECT = "struct<x:int,y:int,w:int,h:int,width:int,height:int,color:string>"
 LABEL = "struct<text:string,cx:int,cy:int,size:int,font:string,panel:int>"
@@ -45,16 +46,20 @@ def words_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", "j.version", "j.voice", "j.granularity", "j.duration_ms", "j.scenes", "j.words", (F.col("j._corrupt").isNotNull() | F.col("j").isNull()).alias("corrupt"))
 
 
+def _layouts(texts: DataFrame) -> DataFrame:
+    top = F.from_json("text", f"map<string,{LAYOUT}>")
+    under = F.from_json(F.get_json_object("text", "$.scenes"), f"map<string,{LAYOUT}>")
+    both = texts.select("path", F.explode(F.array(top, under)).alias("m")).select("path", F.explode("m").alias("scene_id", "l"))
+    return both.where("l.panels is not null or l.texts is not null").dropDuplicates(["path", "scene_id"])
+
+
 def layouts(texts: DataFrame) -> DataFrame:
     """(path, scene_id, panel_no, x, y, w, h, color) from layout texts, scenes at the top or under ``scenes``.
 
     ``texts`` has ``path`` and ``text``.  ``width`` and ``height`` stand in for
     ``w`` and ``h``; the colour defaults to blue.
     """
-    top = F.from_json("text", f"map<string,{LAYOUT}>")
-    under = F.from_json(F.get_json_object("text", "$.scenes"), f"map<string,{LAYOUT}>")
-    both = texts.select("path", F.explode(F.array(top, under)).alias("m")).select("path", F.explode("m").alias("scene_id", "l")).where("l.panels is not null")
-    first = both.dropDuplicates(["path", "scene_id"])
+    first = _layouts(texts).where("l.panels is not null")
     p = first.select("path", "scene_id", F.posexplode("l.panels").alias("i", "p"))
     return p.select("path", "scene_id", (F.col("i") + 1).alias("panel_no"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.coalesce("p.w", "p.width").alias("w"),
                     F.coalesce("p.h", "p.height").alias("h"), F.coalesce("p.color", F.lit("blue")).alias("color"))
@@ -89,11 +94,51 @@ def durations(texts: DataFrame, windows: DataFrame, key: str) -> DataFrame:
 
 
 def confirmations(v: Column) -> Column:
-    """Gate flags as a map: an object as it is, a list of names as names that are true."""
-    as_map = F.from_json(v, "map<string,boolean>")
-    names = F.filter(F.from_json(v, "array<string>"), lambda n: n.isNotNull() & ~n.startswith("{"))
-    listed = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda _: F.lit(True)))
-    return F.when(F.ltrim(v).startswith("["), listed).otherwise(as_map)
+    """Gate flags as a map: those of an object, null where one is neither true nor false; an old list of names is a log and confirms nothing."""
+    flags = F.transform_values(F.from_json(v, "map<string,string>"), lambda _, x: F.when(x.isin("true", "false"), x == "true"))
+    return F.when(v.isNotNull(), F.coalesce(F.when(F.ltrim(v).startswith("{"), flags), F.expr("map()").cast("map<string,boolean>")))
+
+
+def migrated_states(texts: DataFrame, key: str) -> DataFrame:
+    """(key, confirmations, confirmation_log) of state texts: a list of confirmations becomes the log.
+
+    An object keeps its flags and the log beside it, anything else confirms
+    nothing; log entries are texts, or JSON text for others.  Malformed states
+    give no row.
+    """
+    state = texts.select(key, F.try_parse_json("text").alias("_s")).where("_s is not null")
+    part = lambda name, t: F.expr(f"try_variant_get(_s, '$.{name}', '{t}')")
+    said = F.to_json(part("confirmations", "variant"))
+    listed = lambda name: part(name, "array<string>")
+    log = F.coalesce(F.when(said.startswith("["), listed("confirmations")), listed("confirmation_log"), F.array().cast("array<string>"))
+    return state.select(key, confirmations(F.coalesce(said, F.lit("{}"))).alias("confirmations"), log.alias("confirmation_log"))
+
+
+def script_refusals(docs: DataFrame, key: str) -> DataFrame:
+    """(key, code, severity): scripts without scenes, or with a scene of blank narration; ``docs`` has ``doc``, a variant."""
+    scenes = F.expr("try_variant_get(doc, '$.scenes', 'array<variant>')")
+    told = F.transform(scenes, lambda s: F.try_variant_get(s, "$.narration", "string"))
+    rows = docs.where("doc is not null").select(key, F.coalesce(F.size(scenes), F.lit(0)).alias("_n"), F.coalesce(F.exists(told, T.is_blank), F.lit(False)).alias("_blank"))
+    return judge(rows, [key], [("scenes_missing", "blocking", F.col("_n") <= 0), ("narration_blank", "blocking", F.col("_blank"))])
+
+
+def word_file_findings(files: DataFrame, key: str) -> DataFrame:
+    """(key, code, severity): word files (:func:`words_json`) that do not parse or lack their lists."""
+    ok = ~F.col("corrupt")
+    return judge(files, [key], [("words_malformed", "blocking", F.col("corrupt")), ("words_missing", "blocking", ok & F.col("words").isNull()), ("scenes_missing", "blocking", ok & F.col("scenes").isNull())])
+
+
+def layout_texts(texts: DataFrame) -> DataFrame:
+    """(path, scene_id, text_no, text, cx, cy, size, font, panel) of the labels in layout texts, read like :func:`layouts`."""
+    t = _layouts(texts).where("l.texts is not null").select("path", "scene_id", F.posexplode("l.texts").alias("i", "t"))
+    return t.select("path", "scene_id", (F.col("i") + 1).alias("text_no"), "t.*")
+
+
+def labels(texts: DataFrame) -> DataFrame:
+    """(path, label_no, text, panel, x0, y0, x1, y1) of label sidecars, ``[{text, bbox, panel}]``; entries without a box are left out."""
+    t = texts.select("path", F.posexplode(F.from_json("text", "array<struct<text:string,bbox:array<int>,panel:int>>")).alias("i", "t")).where("size(t.bbox) = 4")
+    box = [F.get("t.bbox", F.lit(n)).alias(c) for n, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return t.select("path", (F.col("i") + 1).alias("label_no"), "t.text", "t.panel", *box)
 
 
 def characters(texts: DataFrame) -> DataFrame:
@@ -123,7 +168,8 @@ def pixels(boards: DataFrame) -> DataFrame:
                 b, g, r = (a[..., 0], a[..., 1 if n > 2 else 0], a[..., 2 if n > 2 else 0])
                 grey = np.rint(0.114 * b + 0.587 * g + 0.299 * r).astype(np.int32)
                 y, x = np.indices((h, w), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * (w * h)), *(pa.array(c.ravel().astype(np.int32)) for c in (x, y, b, g, r, grey))], names)
+                one = pa.DictionaryArray.from_arrays(pa.array(np.zeros(w * h, np.int32)), pa.array([path])).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([one, *(pa.array(c.ravel().astype(np.int32)) for c in (x, y, b, g, r, grey))], names)
 
     return boards.select("path", "width", "height", "channels", "data").mapInArrow(spread, "path string, x int, y int, b int, g int, r int, grey int")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+LEAST_SHOWN = 400  # fixed value, milliseconds
 # Header of a subtitle file.
 ASS_HEADER = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
 
@@ -37,11 +38,31 @@ def ass(lines: DataFrame, key: str, order: list[str], style: str = "Default") ->
     return body.select(key, F.concat(F.lit(ASS_HEADER + "\n"), "text").alias("text"))
 
 
-def words_document(words: DataFrame, windows: DataFrame, key: str) -> DataFrame:
-    """(key, text): the version 1 word table of an episode as JSON."""
+def plain_ass(cues: DataFrame, key: str, style: str = "Default") -> DataFrame:
+    """(key, text): whole sentences as events, by start, each shown for 400 ms at least; line breaks are escaped."""
+    end = F.greatest(F.col("start_ms") + LEAST_SHOWN, F.col("end_ms"))
+    event = F.concat(F.lit("Dialogue: 0,"), T.ms_to_ass(F.col("start_ms")), F.lit(","), T.ms_to_ass(end), F.lit(f",{style},,0,0,0,,"), T.newline_to_ass(F.coalesce("text", F.lit(""))))
+    body = _joined(cues, key, ["start_ms", "end_ms", "text"], event, "\n")
+    return body.select(key, F.concat(F.lit(ASS_HEADER + "\n"), "text").alias("text"))
+
+
+def words_document(words: DataFrame, windows: DataFrame, key: str, spans: DataFrame | None = None) -> DataFrame:
+    """(key, text): the version 1 word table of an episode as JSON.
+
+    With ``spans`` (key, ``scene_id``, ``sentence_no``, ``sentence``, bounds) it
+    holds their map by scene as ``narration_spans``: a function of its inputs,
+    so that writing again changes nothing.
+    """
     w = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "scene_index", "text"))).alias("words"))
     s = windows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("scene_index", "start_ms", "end_ms"))).alias("scenes"), F.max("end_ms").alias("duration_ms"))
-    return w.join(s, key).select(key, F.to_json(F.struct(F.lit(1).alias("version"), F.lit("word").alias("granularity"), "duration_ms", "scenes", "words")).alias("text"))
+    fields = [F.lit(1).alias("version"), F.lit("word").alias("granularity"), "duration_ms", "scenes", "words"]
+    rows = w.join(s, key)
+    if spans is not None:
+        item = F.struct(F.col("sentence_no").alias("index"), F.col("sentence").alias("text"), "start_ms", "end_ms")
+        by_scene = spans.groupBy(key, "scene_id").agg(F.array_sort(F.collect_list(item)).alias("_l"))
+        held = by_scene.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scene_id", "_l")))).alias("narration_spans"))
+        rows, fields = rows.join(held, key, "left"), [*fields, "narration_spans"]
+    return rows.select(key, F.to_json(F.struct(*fields)).alias("text"))
 
 
 def prompt(blocks: DataFrame, key: str, order: str, block: str) -> DataFrame:

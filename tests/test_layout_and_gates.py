@@ -197,12 +197,21 @@ def test_readers(spark, tmp_path):
     assert [(p.b, p.g, p.r) for p in px] == [(30, 20, 10), (200, 200, 200)] and px[1].grey == 200
     assert readers.binary_digests(spark, str(tmp_path / "i.png")).first().size == (tmp_path / "i.png").stat().st_size
     flags = spark.createDataFrame([('{"a": true}',), ('["a", "b"]',), ("[]",), (None,)], "v string")
-    assert [r.x for r in flags.select(readers.confirmations(F.col("v")).alias("x")).collect()] == [{"a": True}, {"a": True, "b": True}, {}, None]
+    assert [r.x for r in flags.select(readers.confirmations(F.col("v")).alias("x")).collect()] == [{"a": True}, {}, {}, None]
     log = "I: -20.0 LUFS Peak: -3.0 dBFS silence_duration: 2.5 silence_duration: 1 I: -16.5 LUFS Peak: -1.5 dBFS"
     r = spark.createDataFrame([(log,), ("",)], "v string").select(readers.loudness(F.col("v")).alias("x")).collect()
     assert tuple(r[0].x) == (-16.5, -1.5, 1) and tuple(r[1].x) == (None, None, 0)
     people = spark.createDataFrame([("a.json", '{"characters": [{"id": "x", "immutable": {"hair": "red"}}, null]}'), ("b.txt", "tall")], "path string, text string")
     assert sorted(r.id for r in readers.characters(people).collect()) == ["legacy", "x"]
+    states = spark.createDataFrame([(1, '{"confirmations": ["a", {"b": 1}]}'), (2, '{"confirmations": {"x": true}, "confirmation_log": ["y"]}'), (3, '{"confirmations": 5}'), (4, "{"), (5, None), (6, "[]")], "k int, text string")
+    assert {r.k: (r.confirmations, r.confirmation_log) for r in readers.migrated_states(states, "k").collect()} == {1: ({}, ["a", '{"b":1}']), 2: ({"x": True}, ["y"]), 3: ({}, []), 6: ({}, [])}
+    docs = spark.createDataFrame([(1, '{"scenes": [{"narration": "a"}]}'), (2, '{"scenes": []}'), (3, '{"scenes": [{"narration": " "}, {}]}'), (4, "{"), (5, "{}")], "k int, t string").select("k", F.try_parse_json("t").alias("doc"))
+    assert sorted((r.k, r.code) for r in readers.script_refusals(docs, "k").collect()) == [(2, "scenes_missing"), (3, "narration_blank"), (5, "scenes_missing")]
+    assert sorted(r.code for r in readers.word_file_findings(readers.words_json(spark, str(tmp_path / "w*.json")), "path").collect()) == ["scenes_missing", "words_malformed"]
+    titled = spark.createDataFrame([("a", '{"s": {"texts": [{"text": "T", "cx": 1, "cy": 2, "size": 30, "font": "f", "panel": 1}, {"text": "U"}]}}')], "path string, text string")
+    assert [(r.scene_id, r.text_no, r.text, r.size, r.panel) for r in readers.layout_texts(titled).orderBy("text_no").collect()] == [("s", 1, "T", 30, 1), ("s", 2, "U", None, None)] and readers.layouts(titled).count() == 0
+    sidecar = spark.createDataFrame([("a", '[{"text": "T", "bbox": [1, 2, 3, 4], "panel": 2}, {"text": "U"}]'), ("b", None)], "path string, text string")
+    assert [tuple(r) for r in readers.labels(sidecar).collect()] == [("a", 1, "T", 2, 1, 2, 3, 4)]
     cand = spark.createDataFrame([(1, ["/no", "/b", "/a"]), (2, ["/no"])], "k int, candidates array<string>")
     assert [(r.k, r.path) for r in readers.resolve(cand, spark.createDataFrame([("/a",), ("/b",)], "path string"), "k").collect()] == [(1, "/b")]
 
@@ -218,6 +227,11 @@ def test_writers(spark, tmp_path):
     assert writers.ass(words, "e", ["scene_index", "i"]).first().text.endswith("Dialogue: 0,0:00:00.00,0:00:00.70,Default,,0,0,0,,{\\k50}Hi{\\k10}{\\k10}you")
     windows = spark.createDataFrame([("e", 0, 0, 700)], "e string, scene_index int, start_ms bigint, end_ms bigint")
     assert json.loads(writers.words_document(words, windows, "e").first().text)["words"][1]["text"] == "you"
+    spans = spark.createDataFrame([("e", "scene-01", 1, "you", 600, 700), ("e", "scene-01", 0, "Hi", 0, 500)], "e string, scene_id string, sentence_no int, sentence string, start_ms bigint, end_ms bigint")
+    held = json.loads(writers.words_document(words, windows, "e", spans).first().text)["narration_spans"]
+    assert held == {"scene-01": [{"index": 0, "text": "Hi", "start_ms": 0, "end_ms": 500}, {"index": 1, "text": "you", "start_ms": 600, "end_ms": 700}]}
+    told = spark.createDataFrame([("e", 500, 510, "a\nb"), ("e", 0, 900, None)], "e string, start_ms bigint, end_ms bigint, text string")
+    assert writers.plain_ass(told, "e").first().text.split("\n")[-2:] == ["Dialogue: 0,0:00:00.00,0:00:00.90,Default,,0,0,0,,", r"Dialogue: 0,0:00:00.50,0:00:00.90,Default,,0,0,0,,a\Nb"]
     blocks = spark.createDataFrame([("e", 2, "b"), ("e", 1, "a"), ("e", 3, None)], "e string, n int, block string")
     assert writers.prompt(blocks, "e", "n", "block").first().text == "a\nb"
     assert writers.move_element(spark.createDataFrame([("e", 500)], "e string, duration_ms bigint"), "e", True).first().start_ms == 0
