@@ -519,6 +519,13 @@ def polyline_metrics(spark: SparkSession, d: str) -> DataFrame:
     return p.select("vec_id", "n_points", F.round("arc", 4).alias("arc"), "min_x", "max_x", "min_y", "max_y", F.round("mean_x", 4).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"))
 
 
+@query(f"""WITH {A.POINTS}, s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS dd FROM points WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, i, round(sum(dd) OVER (PARTITION BY vec_id ORDER BY i ROWS UNBOUNDED PRECEDING), 4) AS arc FROM s""")
+def arc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """How far along its polyline each point lies."""
+    return timeline.arc_lengths(A.points(spark, d), ["vec_id"], "i").select("vec_id", "i", F.round("arc", 4).alias("arc"))
+
+
 @query()
 def stroke_simplification(spark: SparkSession, d: str) -> DataFrame:
     """Strokes of each label, four per vector: covered ones dropped, fragments joined, objects grouped."""
