@@ -54,12 +54,13 @@ def _stitched(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int
 
 
 def _with_previous_end() -> Column:
-    """Islands as (prev, s, e): prev is the furthest end before the island, null for the very first."""
-    step = lambda acc, i: F.struct(
-        F.concat(acc["out"], F.array(F.struct(acc["reach"].alias("prev"), i["s"].alias("s"), i["e"].alias("e")))).alias("out"),
-        F.greatest(acc["reach"], i["e"]).alias("reach"))
-    empty = F.array().cast("array<struct<prev:bigint,s:bigint,e:bigint>>")
-    return F.aggregate("_islands", F.struct(empty.alias("out"), F.col("_carry").alias("reach")), step, lambda acc: acc["out"])
+    """Islands as (prev, s, e): prev is the furthest end before the island, null for the very first.
+
+    A shard's islands are apart and in order, so that is the end of the one
+    before or what the shards before reach.
+    """
+    before = lambda k: F.get("_islands", k - 1)["e"]
+    return F.transform("_islands", lambda i, k: F.struct(F.greatest("_carry", F.when(k > 0, before(k))).alias("prev"), i["s"].alias("s"), i["e"].alias("e")))
 
 
 def gaps(df: DataFrame, keys: list[str], start: str, end: str, min_gap: int = 1, width: int = 600_000) -> DataFrame:
