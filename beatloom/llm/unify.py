@@ -123,7 +123,7 @@ class _Kept(dict):
     def __missing__(self, code: int) -> str | None:
         c = chr(code)
         one = c if c < "\x80" or (c not in HYPHENS and unicodedata.category(c)[0] in "PS") else BUILT_IN[code]
-        other_kind = len(one) != 1 or (one not in " -" and unicodedata.category(one)[0] != unicodedata.category(c)[0])
+        other_kind = len(one) != 1 or (one not in " -" and unicodedata.category(one)[0] != unicodedata.category(c)[0]) or (c.isupper() and one.islower())
         self[code] = None if not one else c if other_kind else one
         return self[code]
 
@@ -135,8 +135,8 @@ def folded(text: str) -> tuple[str, Sequence[int]]:
     """``text`` in the consistent form, one character per kept one, and where each stood.
 
     For readers of positions: unlike :func:`skeleton` it never grows, so a
-    character that folds into several or into one of another kind is kept as it
-    is; so is punctuation.
+    character that folds into several or into one of another kind or case is
+    kept as it is; so is punctuation.
     """
     if text.isascii():
         return text, range(len(text))

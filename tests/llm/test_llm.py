@@ -210,6 +210,7 @@ FOREIGN = [
     ("es", "La Sra. Gil vive en la pág. 7 del cuento.| ¿Vienes?| ¡Claro que sí!"),
     ("ru", "В 1812 г. началась война.| Проф. Иванов сказал: «Да. Это так».| Почему?"),
     ("ru", "СМ. РИС. 688: ВОЛНА И Т. Д., КАК ТУТ.| ПРОФ. ЛО, Т. Е. ОН, ПИШЕТ В Т. Ч. НАМ.| ВСЕ.| Это всё."),
+    ("ru", "Стоп.|\n\nПРОФ. ЛО ОТМЕЧАЕТ УРОВЕНЬ, Т. Е. ЗАЗОР.| Да."),
     ("de", "NR. 5, Z. B. VGL. TAB. 4.| U. A. BROT.| ENDE."),
     ("zh", "今天下雨。|他说：“走吧。我们晚了！”|真的吗？|好……那就走。"),
     ("ja", "雨が降った。|「行こう。遅い。」と彼は言った。|本当？"),
