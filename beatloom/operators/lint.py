@@ -235,3 +235,9 @@ def panel_findings(panels: DataFrame, elements: DataFrame, keys: list[str]) -> D
     p, e = panels.groupBy(*keys).agg(F.count("*").alias("n_panels")), elements.groupBy(*keys).agg(F.count("*").alias("n_elements"))
     both = p.join(e, keys, "left").fillna(0, ["n_elements"])
     return findings(both, keys, "'/'", [("BOARD.PANEL_ELEMENT_MISMATCH", B, "n_panels <> n_elements"), ("BOARD.PANEL_COUNT", W, "n_panels > 4 or n_panels < 2")])
+
+
+def layout_files(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``IR.BAD_LAYOUT`` for layout texts that are not JSON; a null text is no layout and no finding."""
+    bad = texts.where(F.col(text).isNotNull() & F.try_parse_json(text).isNull())
+    return bad.select(*keys, F.lit(B).alias("severity"), F.lit("IR.BAD_LAYOUT").alias("code"), F.lit("/").alias("path"))

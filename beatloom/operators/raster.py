@@ -139,6 +139,34 @@ def blend_background(v: Column, distance: Column, shift: Column) -> Column:
     return F.least(F.greatest(v + shift * weight, F.lit(0.0)), F.lit(255.0))
 
 
+NEAR_GROUND, LEAST_SHIFT, DOMINANT = 120, 12, 0.05  # fixed values
+
+
+def background_plan(pixels: DataFrame, image: str, x: str, y: str, width: int, height: int, patch: int, target: tuple[int, int, int]) -> DataFrame:
+    """(image, bg_r, bg_g, bg_b, dominance, decision): whether an image's ground is to be moved to the theme's.
+
+    The ground is the median of the four corners; ``near`` where no channel is
+    12 or more off the target, ``not_dominant`` where less than a twentieth of
+    the image is near the corners' colour, else ``move``.
+    """
+    p = min(patch, height // 4, width // 4)
+    corner = ((F.col(x) < p) | (F.col(x) >= width - p)) & ((F.col(y) < p) | (F.col(y) >= height - p))
+    ground = pixels.groupBy(image).agg(*[F.median(F.when(corner, F.col(c))).alias(f"bg_{c}") for c in ("r", "g", "b")])
+    far = sum((F.abs(F.col(c) - F.col(f"bg_{c}")) for c in ("r", "g", "b")), F.lit(0.0))
+    share = pixels.join(ground, image).groupBy(image, "bg_r", "bg_g", "bg_b").agg(F.avg(F.when(far < NEAR_GROUND, 1.0).otherwise(0.0)).alias("dominance"))
+    shift = F.greatest(*[F.abs(F.lit(t) - F.col(f"bg_{c}")) for c, t in zip(("r", "g", "b"), target, strict=True)])
+    return share.withColumn("decision", F.when(shift < LEAST_SHIFT, "near").when(F.col("dominance") < DOMINANT, "not_dominant").otherwise("move"))
+
+
+def moved_background(pixels: DataFrame, plan: DataFrame, image: str, target: tuple[int, int, int]) -> DataFrame:
+    """The pixels of the images to be moved, with their new ``r``, ``g``, ``b``; the others as they are."""
+    rows = pixels.join(plan.select(image, "bg_r", "bg_g", "bg_b", "decision"), image)
+    far = sum((F.abs(F.col(c) - F.col(f"bg_{c}")) for c in ("r", "g", "b")), F.lit(0.0))
+    move = F.col("decision") == "move"
+    new = {c: F.when(move, F.floor(blend_background(F.col(c), far, F.lit(t) - F.col(f"bg_{c}")))).otherwise(F.col(c)).cast("int") for c, t in zip(("r", "g", "b"), target, strict=True)}
+    return rows.withColumns(new).select(*pixels.columns)
+
+
 def variation(values: Column) -> Column:
     """Population deviation over mean of an array, the mean 1e-6 at least; 0 for fewer than two."""
     n = F.size(values)
@@ -198,3 +226,31 @@ def new_ink(before: DataFrame, after: DataFrame, image: str, x: str, y: str, rea
 def keyed(r: Column, g: Column, b: Column) -> Column:
     """Whether a pixel is the magenta of a keyed background: red and blue well above green."""
     return (F.least(r, b) - g > 60) & (F.abs(r - b) < 80)
+
+
+def key_alpha(distance: Column, spread: Column) -> Column:
+    """Opacity of a pixel by its distance from the keyed ground, whose corners differ by ``spread``; a faint haze and an unknown distance are clear."""
+    low = F.greatest(F.lit(30.0), spread * 0.6)
+    high = F.least(F.lit(200.0), low + 110.0)
+    rising = F.least(F.greatest((distance - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * 255
+    return F.floor(F.least(F.greatest((rising - 60) * (255.0 / 195.0), F.lit(0.0)), F.lit(255.0))).cast("int")
+
+
+def despilled(r: Column, g: Column, b: Column) -> Column:
+    """(r, b) of a pixel with the ground's magenta pulled toward its green."""
+    spill = F.least(r, b) - g > 24
+    pull = lambda c: F.floor(F.when(spill, c * 0.55 + g * 0.45).otherwise(c)).cast("int")
+    return F.struct(pull(r).alias("r"), pull(b).alias("b"))
+
+
+def chalk_tips(pixels: DataFrame, image: str, x: str, y: str) -> DataFrame:
+    """(image, tip_x, tip_y): the middle of the bright, opaque pixels about the one furthest down and left; images without any have no row.
+
+    ``pixels`` has ``r``, ``g``, ``b`` and ``alpha``; the first in reading order
+    is taken among equals.
+    """
+    bright = (F.least("r", "g", "b") > 175) & (F.abs(F.col("r") - F.col("b")) < 55) & (F.col("alpha") > 200)
+    rows = pixels.where(bright).select(image, F.col(x).alias("_x"), F.col(y).alias("_y"), (F.col(y) - F.col(x)).alias("_s"))
+    best = rows.groupBy(image).agg(F.max(F.struct("_s", (-F.col("_y")).alias("ny"), (-F.col("_x")).alias("nx"))).alias("_b"))
+    near = rows.join(best, image).where((F.abs(F.col("_y") + F.col("_b.ny")) < 8) & (F.abs(F.col("_x") + F.col("_b.nx")) < 8) & (F.col("_s") >= F.col("_b._s") - 16))
+    return near.groupBy(image).agg(F.bround(F.avg("_x"), 0).cast("int").alias("tip_x"), F.bround(F.avg("_y"), 0).cast("int").alias("tip_y"))

@@ -253,6 +253,45 @@ def frame_states(tasks: DataFrame, key: str, fps: int = 30) -> DataFrame:
     return shown.select(key, "frame_no", F.col("_t.kind").alias("kind"), progress.alias("progress"))
 
 
+HAND_LEAD, HAND_SETTLE, HAND_FADE, LABEL_FADE = 350, 180, 240, 300  # fixed values, milliseconds
+
+
+def _covered(rows: DataFrame, key: str, first: Column, last: Column, fps: int) -> DataFrame:
+    """(key, frame_no) of the frames from ``first`` to ``last`` milliseconds, both included."""
+    a, b = F.greatest(F.ceil(first * fps / 1000), F.lit(0)).cast("bigint"), F.floor(last * fps / 1000).cast("bigint")
+    return rows.select(key, F.explode(F.when(b >= a, F.sequence(a, b))).alias("frame_no"))
+
+
+def hand_frames(tasks: DataFrame, key: str, fps: int = 30) -> DataFrame:
+    """(key, frame_no): the frames that show the hand.
+
+    It is there while something is drawn, 350 ms before, and 180 ms after the
+    last; never while an object moves.  Frames end with the last task.
+    """
+    draws, moves = tasks.where("kind = 'draw'"), tasks.where("kind = 'move'")
+    total = tasks.groupBy(key).agg(F.bround(F.max("end_ms") * fps / 1000, 0).cast("bigint").alias("_n"))
+    last = draws.groupBy(key).agg(F.max("end_ms").alias("_z")).where("_z > 0")
+    shown = _covered(draws, key, F.col("start_ms") - HAND_LEAD, F.col("end_ms"), fps).unionByName(_covered(last, key, F.col("_z"), F.col("_z") + HAND_SETTLE - 1e-6, fps)).distinct()
+    hidden = _covered(moves, key, F.col("start_ms"), F.col("end_ms"), fps).distinct()
+    return shown.join(hidden, [key, "frame_no"], "left_anti").join(total, key).where("frame_no < _n").select(key, "frame_no")
+
+
+def faded(shown: Column, fps: int = 30) -> Column:
+    """Opacity frame by frame of what is shown in an array of flags: it comes and goes over 240 ms; a scene's frames are its row."""
+    step = 1000.0 / fps / HAND_FADE
+
+    def follow(acc: Column, on: Column) -> Column:
+        now = F.when(on, F.least(F.lit(1.0), acc["a"] + step)).otherwise(F.greatest(F.lit(0.0), acc["a"] - step))
+        return F.struct(now.alias("a"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(shown, F.struct(F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out")), follow, lambda acc: acc["out"])
+
+
+def label_alpha(at_ms: Column, reveal_ms: Column) -> Column:
+    """Opacity of a label, 300 ms from its reveal on; 0 before it and without one."""
+    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (at_ms - reveal_ms) / LABEL_FADE)), F.lit(0.0))
+
+
 def label_reveals(labels: DataFrame, tasks: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """When each label fades in: the last task's end of its element, else its window's end, else the end of all drawing.
 

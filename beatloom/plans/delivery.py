@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, delivery, fingerprint, gates, raster, schedule, timeline
+from ..operators import align, delivery, fingerprint, gates, lint, raster, schedule, spatial, timeline
 from ..operators.ordered import next_row
 from ..sources import load, readers, writers
 from . import adapters as A
@@ -257,13 +257,77 @@ def import_exit_codes(spark: SparkSession, d: str) -> DataFrame:
     return delivery.exit_codes(_statuses(spark, d), ["scene"])
 
 
-@query(f"""WITH {A.FRAMES}, n AS (SELECT label, vec_id, i, v, lead(v) OVER (PARTITION BY label, i ORDER BY vec_id) AS nv FROM frames), c AS (SELECT label, vec_id, avg(abs(nv - v)) AS m FROM n WHERE nv IS NOT NULL GROUP BY 1, 2)
-SELECT label, vec_id, CASE WHEN m >= 12 THEN 'hard_cut' WHEN m < 8 THEN 'no_change' ELSE 'wipe' END AS finding FROM c""")
-def boundary_changes(spark: SparkSession, d: str) -> DataFrame:
-    """How each frame goes over into the clip's next."""
-    pairs = next_row(A.frames(spark, d), ["label"], ["vec_id"], F.col("v"), "nxt").where("nxt is not null")
-    m = raster.mean_abs_diff(F.col("nxt"), F.col("v"))
-    return pairs.select("label", "vec_id", F.when(m >= raster.WIPE_STEP, "hard_cut").when(m < raster.WIPE_TOTAL, "no_change").otherwise("wipe").alias("finding"))
+@query(f"""WITH {A.FRAMES}, n AS (SELECT label, vec_id, i, v, lead(v) OVER (PARTITION BY label, i ORDER BY vec_id) AS nv FROM frames), c AS (SELECT label, vec_id, avg(abs(nv - v)) AS m FROM n WHERE nv IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT vec_id, median(v) AS g FROM (SELECT vec_id, v, i % 8 AS x, i // 8 AS y FROM frames) WHERE x < 1 OR x >= 7 OR y < 1 OR y >= 7 GROUP BY 1), h AS (SELECT f.vec_id, avg(abs(v - g)) AS ghost FROM frames f JOIN b USING (vec_id) WHERE i // 8 BETWEEN 2 AND 5 GROUP BY 1)
+SELECT label, vec_id, unnest(list_filter([CASE WHEN m >= 12 THEN 'hard_cut' END, CASE WHEN m < 8 THEN 'no_change' END, CASE WHEN ghost >= 24 THEN 'ghost' END], lambda x: x IS NOT NULL)) AS code, 'blocking' AS severity FROM c JOIN h USING (vec_id)""")
+def boundary_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame's going over into the clip's next: a hard cut, no change, or remains of what was there."""
+    frames = A.frames(spark, d)
+    pairs = next_row(frames, ["label"], ["vec_id"], F.col("v"), "nxt").where("nxt is not null")
+    measured = raster.board_stats(frames, "vec_id", "v", 8, 8, 2, edge=1, ink=8, band=(2, 6)).select("vec_id", "ghost")
+    rows = pairs.select("label", "vec_id", raster.mean_abs_diff(F.col("nxt"), F.col("v")).alias("m")).join(measured, "vec_id")
+    return gates.judge(rows, ["label", "vec_id"], [("hard_cut", "blocking", F.col("m") >= raster.WIPE_STEP), ("no_change", "blocking", F.col("m") < raster.WIPE_TOTAL),
+                                                   ("ghost", "blocking", F.col("ghost") >= raster.GHOST)])
+
+
+_RGB = f"{A.FRAMES}, px AS (SELECT vec_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, abs(v) * 9 % 256 AS r, abs(v) * 5 % 256 + vec_id % 2 * 60 AS g, abs(v) * 7 % 256 AS b FROM frames)"
+
+
+def _rgb(spark: SparkSession, d: str) -> DataFrame:
+    p = A.frames(spark, d).select("vec_id", F.posexplode("v").alias("i", "v"))
+    v = F.abs("v")
+    return p.select("vec_id", (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), (v * 9 % 256).alias("r"), (v * 5 % 256 + F.col("vec_id") % 2 * 60).alias("g"), (v * 7 % 256).alias("b"))
+
+
+_GROUND = """c AS (SELECT vec_id, median(r) AS bg_r, median(g) AS bg_g, median(b) AS bg_b FROM px WHERE (x < 2 OR x >= 6) AND (y < 2 OR y >= 6) GROUP BY 1), d AS (SELECT px.*, bg_r, bg_g, bg_b, abs(r - bg_r) + abs(g - bg_g) + abs(b - bg_b) AS far FROM px JOIN c USING (vec_id)),
+pl AS (SELECT vec_id, bg_r, bg_g, bg_b, avg(CASE WHEN far < 120 THEN 1.0 ELSE 0.0 END) AS dominance FROM d GROUP BY ALL),
+pd AS (SELECT *, CASE WHEN greatest(abs(90 - bg_r), abs(80 - bg_g), abs(60 - bg_b)) < 12 THEN 'near' WHEN dominance < 0.05 THEN 'not_dominant' ELSE 'move' END AS decision FROM pl)"""
+
+
+@query(f"WITH {_RGB}, {_GROUND} SELECT vec_id, bg_r, bg_g, bg_b, round(dominance, 6) AS dominance, decision FROM pd")
+def background_plans(spark: SparkSession, d: str) -> DataFrame:
+    return raster.background_plan(_rgb(spark, d), "vec_id", "x", "y", 8, 8, 2, (90, 80, 60)).withColumn("dominance", F.round("dominance", 6))
+
+
+@query(f"""WITH {_RGB}, {_GROUND}, w AS (SELECT d.*, 1 - least(greatest(far / 120.0::DOUBLE, 0), 1) AS k, decision FROM d JOIN pd USING (vec_id))
+SELECT vec_id, x, y, CAST(CASE WHEN decision = 'move' THEN floor(least(greatest(r + (90 - bg_r) * k, 0), 255)) ELSE r END AS INTEGER) AS r, CAST(CASE WHEN decision = 'move' THEN floor(least(greatest(g + (80 - bg_g) * k, 0), 255)) ELSE g END AS INTEGER) AS g,
+CAST(CASE WHEN decision = 'move' THEN floor(least(greatest(b + (60 - bg_b) * k, 0), 255)) ELSE b END AS INTEGER) AS b FROM w""")
+def moved_backgrounds(spark: SparkSession, d: str) -> DataFrame:
+    p = _rgb(spark, d)
+    return raster.moved_background(p, raster.background_plan(p, "vec_id", "x", "y", 8, 8, 2, (90, 80, 60)), "vec_id", (90, 80, 60))
+
+
+_KEYED = f"{_RGB}, ky AS (SELECT *, CAST(floor(least(greatest((least(greatest((sqrt(pow(r - 30, 2) + pow(g - 200, 2) + pow(b - 30, 2)) - 30) / 110.0::DOUBLE, 0), 1) * 255 - 60) * (255.0::DOUBLE / 195.0::DOUBLE), 0), 255)) AS INTEGER) AS alpha, least(r, b) - g > 24 AS spill FROM px)"
+
+
+@query(f"WITH {_KEYED} SELECT vec_id, x, y, alpha, CAST(floor(CASE WHEN spill THEN r * 0.55::DOUBLE + g * 0.45::DOUBLE ELSE r END) AS INTEGER) AS r, CAST(floor(CASE WHEN spill THEN b * 0.55::DOUBLE + g * 0.45::DOUBLE ELSE b END) AS INTEGER) AS b FROM ky")
+def keyed_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return _alpha(spark, d).select("vec_id", "x", "y", "alpha", raster.despilled(F.col("r"), F.col("g"), F.col("b")).alias("c")).select("vec_id", "x", "y", "alpha", "c.r", "c.b")
+
+
+def _alpha(spark: SparkSession, d: str) -> DataFrame:
+    far = F.sqrt(F.pow(F.col("r") - 30, 2) + F.pow(F.col("g") - 200, 2) + F.pow(F.col("b") - 30, 2))
+    return _rgb(spark, d).withColumn("alpha", raster.key_alpha(far, F.lit(10.0)))
+
+
+@query(f"""WITH {_KEYED}, t AS (SELECT vec_id, x, y, y - x AS s FROM ky WHERE least(r, g, b) > 175 AND abs(r - b) < 55 AND alpha > 200), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, y, x) AS n FROM t), m AS (SELECT vec_id, x AS mx, y AS my, s AS ms FROM o WHERE n = 1)
+SELECT vec_id, CAST(round_even(avg(x), 0) AS INTEGER) AS tip_x, CAST(round_even(avg(y), 0) AS INTEGER) AS tip_y FROM t JOIN m USING (vec_id) WHERE abs(y - my) < 8 AND abs(x - mx) < 8 AND s >= ms - 16 GROUP BY 1""")
+def chalk_tips(spark: SparkSession, d: str) -> DataFrame:
+    return raster.chalk_tips(_alpha(spark, d), "vec_id", "x", "y")
+
+
+_CROSS = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+
+
+@query(f"""WITH {A.RECTS}, i AS (SELECT a.scene, CAST({_CROSS} AS DOUBLE) AS i, a.w * a.h + b.w * b.h - {_CROSS} AS u FROM rects a JOIN rects b ON a.scene = b.scene AND a.p_partkey < b.p_partkey)
+SELECT scene, 'overlap' AS code, 'warning' AS severity, count(*) AS n FROM i WHERE i / greatest(u, 1) > 0.10 GROUP BY 1 UNION ALL SELECT scene, 'crowded', 'warning', count(*) FROM rects GROUP BY 1 HAVING sum(w * h) / 2073600.0::DOUBLE > 0.55""")
+def layout_findings(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.layout_findings(A.rects(spark, d), ["scene"], "p_partkey")
+
+
+@query("SELECT file_id, 'blocking' AS severity, 'IR.BAD_LAYOUT' AS code, '/' AS path FROM raw_files WHERE payload IS NOT NULL AND NOT json_valid(payload)")
+def bad_layouts(spark: SparkSession, d: str) -> DataFrame:
+    return lint.layout_files(load(spark, d, "raw_files", "file_id", "payload"), ["file_id"], "payload")
 
 
 @query("""WITH s AS (SELECT script_id, json_extract_string(body, '$.knowledge_model.task_type') AS t, body FROM scripts WHERE body IS NOT NULL AND json_valid(body))

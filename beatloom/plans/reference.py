@@ -682,6 +682,15 @@ def frame_states(spark: SparkSession, d: str) -> DataFrame:
     return timeline.frame_states(A.tasks(spark, d), "user_id", 2).withColumn("progress", F.round("progress", 6))
 
 
+@query(f"""WITH {A.TASKS}, k AS (SELECT user_id, CASE kind WHEN 'travel' THEN 'move' ELSE kind END AS kind, start_ms, end_ms FROM tasks), n AS (SELECT user_id, CAST(round_even(max(end_ms) * 2 / 1000.0::DOUBLE, 0) AS BIGINT) AS n FROM k GROUP BY 1), z AS (SELECT user_id, max(end_ms) AS z FROM k WHERE kind = 'draw' GROUP BY 1),
+f AS (SELECT user_id, unnest(range(n)) AS frame_no FROM n), v AS (SELECT DISTINCT f.user_id, frame_no FROM f JOIN k ON k.user_id = f.user_id AND kind = 'draw' AND frame_no * 500 BETWEEN start_ms - 350 AND end_ms UNION SELECT f.user_id, frame_no FROM f JOIN z ON z.user_id = f.user_id AND frame_no * 500 >= z AND frame_no * 500 < z + 180)
+SELECT user_id, frame_no FROM v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = v.user_id AND kind = 'move' AND frame_no * 500 BETWEEN start_ms AND end_ms)""")
+def hand_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames that show the hand, two a second; travelling stands for a moving object."""
+    t = A.tasks(spark, d).withColumn("kind", F.when(F.col("kind") == "travel", "move").otherwise(F.col("kind")))
+    return timeline.hand_frames(t, "user_id", 2)
+
+
 @query(f"""WITH {A.TASKS}, d AS (SELECT user_id, kind AS eid, max(end_ms) AS e FROM tasks GROUP BY 1, 2), w AS (SELECT user_id, max(end_ms) AS e FROM tasks WHERE kind = 'draw' GROUP BY 1), l AS (SELECT user_id, unnest(['draw', 'travel', 'label', 'note']) AS eid FROM (SELECT DISTINCT user_id FROM tasks)), a AS (SELECT user_id, 'label' AS eid, max(end_ms) AS e FROM tasks WHERE kind = 'gaze' GROUP BY 1)
 SELECT user_id, eid, coalesce(d.e, a.e, w.e) AS reveal_ms FROM l LEFT JOIN d USING (user_id, eid) LEFT JOIN a USING (user_id, eid) LEFT JOIN w USING (user_id)""")
 def label_reveals(spark: SparkSession, d: str) -> DataFrame:

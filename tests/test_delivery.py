@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from beatloom.operators import delivery as D
+from beatloom.operators import lint, raster, spatial, timeline
 
 
 def codes(df, *keys):
@@ -93,3 +94,35 @@ def test_boards_and_states(spark):
     statuses = D.import_gate(there, found, ["e"], "scene")
     assert sorted((r.e, r.scene, r.status) for r in statuses.collect()) == [("e", "scene-01", "ok"), ("e", "scene-02", "failed"), ("e", "scene-03", "missing"), ("f", "scene-01", "ok")]
     assert sorted(tuple(r) for r in D.exit_codes(statuses, ["e"]).collect()) == [("e", 2), ("f", 0)]
+
+
+def test_hand_and_labels(spark):
+    tasks = spark.createDataFrame([("a", "draw", 1000, 2000), ("a", "move", 3000, 3500), ("a", "draw", 3600, 4000), ("a", "gaze", 4000, 6000), ("b", "gaze", 0, 900), ("c", "draw", 500, 400)], "k string, kind string, start_ms bigint, end_ms bigint")
+    got = sorted((r.k, r.frame_no) for r in timeline.hand_frames(tasks, "k", 10).collect() if r.k != "c")
+    assert got == [("a", n) for n in [*range(7, 21), 36, 37, 38, 39, 40, 41]]
+    flags = spark.createDataFrame([([True, True, True, False, False, True],), ([],)], "f array<boolean>")
+    alphas = [[round(a, 3) for a in r.a] for r in flags.select(timeline.faded(F.col("f"), 10).alias("a")).collect()]
+    assert alphas == [[0.417, 0.833, 1.0, 0.583, 0.167, 0.583], []]
+    at = spark.createDataFrame([(0, 100), (250, 100), (900, 100), (5, None)], "t int, r int").select(timeline.label_alpha(F.col("t"), F.col("r")).alias("a"))
+    assert [r.a for r in at.collect()] == [0.0, 0.5, 1.0, 0.0]
+
+
+def test_grounds_keys_and_tips(spark):
+    rows = [("m", x, y, *((60, 60, 60) if (x + y) % 3 else (200, 10, 10))) for x in range(8) for y in range(8)]
+    rows += [("near", x, y, 85, 75, 60) for x in range(8) for y in range(8)] + [("few", x, y, *((0, 0, 0) if (x in (0, 7) and y in (0, 7)) else (250, 250, 250))) for x in range(8) for y in range(8)]
+    px = spark.createDataFrame(rows, "i string, x int, y int, r int, g int, b int")
+    plan = raster.background_plan(px, "i", "x", "y", 8, 8, 1, (90, 80, 60))
+    assert {r.i: r.decision for r in plan.collect()} == {"m": "move", "near": "near", "few": "move"}
+    moved = {(r.i, r.x, r.y): (r.r, r.g, r.b) for r in raster.moved_background(px, plan, "i", (90, 80, 60)).collect()}
+    assert moved["m", 0, 1] == (90, 80, 60) and moved["m", 0, 0] == (200, 10, 10) and moved["near", 3, 3] == (85, 75, 60)
+    k = spark.createDataFrame([(0.0, 0.0), (500.0, 0.0), (85.0, 0.0), (None, 1.0)], "d double, s double").select(raster.key_alpha(F.col("d"), F.col("s")).alias("a"))
+    assert [r.a for r in k.collect()] == [0, 255, 88, 0]
+    tips = spark.createDataFrame([("a", 5, 50, 200, 200, 200, 255), ("a", 6, 50, 200, 200, 200, 255), ("a", 90, 50, 200, 200, 200, 255), ("a", 0, 99, 200, 200, 200, 100), ("b", 1, 1, 9, 9, 9, 255)], "i string, x int, y int, r int, g int, b int, alpha int")
+    assert [tuple(r) for r in raster.chalk_tips(tips, "i", "x", "y").collect()] == [("a", 6, 50)]
+
+
+def test_layout_findings(spark):
+    rects = spark.createDataFrame([("s", 1, 0, 0, 1900, 1000), ("s", 2, 10, 10, 1900, 1000), ("t", 1, 0, 0, 10, 10)], "scene string, id int, x int, y int, w int, h int")
+    assert sorted((r.scene, r.code, r.n) for r in spatial.layout_findings(rects, ["scene"], "id").collect()) == [("s", "crowded", 2), ("s", "overlap", 1)]
+    texts = spark.createDataFrame([(1, "{"), (2, "{}"), (3, None)], "k int, t string")
+    assert [(r.k, r.code) for r in lint.layout_files(texts, ["k"], "t").collect()] == [(1, "IR.BAD_LAYOUT")]
