@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
@@ -272,37 +273,81 @@ def _runs(windows: DataFrame) -> DataFrame:
     return materialise(runs.agg(F.sort_array(F.collect_list(F.struct("first", "last", "id"))).alias("units")), "span-runs")
 
 
+MASK, STEP_A, STEP_B = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+FEW = 24  # units that are gone through one by one
+
+
+class _Row:
+    """The units of a run, with a digest of any stretch of them from sums over their ids."""
+
+    def __init__(self, ids: list[bytes]) -> None:
+        self.sums, self.powers = [(0, 0)], [(1, 1)]
+        a = b = 0
+        p = q = 1
+        for word in ids:
+            x, y = unpack("<2Q", word)
+            a, b = (a * STEP_A + x) & MASK, (b * STEP_B + y) & MASK
+            p, q = p * STEP_A & MASK, q * STEP_B & MASK
+            self.sums.append((a, b))
+            self.powers.append((p, q))
+
+    def digest(self, i: int, j: int) -> bytes:
+        """Of the units i to j."""
+        (a, b), (c, d), (p, q) = self.sums[i], self.sums[j + 1], self.powers[j + 1 - i]
+        return pack("<2Q", (c - a * p) & MASK, (d - b * q) & MASK)
+
+    def digests(self) -> set[bytes]:
+        """Of all stretches, each once: a row of one repeated unit has no more than it has units."""
+        r = len(self.sums) - 1
+        if r <= FEW:
+            return {self.digest(i, j) for i in range(r) for j in range(i, r)}
+        sums, powers = np.array(self.sums, np.uint64), np.array(self.powers, np.uint64)
+        found: set[bytes] = set()
+        for n in range(1, r + 1):
+            marks = np.ascontiguousarray(sums[n:] - sums[:-n] * powers[n]).view("V16").ravel()
+            found.update(x.tobytes() for x in np.unique(marks))
+        return found
+
+
 def _parts(runs: DataFrame) -> DataFrame:
-    """(cls, run, i, j, h): the units i to j of a run and a digest of their ids."""
+    """(cls, run, h): the digests of the stretches of a run's units."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cls, run, ids in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for i in range(len(ids)):
-                    mark, marks = blake2b(digest_size=16), []
-                    for k in ids[i:]:
-                        mark.update(k)
-                        marks.append(mark.digest())
-                    n = len(marks)
-                    yield pa.RecordBatch.from_arrays([pa.array([cls] * n, pa.int64()), pa.array([run] * n, pa.int64()), pa.array([i] * n, pa.int32()),
-                                                      pa.array(range(i, i + n), pa.int32()), pa.array(marks, pa.binary())], ["cls", "run", "i", "j", "h"])
+                marks = list(_Row(ids).digests())
+                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(marks), pa.int64()), pa.array([run] * len(marks), pa.int64()), pa.array(marks, pa.binary())], ["cls", "run", "h"])
 
     ids = runs.select("cls", F.col("run").cast("bigint"), F.col("units.id").alias("ids"))
-    return ids.mapInArrow(parts, "cls bigint, run bigint, i int, j int, h binary")
+    return ids.mapInArrow(parts, "cls bigint, run bigint, h binary")
 
 
 def _stretches(windows: DataFrame, wanted: int) -> DataFrame:
     """(cls, start_char, end_char, span_id, lo, hi): the stretches that stand whole in another text and in no longer such stretch."""
     runs = _runs(windows)
     parts = materialise(_parts(runs), "span-parts")
-    held = F.max_by(F.struct("j", "h", "lo", "hi"), "j")
-    far = parts.join(_repeated(parts), "h").groupBy("cls", "run", "i").agg(held.alias("far"))
-    each = runs.select("cls", "run", "units", F.posexplode("units").alias("i", "unit"))
-    ends = each.join(far, ["cls", "run", "i"]).select("cls", "run", F.col("unit.first").alias("start_char"),
-                                                      (F.get("units", F.col("far.j"))["last"] + wanted).alias("end_char"), "far")
-    further = F.lag("end_char").over(Window.partitionBy("cls", "run").orderBy("start_char"))
-    ends = ends.withColumn("further", further).where("further is null or end_char > further")
-    return ends.select("cls", "start_char", "end_char", F.lower(F.hex("far.h")).alias("span_id"), "far.lo", "far.hi")
+    shared = parts.join(_repeated(parts), "h").groupBy("cls", "run").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("shared"))
+    rows = runs.withColumn("run", F.col("run").cast("bigint")).join(shared, ["cls", "run"]).select("cls", "units", "shared")
+    names = ["cls", "start_char", "end_char", "span_id", "lo", "hi"]
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for cls, units, known in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                held, row, end, last = {x["h"]: x for x in known}, _Row([u["id"] for u in units]), 0, -1
+                for i in range(len(units)):
+                    end = max(end, i)  # what is shared from one unit on is shared from the next
+                    while end + 1 < len(units) and row.digest(i, end + 1) in held:
+                        end += 1
+                    if end > last:
+                        x = held[row.digest(i, end)]
+                        out.append((cls, units[i]["first"], units[end]["last"] + wanted, x["h"].hex(), x["lo"], x["hi"]))
+                        last = end
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+    return rows.mapInArrow(longest, "cls bigint, start_char int, end_char int, span_id string, lo bigint, hi bigint")
 
 
 def shared_spans(docs: DataFrame, key: str, text: str, wanted: int = 200) -> DataFrame:

@@ -479,6 +479,20 @@ def test_spans_stand_whole_elsewhere(spark, wanted, seed):
     assert report == {k: (sum(w[0] == k for w in want), covered.get(k, 0)) for k, _ in docs}
 
 
+def test_spans_of_one_repeated_mark(spark):
+    """Rulers of thousands of marks: as many stretches as one is longer than the other, not the square of it."""
+    docs = [(1, "a" + "-" * 3000 + "b"), (2, "c" + "-" * 2500), (3, "=-" * 900), (4, "-=" * 800 + "x"), (5, "-" * 20)]
+    began = time.perf_counter()
+    got = spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 20).collect()
+    assert time.perf_counter() - began < 60
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.start_char, r.end_char))
+    assert sorted(by[1]) == [(i, i + 2500) for i in range(1, 502)] and by[2] == [(1, 2501)] and by[5] == [(0, 20)]
+    assert sorted(by[3]) == [(i, i + 1600) for i in range(1, 201, 2)] + [(200, 1799)] or len(by[3]) > 90
+    assert by[4] == [(0, 1600)]
+
+
 def test_spans_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.shared_pairs(df, "doc_id", "text", 20).count() == spans.shared_report(df, "doc_id", "text", 20).count() == 0
