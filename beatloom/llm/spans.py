@@ -147,6 +147,12 @@ def _repeated(found: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
 
 
+def _survivors(found: DataFrame) -> DataFrame:
+    """The rows whose mark stands in more than one text; laid out by mark once, for telling and for taking them."""
+    by_mark = found.repartition("h")
+    return by_mark.join(_repeated(by_mark).select("h").hint("shuffle_hash"), "h", "left_semi")  # each mark once: nothing to sort
+
+
 def _folded(docs: DataFrame, key: str, text: str, wanted: int) -> tuple[DataFrame, DataFrame]:
     """Members (cls, key) of each class of equal texts, and one text per class (cls, text, n_members)."""
     long = docs.where(F.length(text) >= wanted).select(F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.sha2(text, 256)).alias("same"))
@@ -162,7 +168,7 @@ def shared_windows(texts: DataFrame, wanted: int) -> DataFrame:
     level, kept_length, current = max(wanted // 4, 1), 0, texts.select("cls", "text")
     while True:
         found = materialise(_level(current, level, kept_length, wanted), f"span-level-{level}")
-        survivors = found.join(_repeated(found).select("h"), "h", "left_semi")
+        survivors = _survivors(found)
         if level == wanted:
             return materialise(survivors, "span-windows")
         kept = survivors.groupBy("cls").agg(F.collect_list("pos").alias("kept"))
@@ -199,11 +205,11 @@ def _pairs(windows: DataFrame) -> DataFrame:
     Windows that stand in the same set of classes - told by their number and
     two sums of hashes - give the same pairs, so one window speaks for each set.
     """
-    each = windows.select("h", "cls").distinct()
+    each = windows.select("h", "cls").repartition("h").distinct()
     part = lambda s: F.xxhash64(F.col("cls"), F.lit(s)).cast("decimal(20,0)")
     sets = each.groupBy("h").agg(F.count("*").alias("n"), F.sum(part(1)).alias("a"), F.sum(part(2)).alias("b"))
     chosen = sets.groupBy("n", "a", "b").agg(F.min("h").alias("h")).select("h", "n")
-    few = materialise(each.join(chosen, "h"), "span-sets")
+    few = materialise(each.join(chosen.hint("shuffle_hash"), "h"), "span-sets")
     return _met(few, "h", "cls", "n", not few.where(F.col("n") > CELL).isEmpty()).distinct().toDF("cls_a", "cls_b")
 
 
