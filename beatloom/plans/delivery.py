@@ -297,6 +297,16 @@ def moved_backgrounds(spark: SparkSession, d: str) -> DataFrame:
     return raster.moved_background(p, raster.background_plan(p, "vec_id", "x", "y", 8, 8, 2, (90, 80, 60)), "vec_id", (90, 80, 60))
 
 
+@query(f"""WITH {_RGB}, m AS (SELECT vec_id, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM px WHERE x < 1 OR x >= 7 OR y < 1 OR y >= 7 GROUP BY 1), f AS (SELECT vec_id, y, abs(r - mr) + abs(g - mg) + abs(b - mb) AS far FROM px JOIN m USING (vec_id))
+SELECT vec_id, count(*) FILTER (far > 180) AS n_ink, round(avg(far / 3) FILTER (y >= 2 AND y < 6), 6) AS deviation FROM f GROUP BY 1""")
+def coloured_ink(spark: SparkSession, d: str) -> DataFrame:
+    """Ink and remains against the border's colour, over three channels."""
+    p, channels = _rgb(spark, d), ["r", "g", "b"]
+    ground = raster.border_median(p, "vec_id", channels, "x", "y", 8, 8, 1)
+    inked = raster.ink(p, ground, "vec_id", channels).groupBy("vec_id").agg(F.count_if("is_ink").alias("n_ink"))
+    return inked.join(raster.ghost(p, ground, "vec_id", channels, "y", (2, 6)), "vec_id").select("vec_id", "n_ink", F.round("deviation", 6).alias("deviation"))
+
+
 _KEYED = f"{_RGB}, ky AS (SELECT *, CAST(floor(least(greatest((least(greatest((sqrt(pow(r - 30, 2) + pow(g - 200, 2) + pow(b - 30, 2)) - 30) / 110.0::DOUBLE, 0), 1) * 255 - 60) * (255.0::DOUBLE / 195.0::DOUBLE), 0), 255)) AS INTEGER) AS alpha, least(r, b) - g > 24 AS spill FROM px)"
 
 
