@@ -490,7 +490,7 @@ def rect_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {A.RECTS} SELECT scene, id_a, id_b, round(i / greatest(u, 1), 6) AS iou FROM (SELECT a.scene, a.p_partkey AS id_a, b.p_partkey AS id_b, CAST({_IX} AS DOUBLE) AS i, a.w * a.h + b.w * b.h - {_IX} AS u FROM rects a JOIN rects b ON a.scene = b.scene AND a.p_partkey < b.p_partkey) WHERE i / greatest(u, 1) > 0.10""")
 def rect_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.overlaps(A.rects(spark, d), ["scene"], "p_partkey").withColumn("iou", F.round("iou", 6))
+    return spatial.overlaps(A.rects(spark, d), ["scene"], "p_partkey", digits=6)
 
 
 @query(f"WITH {A.RECTS} SELECT scene, count(*) AS n_panels, round(sum(w * h) / 2073600.0::DOUBLE, 6) AS density, sum(w * h) / 2073600.0::DOUBLE > 0.55 AS crowded FROM rects GROUP BY 1")

@@ -90,6 +90,13 @@ def test_nested_asks_equal_rectangles_once_and_keeps_every_row(spark):
     assert 0 < most_joined(found) <= len(REPEATED)
 
 
+def test_overlaps_judge_equal_rectangles_once(spark):
+    for rows in (ODD, REPEATED):
+        found = spatial.overlaps(rects(spark, rows), ["scene"], "id")
+        assert sorted((r.scene, r.id_a, r.id_b) for r in found.collect()) == crossing(rows)
+    assert 0 < most_joined(found) <= 6  # pairs of three boxes
+
+
 def test_nested_density_and_transitions(spark):
     df = rects(spark, [("scene-01", 1, (0, 0, 100, 100)), ("scene-01", 2, (10, 10, 20, 20)), ("scene-01", 3, (5, 5, 90, 90)), ("scene-02", 1, (7, 8, 10, 10)), ("scene-03", 1, (1, 2, 3, 4))])
     assert [r.id for r in spatial.nested(df, ["scene"], "id").collect()] == [2]
